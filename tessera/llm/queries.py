@@ -1,0 +1,10 @@
+"""The thin queries of this folder, and SQL for those that SQL can express."""
+
+from __future__ import annotations
+
+from tessera.llm.suffix_dedup import op2_suffix_dedup
+
+QUERIES = {
+    "op2_suffix_dedup": op2_suffix_dedup,
+}
+ORACLE_SQL: dict[str, str] = {}
