@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from tessera.llm.cover_dedup import op8_cover_dedup
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op8_cover_dedup": op8_cover_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
