@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from tessera.llm.cover_dedup import op8_cover_dedup
+from tessera.llm.ngram_join import op5_ngram_join
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op8_cover_dedup": op8_cover_dedup,
 }
 ORACLE_SQL: dict[str, str] = {}
