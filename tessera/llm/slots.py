@@ -12,6 +12,7 @@ is lost.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterable
 
@@ -44,6 +45,12 @@ def slotted(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str] =
     return docs.select(*columns), n
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # another C library
+    _trim = None
+
+
 class Slot:
     """The documents of one slot in a fixed order: by id, then text, nulls last."""
 
@@ -212,11 +219,21 @@ def only(table: pa.Table, kind: int) -> pa.Table:
     return table.filter(pc.equal(table.column("kind"), kind))
 
 
+def tidy() -> None:
+    """Give freed memory back: a reused worker would otherwise keep the largest group's."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def ask(docs: DataFrame, answers: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``f(slot's documents, answers to it)`` for each slot."""
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        return f(left, right)
+        try:
+            return f(left, right)
+        finally:
+            tidy()
 
     return docs.groupBy("slot").cogroup(answers.groupBy("slot")).applyInArrow(both, schema)
 
@@ -225,7 +242,10 @@ def each(table: DataFrame, key: str, f: Callable[[pa.Table], pa.Table], schema:
     """``f(group)`` for each value of ``key``."""
 
     def one(group: pa.Table) -> pa.Table:
-        return f(group)
+        try:
+            return f(group)
+        finally:
+            tidy()
 
     return table.groupBy(key).applyInArrow(one, schema)
 

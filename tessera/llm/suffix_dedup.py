@@ -84,7 +84,7 @@ def slot_runs(s: Slot, stands: np.ndarray, length: int) -> tuple[np.ndarray, np.
             nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
             begin = np.repeat(begin, parts) + nth * RUN
             size = np.minimum(np.repeat(size, parts) - nth * RUN, RUN)
-        keys.append(key[begin])
+        keys.append(mix(key[begin]))  # least hashes crowd at the low end; buckets want them spread
         starts.append(at[begin] + lo)
         sizes.append(size)
         owners.append(row[begin] + i)

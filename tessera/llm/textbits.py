@@ -1,7 +1,7 @@
 """Vectorised byte and word hashing shared by the text operators.
 
 Everything works on an Arrow string column as it lies in memory: one flat
-``uint8`` buffer and an offsets array.  Chunks of about a megabyte are handled
+``uint8`` buffer and an offsets array.  Chunks of a few hundred kilobytes are handled
 at a time, so temporary arrays stay small however long a batch is; a single
 longer document simply makes one longer chunk.
 """
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 400_000
 U64 = np.uint64
 
 #: `[\x20\x09-\x0D]`, the only white space of the word contracts.
