@@ -2,13 +2,27 @@
 
 from __future__ import annotations
 
+from tessera.llm import chat
 from tessera.llm.cover_dedup import op8_cover_dedup
+from tessera.llm.embedding_join import op4_embedding_join
 from tessera.llm.ngram_join import op5_ngram_join
+from tessera.llm.outliers import op7_outliers
+from tessera.llm.packing import op3_packing
+from tessera.llm.pii import op9_pii
+from tessera.llm.quality import op1_quality
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
+    "op3_packing": op3_packing,
+    "op4_embedding_join": op4_embedding_join,
     "op5_ngram_join": op5_ngram_join,
+    "op6_chat": chat.op6_chat,
+    "op7_outliers": op7_outliers,
     "op8_cover_dedup": op8_cover_dedup,
+    "op9_pii": op9_pii,
+}
+ORACLE_SQL = {
+    "op6_chat": chat.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
