@@ -10,8 +10,9 @@ when ``100 * overlap >= percent * union``.
    ``m - ceil(t m) + l`` hold ``l`` of the common ones.  These prefixes go to column
    buckets, four bytes each and once per slot; a document with fewer shared
    columns than the bound for its size has no partner and leaves.
-3. Of the documents that are left, those that share a column of the shortest
-   prefix fall into one cluster (a link never leaves a cluster).
+3. Of the documents that are left, the columns are counted, rare ones come first, and
+   documents that share a column of the shortest prefix fall into one cluster
+   (a link never leaves a cluster; a passage that many share builds none).
 4. Clusters are cut into row blocks.  A block multiplies its rows, a column block
    at a time, and stops when no pair can reach its bound any more.  Members
    linked in a block are then represented by one of them, and representatives
@@ -36,8 +37,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import components, saved
-from tessera.llm.slots import BACK, NO_ID, ROWS, SLOT_BYTES, Copies, Slot, ask, each, got_values, only, send_values, shared_values, short_keys, slotted, together, within
-from tessera.llm.textbits import chunks, sequence_hash, window_hashes, word_hashes
+from tessera.llm.slots import BACK, NO_ID, ROWS, SLOT_BYTES, Copies, Slot, ask, asked, back, cut, each, got_values, only, rows, send_values, shared_values, short_keys, slotted, together, within
+from tessera.llm.textbits import chunks, mix, sequence_hash, window_hashes, word_hashes
 
 N, PERCENT = 5, 80
 BLOCK = 256
@@ -78,7 +79,8 @@ def depth(m: np.ndarray, percent: int) -> np.ndarray:
 
 def long_prefix(x: np.ndarray, percent: int) -> np.ndarray:
     m = np.int64(len(x))
-    return x[: int(may_miss(m, percent) + depth(m, percent))] if m else x
+    # the lowest hashes crowd at one end; buckets want them spread
+    return mix(x[: int(may_miss(m, percent) + depth(m, percent))]) if m else x
 
 
 def send_prefixes(docs: pa.Table, known: pa.Table, copies: Copies, n: int, grams: int, percent: int) -> pa.Table:
@@ -92,24 +94,25 @@ def candidates(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, grams:
     s = Slot(docs)
     stands, _, least = copies.known(s, only(answers, 0))
     sets = slot_sets(s, np.ones(s.rows, bool), grams)
-    rows = [k for k in range(s.rows) if stands[k] and s.ids[k] != NO_ID and len(sets[k])]
-    prefixes = [long_prefix(sets[k], percent) for k in rows]
+    known = [k for k in range(s.rows) if stands[k] and s.ids[k] != NO_ID and len(sets[k])]
+    prefixes = [long_prefix(sets[k], percent) for k in known]
     body: list[bytes | None] = [None] * s.rows
-    if rows:
+    if known:
         size = np.array([len(x) for x in prefixes])
         every = np.concatenate(prefixes)
         value, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
         shared = (count > 1) | within(short_keys(value, n), got_values(only(answers, 1)))
         hits = np.add.reduceat(shared[inverse].astype(np.int64), np.cumsum(size) - size)
-        whole = np.array([len(sets[k]) for k in rows])
+        whole = np.array([len(sets[k]) for k in known])
         smallest = -(-whole * percent // 100)  # the size of the smallest partner
-        for k, ok in zip(rows, hits >= depth(smallest, percent), strict=True):
+        for k, ok in zip(known, hits >= depth(smallest, percent), strict=True):
             if ok:
                 body[k] = sets[k].tobytes()
     empty = [not len(x) for x in sets]
     null = s.ids == NO_ID
     return pa.table(
         {
+            "slot": pa.array([s.slot] * s.rows, pa.int32()),
             "doc_id": s.table.column("doc_id"),
             "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
             "stands_in": pa.array(np.where(empty, s.ids, least), pa.int64(), mask=null),
@@ -118,16 +121,55 @@ def candidates(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, grams:
     )
 
 
-def prefix_rows(batches, percent: int):
-    for batch in batches:
-        docs, heads = [], []
-        for doc, items in zip(batch.column("doc_id").to_pylist(), batch.column("items").to_pylist(), strict=True):
-            x = np.frombuffer(items, np.uint64)
-            x = x[: int(may_miss(np.int64(len(x)), percent)) + 1]
-            heads.append(x.view(np.int64))
-            docs.append(np.full(len(x), doc, np.int64))
-        if docs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(docs))], ["item", "doc_id"])
+_COUNT = np.dtype([("low", "<u4"), ("n", "<u4")])
+_RANK = np.dtype([("low", "<u4"), ("rank", "u1")])
+
+
+def send_column_counts(table: pa.Table, n: int) -> pa.Table:
+    items = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("items").to_pylist()])
+    value, count = np.unique(items, return_counts=True)
+    body = np.zeros(len(value), _COUNT)
+    body["low"], body["n"] = value.astype(np.uint32), count
+    return rows(table.column("slot")[0].as_py(), [(b, body[i:j].tobytes(), b"") for b, i, j in cut(value, n)])
+
+
+def column_ranks(table: pa.Table) -> pa.Table:
+    """Answer each slot with its columns of two rows or more, and the logarithm of how many."""
+    bucket, slots, bodies, _ = asked(table)
+    arrays = [np.frombuffer(x, _COUNT) for x in bodies]
+    every = np.concatenate(arrays)
+    value, inverse = np.unique(every["low"], return_inverse=True)
+    total = np.bincount(inverse, every["n"], len(value)).astype(np.int64)
+    out = []
+    for slot, a in zip(slots, arrays, strict=True):
+        df = total[np.searchsorted(value, a["low"])]
+        many = df > 1
+        if many.any():
+            x = np.zeros(int(many.sum()), _RANK)
+            x["low"], x["rank"] = a["low"][many], np.log2(df[many]).astype(np.uint8)
+            out.append((slot, x.tobytes(), b""))
+    return back(bucket, out)
+
+
+def prefix_rows(table: pa.Table, ranks: pa.Table, n: int, percent: int) -> pa.Table:
+    """``item, doc_id`` for the shared columns of each shortest prefix, rare columns first."""
+    known = [np.frombuffer(x, _RANK) for x in ranks.column("body").to_pylist()]
+    key = [x["low"].astype(np.uint64) | np.uint64(b << 32) for b, x in zip(ranks.column("bucket").to_pylist(), known, strict=True)]
+    key, rank = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((key, np.uint64), ([x["rank"] for x in known], np.uint8)))
+    order = np.argsort(key)
+    key, rank = key[order], rank[order]
+    items, docs = [], []
+    for doc, raw in zip(table.column("doc_id").to_pylist(), table.column("items").to_pylist(), strict=True):
+        x = np.frombuffer(raw, np.uint64)
+        short = short_keys(x, n)
+        shared = within(short, key)
+        level = np.zeros(len(x), np.uint8)
+        level[shared] = rank[np.searchsorted(key, short[shared])]
+        first = np.lexsort((x, level))[: int(may_miss(np.int64(len(x)), percent)) + 1]
+        first = first[level[first] > 0]
+        items.append(x[first].view(np.int64))
+        docs.append(np.full(len(first), doc, np.int64))
+    return pa.table({"item": np.concatenate(items) if items else pa.array([], pa.int64()), "doc_id": np.concatenate(docs) if docs else pa.array([], pa.int64())})
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
@@ -219,20 +261,18 @@ def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     how = {"copies": copies, "n": slots, "grams": n, "percent": percent}
     known = copies.flags(table)
     columns = each(ask(table, known, partial(send_prefixes, **how), ROWS), "bucket", shared_values, BACK)
-    every = saved(ask(table, together(known, columns), partial(candidates, **how), "doc_id long, n_shingles long, stands_in long, items binary"))
-    links = cluster_links(every.filter("items is not null").select("doc_id", "items"), percent, block)
+    every = saved(ask(table, together(known, columns), partial(candidates, **how), "slot int, doc_id long, n_shingles long, stands_in long, items binary"))
+    links = cluster_links(every.filter("items is not null").select("slot", "doc_id", "items"), slots, percent, block)
     found = components(links).select(F.col("node").alias("stands_in"), F.col("component"))
     return every.select("doc_id", "n_shingles", "stands_in").join(found, "stands_in", "left").select("doc_id", "n_shingles", F.coalesce("component", "stands_in").alias("component_id"))
 
 
-def cluster_links(sets: DataFrame, percent: int, block: int) -> DataFrame:
+def cluster_links(sets: DataFrame, slots: int, percent: int, block: int) -> DataFrame:
     """``(a, b)``: links that join the same documents as all links do."""
     spark = sets.sparkSession
-
-    def prefixes(batches):
-        return prefix_rows(batches, percent)
-
-    heads = sets.mapInArrow(prefixes, "item long, doc_id long")
+    ranks = each(each(sets, "slot", partial(send_column_counts, n=slots), ROWS), "bucket", column_ranks, BACK)
+    heads = saved(ask(sets, ranks, partial(prefix_rows, n=slots, percent=percent), "item long, doc_id long"))
+    sets = sets.drop("slot")
     least = heads.groupBy("item").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("item", "b")
     clusters = components(heads.join(least, "item").select(F.col("doc_id").alias("a"), "b").distinct())
     members = saved(sets.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id"))
