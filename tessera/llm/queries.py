@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm import chat
 from tessera.llm.cover_dedup import op8_cover_dedup
 from tessera.llm.embedding_join import op4_embedding_join
+from tessera.llm.merge_dropout import op10_merge_dropout
 from tessera.llm.ngram_join import op5_ngram_join
 from tessera.llm.outliers import op7_outliers
 from tessera.llm.packing import op3_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_outliers": op7_outliers,
     "op8_cover_dedup": op8_cover_dedup,
     "op9_pii": op9_pii,
+    "op10_merge_dropout": op10_merge_dropout,
 }
 ORACLE_SQL = {
     "op6_chat": chat.ORACLE_SQL,
