@@ -230,7 +230,7 @@ def decide_runs(table: pa.Table, length: int) -> pa.Table:
     return back(bucket, out)
 
 
-def finish(docs: pa.Table, answers: pa.Table, copies: Copies, length: int) -> pa.Table:
+def finish(docs: pa.Table, answers: pa.Table, copies: Copies, length: int, as_text: bool) -> pa.Table:
     s = Slot(docs)
     stands, _, least = copies.known(s, only(answers, 0))
     starts = np.zeros(len(s.buf) + 1, np.int32)
@@ -266,15 +266,18 @@ def finish(docs: pa.Table, answers: pa.Table, copies: Copies, length: int) -> pa
         "doc_id": s.table.column("doc_id"),
         "n_bytes": pa.array(np.diff(s.offsets), pa.int64()),
         "spans": pa.array([[{"start": a, "length": n} for a, n in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-        "kept": pa.array(kept, pa.binary()),
+        "kept": pa.array([x.decode(errors="ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()),
     }
     if "carry" in s.table.column_names:
         columns["carry"] = s.table.column("carry")
     return pa.table(columns)
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = ()) -> DataFrame:
-    """``doc_id, n_bytes, spans (start and length of each removed run), kept (bytes that are left)[, carry]``."""
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", carry: Iterable[str] = (), as_text: bool = False) -> DataFrame:
+    """``doc_id, n_bytes, spans (start and length of each removed run), kept (bytes that are left)[, carry]``.
+
+    With ``as_text``, ``kept`` is a string, without the bytes of characters that a cut has split.
+    """
     if length < 2:
         raise ValueError("length must be 2 at least")
     table, n = slotted(docs, id_col, text_col, carry)
@@ -282,10 +285,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     known = copies.flags(table)
     keys = each(ask(table, known, partial(send_keys, copies=copies, length=length, n=n), ROWS), "bucket", shared_values, BACK)
     marks = each(ask(table, together(known, keys), partial(send_runs, copies=copies, length=length, n=n), ROWS), "bucket", partial(decide_runs, length=length), BACK)
-    schema = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept binary"
+    schema = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept " + ("string" if as_text else "binary")
     if "carry" in table.columns:
         schema += f", carry {table.schema['carry'].dataType.simpleString()}"
-    return ask(table, together(known, marks), partial(finish, copies=copies, length=length), schema)
+    return ask(table, together(known, marks), partial(finish, copies=copies, length=length, as_text=as_text), schema)
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
