@@ -45,31 +45,30 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     base = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.max("score"), F.lit(0.0)).cast("double").alias("score"))
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     # a jump to null has arrived above the root
-    jump = saved(base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("to"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.when(F.col("there").isNull(), F.col("node")).alias("root")))
-    jumps = [jump.select("tree", "node", "to")]
-    first = jump
+    start = saved(base.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("there"), F.col("parent")).alias("to"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.when(F.col("there").isNull(), F.col("node")).alias("root")))
+    # messages whose jump has not arrived; those that have leave the joins
+    going = start.filter("to is not null")
+    arrived = start.filter("to is null")
+    jumps = []
     longest = nodes.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
     step = 1
     while step < longest:
-        far = jump.select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("total").alias("sum"), F.col("root").alias("far_root"))
-        jump = saved(
-            jump.join(far, ["tree", "to"], "left").select(
-                "tree", "node", F.col("next").alias("to"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("sum", F.lit(0.0))).alias("total"), F.coalesce("root", "far_root").alias("root"),
-            )
-        )
+        jumps.append(going.select("tree", "node", "to"))
+        far = arrived.unionByName(going).select("tree", F.col("node").alias("to"), F.col("to").alias("next"), F.col("depth").alias("more"), F.col("total").alias("sum"), F.col("root").alias("far_root"))
+        moved = saved(going.join(far, ["tree", "to"]).select("tree", "node", F.col("next").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("sum")).alias("total"), F.col("far_root").alias("root")))
+        arrived = arrived.unionByName(moved.filter("to is null"))
+        going = moved.filter("to is not null")
         step *= 2
-        if step < longest:
-            if jump.filter("to is not null").isEmpty():
-                break
-            jumps.append(jump.select("tree", "node", "to"))
-    parents = first.filter("to is not null").select("tree", F.col("to").alias("node")).distinct()
-    leaves = jump.filter("root is not null and to is null").join(parents, ["tree", "node"], "left_anti")
+        if going.isEmpty():
+            break
+    jump = arrived
+    parents = start.filter("to is not null").select("tree", F.col("to").alias("node")).distinct()
+    leaves = jump.join(parents, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= branches).select("tree", F.col("node").alias("leaf"), "rank")
     path = saved(chosen.withColumn("node", F.col("leaf")))
     for table in reversed(jumps):
-        path = saved(path.unionByName(path.join(table.filter("to is not null"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("to").alias("node"))))
+        path = saved(path.unionByName(path.join(table, ["tree", "node"]).select("tree", "leaf", "rank", F.col("to").alias("node"))))
     return path.join(jump.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth")
 
 
