@@ -1,0 +1,218 @@
+"""Queries over documents and reference passages: tokens, shingles, sketches, containment, releases, owners."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.functions.text import bottom_k, fingerprints, kmv_similarity, tokens, winnow
+from tessera.operators import presence
+from tessera.plans.registry import register
+from tessera.session import table
+
+K = 4
+#: DuckDB: distinct h60 hashes of 4-token shingles, as presence.hash_table makes them.
+_HASH = "('0x' || substr(md5({}), 1, 15))::BIGINT"
+
+
+def _shingles_sql(name: str, source: str, key: str, extra: str = "") -> str:
+    """CTEs ``{name}_t`` (tokens) and ``{name}`` (distinct shingle hashes)."""
+    return f"""{name}_t AS (SELECT {key}{extra}, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS t FROM {source}),
+{name} AS (SELECT DISTINCT {key}{extra}, {_HASH.format('s')} AS h FROM (
+  SELECT {key}{extra}, unnest(CASE WHEN len(t) >= {K} THEN list_transform(range(1, len(t) - {K} + 2), lambda i: array_to_string(t[i:i + {K} - 1], ' '))
+    WHEN len(t) > 0 THEN [array_to_string(t, ' ')] ELSE [] END) AS s FROM {name}_t))"""
+
+
+_CONTAINMENT = f"""WITH {_shingles_sql('d', 'documents', 'doc_id')},
+{_shingles_sql('r', 'benchmark', 'item_id')},
+own AS (SELECT item_id, count(*) AS own FROM r GROUP BY 1),
+p AS (SELECT doc_id, item_id, count(*) AS held FROM d JOIN r USING (h) GROUP BY 1, 2),
+s AS (SELECT doc_id, item_id, held, own, held::DOUBLE / own AS containment FROM p JOIN own USING (item_id))"""
+_BAND = "CASE WHEN containment >= 0.8 THEN 'strong' WHEN containment >= 0.5 THEN 'partial' WHEN containment >= 0.2 THEN 'weak' ELSE 'below' END"
+
+
+def _docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def _items(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", "text")
+
+
+@register(
+    "containment_best_match",
+    f"""{_CONTAINMENT}
+SELECT doc_id, item_id, held, own, containment, {_BAND} AS band FROM s WHERE containment >= 0.2
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY containment DESC, held DESC, item_id) = 1""",
+)
+def containment_best_match(spark, sf_dir):
+    return presence.containment_best(_docs(spark, sf_dir), _items(spark, sf_dir), K).select("doc_id", "item_id", "held", "own", "containment", "band")
+
+
+@register("containment_all_pairs", f"{_CONTAINMENT} SELECT doc_id, item_id, held, own, containment, {_BAND} AS band FROM s")
+def containment_all_pairs(spark, sf_dir):
+    pairs = presence.overlaps(presence.hash_table(_docs(spark, sf_dir), ["doc_id"], "text", K), presence.hash_table(_items(spark, sf_dir), ["item_id"], "text", K), "doc_id", "item_id")
+    return pairs.withColumn("containment", F.col("held") / F.col("own")).withColumn("band", presence.band(F.col("containment")))
+
+
+@register("jaccard_pairs", f"{_CONTAINMENT}, n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1) SELECT doc_id, item_id, held::DOUBLE / (n + own - held) AS jaccard FROM s JOIN n USING (doc_id)")
+def jaccard_pairs(spark, sf_dir):
+    present = presence.hash_table(_docs(spark, sf_dir), ["doc_id"], "text", K)
+    pairs = presence.overlaps(present, presence.hash_table(_items(spark, sf_dir), ["item_id"], "text", K), "doc_id", "item_id")
+    n = _docs(spark, sf_dir).select("doc_id", F.size(F.array_distinct(fingerprints(tokens(F.col("text")), K))).alias("n"))
+    return pairs.join(n, "doc_id").select("doc_id", "item_id", (F.col("held") / (F.col("n") + F.col("own") - F.col("held"))).alias("jaccard"))
+
+
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
+
+
+@register("token_counts", f"SELECT doc_id, len(t)::INT AS n_tokens, len(list_distinct(t))::INT AS n_distinct FROM (SELECT doc_id, {_TOKENS} AS t FROM documents)")
+def token_counts(spark, sf_dir):
+    t = tokens(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"), F.size(F.array_distinct(t)).alias("n_distinct"))
+
+
+@register("shingle_counts", f"WITH {_shingles_sql('d', 'documents', 'doc_id')} SELECT doc_id, count(*) AS n_shingles, min(h) AS first_hash FROM d GROUP BY 1")
+def shingle_counts(spark, sf_dir):
+    h = F.array_distinct(fingerprints(tokens(F.col("text")), K))
+    return _docs(spark, sf_dir).withColumn("h", h).filter(F.size("h") > 0).select("doc_id", F.size("h").cast("long").alias("n_shingles"), F.array_min("h").alias("first_hash"))
+
+
+@register(
+    "line_dup_counts",
+    r"""SELECT doc_id, count(*) AS n_lines, count(DISTINCT l) AS n_distinct_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents)
+WHERE regexp_matches(l, '[^ \t\n\v\f\r]') GROUP BY 1""",
+)
+def line_dup_counts(spark, sf_dir):
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]"))
+    return _docs(spark, sf_dir).withColumn("l", lines).filter(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct_lines"))
+
+
+_ITEM_HASHES = f"""h AS (SELECT item_id, t, CASE WHEN len(t) >= {K} THEN list_transform(range(1, len(t) - {K} + 2), lambda i: {_HASH.format(f"array_to_string(t[i:i + {K} - 1], ' ')")})
+  WHEN len(t) > 0 THEN [{_HASH.format("array_to_string(t, ' ')")}] ELSE [] END AS h FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark))"""
+
+
+@register(
+    "winnow_fingerprints",
+    f"""WITH {_ITEM_HASHES}
+SELECT DISTINCT item_id, unnest(CASE WHEN len(h) > 8 THEN list_transform(range(1, len(h) - 8 + 2), lambda i: list_min(h[i:i + 7])) WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END) AS h FROM h""",
+)
+def winnow_fingerprints(spark, sf_dir):
+    return _items(spark, sf_dir).select("item_id", F.explode(winnow(fingerprints(tokens(F.col("text")), K), 8)).alias("h"))
+
+
+@register("bottomk_sketch", f"WITH {_shingles_sql('d', 'documents', 'doc_id')} SELECT doc_id, h, n::INT AS n FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM d) WHERE n <= 16")
+def bottomk_sketch(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(bottom_k(fingerprints(tokens(F.col("text")), K), 16)).alias("p", "h")).select("doc_id", "h", (F.col("p") + 1).alias("n"))
+
+
+@register(
+    "kmv_similarity",
+    f"""WITH {_shingles_sql('r', 'benchmark', 'item_id')},
+s AS (SELECT item_id, (list_sort(list(h)))[1:64] AS s FROM r GROUP BY 1),
+p AS (SELECT a.item_id AS a, b.item_id AS b, a.s AS x, b.s AS y, least(len(a.s), len(b.s), 64) AS m FROM s a JOIN s b ON a.item_id < b.item_id)
+SELECT a, b, len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(x, y))))[1:m], x), y))::DOUBLE / m AS similarity FROM p""",
+)
+def kmv_pairs(spark, sf_dir):
+    # the reference table is the small, fixed side: every item against every later one
+    s = _items(spark, sf_dir).select("item_id", bottom_k(fingerprints(tokens(F.col("text")), K), 64).alias("s")).filter(F.size("s") > 0)
+    a, b = s.select(F.col("item_id").alias("a"), F.col("s").alias("x")), s.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
+    return a.join(b, F.col("a") < F.col("b")).select("a", "b", kmv_similarity(F.col("x"), F.col("y"), 64).alias("similarity"))
+
+
+@register("exact_copies", "SELECT sha256(text) AS digest, min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def exact_copies(spark, sf_dir):
+    d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return d.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1")
+
+
+@register(
+    "fileset_digest_by_source",
+    "SELECT source, count(*) AS files, sha256(string_agg(d, '' ORDER BY d)) AS fileset FROM (SELECT source, lpad(doc_id::VARCHAR, 20, '0') || sha256(text) AS d FROM documents WHERE text IS NOT NULL) GROUP BY 1",
+)
+def fileset_digest_by_source(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").filter("text is not null").select("source", F.concat(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.sha2("text", 256)).alias("d"))
+    return d.groupBy("source").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("fileset"))
+
+
+# ---- releases: item_id % 4 is the rule, item_id // 4 the release -------------------------
+
+_SIG = f"""{_shingles_sql('d', 'documents', 'doc_id')},
+{_shingles_sql('r', 'benchmark', 'item_id')},
+sig AS (SELECT DISTINCT (item_id % 4)::INT AS rule_id, (item_id // 4)::INT AS version_ix, h FROM r),
+rel AS (SELECT rule_id, count(DISTINCT version_ix) AS releases FROM sig GROUP BY 1),
+vote AS (SELECT rule_id, h FROM sig JOIN rel USING (rule_id) GROUP BY rule_id, h, releases HAVING count(DISTINCT version_ix) < releases OR releases = 1),
+size AS (SELECT rule_id, version_ix, count(*) AS size FROM sig JOIN vote USING (rule_id, h) GROUP BY 1, 2),
+voters AS (SELECT doc_id, rule_id, count(*) AS voters FROM d JOIN vote USING (h) GROUP BY 1, 2),
+ov AS (SELECT doc_id, rule_id, version_ix, count(*) AS overlap FROM d JOIN sig USING (h) JOIN vote USING (rule_id, h) GROUP BY 1, 2, 3),
+sc AS (SELECT doc_id, rule_id, version_ix, coalesce(overlap, 0) AS overlap, size, voters, coalesce(overlap, 0)::DOUBLE / (voters + size - coalesce(overlap, 0)) AS score
+  FROM voters JOIN size USING (rule_id) LEFT JOIN ov USING (doc_id, rule_id, version_ix))"""
+
+
+def _signature(spark, sf_dir):
+    items = _items(spark, sf_dir).select((F.col("item_id") % 4).cast("int").alias("rule_id"), F.floor(F.col("item_id") / 4).cast("int").alias("version_ix"), "text")
+    return presence.hash_table(items, ["rule_id", "version_ix"], "text", K).distinct()
+
+
+def _present(spark, sf_dir):
+    return presence.hash_table(_docs(spark, sf_dir), ["doc_id"], "text", K)
+
+
+@register("version_overlap_scores", f"WITH {_SIG} SELECT doc_id, rule_id, version_ix, overlap, size, voters, score FROM sc")
+def version_overlap_scores(spark, sf_dir):
+    return presence.release_scores(_present(spark, sf_dir), _signature(spark, sf_dir)).select("doc_id", "rule_id", "version_ix", "overlap", "size", "voters", "score")
+
+
+@register(
+    "version_range",
+    f"""WITH {_SIG},
+top AS (SELECT *, max(score) OVER (PARTITION BY doc_id, rule_id) AS top FROM sc),
+best AS (SELECT doc_id, rule_id, min(version_ix) AS best_ix, any_value(top) AS support FROM top WHERE score = top GROUP BY 1, 2),
+near AS (SELECT t.doc_id, t.rule_id, t.version_ix, b.best_ix, b.support FROM top t JOIN best b USING (doc_id, rule_id) WHERE score >= top * 0.95),
+against AS (SELECT n.doc_id, n.rule_id, n.version_ix FROM near n WHERE n.version_ix <> n.best_ix
+  AND (SELECT count(*) FROM sig b JOIN d ON d.h = b.h AND d.doc_id = n.doc_id WHERE b.rule_id = n.rule_id AND b.version_ix = n.best_ix AND NOT EXISTS (SELECT 1 FROM sig o WHERE o.rule_id = n.rule_id AND o.version_ix = n.version_ix AND o.h = b.h))
+    >= greatest(3, 0.5 * (SELECT count(*) FROM sig b WHERE b.rule_id = n.rule_id AND b.version_ix = n.best_ix AND NOT EXISTS (SELECT 1 FROM sig o WHERE o.rule_id = n.rule_id AND o.version_ix = n.version_ix AND o.h = b.h)))
+  AND NOT EXISTS (SELECT 1 FROM sig o JOIN d ON d.h = o.h AND d.doc_id = n.doc_id WHERE o.rule_id = n.rule_id AND o.version_ix = n.version_ix AND NOT EXISTS (SELECT 1 FROM sig b WHERE b.rule_id = n.rule_id AND b.version_ix = n.best_ix AND b.h = o.h)))
+SELECT doc_id, rule_id, best_ix, min(version_ix) AS low_ix, max(version_ix) AS high_ix, any_value(support) AS support
+FROM near ANTI JOIN against USING (doc_id, rule_id, version_ix) GROUP BY 1, 2, 3""",
+)
+def version_range(spark, sf_dir):
+    return presence.release_range(_present(spark, sf_dir), _signature(spark, sf_dir))
+
+
+@register(
+    "subset_cover",
+    f"""WITH {_SIG},
+n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY 1),
+held AS (SELECT doc_id, rule_id, count(*) AS held FROM d JOIN (SELECT DISTINCT rule_id, h FROM sig) USING (h) GROUP BY 1, 2),
+cov AS (SELECT doc_id, rule_id, version_ix, count(*) AS covered FROM d JOIN sig USING (h) GROUP BY 1, 2, 3)
+SELECT doc_id, rule_id, held, n, min(version_ix) AS low_ix, max(version_ix) AS high_ix FROM held JOIN n USING (doc_id) JOIN cov USING (doc_id, rule_id)
+WHERE held >= 5 AND held >= 0.02 * n AND covered = held GROUP BY 1, 2, 3, 4""",
+)
+def subset_cover(spark, sf_dir):
+    return presence.subset_cover(_present(spark, sf_dir), _signature(spark, sf_dir), least=5, share=0.02)
+
+
+# ---- owners: the source of a document -----------------------------------------------------
+
+_OWNED = f"{_shingles_sql('d', 'documents', 'source, lang')}, o AS (SELECT DISTINCT source, h FROM d)"
+
+
+def _owned(spark, sf_dir, owner):
+    return presence.hash_table(table(spark, sf_dir, "documents").select(owner, "text"), [owner], "text", K).distinct()
+
+
+@register("segmented_hashes", f"WITH {_OWNED} SELECT owners, count(*) AS hashes, sum(h % 1000)::BIGINT AS checksum FROM (SELECT h, count(DISTINCT source) AS owners FROM o GROUP BY 1) GROUP BY 1")
+def segmented_hashes(spark, sf_dir):
+    return presence.owners(_owned(spark, sf_dir, "source"), "source").groupBy("owners").agg(F.count("*").alias("hashes"), F.sum(F.col("h") % 1000).alias("checksum"))
+
+
+@register(
+    "bundle_pairs",
+    f"""WITH {_OWNED}, size AS (SELECT source, count(*) AS n FROM o GROUP BY 1),
+held AS (SELECT source, h FROM o WHERE h IN (SELECT h FROM o GROUP BY 1 HAVING count(*) BETWEEN 2 AND 16))
+SELECT a.source AS host, b.source AS part, count(*) AS shared, any_value(y.n) AS part_size, any_value(x.n) AS host_size
+FROM held a JOIN held b ON a.h = b.h AND a.source <> b.source JOIN size x ON x.source = a.source JOIN size y ON y.source = b.source
+GROUP BY 1, 2 HAVING count(*) >= 5 AND count(*) >= 0.001 * any_value(y.n) AND count(*) <= 0.9 * any_value(x.n)""",
+)
+def bundle_pairs(spark, sf_dir):
+    return presence.bundles(_owned(spark, sf_dir, "source"), "source", least=5, of_part=0.001, of_host=0.9)

@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    return None
+    from tessera.plans import components, corpus, platform, sourcing  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable]:
