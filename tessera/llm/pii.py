@@ -49,7 +49,7 @@ _NAME = rf"(?:{'|'.join(map(re.escape, sorted({*MALE_TITLES, *FEMALE_TITLES, *TI
 _GIVEN = rf"(?:{'|'.join(sorted({n for x in GIVEN.values() for n in x}, key=len, reverse=True))})[  ]{_WORD}"
 NAMES = re.compile(rf"(?<!\w)(?:{_NAME}|{_GIVEN})(?!\w)")
 _HINTS = re.compile("|".join(rf"{re.escape(t)}\b" for t in sorted({*MALE_TITLES, *FEMALE_TITLES, *TITLES, *(n for x in GIVEN.values() for n in x)})))
-EMAIL = r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
+EMAIL = r"(?P<email>\w(?:[\w.%+\-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
 NUMBERS = re.compile(
     r"(?<![\w@])(?:"
     r"(?P<secret>(?i:(?:api[_-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*[\"'][^\"'\s]{6,}[\"']))"
@@ -163,8 +163,8 @@ class Surrogates:
 
     def _phone(self, s: str, t: bytes) -> str:
         d = "".join(c for c in s if c.isdigit())
-        code = len(d) - 10 if len(d) > 10 else (len(re.match(r"\+(\d{1,3})", s)[1]) if s[0] == "+" and len(d) > 7 else 0)
-        code = min(code, 3)
+        country = re.match(r"\+(\d{1,3})(?=[ .\-(])", s)
+        code = len(country[1]) if country else min(3, max(0, len(d) - 10))
         body = d[code:]
         return _refill(s, str(self.keyed.permute(int(body), 10 ** len(body), t + b"%d" % len(body))).zfill(len(body)), code)
 
@@ -203,7 +203,7 @@ class Surrogates:
         head = words[0].rstrip(".")
         out, gender = [], "m" if head in MALE_TITLES else "f" if head in FEMALE_TITLES else None
         for k, w in enumerate(words):
-            if k % 2 or (k == 0 and head in {*MALE_TITLES, *FEMALE_TITLES, *TITLES}):
+            if k % 2 or w.rstrip(".") in {*MALE_TITLES, *FEMALE_TITLES, *TITLES}:
                 out.append(w)
                 continue
             known = next((v for v in GIVEN.items() if w in v[1] and gender in (None, v[0][0])), None)
@@ -225,14 +225,16 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     if _DIGIT.search(text) or _SECRET.search(text):
         found += [(m.start(), m.end(), m.lastgroup) for m in NUMBERS.finditer(text)]
     if _HINTS.search(text):
-        for m in NAMES.finditer(text):
-            # a name goes as far as its words are capitalised
+        at = 0
+        while m := NAMES.search(text, at):
+            # a name goes as far as its words are capitalised; the search goes on from there
             end, upper = m.start(), 0
             for k, w in enumerate(re.finditer(r"[^  ]+", m[0])):
                 if k and not w[0][0].isupper():
                     break
                 upper += 1
                 end = m.start() + w.end()
+            at = max(end, m.start() + 1)
             if upper > 1:
                 found.append((m.start(), end, "name"))
     found.sort(key=lambda x: (x[0], -x[1]))
@@ -245,7 +247,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 
 _DIGIT = re.compile(r"\d")
-_SECRET = re.compile(r"(?i)(?:key|token|secret|passw|pwd)\S*\s*[=:]")
+_SECRET = re.compile(r"(?i:(?:key|token|secret|passw|pwd)\S*\s*[=:])|AKIA|ASIA|gh[pousr]_|sk-")
 
 
 def normal(kind: str, s: str) -> str:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat
+from tessera.llm.chat import op6_chat
 from tessera.llm.cover_dedup import op8_cover_dedup
 from tessera.llm.embedding_join import op4_embedding_join
 from tessera.llm.merge_dropout import op10_merge_dropout
 from tessera.llm.ngram_join import op5_ngram_join
+from tessera.llm.oracles import ORACLE_SQL
 from tessera.llm.outliers import op7_outliers
 from tessera.llm.packing import op3_packing
 from tessera.llm.pii import op9_pii
@@ -19,12 +20,10 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_embedding_join": op4_embedding_join,
     "op5_ngram_join": op5_ngram_join,
-    "op6_chat": chat.op6_chat,
+    "op6_chat": op6_chat,
     "op7_outliers": op7_outliers,
     "op8_cover_dedup": op8_cover_dedup,
     "op9_pii": op9_pii,
     "op10_merge_dropout": op10_merge_dropout,
 }
-ORACLE_SQL = {
-    "op6_chat": chat.ORACLE_SQL,
-}
+__all__ = ["ORACLE_SQL", "QUERIES"]
