@@ -58,3 +58,43 @@ def upsert(old: DataFrame, new: DataFrame, key: str, stamp: str) -> DataFrame:
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     fields = [c for c in both.columns if c not in (key, "_new")]
     return both.groupBy(key).agg(F.max_by(F.struct(*fields), F.struct(stamp, "_new")).alias("x")).select(key, "x.*")
+
+
+def cn_enriched(matches: DataFrame, entries: DataFrame) -> DataFrame:
+    """Matches with the Chinese entry of their CVE, and whether its severity says otherwise.
+
+    ``matches(vuln_key, severity, ...)``, ``entries(cn_id, cve, severity_cn)`` with severities in one vocabulary.
+    """
+    first = entries.filter("cve is not null").groupBy(F.col("cve").alias("vuln_key")).agg(F.min_by(F.struct("cn_id", "severity_cn"), "cn_id").alias("cn"))
+    joined = matches.join(first, "vuln_key", "left")
+    return joined.withColumn("cn_id", F.col("cn.cn_id")).withColumn("severity_disagrees", F.col("cn.severity_cn") != F.col("severity")).drop("cn")
+
+
+def cn_candidates(components: DataFrame, entries: DataFrame, least: int = 3) -> DataFrame:
+    """``component, cn_id``: entries without a CVE that name a component as a word; for a person to look at.
+
+    An equi-join on words: each title is split once, so there is no cross join of titles and names.
+    """
+    words = entries.filter("cve is null").select("cn_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9][a-z0-9_.+-]*"), F.lit(0)))).alias("word"))
+    named = components.select("component", F.lower("component").alias("word")).filter(F.length("word") >= least)
+    return named.join(words, "word").select("component", "cn_id").distinct()
+
+
+def cpe_evidence(references: DataFrame, components: DataFrame) -> DataFrame:
+    """``component, cpe, strength, n``: CPE names whose advisories cite a component's repository (strong) or whose product is its name (weak).
+
+    ``references(cpe, url)``, ``components(component, repository)``.
+    """
+    key = lambda c: F.lower(F.regexp_extract(c, r"^[a-z+]+://(?:www\.)?([^/?#]+/[^/?#]+/[^/?#]+?)(?:\.git)?(?:[/?#].*)?$", 1))
+    cited = references.select("cpe", key(F.col("url")).alias("repo")).filter("repo <> ''").join(components.select("component", key(F.col("repository")).alias("repo")).filter("repo <> ''"), "repo")
+    strong = cited.groupBy("component", "cpe").agg(F.count("*").alias("n")).withColumn("strength", F.lit("strong"))
+    product = F.lower(F.try_element_at(F.split("cpe", r"(?<!\\):"), F.lit(5)))
+    weak = references.select("cpe").distinct().withColumn("name", product).join(components.select("component", F.lower("component").alias("name")), "name").select("component", "cpe", F.lit(1).cast("long").alias("n"), F.lit("weak").alias("strength"))
+    return strong.unionByName(weak.join(strong, ["component", "cpe"], "left_anti"))
+
+
+def capabilities(components: DataFrame, table: DataFrame) -> DataFrame:
+    """Library capabilities whose release span has the component's version: ``component, capability, verdict`` (null: cannot tell)."""
+    none = F.lit(None).cast("string")
+    joined = components.join(table, "rule_id")
+    return joined.select("component", "capability", F.when(F.col("since").isNull() & F.col("until").isNull(), F.lit(True)).otherwise(in_range(F.col("version"), F.col("since"), none, F.col("until"), none)).alias("verdict"))

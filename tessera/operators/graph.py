@@ -49,3 +49,25 @@ def groups(links: DataFrame, rounds: int = 50) -> DataFrame:
         if step.filter("moved").isEmpty():
             break
     return label
+
+
+def call_edges(functions: DataFrame) -> DataFrame:
+    """``src, dst, directory`` from ``functions(directory, name, calls array)``: a call goes to the definition of its directory, else to any."""
+    defined = functions.select("directory", "name").distinct()
+    calls = functions.select("directory", F.col("name").alias("src"), F.explode("calls").alias("dst"))
+    near = calls.join(defined.withColumnRenamed("name", "dst"), ["directory", "dst"], "left_semi")
+    far = calls.join(near, ["directory", "src", "dst"], "left_anti").join(defined.select(F.col("name").alias("dst")).distinct(), "dst", "left_semi")
+    return near.select("src", "dst", "directory").unionByName(far.select("src", "dst", "directory")).distinct()
+
+
+def reach_verdict(symbols: DataFrame, defined: DataFrame, reached: DataFrame, discarded: DataFrame) -> DataFrame:
+    """``symbol, verdict``: reachable, discarded by the linker, unreachable, or absent from the sources."""
+    flag = lambda t, n: t.select("symbol").distinct().withColumn(n, F.lit(True))
+    j = symbols.join(flag(defined, "d"), "symbol", "left").join(flag(reached, "r"), "symbol", "left").join(flag(discarded, "x"), "symbol", "left")
+    return j.select("symbol", F.when(F.col("x"), "discarded").when(F.col("r"), "reachable").when(F.col("d"), "unreachable").otherwise("absent").alias("verdict"))
+
+
+def prose_symbols(text):
+    """Function names that advisory prose gives: before ``()``, after "function", before "function", in backticks; distinct, in order."""
+    patterns = (r"\b([A-Za-z_]\w{2,})\(\)", r"(?i)\bfunctions?\s+`?([A-Za-z_]\w{2,})`?", r"(?i)`?\b([A-Za-z_]\w*_\w+)`?\s+function\b", r"`([A-Za-z_]\w*_\w+)`")
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in patterns]))

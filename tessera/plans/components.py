@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import identity, licences, severity, versions
-from tessera.operators import advisories, graph, inventory, paths, resolve
+from tessera.functions import identity, licences, packages, severity, versions
+from tessera.operators import advisories, compose, graph, inventory, paths, resolve
 from tessera.plans.registry import register
 from tessera.session import table
 
@@ -448,3 +448,55 @@ array_to_string(list_filter([CASE WHEN regexp_matches(text, 'Licensed under') TH
 def unknown_signals(spark, sf_dir):
     weights = {"licence": (2.0, F.col("text").rlike("Licensed under")), "secret": (1.5, F.col("text").rlike("[0-9a-f]{40}")), "long": (1.0, F.col("n_chars") > 2000), "foreign": (0.5, F.col("lang") != "en")}
     return inventory.signals(table(spark, sf_dir, "documents"), "doc_id", weights, 3.0)
+
+
+_packages, _packages_sql = values(
+    [(1, "dpkg", "1:1.0-1", "2.0-1", 1), (2, "dpkg", "1.0~rc1-1", "1.0-1", -1), (3, "dpkg", "1.0-1ubuntu1", "1.0-1", 1), (4, "dpkg", "1.10", "1.9", 1), (5, "dpkg", "1.0a", "1.0+", -1), (6, "dpkg", "1.0", "1.0-0", 0), (7, "dpkg", "", "1", None),
+     (8, "apk", "1.2.3-r4", "1.2.3-r10", -1), (9, "apk", "1.2_rc1", "1.2", -1), (10, "apk", "1.2_p1", "1.2", 1), (11, "apk", "1.2b", "1.2a", 1), (12, "apk", "1.2.0", "1.2", 1), (13, "apk", "main", "1", None)],
+    "id int, kind string, a string, b string, expected int",
+)
+
+
+@register("package_order", f'SELECT id, expected AS "order" FROM {_packages_sql}')
+def package_order(spark, sf_dir):
+    t = _packages(spark)
+    part = lambda kind: t.filter(F.col("kind") == kind).select("id", packages.compared(F.col("a"), F.col("b"), kind).alias("order"))
+    return part("dpkg").unionByName(part("apk"))
+
+
+@register(
+    "minimum_elements",
+    """WITH c AS (SELECT count(*) AS total, count_if(p_name <> '') AS name, count_if(p_size > 25) AS version, count_if(p_partkey % 3 = 0) AS identifier, count_if(p_brand <> 'none') AS supplier, count_if(p_partkey % 5 = 0) AS hash, 0 AS license FROM part)
+SELECT standard, element, passed, total, passed::DOUBLE / total AS share FROM (SELECT total, unnest(['ntia-2021', 'ntia-2021', 'ntia-2021', 'ntia-2021', 'cisa-2026', 'cisa-2026', 'cisa-2026', 'cisa-2026', 'cisa-2026', 'cisa-2026']) AS standard,
+unnest(['name', 'version', 'identifier', 'supplier', 'name', 'version', 'identifier', 'supplier', 'hash', 'license']) AS element, unnest([name, version, identifier, supplier, name, version, identifier, supplier, hash, license]) AS passed FROM c)""",
+)
+def minimum_elements(spark, sf_dir):
+    key = F.col("p_partkey")
+    t = table(spark, sf_dir, "part").select(
+        F.col("p_name").alias("name"), F.when(F.col("p_size") > 25, F.col("p_size").cast("string")).otherwise("NOASSERTION").alias("version"), F.col("p_brand").alias("supplier"), F.when(key % 3 == 0, F.concat(F.lit("pkg:part/"), key.cast("string"))).alias("purl"),
+        F.lit("n/a").alias("cpe"), F.when(key % 5 == 0, F.array(F.lit("h"))).alias("hashes"), F.array().cast("array<string>").alias("licenses"),
+    )
+    return compose.minimum_elements(t)
+
+
+@register(
+    "declared_on_found",
+    """WITH f AS (SELECT c_nationkey AS directory, 'n' || min(c_custkey) AS name, CASE WHEN c_nationkey % 2 = 0 THEN '1.0' END AS version, 0.6 AS identity FROM customer WHERE c_nationkey < 20 GROUP BY c_nationkey),
+d AS (SELECT c_nationkey AS directory, CASE WHEN c_nationkey % 5 = 0 THEN 'other' ELSE 'N' || min(c_custkey) END AS name, CASE WHEN c_nationkey % 3 = 0 THEN '2.0' ELSE '1.0' END AS version FROM customer WHERE c_nationkey > 4 GROUP BY c_nationkey),
+j AS (SELECT coalesce(f.directory, d.directory) AS directory, f.name AS fn, d.name AS dn, f.version AS fv, d.version AS dv, identity, CASE WHEN f.name IS NULL THEN 'declared' WHEN d.name IS NULL THEN 'found' WHEN lower(f.name) <> lower(d.name) THEN 'disputed'
+  WHEN f.version IS NULL THEN 'completed' WHEN d.version IS NULL OR f.version = d.version THEN 'confirmed' ELSE 'disagrees' END AS outcome FROM f FULL JOIN d ON f.directory = d.directory)
+SELECT directory, coalesce(fn, dn) AS name, CASE WHEN outcome IN ('declared', 'completed') THEN dv ELSE fv END AS version, (CASE WHEN outcome IN ('declared', 'confirmed', 'completed') THEN 0.9 ELSE identity END)::DOUBLE AS identity, outcome FROM j""",
+)
+def declared_on_found(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("directory")).agg(F.min("c_custkey").cast("string").alias("k"))
+    even = F.when(F.col("directory") % 2 == 0, "1.0")
+    found = c.filter("directory < 20").select("directory", F.concat(F.lit("n"), "k").alias("name"), even.alias("version"), F.lit(0.6).alias("identity"))
+    declared = c.filter("directory > 4").select("directory", F.when(F.col("directory") % 5 == 0, "other").otherwise(F.concat(F.lit("N"), "k")).alias("name"), F.when(F.col("directory") % 3 == 0, "2.0").otherwise("1.0").alias("version"))
+    return compose.with_declarations(found, declared)
+
+
+@register("loose_assignment")
+def loose_assignment(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 97).alias("d"), "l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("held"))
+    claims = items.select(F.col("d").cast("string").alias("directory"), F.col("l_partkey").cast("string").alias("path"), F.col("l_suppkey").cast("string").alias("owner"), "held", (F.col("held") + F.col("l_partkey") % 9).alias("own"), (F.col("l_partkey") % 50 == F.col("l_suppkey") % 50).alias("named"))
+    return compose.loose_groups(claims)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import crypto
 from tessera.plans.registry import register
 from tessera.session import table
 from tessera.sources import build, csource, declared
@@ -52,3 +53,11 @@ def link_map_members(spark, sf_dir):
 @register("declared_components")
 def declared_components(spark, sf_dir):
     return declared.declarations(_files(spark, sf_dir, _LOCK, "Cargo.lock"))
+
+
+_CRYPTO = "void f(void) { mbedtls_aes_init(&a); wc_Sha256Update(&s); EVP_md5(); RSA_new(); mlkem_keypair(); } int n = {n};"
+
+
+@register("crypto_inventory", "SELECT family, class, count(*) AS files, count(*) AS hits FROM nation, (VALUES ('AES', 'symmetric'), ('SHA-256', 'symmetric'), ('MD5', 'broken'), ('RSA', 'vulnerable')) v(family, class) GROUP BY 1, 2")
+def crypto_inventory(spark, sf_dir):
+    return crypto.inventory(_files(spark, sf_dir, _CRYPTO, "c.c")).select("family", "class", "files", "hits")

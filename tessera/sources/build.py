@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def whole_files(spark: SparkSession, path: str, most: int = 16 << 20) -> DataFrame:
     """``path, text`` of regular files up to ``most`` bytes, without version-control and cache folders."""
     b = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return b.filter((F.col("length") <= most) & ~F.col("path").rlike(r"/(\.git|\.svn|\.hg|__pycache__|node_modules)/")).select("path", F.decode("content", F.lit("ISO-8859-1")).alias("text"), F.col("content"))
+    return b.filter((F.col("length") <= most) & ~F.col("path").rlike(r"/(\.git|\.svn|\.hg|__pycache__|node_modules)/")).select("path", F.decode("content", "ISO-8859-1").alias("text"), F.col("content"))
 
 
 def per_file(files: DataFrame, parse: Callable[..., list[dict]], schema: str, with_path: bool = False) -> DataFrame:
@@ -35,6 +35,90 @@ LINK_MEMBERS = "archive string, member string, kept boolean"
 
 
 def link_map(text: str) -> list[dict]:
+    """Objects of a link map, whichever linker wrote it."""
+    head = text[:4000]
+    if "IAR ELF Linker" in head or "*** MODULE SUMMARY" in text:
+        return iar_map(text)
+    if "Image component sizes" in text or "Component: ARM Compiler" in head or "Arm Compiler" in head:
+        return arm_map(text)
+    if re.search(r"TMS320|TI ARM Linker|TI Linker|TI-\w+ Linker|MODULE SUMMARY", text):
+        return ti_map(text)
+    return gnu_map(text)
+
+
+def _rows(kept: set[tuple[str | None, str]], gone: set[tuple[str | None, str]] = frozenset()) -> list[dict]:
+    rows = [{"archive": a, "member": o, "kept": True} for a, o in kept] + [{"archive": a, "member": o, "kept": False} for a, o in gone - kept]
+    return sorted(rows, key=lambda r: (r["archive"] or "", r["member"]))
+
+
+def iar_map(text: str) -> list[dict]:
+    """The module summary of an IAR map: objects under a folder or an archive with their sizes; none of a size means not linked."""
+    kept, gone, archive, inside = set(), set(), None, False
+    for line in text.splitlines():
+        if "*** MODULE SUMMARY" in line:
+            inside = True
+        elif inside and line.startswith("***") and "MODULE SUMMARY" not in line and line.strip("* "):
+            break
+        elif inside and (m := re.match(r"(\S.*?): \[\d+\]\s*$", line)):
+            archive = m[1].replace("\\", "/").rsplit("/", 1)[-1] if m[1].endswith((".a", ".lib")) else None
+        elif inside and (m := re.match(r"\s+(\S+\.o)\b\s*(.*)$", line)):
+            (kept if re.search(r"[1-9]", m[2]) else gone).add((archive, m[1]))
+    return _rows(kept, gone)
+
+
+def arm_map(text: str) -> list[dict]:
+    """The component sizes and removed sections of an Arm map."""
+    kept, gone, archive = set(), set(), False
+    for m in re.finditer(r"(?m)^\s+Removing (\S+?)\(", text):
+        gone.add((None, m[1]))
+    part = text.split("Image component sizes", 1)[-1]
+    for line in part.splitlines():
+        if "Library Member Name" in line:
+            archive = True
+        elif "Library Name" in line and "Member" not in line:
+            break
+        elif m := re.match(r"\s+((?:\d+\s+){5,6})\d*\s*(\S+\.o)(?:\s+(\S+))?\s*$", line):
+            kept.add((m[3] if archive else None, m[2]))
+    return _rows(kept, gone)
+
+
+def ti_map(text: str) -> list[dict]:
+    """The module summary of a TI map: objects under their library, with sizes."""
+    kept, archive, inside = set(), None, False
+    for line in text.splitlines():
+        if line.startswith("MODULE SUMMARY"):
+            inside = True
+        elif inside and line.startswith(("LINKER GENERATED", "GLOBAL SYMBOLS", "SEGMENT")):
+            break
+        elif inside and (m := re.match(r"\s{0,8}(\S+\.(?:lib|a))\s*$", line)):
+            archive = m[1].replace("\\", "/").rsplit("/", 1)[-1]
+        elif inside and (m := re.match(r"\s+(\S+\.(?:o|obj))\s+\d+", line)):
+            kept.add((archive, m[1].rsplit("/", 1)[-1]))
+        elif inside and re.match(r"\s+\./|\s+\+--\+-|\s+Total:", line):
+            archive = None if re.match(r"\s+\./", line) else archive
+    return _rows(kept)
+
+
+def function_sections(text: str) -> list[dict]:
+    """Per-function sections of a GNU map: ``function, object, kept``."""
+    out: dict[tuple[str, str], bool] = {}
+    discarded = False
+    joined = re.sub(r"(?m)^( \.text\.\S+)\n\s+", r"\1 ", text)
+    for line in joined.splitlines():
+        if line.startswith("Discarded input sections"):
+            discarded = True
+        elif line.startswith(("Linker script and memory map", "Memory Configuration")):
+            discarded = False
+        elif m := re.match(r" \.text\.(?:hot\.|unlikely\.|startup\.)?([A-Za-z_]\w*)\S*\s+0x[0-9a-f]+\s+0x([0-9a-f]+)\s+(\S+)", line):
+            key = (m[1], m[3])
+            out[key] = out.get(key, False) or (not discarded and int(m[2], 16) > 0)
+    return [{"function": f, "object": o, "kept": k} for (f, o), k in sorted(out.items())]
+
+
+FUNCTION_SECTIONS = "function string, object string, kept boolean"
+
+
+def gnu_map(text: str) -> list[dict]:
     """Objects of a GNU or LLVM link map: those kept, and those of which every section was discarded."""
     kept: set[tuple[str | None, str]] = set()
     gone: set[tuple[str | None, str]] = set()
@@ -55,8 +139,7 @@ def link_map(text: str) -> list[dict]:
             gone.add(item)
         elif not size or int(size[1], 16):
             kept.add(item)
-    rows = [{"archive": a, "member": o, "kept": True} for a, o in kept] + [{"archive": a, "member": o, "kept": False} for a, o in gone - kept]
-    return sorted(rows, key=lambda r: (r["archive"] or "", r["member"]))
+    return _rows(kept, gone)
 
 
 def kconfig(text: str) -> list[dict]:

@@ -77,7 +77,7 @@ def meson_wrap(text: str) -> list[dict]:
 
 
 def cmake_lists(text: str) -> list[dict]:
-    text = re.sub(r"#[^\n]*", "", text)
+    text = re.sub(r"(\"[^\"\n]*\")|#[^\n]*", lambda m: m[1] or "", text)  # comments, but not inside quotes
     out = []
     for m in re.finditer(r"(?i)\b(FetchContent_Declare|ExternalProject_Add|CPMAddPackage)\s*\(([^()]*)\)", text):
         words = re.findall(r'"[^"]*"|\S+', m[2])
