@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.ngram_join import ngram_join
+from tessera.llm.ngram_join import ngram_dedup
 from tessera.llm.packing import pack, tokenizer_path
 from tessera.llm.pii import KEY, surrogate_pii
 from tessera.llm.quality import CUT, fit, score
@@ -26,10 +26,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; rows that repeat an id stay together."""
-    found = saved(ngram_join(docs))
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("not stays").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = ngram_dedup(docs, carry=others)
+    values = {c: F.col(f"carry.`{c}`") for c in others} | {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    return out.select(*[values[c].alias(c) for c in docs.columns])
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ of their own; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import partial
 
 import numpy as np
@@ -89,8 +90,8 @@ def send_prefixes(docs: pa.Table, known: pa.Table, copies: Copies, n: int, grams
     return send_values(s.slot, np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64), n)
 
 
-def candidates(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, grams: int, percent: int) -> pa.Table:
-    """Every document with its class; the sets of those that may have a partner, and the columns that hold it."""
+def candidates(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, grams: int, percent: int, whole: bool = False) -> pa.Table:
+    """Every document with its class, and the sets of those that may have a partner; with ``whole`` also what stays of it."""
     s = Slot(docs)
     stands, _, least = copies.known(s, only(answers, 0))
     sets = slot_sets(s, np.ones(s.rows, bool), grams)
@@ -103,22 +104,26 @@ def candidates(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, grams:
         value, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
         shared = (count > 1) | within(short_keys(value, n), got_values(only(answers, 1)))
         hits = np.add.reduceat(shared[inverse].astype(np.int64), np.cumsum(size) - size)
-        whole = np.array([len(sets[k]) for k in known])
-        smallest = -(-whole * percent // 100)  # the size of the smallest partner
+        large = np.array([len(sets[k]) for k in known])
+        smallest = -(-large * percent // 100)  # the size of the smallest partner
         for k, ok in zip(known, hits >= depth(smallest, percent), strict=True):
             if ok:
                 body[k] = sets[k].tobytes()
     empty = [not len(x) for x in sets]
     null = s.ids == NO_ID
-    return pa.table(
-        {
-            "slot": pa.array([s.slot] * s.rows, pa.int32()),
-            "doc_id": s.table.column("doc_id"),
-            "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
-            "stands_in": pa.array(np.where(empty, s.ids, least), pa.int64(), mask=null),
-            "items": pa.array(body, pa.binary()),
-        }
-    )
+    out = {
+        "slot": pa.array([s.slot] * s.rows, pa.int32()),
+        "doc_id": s.table.column("doc_id"),
+        "n_shingles": pa.array([len(x) for x in sets], pa.int64()),
+        "stands_in": pa.array(np.where(empty, s.ids, least), pa.int64(), mask=null),
+        "items": pa.array(body, pa.binary()),
+    }
+    if whole:
+        out["text"] = s.table.column("text")
+        if "carry" in s.table.column_names:
+            out["carry"] = s.table.column("carry")
+        return pa.table(out).filter(pa.array(stands | np.array(empty, bool) | null))
+    return pa.table(out)
 
 
 _COUNT = np.dtype([("low", "<u4"), ("n", "<u4")])
@@ -252,21 +257,41 @@ def cross(table: pa.Table, percent: int) -> pa.Table:
     return _stars(list(pair.values()))
 
 
-def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` (the smallest id reachable by links, itself included)."""
+def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block: int, carry: Iterable[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``candidates`` and ``stands_in, component`` of those that are linked."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    table, slots = slotted(docs, id_col, text_col)
+    table, slots = slotted(docs, id_col, text_col, carry or ())
     copies = Copies(folded_words, slots)
     how = {"copies": copies, "n": slots, "grams": n, "percent": percent}
     known = copies.flags(table)
     columns = each(ask(table, known, partial(send_prefixes, **how), ROWS), "bucket", shared_values, BACK)
-    every = saved(ask(table, together(known, columns), partial(candidates, **how), "slot int, doc_id long, n_shingles long, stands_in long, items binary"))
+    schema = "slot int, doc_id long, n_shingles long, stands_in long, items binary"
+    if carry is not None:
+        schema += ", text string" + (f", carry {table.schema['carry'].dataType.simpleString()}" if "carry" in table.columns else "")
+    every = saved(ask(table, together(known, columns), partial(candidates, **how, whole=carry is not None), schema))
     links = cluster_links(every.filter("items is not null").select("slot", "doc_id", "items"), slots, percent, block)
-    found = components(links).select(F.col("node").alias("stands_in"), F.col("component"))
+    return every, components(links).select(F.col("node").alias("stands_in"), F.col("component"))
+
+
+def ngram_join(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` (the smallest id reachable by links, itself included)."""
+    every, found = _components(docs, n, percent, id_col, text_col, block, None)
     return every.select("doc_id", "n_shingles", "stands_in").join(found, "stands_in", "left").select("doc_id", "n_shingles", F.coalesce("component", "stands_in").alias("component_id"))
 
 
+def ngram_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, carry: Iterable[str] = ()) -> DataFrame:
+    """``doc_id, text[, carry]`` of one document of each group, the one with the smallest id; a null text is returned empty.
+
+    Documents without a possible partner are settled while their text is at hand; only the others' texts
+    are joined with the components.
+    """
+    every, found = _components(docs, n, percent, id_col, text_col, block, list(carry))
+    columns = [c for c in every.columns if c in ("doc_id", "text", "carry")]
+    rest = every.filter("items is not null").join(found, "stands_in", "left").filter("component is null or component = doc_id")
+    return every.filter("items is null").select(columns).unionByName(rest.select(columns))
+
+
 def cluster_links(sets: DataFrame, slots: int, percent: int, block: int) -> DataFrame:
     """``(a, b)``: links that join the same documents as all links do."""
     spark = sets.sparkSession

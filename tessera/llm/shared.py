@@ -14,9 +14,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
+def _own(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what ``saved`` has written in this application, once no result that rests on it is wanted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there, whoever is lost later."""
-    path = f"{shared_dir(df.sparkSession)}/tessera-{uuid.uuid4().hex}"
+    path = f"{_own(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

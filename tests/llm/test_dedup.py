@@ -3,7 +3,7 @@ import random
 from collections import Counter
 
 from tessera.llm.cover_dedup import COVER, PERIOD, cover_dedup, covers
-from tessera.llm.ngram_join import ngram_join
+from tessera.llm.ngram_join import ngram_dedup, ngram_join
 from tessera.llm.suffix_dedup import suffix_dedup
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -126,3 +126,14 @@ def test_ngram_join_odd_rows(docs):
     got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in ngram_join(rows).collect() if r.doc_id)
     assert got == [(1, 2, 1), (3, 2, 1), (7, 0, 7), (8, 0, 8)]
     assert ngram_join(docs([]).limit(0)).count() == 0
+
+
+def test_ngram_dedup_keeps_one_of_each_group(docs):
+    rows = corpus(7, 90)
+    want = {i for i, (_, c) in brute_groups(rows).items() if c == i}
+    got = [(r.doc_id, r.text, r.carry.slot) for r in ngram_dedup(docs([(i, t, i) for i, t in rows], ", slot long"), carry=["slot"]).collect()]
+    assert {i for i, _, _ in got} == want and len(got) == len(want)
+    texts = dict(rows)
+    assert all(t == (texts[i] or "") and s == i for i, t, s in got)
+    again = ngram_dedup(docs([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "")])).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in again) == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "")]
