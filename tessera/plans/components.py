@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions import identity, licences, packages, severity, versions
+from tessera.functions import identity, licences, packages, provenance, severity, versions
 from tessera.operators import advisories, compose, graph, inventory, paths, resolve
 from tessera.plans.registry import register
 from tessera.session import table
@@ -500,3 +500,23 @@ def loose_assignment(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 97).alias("d"), "l_partkey", "l_suppkey").agg(F.sum("l_quantity").cast("long").alias("held"))
     claims = items.select(F.col("d").cast("string").alias("directory"), F.col("l_partkey").cast("string").alias("path"), F.col("l_suppkey").cast("string").alias("owner"), "held", (F.col("held") + F.col("l_partkey") % 9).alias("own"), (F.col("l_partkey") % 50 == F.col("l_suppkey") % 50).alias("named"))
     return compose.loose_groups(claims)
+
+
+_heads, _heads_sql = values(
+    [(1, "/* Copyright (c) 2010-2020 The Acme Widgets Inc. All rights reserved */", "acme widgets"), (2, "// Copyright notice\n// Copyright 2019, Jane Roe <jane@x.org>", "jane roe"), (3, "// SPDX-License-Identifier: MIT OR ISC", "license:mit"),
+     (4, "Licensed under the Apache License, Version 2.0", "license:apache-2.0"), (5, "nothing here", None), (6, None, None), (7, "Copyright 2001-2003 by the authors", None)],
+    "id int, head string, holder string",
+)
+
+
+@register("copyright_holders", f"SELECT id, holder FROM {_heads_sql}")
+def copyright_holders(spark, sf_dir):
+    return _heads(spark).select("id", provenance.holder(F.col("head")).alias("holder"))
+
+
+_names, _names_sql = values([(1, "lfs_mount", "lfs"), (2, "prvTaskFoo", "prv"), (3, "__main_loop", None), (4, "x_y", None), (5, "plain", None), (6, "SEGGER_RTT_Init", "segger")], "id int, name string, prefix string")
+
+
+@register("name_prefixes", f"SELECT id, prefix FROM {_names_sql}")
+def name_prefixes(spark, sf_dir):
+    return _names(spark).select("id", provenance.name_prefix(F.col("name")).alias("prefix"))

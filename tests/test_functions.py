@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import identity, licences, severity, text, versions
+from tessera.functions import identity, licences, provenance, severity, text, versions
 
 
 def one(spark, *columns):
@@ -74,3 +74,8 @@ def test_licences_and_severity(spark):
     assert one(spark, licences.spdx_headers(F.lit("/* SPDX-License-Identifier: MIT OR ISC */\n// SPDX-License-Identifier: 0BSD\n"))) == (["MIT OR ISC", "0BSD"],)
     assert one(spark, licences.text_licence(F.lit("Redistribution and use in source and binary forms\n * neither the name"))) == ("BSD-3-Clause",)
     assert one(spark, severity.method(F.lit("CVSS:4.0/AV:N")), severity.base_score(F.lit("CVSS:3.1/AV:N/AC:L"))) == ("CVSSv4", None)
+
+
+def test_version_macros(spark):
+    text_ = '#define LFS_VERSION "2.4.1"\n#define CJSON_VERSION_STRING 1.7\n#define X 3\n'
+    assert one(spark, provenance.version_macros(F.lit(text_))) == (["lfs=2.4.1", "cjson=1.7"],)
