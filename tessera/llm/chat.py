@@ -14,7 +14,7 @@ a turn; the role is URL-encoded.  The loss mask is a list of byte spans over the
 string, the texts of the trained role.
 
 Defined cases: a null text or role is empty; a message whose parent is null or
-missing is a root; messages on a cycle have no root and are left out; rows that repeat a node
+missing is a root; messages on a cycle have no root and are left out, as are those of a null tree; rows that repeat a node
 id are one message (the one first in the order of role and text); branches with equal
 scores are ranked by depth (longer first), then leaf id; null scores count as zero; other columns are ignored.
 """

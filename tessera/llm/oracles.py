@@ -8,8 +8,9 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 SUFFIX = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(1, (len(x) // 2)::BIGINT + 1)) AS pos FROM d),
-w AS (SELECT doc_id, pos, substr(x, 2 * pos - 1, 2) AS byte, CASE WHEN 2 * pos + 98 <= len(x) THEN md5_number(substr(x, 2 * pos - 1, 100)) END AS win FROM p),
+k AS (SELECT doc_id, len(x) AS m, b, substr(x, 2 * b + 1, 1098) AS y FROM (SELECT doc_id, x, unnest(range(0, (len(x) // 2)::BIGINT, 500)) AS b FROM d)),
+p AS (SELECT doc_id, m, y, b, unnest(range(1, least(500, m // 2 - b)::BIGINT + 1)) AS i FROM k),
+w AS (SELECT doc_id, b + i AS pos, substr(y, 2 * i - 1, 2) AS byte, CASE WHEN 2 * (b + i) + 98 <= m THEN md5_number(substr(y, 2 * i - 1, 100)) END AS win FROM p),
 f AS (SELECT win, min(doc_id) AS first FROM w WHERE win IS NOT NULL GROUP BY 1),
 s AS (SELECT w.doc_id, pos, byte, coalesce(f.first < w.doc_id, false) AS start FROM w LEFT JOIN f USING (win)),
 c AS (SELECT doc_id, pos, byte, max(start) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM s),
