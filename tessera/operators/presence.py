@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fingerprints, tokens
+from tessera.operators.graph import settled
 
 # Fixed: containment bands and the confidence of each.
 STRONG, PARTIAL, FLOOR = 0.80, 0.50, 0.20
@@ -66,6 +67,8 @@ def release_range(present: DataFrame, signature: DataFrame, margin: float = 0.95
     The range is every release that scores within ``margin`` of the best, but for those the document takes
     sides against: it holds ``least`` and ``share`` of what only the best has, and nothing that only the other has.
     """
+    # only hashes that the reference has matter: filtered once, then used by every step
+    present = settled(present.join(signature.select("h").distinct(), "h", "left_semi"))
     scores = release_scores(present, signature)
     w = Window.partitionBy("doc_id", "rule_id")
     scores = scores.withColumn("top", F.max("score").over(w))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import identity, licences, packages, provenance, severity, versions
 from tessera.operators import advisories, compose, graph, inventory, paths, resolve
 from tessera.plans.registry import register
-from tessera.session import table
+from tessera.session import spread, table
 
 
 def values(rows: list[tuple], schema: str):
@@ -296,7 +296,7 @@ _HITS = " UNION ALL ".join("SELECT doc_id, '{}' AS family, len(regexp_extract_al
 
 
 def _hits(spark, sf_dir):
-    return inventory.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", PATTERNS)
+    return inventory.hits(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text", PATTERNS)
 
 
 @register("pattern_inventory", f"SELECT family, count(*) AS docs, sum(n)::BIGINT AS hits, max(n) AS most FROM ({_HITS}) WHERE n > 0 GROUP BY 1")

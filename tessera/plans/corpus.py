@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import bottom_k, fingerprints, kmv_similarity, tokens, winnow
 from tessera.operators import presence
 from tessera.plans.registry import register
-from tessera.session import table
+from tessera.session import spread, table
 
 K = 4
 #: DuckDB: distinct h60 hashes of 4-token shingles, as presence.hash_table makes them.
@@ -31,7 +31,7 @@ _BAND = "CASE WHEN containment >= 0.8 THEN 'strong' WHEN containment >= 0.5 THEN
 
 
 def _docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _items(spark, sf_dir):
@@ -198,7 +198,7 @@ _OWNED = f"{_shingles_sql('d', 'documents', 'source, lang')}, o AS (SELECT DISTI
 
 
 def _owned(spark, sf_dir, owner):
-    return presence.hash_table(table(spark, sf_dir, "documents").select(owner, "text"), [owner], "text", K).distinct()
+    return presence.hash_table(spread(table(spark, sf_dir, "documents").select(owner, "text")), [owner], "text", K).distinct()
 
 
 @register("segmented_hashes", f"WITH {_OWNED} SELECT owners, count(*) AS hashes, sum(h % 1000)::BIGINT AS checksum FROM (SELECT h, count(DISTINCT source) AS owners FROM o GROUP BY 1) GROUP BY 1")
