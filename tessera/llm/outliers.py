@@ -39,6 +39,8 @@ CUTOFF = 12.0
 DIMENSION = 7
 #: Smallest standard deviation of a coordinate: shares below about one in a hundred are alike.
 FLOOR = 0.1
+#: Parts of a group in joins with its estimate.
+SALTS = 32
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -70,6 +72,12 @@ def measure(batches):
         tidy()
 
 
+def with_group(rows: DataFrame, table: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` with their group's row of ``table``; a group is dealt to ``SALTS`` tasks, whatever its share."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*(f"x{k}" for k in range(DIMENSION))), F.lit(SALTS)))
+    return salted.join(table.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["grp", "salt"], how).drop("salt")
+
+
 def _squared(mean: str = "mean", precision: str = "precision") -> Column:
     """Squared Mahalanobis distance of x to a group's estimate."""
     d = [F.col(f"x{k}") - F.element_at(mean, k + 1) for k in range(DIMENSION)]
@@ -132,19 +140,19 @@ def outliers(docs: DataFrame, core: float = CORE, cutoff: float = CUTOFF, least:
 
     # start: medians and median absolute deviations
     middle = shaped.groupBy("grp").agg(*[F.percentile_approx(f"x{k}", 0.5, 10000).alias(f"m{k}") for k in range(DIMENSION)])
-    spread = shaped.join(middle, "grp").groupBy("grp").agg(F.array(*[F.first(f"m{k}") for k in range(DIMENSION)]).alias("mean"), *[F.percentile_approx(F.abs(F.col(f"x{k}") - F.col(f"m{k}")), 0.5, 10000).alias(f"a{k}") for k in range(DIMENSION)])
+    spread = with_group(shaped, middle).groupBy("grp").agg(F.array(*[F.first(f"m{k}") for k in range(DIMENSION)]).alias("mean"), *[F.percentile_approx(F.abs(F.col(f"x{k}") - F.col(f"m{k}")), 0.5, 10000).alias(f"a{k}") for k in range(DIMENSION)])
     diagonal = [F.lit(1.0) / (F.pow(F.col(f"a{k}") * 1.4826, 2) + FLOOR**2) for k in range(DIMENSION)]
     found = spread.select("grp", "mean", F.array(*[diagonal[i] if i == j else F.lit(0.0) for i in range(DIMENSION) for j in range(DIMENSION)]).alias("precision"))
     for _ in range(steps):
         found = saved(found)
-        near = shaped.join(found, "grp").withColumn("d", _squared())
+        near = with_group(shaped, found).withColumn("d", _squared())
         edge = near.groupBy("grp").agg(F.percentile_approx("d", core, 10000).alias("edge"))
-        found = moments(near.join(edge, "grp").filter("d <= edge"))
+        found = moments(with_group(near, edge).filter("d <= edge"))
     found = saved(found)
     # consistency: the median distance of a group is that of a chi-square variable
-    median = shaped.join(found, "grp").withColumn("d", _squared()).groupBy("grp").agg(F.percentile_approx("d", 0.5, 10000).alias("median"))
+    median = with_group(shaped, found).withColumn("d", _squared()).groupBy("grp").agg(F.percentile_approx("d", 0.5, 10000).alias("median"))
     final = saved(found.join(median, "grp").withColumn("factor", F.lit(chi_square_median(DIMENSION)) / F.greatest("median", F.lit(chi_square_median(DIMENSION)))))
-    judged = grouped.join(final, "grp", "left").withColumn("distance", F.col("factor") * _squared())
+    judged = with_group(grouped, final, "left").withColumn("distance", F.col("factor") * _squared())
     verdict = F.coalesce(F.col("distance") <= cutoff * DIMENSION, F.lit(True))
     return judged.select("doc_id", *_BASE, "base_failed", "distance", (~F.col("base_failed") & verdict).alias("kept"))
 
