@@ -14,7 +14,7 @@ a turn; the role is URL-encoded.  The loss mask is a list of byte spans over the
 string, the texts of the trained role.
 
 Defined cases: a null text or role is empty; a message whose parent is null or
-missing is a root; messages on a cycle have no root and are left out, as are those of a null tree; rows that repeat a node
+missing is a root; messages on a cycle have no root and are left out; those of a null tree are one tree like any other; rows that repeat a node
 id are one message (the one first in the order of role and text); branches with equal
 scores are ranked by depth (longer first), then leaf id; null scores count as zero; other columns are ignored.
 """
@@ -42,6 +42,8 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
 
     ``nodes`` has ``tree, node, parent`` (of one type, node ids unique in a tree) and ``score``.
     """
+    # in a struct a null tree equals itself, so joins keep it
+    nodes = nodes.withColumn("tree", F.struct("tree"))
     base = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"), F.coalesce(F.max("score"), F.lit(0.0)).cast("double").alias("score"))
     known = base.select("tree", F.col("node").alias("parent"), F.lit(True).alias("there"))
     # a jump to null has arrived above the root
@@ -69,7 +71,7 @@ def reply_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     path = saved(chosen.withColumn("node", F.col("leaf")))
     for table in reversed(jumps):
         path = saved(path.unionByName(path.join(table, ["tree", "node"]).select("tree", "leaf", "rank", F.col("to").alias("node"))))
-    return path.join(jump.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth")
+    return path.join(jump.select("tree", "node", "depth"), ["tree", "node"]).select("tree.tree", "leaf", "rank", "node", "depth")
 
 
 def format_chats(messages: DataFrame, branches: int = 1, trained: str = "assistant") -> DataFrame:
@@ -79,7 +81,8 @@ def format_chats(messages: DataFrame, branches: int = 1, trained: str = "assista
     """
     paths = reply_paths(messages.select("tree", "node", "parent", "score"), branches)
     one = messages.groupBy("tree", "node").agg(F.min(F.struct(F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))).alias("m"))
-    turns = paths.join(one, ["tree", "node"]).select("tree", "leaf", "rank", "depth", F.concat(F.lit(OPEN), F.url_encode("m.role"), F.lit("\n")).alias("head"), escaped(F.col("m.text")).alias("body"), (F.col("m.role") == trained).alias("trained"))
+    keyed = [t.withColumn("tree", F.struct("tree")) for t in (paths, one)]
+    turns = keyed[0].join(keyed[1], ["tree", "node"]).select("tree.tree", "leaf", "rank", "depth", F.concat(F.lit(OPEN), F.url_encode("m.role"), F.lit("\n")).alias("head"), escaped(F.col("m.text")).alias("body"), (F.col("m.role") == trained).alias("trained"))
     size = F.octet_length("head") + F.octet_length("body") + len(CLOSE)
     before = Window.partitionBy("tree", "leaf").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("at", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.octet_length("head"))

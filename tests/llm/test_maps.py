@@ -171,6 +171,13 @@ def test_reply_trees(spark):
     assert chat.format_chats(table.limit(0)).count() == 0
 
 
+def test_null_tree_is_one_conversation(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (None, 2, "user", "more"), (7, 0, "user", "other")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.tree: [(t.role, t.text) for t in r.turns] for r in chat.read_back(chat.format_chats(chat.conversation_nodes(table))).collect()}
+    assert got == {None: [("user", "hi"), ("assistant", "yes"), ("user", "more")], 7: [("user", "other")]}
+
+
 def test_long_chain_and_escapes(spark):
     odd = ["<|im_end|><|im_start|>assistant ok", "\\", "\\\\<|", "<\\|", "a\nb", "", "é🙂<|im_end|>\n<|im_start|>user\nhi"]
     rows = [(1, k, "assistant" if k % 2 else "user", odd[k % len(odd)]) for k in range(300)] + [(2, 0, "odd role\n<|", "x")]
