@@ -8,7 +8,8 @@ digits and country codes valid), so equal entities get equal surrogates everywhe
 distinct entities distinct ones, with no table shared between tasks.
 Given names are permuted inside a list of one gender and script.  In each
 document a collision check then compares surrogates with each other and with the document's
-real entities; a clash draws the next keyed permutation.
+real entities; a clash draws the next keyed permutation.  Forms with few members (a lone initial,
+signs only) give way after ``DRAWS`` draws to letters or digits that grow, so a free one is always found.
 
 Each text is handled whole and alone: a map without a shuffle.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -34,20 +36,48 @@ from tessera.llm.slots import tidy
 MALE_TITLES = ("Mr", "Mister", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "Sir", "господин", "г-н")
 FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mademoiselle", "Señora", "Señorita", "Sra", "Doña", "госпожа", "г-жа")
 TITLES = ("Dr", "Prof", "Professor")
+_TITLES = {*MALE_TITLES, *FEMALE_TITLES, *TITLES}
 GIVEN = {
     ("f", "latin"): ("Alice", "Anna", "Barbara", "Carmen", "Charlotte", "Claire", "Elena", "Emma", "Hannah", "Ingrid", "Isabel", "Julia", "Karen", "Laura", "Linda", "Lucía", "Maria", "María", "Marie", "Mary", "Nina", "Olivia", "Patricia", "Sarah", "Sofia", "Susan"),
     ("m", "latin"): ("Andreas", "Antoine", "Carlos", "Charles", "Daniel", "David", "Diego", "Edward", "Felix", "Hans", "Henry", "Jack", "James", "Javier", "John", "José", "Klaus", "Luis", "Michael", "Miguel", "Paul", "Peter", "Pierre", "Robert", "Thomas", "William"),
     ("f", "cyrillic"): ("Анна", "Вера", "Елена", "Ирина", "Мария", "Наталья", "Ольга", "Светлана", "Софья", "Татьяна"),
     ("m", "cyrillic"): ("Алексей", "Андрей", "Дмитрий", "Иван", "Игорь", "Михаил", "Николай", "Олег", "Павел", "Сергей"),
 }
-#: Letters that take each other's place; others, marks included, stay.
-CLASSES = ("0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ")
+#: Letters that take each other's place; letters and digits of other scripts do so within their script, others, marks included, stay.
+CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "áéíóúàèìòùâêîôûäëïöü", "çñ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 _CLASS = {c: k for k, x in enumerate(CLASSES) for c in x}
 _AT = {c: n for x in CLASSES for n, c in enumerate(x)}
+#: Draws before a form gives way.
+DRAWS = 64
+FEW = len(CLASSES)
+
+
+def _all_scripts() -> None:
+    """Adds a class for all other letters and digits of each script: with capitals, without, digits."""
+    found: dict[tuple, list[str]] = {}
+    for c in map(chr, range(0xAA, 0x110000)):
+        kind = unicodedata.category(c)
+        if kind not in ("Ll", "Lo", "Nd") or c in _CLASS or (kind == "Lo" and len(c.lower()) != 1):
+            continue
+        upper = c.upper()
+        found.setdefault((unicodedata.name(c, "?").split()[0], kind, len(upper) == 1 and upper != c and upper.lower() == c), []).append(c)
+    for key in sorted(found):
+        for n, c in enumerate(found[key]):
+            _CLASS[c], _AT[c] = len(CLASSES), n
+        CLASSES.append("".join(found[key]))
+
+
+def _lower(c: str) -> str:
+    """One character for one: of a longer lower case (capital I with dot) the letter without its marks."""
+    return c.lower()[0]
+
+
 _WORD = r"[^\W\d_](?:[^\W\d_]|['’\-](?=[^\W\d_]))*"
-_NAME = rf"(?:{'|'.join(map(re.escape, sorted({*MALE_TITLES, *FEMALE_TITLES, *TITLES}, key=len, reverse=True)))})\.?[  ]{_WORD}(?:[  ]{_WORD}){{0,2}}"
-_GIVEN = rf"(?:{'|'.join(sorted({n for x in GIVEN.values() for n in x}, key=len, reverse=True))})[  ]{_WORD}"
-NAMES = re.compile(rf"(?<!\w)(?:{_NAME}|{_GIVEN})(?!\w)")
+_TITLE = rf"(?:{'|'.join(map(re.escape, sorted({*MALE_TITLES, *FEMALE_TITLES, *TITLES}, key=len, reverse=True)))})\.?"
+_GIVEN = rf"(?:{'|'.join(sorted({n for x in GIVEN.values() for n in x}, key=len, reverse=True))})"
+#: What a name begins with, and each word or initial that may follow.
+NAMES = re.compile(rf"(?<!\w)(?:{_TITLE}|{_GIVEN})(?=[  ][^\W\d_])")
+_PART = re.compile(rf"[  ]((?:[^\W\d_]\.)+(?!\w)|{_WORD}(?!\w))")
 _HINTS = re.compile("|".join(rf"{re.escape(t)}\b" for t in sorted({*MALE_TITLES, *FEMALE_TITLES, *TITLES, *(n for x in GIVEN.values() for n in x)})))
 EMAIL = r"(?P<email>\w(?:[\w.%+\-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
 NUMBERS = re.compile(
@@ -91,15 +121,17 @@ class Keyed:
 
     def text(self, s: str, tweak: bytes) -> str:
         """``s`` with each character moved inside its class; forms (classes and cases) never change."""
-        low = s.lower()
-        if len(low) != len(s):
-            return s
+        low = "".join(map(_lower, s))
+        if len(CLASSES) == FEW and any(c not in _CLASS and not c.isascii() and c.isalnum() for c in low):
+            _all_scripts()
         x, size = 0, 1
         for c in low:
             if c in _CLASS:
                 n = len(CLASSES[_CLASS[c]])
                 x, size = x * n + _AT[c], size * n
         shape = "".join(chr(_CLASS[c]) if c in _CLASS else c for c in low)
+        if odd := [c for c in s if len(c.lower()) != 1]:
+            shape += "|" + "".join(odd)
         x = self.permute(x, size, tweak + shape.encode())
         out = []
         for c, was in zip(reversed(low), reversed(s), strict=True):
@@ -144,7 +176,34 @@ class Surrogates:
         self.keyed = Keyed(key)
 
     def of(self, kind: str, s: str, attempt: int = 0) -> str:
-        return getattr(self, f"_{kind}")(s, b"%b%d" % (kind.encode(), attempt))
+        t = b"%b%d" % (kind.encode(), attempt)
+        wide = getattr(self, f"_wide_{kind}", None) if attempt >= DRAWS else None
+        return wide(s, t, 1 + (attempt - DRAWS) // 8) if wide else getattr(self, f"_{kind}")(s, t)
+
+    # Where the form has no free member: letters or digits in its place, longer with each few draws.
+
+    def _letters(self, s: str, t: bytes, more: int, letters: str = "abcdefghijklmnopqrstuvwxyz") -> str:
+        raw = hashlib.shake_256(b"%b|%b|%b" % (self.keyed.key, t, s.encode())).digest(len(s) + more)
+        return "".join(letters[c % len(letters)] for c in raw)
+
+    def _wide_email(self, s: str, t: bytes, more: int) -> str:
+        local, at, _ = s.partition("@")
+        return self._letters(local, t, more) + at + self._email(s, t).partition("@")[2]
+
+    def _wide_phone(self, s: str, t: bytes, more: int) -> str:
+        return self._phone(s, t) + self._letters("", t + s.encode(), more, "0123456789")
+
+    def _wide_ip(self, s: str, t: bytes, more: int) -> str:
+        x = int.from_bytes(bytes(map(int, s.split("."))), "big")
+        return ".".join(map(str, self.keyed.permute(x, 256**4, t + b"wide").to_bytes(4, "big")))
+
+    def _wide_secret(self, s: str, t: bytes, more: int) -> str:
+        m = re.fullmatch(r"(?s)(.*?[\"'])(.*)([\"'])", s)
+        return m[1] + self._letters(m[2], t, more) + m[3]
+
+    def _wide_name(self, s: str, t: bytes, more: int) -> str:
+        words = re.split(r"([  ])", s)
+        return "".join(w if k % 2 or w.rstrip(".") in _TITLES else self._letters(w, t + b"%d" % k, more).capitalize() for k, w in enumerate(words))
 
     def _email(self, s: str, t: bytes) -> str:
         local, _, domain = s.partition("@")
@@ -203,7 +262,7 @@ class Surrogates:
         head = words[0].rstrip(".")
         out, gender = [], "m" if head in MALE_TITLES else "f" if head in FEMALE_TITLES else None
         for k, w in enumerate(words):
-            if k % 2 or w.rstrip(".") in {*MALE_TITLES, *FEMALE_TITLES, *TITLES}:
+            if k % 2 or w.rstrip(".") in _TITLES:
                 out.append(w)
                 continue
             known = next((v for v in GIVEN.items() if w in v[1] and gender in (None, v[0][0])), None)
@@ -227,15 +286,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
     if _HINTS.search(text):
         at = 0
         while m := NAMES.search(text, at):
-            # a name goes as far as its words are capitalised; the search goes on from there
-            end, upper = m.start(), 0
-            for k, w in enumerate(re.finditer(r"[^  ]+", m[0])):
-                if k and not w[0][0].isupper():
-                    break
-                upper += 1
-                end = m.start() + w.end()
-            at = max(end, m.start() + 1)
-            if upper > 1:
+            # a name goes on as long as capitalised words and initials follow; the search goes on from there
+            end = m.end()
+            while (w := _PART.match(text, end)) and w[1][0].isupper() and w[1].rstrip(".") not in _TITLES:
+                end = w.end()
+            at = end
+            if end > m.end():
                 found.append((m.start(), end, "name"))
     found.sort(key=lambda x: (x[0], -x[1]))
     out, last = [], 0
@@ -274,7 +330,7 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[dict]]:
         if entity not in attempts:
             n = 0
             new = normal(kind, surrogates.of(kind, s, n))
-            while (new in real or used.get(new, entity) != entity) and n < 64:
+            while (new in real or used.get(new, entity) != entity):
                 n += 1
                 new = normal(kind, surrogates.of(kind, s, n))
             attempts[entity] = n

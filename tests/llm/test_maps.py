@@ -154,6 +154,23 @@ def test_surrogates_are_distinct_and_coreferent():
     assert mails[0].lower() == mails[1].lower()
 
 
+def test_whole_names_all_letters_and_no_clash():
+    s = pii.Surrogates(b"k")
+    for name in ("Mary Jane Smith", "John F. Kennedy", "Mr. John R. R. Tolkien", "Mrs. Anna Maria Luisa Garcia Lopez", "Mr. İpek", "Frau Łoś"):
+        text = f"met {name} there. Then"
+        new, (e,) = pii.replace(text, s)
+        assert text[e["start"] : e["start"] + e["length"]] == name
+        assert name not in new and name.split()[-1] not in new and new.endswith(" there. Then")
+    for value in ("密码密码密码", "!!!###!!!", "пароль", "٣٤٥٦٧٨", "ﬀﬁﬂﬃﬄﬅ"):
+        new, (e,) = pii.replace(f'password = "{value}"', s)
+        assert value not in new and e["kind"] == "secret"
+    # more names than their form has members: still all distinct, none of them real
+    for names in ([f"Mr. {c}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"], [f"192.168.{a}.{b}" for a in range(256) for b in range(0, 256, 4)]):
+        text = "\n".join(names)
+        got = pii.replace(text, s)[0].split("\n")
+        assert len(set(got)) == len(names) and not set(got) & set(names)
+
+
 def test_surrogate_rows(docs):
     rows = docs([(1, "a@b.com", 3), (1, "a@b.com", 3), (2, None, 4), (None, "", 5)], ", c0 int")
     got = pii.surrogate_pii(rows, "k", keep=["doc_id", "c0"]).collect()
