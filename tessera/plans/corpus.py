@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions.text import bottom_k, fingerprints, kmv_similarity, tokens, winnow
-from tessera.operators import presence
+from tessera.operators import graph, nearness, presence
 from tessera.plans.registry import register
 from tessera.session import spread, table
 
@@ -119,6 +119,27 @@ def kmv_pairs(spark, sf_dir):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", kmv_similarity(F.col("x"), F.col("y"), 64).alias("similarity"))
 
 
+_NEAR = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ') || chr(10)] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b, o::DOUBLE / (x.n + y.n - o) AS similarity FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o))"""
+
+
+@register("near_duplicate_pairs", f"{_NEAR} SELECT a, b, similarity FROM l")
+def near_duplicate_pairs(spark, sf_dir):
+    return nearness.near_pairs(_docs(spark, sf_dir))
+
+
+@register(
+    "near_duplicate_groups",
+    f"""{_NEAR}, e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+w(node, other) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY 1""",
+)
+def near_duplicate_groups(spark, sf_dir):
+    return graph.groups(nearness.near_links(_docs(spark, sf_dir)))
+
+
 @register("exact_copies", "SELECT sha256(text) AS digest, min(doc_id) AS first_doc, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_copies(spark, sf_dir):
     d = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.sha2("text", 256).alias("digest"))

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from tessera.operators import advisories, graph, inventory, paths, presence, resolve
+from tessera.operators import advisories, graph, inventory, nearness, paths, presence, resolve
 
 
 def rows(df, *columns):
@@ -71,3 +71,29 @@ def test_policy_and_patches(spark):
 def test_upsert_and_first_hit(spark):
     old, new = spark.createDataFrame([("a", 1, 1), ("b", 2, 5)], "k string, v int, t int"), spark.createDataFrame([("a", 9, 1), ("b", 3, 4)], "k string, v int, t int")
     assert rows(advisories.upsert(old, new, "k", "t"), "k", "v") == [("a", 9), ("b", 2)]
+
+
+def test_near_pairs_by_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(3)
+    texts = {1: None, 2: "", 3: "a b c", 4: "A b  c", 5: "a b c d e", 6: "a b c"}
+    for k in range(10, 60):
+        words = [rng.choice("abcdefghé日") + str(rng.randint(0, 60)) for _ in range(rng.randint(5, 60))] if k % 5 == 0 else list(words)
+        if k % 5 > 1:
+            words[rng.randrange(len(words))] = f"new{k}"
+        texts[k] = " ".join(words)
+
+    def cut(t):
+        w = re.findall(r"[^ \t-\r]+", (t or "").lower())
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = {k: cut(t) for k, t in texts.items()}
+    want = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = nearness.near_pairs(docs).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(want) and len(want) > 20
+    assert all(abs(r.similarity - len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b])) < 1e-12 for r in got)
+    groups = dict(rows(graph.groups(nearness.near_links(docs)), "node", "component"))
+    assert set(groups) == {x for p in want for x in p} and all(groups[a] == groups[b] for a, b in want)
