@@ -2,15 +2,16 @@
 
 A segment (white-space marks with the characters after them) is merged by agenda:
 of all neighbouring symbols whose union is a piece, the pair with the best score and
-then the leftmost is taken; a keyed hash of (seed, variant, segment, where the pair begins,
-meets and ends) decides whether this candidate is skipped, for good.  Without dropout
-the ids are those of the library.  A document draws one of ``variants`` variants by a keyed hash of
-its id, so copies of a text are segmented differently, and another seed segments
-the whole corpus anew.
+then the leftmost is taken; a keyed hash of (seed, variant, document id, place of the segment in the text,
+segment, where the pair begins, meets and ends) decides whether this candidate is skipped, for good.
+Without dropout the ids are those of the library.  So each occurrence of a word is segmented by
+itself, copies of a text differently, and another seed segments the whole corpus anew.
+(``variant`` is one of ``variants``, by a keyed hash of the id.)
 
-Equal segments under one variant have equal ids, so each distinct one of a chunk is
-merged once, all of them side by side: a round merges one pair in every segment that still
-has one.  Long segments take a heap of their own.
+Which of a segment's possible candidates are skipped is all that tells two of its occurrences apart.  Those
+that skip the same have equal ids, so each distinct segment with its set of skips is
+merged once in a chunk, all of them side by side: a round merges one pair in every segment that still
+has one.  Long segments take a heap of their own, each occurrence alone.
 
 Characters without a piece become their bytes.  So does a literal U+2581, which would otherwise
 decode to a space: decoding gives back every text.
@@ -71,6 +72,13 @@ class Pieces:
         for n, i in index.items():
             if len(n) == 1:
                 self.char[ord(n)] = i
+        # which hashes pieces can have, by their first 22 bits, and how many characters pieces have
+        known = [n for n in index if len(n) <= LONG]
+        joined = np.frombuffer("".join(known).encode("utf-32-le"), np.uint32)
+        stop = np.cumsum([len(n) for n in known])
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[code_hash(joined, np.append(0, stop[:-1]), stop) >> U64(42)] = True
+        self.sizes = sorted({len(n) for n in known})
         # every pair of pieces whose union is a piece
         pairs = [(index[n[:k]], index[n[k:]], i) for n, i in index.items() for k in range(1, len(n)) if n[:k] in index and n[k:] in index]
         order = np.argsort([-model.get_score(i) for i in range(size)], kind="stable")
@@ -248,16 +256,71 @@ def agenda(vocabulary: Pieces, ids: np.ndarray, salt: np.uint64, bar: int) -> np
     return np.array([piece[i] for i in range(n) if not gone[i]], np.int32)
 
 
-def code_hash(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of code points."""
+def span_hashes(code: np.ndarray):
+    """A function of starts and stops: the 64-bit hash of each span of code points."""
     forward, back = powers(U64(0x9E3779B97F4A7C15), len(code) + 1)
     prefix = np.zeros(len(code) + 1, np.uint64)
     np.cumsum((code.astype(np.uint64) + U64(1)) * U64(0xD6E8FEB86659FD93) * forward[: len(code)], out=prefix[1:])
-    return mix((prefix[stop] - prefix[start]) * back[start])
+    return lambda start, stop: mix((prefix[stop] - prefix[start]) * back[start])
 
 
-def encode(vocabulary: Pieces, texts: list[str], variant: np.ndarray, seed: int, dropout: float, variants: int) -> list[np.ndarray]:
-    """Ids of each text."""
+def code_hash(code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span of code points."""
+    return span_hashes(code)(start, stop)
+
+
+def possible(vocabulary: Pieces, code: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``segment, begin, meet, end`` of all two neighbouring spans of a segment that are pieces and make one, ordered by segment; and of a few others."""
+    length = stop - start
+    first = np.append(0, np.cumsum(length))
+    segment = np.repeat(np.arange(len(start)), length)
+    at = start[segment] + np.arange(first[-1]) - first[segment]
+    left = stop[segment] - at
+    symbol = code[at]
+    hashes = span_hashes(np.where(symbol == 0x20, np.uint32(ord(SPACE)), symbol))
+    piece: dict[int, np.ndarray] = {}
+    fits = np.arange(len(at))
+    for size in vocabulary.sizes:
+        fits = fits[left[fits] >= size]
+        if not len(fits):
+            break
+        piece[size] = np.zeros(len(at) + size, bool)
+        piece[size][fits] = vocabulary.maybe[hashes(fits, fits + size) >> U64(42)]
+    out = []
+    for size in piece:
+        whole = np.flatnonzero(piece[size])
+        for k in piece:
+            if size - k in piece:
+                p = whole[piece[k][whole] & piece[size - k][whole + k]]
+                b = at[p] - start[segment[p]]
+                out.append((segment[p], b, b + k, b + size))
+    columns = [np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else [()] * 4)]
+    order = np.argsort(columns[0], kind="stable")
+    return tuple(x[order] for x in columns)
+
+
+def skip_sets(vocabulary: Pieces, code: np.ndarray, start: np.ndarray, stop: np.ndarray, kind: np.ndarray, one: np.ndarray, salt: np.ndarray, bar: int) -> np.ndarray:
+    """A 64-bit hash of the possible candidates that each segment skips; ``kind`` is its number among the distinct ones, which ``one`` has a place of."""
+    segment, begin, meet, end = possible(vocabulary, code, start[one], stop[one])
+    first = np.append(0, np.cumsum(np.bincount(segment, minlength=len(one))))
+    mark = mix(begin.astype(np.uint64) * U64(0xD6E8FEB86659FD93) ^ mix(meet.astype(np.uint64) << U64(32) | end.astype(np.uint64)))
+    count = np.diff(first)[kind]
+    total = np.append(0, np.cumsum(count))
+    out = np.zeros(len(kind), np.uint64)
+    lo = 0
+    while lo < len(kind):  # about a million candidates at a time
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + 1_000_000, side="right")) - 1)
+        n = count[lo:hi]
+        owner = np.repeat(np.arange(lo, hi), n)
+        at = np.repeat(first[kind[lo:hi]] - (total[lo:hi] - total[lo]), n) + np.arange(len(owner))
+        hit = np.flatnonzero(skipped(salt[owner], begin[at], meet[at], end[at], bar))
+        np.add.at(out, owner[hit], mark[at[hit]])
+        lo = hi
+    return out
+
+
+def encode(vocabulary: Pieces, texts: list[str], variant: np.ndarray, seed: int, dropout: float, variants: int, doc_id: np.ndarray | None = None) -> list[np.ndarray]:
+    """Ids of each text; ``doc_id`` keys the skips of each, zero where it is left out."""
     full = [f" {t}" if t else "" for t in texts]
     joined = "".join(full)
     if not joined:
@@ -274,8 +337,22 @@ def encode(vocabulary: Pieces, texts: list[str], variant: np.ndarray, seed: int,
     stop = np.append(start[1:], len(code))
     row = np.searchsorted(offset, start, side="right") - 1
     secrets = np.array([secret(seed, v) for v in range(variants)], np.uint64)
-    salt = mix(code_hash(code, start, stop) + secrets[variant[row]])
-    salts, at, inverse = np.unique(salt, return_index=True, return_inverse=True)
+    word = code_hash(code, start, stop)
+    if bar := round(dropout * (1 << 53)):
+        ids = np.zeros(len(texts), np.uint64) if doc_id is None else doc_id.astype(np.int64).view(np.uint64)
+        where = mix(mix(ids + secrets[variant])[row] + (start - offset[row]).astype(np.uint64))
+        salt = mix(word + where)
+        _, one, kind = np.unique(word, return_index=True, return_inverse=True)
+        long = stop - start > LONG
+        short = one[~long[one]]
+        number = np.full(len(one), -1)
+        number[~long[one]] = np.arange(len(short))
+        key = salt.copy()
+        key[~long] = mix(word[~long] + skip_sets(vocabulary, code, start[~long], stop[~long], number[kind[~long]], (np.cumsum(~long) - 1)[short], salt[~long], bar))
+    else:
+        salt = key = word
+    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    salts = salt[at]
     # symbols of the distinct segments
     length = stop[at] - start[at]
     first = np.append(0, np.cumsum(length))
@@ -325,7 +402,7 @@ def encoded(docs: DataFrame, model: str, seed: int = SEED, dropout: float = DROP
             while i < b.num_rows:
                 j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, side="right")) - 1)
                 part = b.slice(i, j - i)
-                ids = encode(vocabulary, part.column("text").to_pylist(), part.column("variant").to_numpy(), seed, dropout, variants)
+                ids = encode(vocabulary, part.column("text").to_pylist(), part.column("variant").to_numpy(), seed, dropout, variants, part.column("doc_id").fill_null(-1).to_numpy())
                 size = np.array([len(x) for x in ids], np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)), pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("variant"), lists], ["doc_id", "variant", "ids"])

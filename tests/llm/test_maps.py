@@ -70,6 +70,25 @@ def test_heap_and_rounds_agree(monkeypatch):
     assert all((a == b).all() for a, b in zip(rounds, heap, strict=True))
 
 
+def test_each_occurrence_draws_its_own_skips():
+    p = merge_dropout.pieces(merge_dropout.model_path())
+    text = " ".join(["understanding"] * 1000)
+    a, b = merge_dropout.encode(p, [text, text], np.zeros(2, int), 1, 0.1, 1, np.array([1, 2]))
+    assert a.tolist() != b.tolist()
+    cuts = Counter(tuple(x.split("|")) for x in "|".join(p.raw[i].decode() for i in a).replace("| ", "\n").split("\n"))
+    assert len(cuts) > 4
+
+
+def test_equal_skips_merge_as_each_alone(monkeypatch):
+    p = merge_dropout.pieces(merge_dropout.model_path())
+    some = [t or "" for t in texts()] + [" ".join(["understanding the whole"] * 200)]
+    ids = np.arange(len(some)) - 3
+    shared = merge_dropout.encode(p, some, np.zeros(len(some), int), 5, 0.3, 1, ids)
+    monkeypatch.setattr(merge_dropout, "skip_sets", lambda v, c, a, z, k, o, salt, bar: salt)
+    alone = merge_dropout.encode(p, some, np.zeros(len(some), int), 5, 0.3, 1, ids)
+    assert all((a == b).all() for a, b in zip(shared, alone, strict=True))
+
+
 def brute_counts(x):
     words, lines = re.findall(WHITE, x), [s for s in x.split("\n") if re.search(WHITE, s)]
     c = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
