@@ -514,6 +514,12 @@ def copyright_holders(spark, sf_dir):
     return _heads(spark).select("id", provenance.holder(F.col("head")).alias("holder"))
 
 
+@register("document_holders")
+def document_holders(spark, sf_dir):
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", provenance.holder(F.col("text")).alias("holder"))
+
+
 _names, _names_sql = values([(1, "lfs_mount", "lfs"), (2, "prvTaskFoo", "prv"), (3, "__main_loop", None), (4, "x_y", None), (5, "plain", None), (6, "SEGGER_RTT_Init", "segger")], "id int, name string, prefix string")
 
 

@@ -117,3 +117,23 @@ def test_calls(spark):
     assert sorted(map(tuple, graph.reach_verdict(one("f", "g", "q", "x"), one("f", "g", "x"), one("f"), one("x")).collect())) == [("f", "reachable"), ("g", "unreachable"), ("q", "absent"), ("x", "discarded")]
     text = F.lit("The parse_header() call and function inflate_fast, or the `read_chunk` one; my_func function.")
     assert spark.range(1).select(graph.prose_symbols(text)).first()[0] == ["parse_header", "inflate_fast", "my_func", "read_chunk"]
+
+
+def test_document_holders_by_brute_force(spark):
+    import re
+
+    from tests.conftest import SF
+    from tessera.functions.provenance import NOT_HOLDERS, NOT_NAMES
+    from tessera.plans import registry
+
+    def named(text):
+        lines = re.findall(r"(?i)copyright\b[ \t]*(?:\(c\)|©)?[ \t:]*([^\n]*)", text or "", re.ASCII)
+        lines = [x.lower() for x in lines if not re.match(rf"\W*(?:{'|'.join(NOT_HOLDERS)})\b", x.lower(), re.ASCII)]
+        bare = re.sub(r"<[^>]*>|\S+@\S+|https?://\S+", " ", lines[0]) if lines else ""
+        return " ".join([w for w in re.findall("[a-z][a-z0-9+-]+", bare) if w not in NOT_NAMES][:2]) or None
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: r.holder for r in registry.queries()["document_holders"](spark, SF).collect()}
+    want = {i: named(t) for i, t in texts.items()}
+    assert set(got) == set(texts) and any(got.values())
+    assert all(got[i] == w if w else got[i] is None or got[i].startswith("license:") for i, w in want.items())
