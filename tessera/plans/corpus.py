@@ -119,6 +119,48 @@ def kmv_pairs(spark, sf_dir):
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", kmv_similarity(F.col("x"), F.col("y"), 64).alias("similarity"))
 
 
+#: What the reference uses: words of a shingle, window and sketch.
+_K, _WINDOW, _SKETCH = 16, 8, 256
+_DOC_HASHES = f"""h AS (SELECT doc_id, CASE WHEN len(t) >= {_K} THEN list_transform(range(1, len(t) - {_K} + 2), lambda i: {_HASH.format(f"array_to_string(t[i:i + {_K} - 1], ' ')")})
+  WHEN len(t) > 0 THEN [{_HASH.format("array_to_string(t, ' ')")}] ELSE [] END AS h FROM (SELECT doc_id, {_TOKENS} AS t FROM documents))"""
+
+
+@register(
+    "document_winnow",
+    f"""WITH {_DOC_HASHES}
+SELECT DISTINCT doc_id, unnest(CASE WHEN len(h) > {_WINDOW} THEN list_transform(range(1, len(h) - {_WINDOW} + 2), lambda i: list_min(h[i:i + {_WINDOW} - 1])) WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END) AS h FROM h""",
+)
+def document_winnow(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(winnow(fingerprints(tokens(F.col("text")), _K), _WINDOW)).alias("h"))
+
+
+def _sketches(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", bottom_k(fingerprints(tokens(F.col("text")), _K), _SKETCH).alias("s"))
+
+
+_SKETCHES = f"{_DOC_HASHES}, s AS (SELECT doc_id, (list_sort(list_distinct(h)))[1:{_SKETCH}] AS s FROM h WHERE len(h) > 0)"
+
+
+@register("document_sketch", f"WITH {_SKETCHES} SELECT doc_id, unnest(s) AS h, unnest(range(1, len(s) + 1))::INT AS n FROM s")
+def document_sketch(spark, sf_dir):
+    return _sketches(spark, sf_dir).select("doc_id", F.posexplode("s").alias("p", "h")).select("doc_id", "h", (F.col("p") + 1).alias("n"))
+
+
+@register(
+    "document_kmv",
+    f"""WITH {_SKETCHES},
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.s AS x, b.s AS y, least(len(a.s), len(b.s), {_SKETCH}) AS m FROM s a JOIN s b ON a.doc_id < b.doc_id AND list_has_any(a.s, b.s))
+SELECT a, b, len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(x, y))))[1:m], x), y))::DOUBLE / m AS similarity FROM p""",
+)
+def document_kmv(spark, sf_dir):
+    # two sketches with no common value are 0 alike: only those that share one are compared
+    s = graph.settled(_sketches(spark, sf_dir).filter(F.size("s") > 0))
+    a, b = (s.select(F.col("doc_id").alias(c), F.explode("s").alias("h")) for c in "ab")
+    pairs = a.join(b, "h").filter(F.col("a") < F.col("b")).select("a", "b").distinct()
+    both = pairs.join(s.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(s.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
+    return both.select("a", "b", kmv_similarity(F.col("x"), F.col("y"), _SKETCH).alias("similarity"))
+
+
 _NEAR = r"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(t) >= 5 THEN list_transform(range(1, len(t) - 3), lambda i: array_to_string(t[i:i + 4], ' ')) WHEN len(t) > 0 THEN [array_to_string(t, ' ') || chr(10)] ELSE [] END) AS g FROM d),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
