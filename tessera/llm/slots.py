@@ -8,12 +8,20 @@ entry per slot, never one per document: hot values are aggregated before the
 shuffle.  All phases read one exchange of the texts, which Spark reuses; the
 whole operator is one lazy plan and is recomputed by lineage when an executor
 is lost.
+
+Up to ``DIRECT`` slots each slot sends a row to each bucket.  Beyond, rows would grow
+with the square of the slots, so they travel in two hops: a slot sends one parcel
+to each district of about ``sqrt(n)`` buckets; tasks open the parcels of a
+district, sort the parts by bucket and pass on one parcel for each bucket, which
+holds the parts of many slots.  Answers go back the same way.  Rows then grow with
+``n * sqrt(n)`` small parcels at most, and a part costs twelve bytes beside its values.
 """
 
 from __future__ import annotations
 
 import ctypes
 import hashlib
+import math
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -26,6 +34,12 @@ from tessera.llm.textbits import U64, flat
 
 SLOT_BYTES = 4 << 20
 LEAST_SLOTS = 64
+#: Slots up to which rows go straight from slot to bucket.
+DIRECT = 256
+#: Bytes of parcels that a task opens at a time between the hops.
+PARCELS = 16 << 20
+#: In place of the sender of a row: its body is a parcel with the parts of many.
+MANY = -1
 #: Stands for a null id inside a slot: larger than every id.
 NO_ID = np.iinfo(np.int64).max
 ROWS = "bucket int, slot int, body binary, echo binary"
@@ -34,12 +48,15 @@ _ROWS = pa.schema([("bucket", pa.int32()), ("slot", pa.int32()), ("body", pa.bin
 _BACK = pa.schema([("slot", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary()), ("echo", pa.binary())])
 
 
-def slotted(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str] = (), slot_bytes: int = SLOT_BYTES) -> tuple[DataFrame, int]:
-    """``(slot, doc_id, text[, carry])`` and the number of slots, which follows the bytes of all texts."""
+def slotted(docs: DataFrame, id_col: str, text_col: str, carry: Iterable[str] = ()) -> tuple[DataFrame, int]:
+    """``(slot, doc_id, text[, carry])`` and the number of slots, which follows the bytes of all texts.
+
+    Id and text decide the slot, so rows with a null or frequent id are spread; rows equal in both meet.
+    """
     total = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string")))).first()[0] or 0
-    n = max(LEAST_SLOTS, -(-int(total) // slot_bytes))
-    doc_id = F.col(f"`{id_col}`").cast("long")
-    columns = [F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int").alias("slot"), doc_id.alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text")]
+    n = max(LEAST_SLOTS, -(-int(total) // SLOT_BYTES))
+    doc_id, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    columns = [F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("int").alias("slot"), doc_id.alias("doc_id"), text.alias("text")]
     if carry := list(carry):
         columns.append(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carry"))
     return docs.select(*columns), n
@@ -98,6 +115,112 @@ def asked(table: pa.Table) -> tuple[int, list[int], list[bytes], list[bytes]]:
     return table.column("bucket")[0].as_py(), slots[order].tolist(), table.column("body").to_pylist(), table.column("echo").to_pylist()
 
 
+# ---- parcels ---------------------------------------------------------------------------
+
+
+def parcels(table: pa.Table, key: str, label: str) -> pa.Table:
+    """One row for each value of ``key``: the labels, sizes, bodies and echoes of its parts as one binary."""
+    table = table.take(np.argsort(table.column(key).to_numpy(), kind="stable"))
+    keys, labels = (table.column(c).to_numpy() for c in (key, label))
+    (body, b), (echo, e) = (flat(table.column(c)) for c in ("body", "echo"))
+    edges = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    out = []
+    for i, j in zip(edges.tolist(), [*edges[1:].tolist(), len(keys)], strict=True) if len(edges) else ():
+        head = np.concatenate([[j - i], labels[i:j], np.diff(b[i : j + 1]), np.diff(e[i : j + 1])]).astype("<u4")
+        out.append(b"".join((head.tobytes(), body[b[i] : b[j]].tobytes(), echo[e[i] : e[j]].tobytes())))
+    return pa.table({"key": pa.array(keys[edges], pa.int32()), "body": pa.array(out, pa.binary())})
+
+
+def opened(parcel: bytes) -> pa.Table:
+    """``label, body, echo`` of the parts of a parcel."""
+    m = int.from_bytes(parcel[:4], "little")
+    label, body, echo = np.frombuffer(parcel, "<u4", 3 * m, 4).reshape(3, m)
+    at, columns = 4 + 12 * m, [pa.array(label.astype(np.int32))]
+    for size in (body, echo):
+        offsets = np.append(0, np.cumsum(size, dtype=np.int64))
+        columns.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), m, [None, pa.py_buffer(offsets), pa.py_buffer(parcel[at : at + int(offsets[-1])])]))
+        at += int(offsets[-1])
+    return pa.Table.from_arrays(columns, ["label", "body", "echo"])
+
+
+def unpacked(table: pa.Table, key: str, label: str) -> pa.Table:
+    """``table`` with a row for each part, if it came as parcels."""
+    if not {key, label, "body", "echo"} <= set(table.column_names) or not table.num_rows or table.column(label)[0].as_py() != MANY:
+        return table
+    out = []
+    rest = [c for c in table.column_names if c not in (label, "body", "echo")]
+    for k, raw in enumerate(table.column("body").to_pylist()):
+        parts = opened(raw)
+        same = {c: pa.array(np.full(parts.num_rows, table.column(c)[k].as_py(), np.int32)) for c in rest}
+        out.append(pa.table(same | {label: parts.column("label"), "body": parts.column("body").cast(pa.binary()), "echo": parts.column("echo").cast(pa.binary())}))
+    return pa.concat_tables(out)
+
+
+def regroup(batches, key: str, label: str):
+    """Between the hops: parcels from one sender to a district become parcels from many senders to one receiver."""
+    held: list[pa.Table] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        out = parcels(pa.concat_tables(held), "key", "sender")
+        n = out.num_rows
+        columns = {key: out.column("key"), label: pa.array(np.full(n, MANY, np.int32)), "body": out.column("body"), "echo": pa.array([b""] * n, pa.binary())}
+        return pa.table({c: columns[c] for c in _order(key)}).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        for sender, raw in zip(batch.column(label).to_pylist(), batch.column("body").to_pylist(), strict=True):
+            parts = opened(raw)
+            held.append(pa.table({"key": parts.column("label"), "sender": pa.array(np.full(parts.num_rows, sender, np.int32)), "body": parts.column("body"), "echo": parts.column("echo")}))
+            size += len(raw)
+            if size > PARCELS:
+                yield flush()
+                held, size = [], 0
+                tidy()
+    if held:
+        yield flush()
+
+
+def _order(key: str) -> tuple[str, ...]:
+    return ("bucket", "slot", "body", "echo") if key == "bucket" else ("slot", "bucket", "body", "echo")
+
+
+def posted(table: pa.Table, key: str, label: str, n: int) -> pa.Table:
+    """The first hop: what one sender has for a district, as one row."""
+    if not table.num_rows:
+        return table
+    width = math.isqrt(n - 1) + 1
+    sender = table.column(label)[0].as_py()
+    table = table.append_column("district", pa.array(table.column(key).to_numpy() // width, pa.int32()))
+    out = parcels(table, "district", key)
+    m = out.num_rows
+    columns = {key: out.column("key"), label: pa.array(np.full(m, sender, np.int32)), "body": out.column("body"), "echo": pa.array([b""] * m, pa.binary())}
+    return pa.table({c: columns[c] for c in _order(key)})
+
+
+def forwarded(rows_: DataFrame, key: str, label: str, schema: str) -> DataFrame:
+    """The second hop; a district is shared by as many tasks as it needs, as any parcel can be opened anywhere."""
+    return rows_.repartition(key, F.pmod(F.col(label), F.lit(16))).mapInArrow(lambda batches: regroup(batches, key, label), schema)
+
+
+def met(docs: DataFrame, answers: DataFrame | None, send: Callable[..., pa.Table], n: int, answer: Callable[[pa.Table], pa.Table]) -> DataFrame:
+    """Slots ``send`` rows to ``n`` buckets, buckets ``answer``: rows ``BACK`` for the slots."""
+    hops = n > DIRECT
+
+    def out(*tables: pa.Table) -> pa.Table:
+        got = send(*tables)
+        return posted(got, "bucket", "slot", n) if hops else got
+
+    def home(table: pa.Table) -> pa.Table:
+        got = answer(table)
+        return posted(got, "slot", "bucket", n) if hops else got
+
+    sent = each(docs, "slot", out, ROWS) if answers is None else ask(docs, answers, out, ROWS)
+    if hops:
+        sent = forwarded(sent, "bucket", "slot", ROWS)
+    got = each(sent, "bucket", home, BACK)
+    return forwarded(got, "slot", "bucket", BACK) if hops else got
+
+
 # ---- values that several slots hold ---------------------------------------------------
 
 
@@ -212,7 +335,7 @@ class Copies:
         return stands, copies, least
 
     def flags(self, docs: DataFrame) -> DataFrame:
-        return each(each(docs, "slot", self.send, ROWS), "bucket", self.answer, BACK)
+        return met(docs, None, self.send, self.n, self.answer)
 
 
 def only(table: pa.Table, kind: int) -> pa.Table:
@@ -231,7 +354,7 @@ def ask(docs: DataFrame, answers: DataFrame, f: Callable[[pa.Table, pa.Table], p
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
         try:
-            return f(left, right)
+            return f(left, unpacked(right, "slot", "bucket"))
         finally:
             tidy()
 
@@ -243,7 +366,7 @@ def each(table: DataFrame, key: str, f: Callable[[pa.Table], pa.Table], schema:
 
     def one(group: pa.Table) -> pa.Table:
         try:
-            return f(group)
+            return f(unpacked(group, "bucket", "slot"))
         finally:
             tidy()
 

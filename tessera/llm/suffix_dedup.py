@@ -11,7 +11,8 @@ Sorting every suffix would move fifty times the corpus.  Each window has a
 content-chosen key, the least hash of its byte ``K``-grams; equal windows have equal
 keys.  A first exchange finds the keys that more than one document holds, four
 bytes each; only windows under such keys enter the sort, as short runs of bytes,
-one copy per slot.  The key decides nothing else: windows are compared by bytes.
+one copy per slot.  The key decides nothing else: runs with the same bytes are one entry of
+the sort, which orders the windows of all different runs by their bytes.
 
 Defined cases: a null or empty text has no window; a null id counts as larger
 than any id; rows with the same id never remove each other's bytes (only a
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.slots import BACK, ROWS, Copies, Slot, ask, asked, back, cut, each, got_values, only, rows, send_values, shared_values, short_keys, slotted, together, within
+from tessera.llm.slots import Copies, Slot, ask, asked, back, cut, got_values, met, only, rows, send_values, shared_values, short_keys, slotted, together, within
 from tessera.llm.textbits import U64, byte_prefix, chunks, mix, powers
 from tessera.llm.textbits import _P as BASE
 
@@ -283,8 +284,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     table, n = slotted(docs, id_col, text_col, carry)
     copies = Copies(bytes, n)
     known = copies.flags(table)
-    keys = each(ask(table, known, partial(send_keys, copies=copies, length=length, n=n), ROWS), "bucket", shared_values, BACK)
-    marks = each(ask(table, together(known, keys), partial(send_runs, copies=copies, length=length, n=n), ROWS), "bucket", partial(decide_runs, length=length), BACK)
+    keys = met(table, known, partial(send_keys, copies=copies, length=length, n=n), n, shared_values)
+    marks = met(table, together(known, keys), partial(send_runs, copies=copies, length=length, n=n), n, partial(decide_runs, length=length))
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept " + ("string" if as_text else "binary")
     if "carry" in table.columns:
         schema += f", carry {table.schema['carry'].dataType.simpleString()}"
