@@ -7,8 +7,10 @@ document included.  Positions in ``COVER`` modulo ``PERIOD`` carry anchors, hash
 period moves both onto the cover, so two equal windows share an aligned anchor.
 
 First exchange: anchors that occur twice, four bytes each and once per slot.
-Then each shared anchor extends to the windows around it, and only those
-windows are compared, by 64-bit hashes, in a second exchange.
+Then each shared anchor is extended by the words around it: the windows that hold
+it leave as runs of words, under the least hash of their word ``length - PERIOD + 1``-grams, which equal
+windows share wherever they start.  A bucket compares windows word by word (numbers of
+words, then of pairs, of fours, ...); no hash decides.
 
 Defined cases: a null or empty text has no words; rows with null or equal ids
 are documents of their own; documents with the same words as another are
@@ -26,14 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.slots import BACK, ROWS, Copies, Slot, ask, asked, back, cut, each, got_values, only, rows, send_values, shared_values, short_keys, slotted, together, within
-from tessera.llm.textbits import chunks, window_hashes, word_hashes
+from tessera.llm.slots import Copies, Slot, ask, asked, back, cut, got_values, met, only, rows, send_values, shared_values, short_keys, slotted, together, within
+from tessera.llm.textbits import U64, chunks, mix, window_hashes, word_hashes
 
 LENGTH = 35
 PERIOD = 21
 #: A perfect difference set: its differences are all residues modulo PERIOD.
 COVER = (0, 1, 4, 14, 16)
-_WINDOW = np.dtype([("hash", "<u8"), ("pos", "<u4")])
+#: At most so many windows in one run, so that a run's answer is one 64-bit mask.
+RUN = 64
+_RUN = np.dtype([("pos", "<u4"), ("bytes", "<u4"), ("n", "u1"), ("twice", "u1")])
+_MARK = np.dtype([("pos", "<u4"), ("mask", "<u8")])
 
 
 def words_of(text: bytes) -> bytes:
@@ -45,90 +50,160 @@ def covers(cover: Iterable[int], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def slot_windows(s: Slot, stands: np.ndarray, length: int, period: int, cover: tuple[int, ...]):
-    """Anchors (hash, word number) and windows (hash of each word number, or none) of the slot's words.
+def sliding_least(x: np.ndarray, wide: int) -> np.ndarray:
+    """Least of each ``wide`` consecutive entries."""
+    step = 1
+    while step * 2 <= wide and len(x) > step:
+        x = np.minimum(x[:-step], x[step:])
+        step *= 2
+    if (rest := wide - step) and len(x) > rest:
+        x = np.minimum(x[:-rest], x[rest:])
+    return x
 
-    Word numbers count through the slot; windows that would cross documents have ``fits`` False.
-    """
+
+def slot_windows(s: Slot, stands: np.ndarray, length: int, period: int, cover: tuple[int, ...]) -> dict[str, np.ndarray]:
+    """Of the slot's words, counted through the slot: first and last byte, does a window begin (``fits``) and its key; and the anchors (hash, word number)."""
     wide = length - period + 1
-    anchor, at, window, fits, base = [], [], [], [], 0
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("anchor", "at", "key", "fits", "begin", "end")}
     on = np.zeros(period, bool)
     on[list(cover)] = True
+    base = 0
     for i, j in chunks(s.offsets):
         lo = s.offsets[i]
-        h, _, _, first = word_hashes(s.buf[lo : s.offsets[j]], s.offsets[i : j + 1] - lo)
+        h, begin, end, first = word_hashes(s.buf[lo : s.offsets[j]], s.offsets[i : j + 1] - lo)
         n = np.diff(first)
         nth = np.arange(len(h)) - np.repeat(first[:-1], n)
         size = np.repeat(n * stands[i:j], n)
-        w = np.zeros(len(h), np.uint64)
-        x = window_hashes(h, length)
-        w[: len(x)] = x
-        window.append(w)
-        fits.append(nth + length <= size)
+        grams = window_hashes(h, wide)
         a = np.flatnonzero(on[nth % period] & (nth + wide <= size) & (size >= length))
-        anchor.append(window_hashes(h, wide)[a])
-        at.append(a + base)
+        key = np.zeros(len(h), np.uint64)
+        if len(h) >= length:
+            key[: len(h) - length + 1] = mix(sliding_least(grams, period))  # least hashes crowd at the low end; buckets want them spread
+        for c, x in zip(columns, (grams[a], a + base, key, nth + length <= size, begin + lo, end + lo), strict=True):
+            columns[c].append(x)
         base += len(h)
-    if not anchor:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
-    return tuple(map(np.concatenate, (anchor, at, window, fits)))
+    kinds = {"anchor": np.uint64, "at": np.int64, "key": np.uint64, "fits": bool, "begin": np.int64, "end": np.int64}
+    return {c: np.concatenate(x) if x else np.zeros(0, kinds[c]) for c, x in columns.items()}
 
 
 def send_anchors(docs: pa.Table, known: pa.Table, copies: Copies, n: int, how: tuple) -> pa.Table:
     s = Slot(docs)
-    return send_values(s.slot, np.unique(slot_windows(s, copies.known(s, known)[0], *how)[0]), n)
+    return send_values(s.slot, np.unique(slot_windows(s, copies.known(s, known)[0], *how)["anchor"]), n)
 
 
-def send_windows(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tuple) -> pa.Table:
+def send_runs(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tuple) -> pa.Table:
+    """The windows that extend a shared anchor, as runs of words; the slot itself marks (echo) those of runs that it has twice."""
     s = Slot(docs)
-    anchor, at, window, fits = slot_windows(s, copies.known(s, only(answers, 0))[0], *how)
+    w = slot_windows(s, copies.known(s, only(answers, 0))[0], *how)
     length, period, _ = how
-    if not len(anchor):
+    if not len(w["anchor"]):
         return rows(s.slot, [])
-    value, count = np.unique(anchor, return_counts=True)
-    take = within(short_keys(anchor, n), got_values(only(answers, 1))) | within(anchor, value[count > 1])
+    value, count = np.unique(w["anchor"], return_counts=True)
+    take = within(short_keys(w["anchor"], n), got_values(only(answers, 1))) | within(w["anchor"], value[count > 1])
     # a window extends a shared anchor that starts in its first ``period`` words
-    total = np.zeros(len(window) + 1, np.int64)
-    hit = np.zeros(len(window), np.int64)
-    hit[at[take]] = 1
+    total = np.zeros(len(w["key"]) + 1, np.int64)
+    hit = np.zeros(len(w["key"]), np.int64)
+    hit[w["at"][take]] = 1
     np.cumsum(hit, out=total[1:])
-    p = np.arange(len(window))
-    pos = np.flatnonzero(fits & (total[np.minimum(p + period, len(window))] > total[p]))
-    key = window[pos]
-    order = np.argsort(key, kind="stable")
-    key, pos = key[order], pos[order]
-    new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(key)))
-    # the highest bit of the position says that the slot itself has the window twice
-    send = np.zeros(len(first), _WINDOW)
-    send["hash"], send["pos"] = key[first], pos[first] | np.where(size > 1, 1 << 31, 0)
-    out = [[b, send[i:j].tobytes(), b""] for b, i, j in cut(send["hash"], n)]
-    local = pos[np.repeat(size > 1, size)].astype(np.uint32)
+    p = np.arange(len(w["key"]))
+    pos = np.flatnonzero(w["fits"] & (total[np.minimum(p + period, len(p))] > total[p]))
+    if not len(pos):
+        return rows(s.slot, [])
+    key = w["key"][pos]
+    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1] + 1)]))
+    size = np.diff(np.append(start, len(pos)))
+    parts = -(-size // RUN)  # periodic texts make long runs
+    nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+    size = np.minimum(np.repeat(size, parts) - nth * RUN, RUN)
+    start = np.repeat(start, parts) + nth * RUN
+    key, first = key[start], pos[start]
+    order = np.lexsort((first, key))
+    key, first, size = key[order], first[order], size[order]
+    text = s.buf.tobytes()
+    body = [text[a:z] for a, z in zip(w["begin"][first].tolist(), w["end"][first + size + length - 2].tolist(), strict=True)]
+    known: dict[bytes, int] = {}
+    same = np.fromiter((known.setdefault(x, k) for k, x in enumerate(body)), np.int64, len(body))
+    twice = np.bincount(same, minlength=len(body)) > 1
+    entry = np.flatnonzero(same == np.arange(len(body)))
+    head = np.zeros(len(entry), _RUN)
+    head["pos"], head["n"], head["twice"], head["bytes"] = first[entry], size[entry], twice[entry], [len(body[k]) for k in entry.tolist()]
+    out = [[b, (j - i).to_bytes(4, "little") + head[i:j].tobytes() + b"".join(body[k] for k in entry[i:j].tolist()), b""] for b, i, j in cut(key[entry], n)]
+    local = np.flatnonzero(twice[same])
     if len(local):
-        out[s.slot % len(out)][2] = local.tobytes()
+        marks = np.zeros(len(local), _MARK)
+        marks["pos"], marks["mask"] = first[local], np.uint64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - size[local].astype(np.uint64))
+        out[s.slot % len(out)][2] = marks.tobytes()
     return rows(s.slot, out)
 
 
-def decide_windows(table: pa.Table) -> pa.Table:
+def numbered_windows(ids: np.ndarray, length: int) -> np.ndarray:
+    """A number for each run of ``length`` entries, equal exactly for equal runs; made of numbers of shorter ones."""
+    if len(ids) < length:
+        return np.zeros(0, np.int64)
+    number, size = np.unique(ids, return_inverse=True)[1].astype(np.int64), 1
+    while size < length:
+        step = min(size, length - size)
+        pair = number[:-step] * (int(number.max()) + 1) + number[step:]
+        number, size = np.unique(pair, return_inverse=True)[1].astype(np.int64), size + step
+    return number
+
+
+def decide_windows(table: pa.Table, length: int) -> pa.Table:
+    """For each run that slots sent: which of its windows are in another place, too, compared word by word."""
     bucket, slots, bodies, echoes = asked(table)
-    arrays = [np.frombuffer(x, _WINDOW) for x in bodies]
-    every = np.sort(np.concatenate([a["hash"] for a in arrays]))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    heads, of, weight = [], [], []
+    run: dict[bytes, int] = {}
+    for body in bodies:
+        m = int.from_bytes(body[:4], "little")
+        head = np.frombuffer(body, _RUN, m, 4)
+        a = 4 + m * _RUN.itemsize
+        own = np.zeros(m, np.int64)
+        for k, n in enumerate(head["bytes"].tolist()):
+            own[k] = run.setdefault(body[a : a + n], len(run))
+            a += n
+        heads.append(head)
+        of.append(own)
+        weight.append(1 + head["twice"].astype(np.int64))
+    many = np.bincount(np.concatenate(of), np.concatenate(weight), len(run)).astype(np.int64) if run else np.zeros(0, np.int64)
+    number: dict[bytes, int] = {}
+    words = [[number.setdefault(w, len(number)) for w in x.split()] for x in run]
+    size = np.array([len(x) for x in words], np.int64)
+    first = np.cumsum(size) - size
+    windows = size - length + 1
+    at = np.repeat(first - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+    kind = numbered_windows(np.fromiter((w for x in words for w in x), np.int64, int(size.sum())), length)[at] if len(at) else np.zeros(0, np.int64)
+    repeated = (np.bincount(kind, np.repeat(many, windows))[kind] > 1) if len(at) else np.zeros(0, bool)
+    base = np.cumsum(windows) - windows
     out = []
-    for slot, a, echo in zip(slots, arrays, echoes, strict=True):
-        hit = a["pos"][within(a["hash"], twice) & (a["pos"] >> 31 == 0)]
-        if len(hit) or echo:
-            out.append((slot, hit.tobytes(), echo))
+    for slot, head, own, echo in zip(slots, heads, of, echoes, strict=True):
+        marks = np.zeros(len(head), _MARK)
+        if len(head):
+            n = head["n"].astype(np.int64)
+            entry = np.repeat(np.arange(len(head)), n)
+            bit = np.arange(len(entry)) - (np.cumsum(n) - n)[entry]
+            marks["pos"] = head["pos"]
+            marks["mask"] = np.bitwise_or.reduceat(np.where(repeated[base[own][entry] + bit], U64(1) << bit.astype(np.uint64), U64(0)), np.cumsum(n) - n)
+        body = marks[marks["mask"] != 0].tobytes()
+        if body or echo:
+            out.append((slot, body, echo))
     return back(bucket, out)
 
 
+def marked(answers: pa.Table) -> np.ndarray:
+    """Sorted distinct word numbers at which the slot's removed windows start."""
+    found = []
+    for name in ("body", "echo"):
+        for x in answers.column(name).to_pylist():
+            marks = np.frombuffer(x, _MARK)
+            for bit in range(RUN):
+                found.append(marks["pos"][(marks["mask"] >> U64(bit)) & U64(1) != 0] + np.uint32(bit))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint32)
+
+
 def finish(docs: pa.Table, answers: pa.Table, copies: Copies, length: int) -> pa.Table:
     s = Slot(docs)
     _, many, _ = copies.known(s, only(answers, 0))
-    marks = [np.frombuffer(x, np.uint32) for name in ("body", "echo") for x in only(answers, 1).column(name).to_pylist()]
-    pos = np.sort(np.concatenate(marks)) if marks else np.zeros(0, np.uint32)
+    pos = marked(only(answers, 1))
     counts, spans, kept, base = [], [], [], 0
     for i in range(s.rows):
         raw = s.raw(i)
@@ -178,8 +253,8 @@ def cover_dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cov
     how = (length, period, tuple(cover))
     copies = Copies(words_of, n)
     known = copies.flags(table)
-    anchors = each(ask(table, known, partial(send_anchors, copies=copies, n=n, how=how), ROWS), "bucket", shared_values, BACK)
-    windows = each(ask(table, together(known, anchors), partial(send_windows, copies=copies, n=n, how=how), ROWS), "bucket", decide_windows, BACK)
+    anchors = met(table, known, partial(send_anchors, copies=copies, n=n, how=how), n, shared_values)
+    windows = met(table, together(known, anchors), partial(send_runs, copies=copies, n=n, how=how), n, partial(decide_windows, length=length))
     schema = "doc_id long, n_words long, spans array<struct<start:long,length:long>>, kept string"
     if "carry" in table.columns:
         schema += f", carry {table.schema['carry'].dataType.simpleString()}"
