@@ -38,12 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.shared import components, saved
-from tessera.llm.slots import BACK, NO_ID, ROWS, SLOT_BYTES, Copies, Slot, ask, asked, back, cut, each, got_values, only, rows, send_values, shared_values, short_keys, slotted, together, within
+from tessera.llm.slots import NO_ID, SLOT_BYTES, Copies, Slot, ask, asked, back, cut, each, got_values, met, only, rows, send_values, shared_values, short_keys, slotted, together, within
 from tessera.llm.textbits import chunks, mix, sequence_hash, window_hashes, word_hashes
 
 N, PERCENT = 5, 80
 BLOCK = 256
-COLUMNS = 4096
+#: Pairs that a block of columns adds at a time.
+PAIRS = 2_000_000
 
 
 def folded_words(text: bytes) -> bytes:
@@ -177,37 +178,65 @@ def prefix_rows(table: pa.Table, ranks: pa.Table, n: int, percent: int) -> pa.Ta
     return pa.table({"item": np.concatenate(items) if items else pa.array([], pa.int64()), "doc_id": np.concatenate(docs) if docs else pa.array([], pa.int64())})
 
 
+def _entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Column and row of each entry of the incidence matrix, columns of one row alone left out; rare columns first."""
+    size = np.array([len(x) for x in sets], np.int64)
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    keep = count[column] > 1
+    column, row = column[keep], row[keep]
+    order = np.lexsort((row, column, count[column]))
+    return column[order], row[order]
+
+
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None, percent: int) -> np.ndarray:
-    """Which rows of ``left`` link with which of ``right`` (or of ``left``): the product, a column block at a time."""
+    """Which rows of ``left`` link with which of ``right`` (or of ``left``).
+
+    The sparse product of the incidence matrix with its transpose, a block of columns
+    at a time: each column adds one to the pairs of rows that have it.  After a block, pairs that cannot reach
+    the bound for their sizes are discarded, and rows without a pair leave.
+    """
     sets = left if right is None else left + right
     m, k = len(left), len(sets)
     size = np.array([len(x) for x in sets], np.int64)
-    value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(k), size)
-    keep = count[column] > 1
-    column, row = column[keep], row[keep]
-    order = np.argsort(column, kind="stable")
-    column, row = column[order], row[order]
-    new = np.ones(len(column), bool)
-    new[1:] = column[1:] != column[:-1]
-    column = np.cumsum(new) - 1
-    total = int(column[-1]) + 1 if len(column) else 0
-    a_size, b_size = size[:m, None], (size if right is None else size[m:])[None, :]
+    column, row = _entries(sets)
+    first = 0 if right is None else m
+    a_size, b_size = size[:m, None], size[first:][None, :]
     # 100 o >= p (a + b - o)
     need = -(-(percent * (a_size + b_size)) // (100 + percent))
     alive = need <= np.minimum(a_size, b_size)
-    out = np.zeros(alive.shape, np.float64)
+    if right is None:
+        np.fill_diagonal(alive, False)
+    out = np.zeros(alive.shape, np.int64)
     rest = np.bincount(row, minlength=k).astype(np.int64)
-    for lo in range(0, total, COLUMNS):
-        a, z = np.searchsorted(column, (lo, lo + COLUMNS))
-        block = np.zeros((k, min(COLUMNS, total - lo)), np.float32)
-        block[row[a:z], column[a:z] - lo] = 1
-        out += block[:m] @ (block if right is None else block[m:]).T
-        rest -= np.bincount(row[a:z], minlength=k)
-        alive &= out + np.minimum(rest[:m, None], (rest if right is None else rest[m:])[None, :]) >= need
-        if not alive.any():
-            break
-    return alive & (out >= need)
+    while len(column) and alive.any():
+        # of each entry of ``left``: the entries of the other side in its column
+        edge = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+        stop = np.append(edge[1:], len(column))
+        split = edge if right is None else edge + np.add.reduceat((row < m).astype(np.int64), edge)
+        which = np.repeat(np.arange(len(edge)), stop - edge)
+        pairs = np.cumsum(((split if right is not None else stop) - edge) * (stop - split))
+        n = max(1, int(np.searchsorted(pairs, PAIRS, side="right")))
+        end = int(stop[n - 1])
+        at = np.arange(end)
+        if right is not None:
+            at = at[row[:end] < m]
+        many = (stop - split)[which[at]]
+        other = np.repeat(split[which[at]], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        key = np.repeat(row[at], many) * out.shape[1] + row[other] - first
+        out += np.bincount(key, minlength=out.size).reshape(out.shape)
+        rest -= np.bincount(row[:end], minlength=k)
+        column, row = column[end:], row[end:]
+        alive &= out + np.minimum(rest[:m, None], rest[first:][None, :]) >= need
+        live = np.zeros(k, bool)
+        live[:m] |= alive.any(axis=1)
+        live[first:] |= alive.any(axis=0)
+        keep = live[row]
+        column, row = column[keep], row[keep]
+    alive &= out >= need
+    if right is None:
+        np.fill_diagonal(alive, size > 0)
+    return alive
 
 
 def lowest(link: np.ndarray) -> np.ndarray:
@@ -265,7 +294,7 @@ def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: st
     copies = Copies(folded_words, slots)
     how = {"copies": copies, "n": slots, "grams": n, "percent": percent}
     known = copies.flags(table)
-    columns = each(ask(table, known, partial(send_prefixes, **how), ROWS), "bucket", shared_values, BACK)
+    columns = met(table, known, partial(send_prefixes, **how), slots, shared_values)
     schema = "slot int, doc_id long, n_shingles long, stands_in long, items binary"
     if carry is not None:
         schema += ", text string" + (f", carry {table.schema['carry'].dataType.simpleString()}" if "carry" in table.columns else "")
@@ -295,7 +324,7 @@ def ngram_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
 def cluster_links(sets: DataFrame, slots: int, percent: int, block: int) -> DataFrame:
     """``(a, b)``: links that join the same documents as all links do."""
     spark = sets.sparkSession
-    ranks = each(each(sets, "slot", partial(send_column_counts, n=slots), ROWS), "bucket", column_ranks, BACK)
+    ranks = met(sets, None, partial(send_column_counts, n=slots), slots, column_ranks)
     heads = saved(ask(sets, ranks, partial(prefix_rows, n=slots, percent=percent), "item long, doc_id long"))
     sets = sets.drop("slot")
     least = heads.groupBy("item").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("item", "b")

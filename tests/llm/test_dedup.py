@@ -1,9 +1,16 @@
 import hashlib
+import math
 import random
 from collections import Counter
+from unittest import mock
 
-from tessera.llm.cover_dedup import COVER, PERIOD, cover_dedup, covers
-from tessera.llm.ngram_join import ngram_dedup, ngram_join
+import numpy as np
+import pyarrow as pa
+
+import tessera.llm.ngram_join as ngram_module
+from tessera.llm import slots
+from tessera.llm.cover_dedup import COVER, PERIOD, cover_dedup, covers, numbered_windows
+from tessera.llm.ngram_join import ngram_dedup, ngram_join, overlaps
 from tessera.llm.suffix_dedup import suffix_dedup
 
 WORDS = [f"w{k}" for k in range(400)]
@@ -137,3 +144,68 @@ def test_ngram_dedup_keeps_one_of_each_group(docs):
     assert all(t == (texts[i] or "") and s == i for i, t, s in got)
     again = ngram_dedup(docs([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, "")])).collect()
     assert sorted((r.doc_id or 0, r.text) for r in again) == [(0, "a b c d e f"), (1, "a b c d e f"), (2, "")]
+
+
+def test_two_hops_give_the_same(docs, monkeypatch):
+    rows = corpus(11)
+    table = docs(rows)
+    want = brute_suffix(rows, 50), brute_cover(rows, 35), brute_groups(rows)
+    monkeypatch.setattr(slots, "DIRECT", 8)
+    for slot_bytes in (4 << 20, 200):
+        monkeypatch.setattr(slots, "SLOT_BYTES", slot_bytes)
+        got = {r.doc_id: (r.n_bytes, sum(s.length for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup(table).collect()}
+        assert got == want[0]
+        assert {r.doc_id: (r.n_words, sum(s.length for s in r.spans), r.kept) for r in cover_dedup(table).collect()} == want[1]
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(table).collect()} == want[2]
+
+
+def test_rows_between_slots_grow_linearly():
+    """First-hop rows of one slot are one for each district; parcels of many senders are joined."""
+    rng = np.random.default_rng(1)
+    for n in (64, 500, 4000):
+        sent = []
+        for slot in range(20):
+            values = np.sort(rng.integers(0, 1 << 63, 30_000, dtype=np.uint64) * np.uint64(2))
+            sent.append(slots.posted(slots.send_values(slot, values, n), "bucket", "slot", n))
+        assert all(t.num_rows <= math.isqrt(n - 1) + 1 for t in sent)
+        second = [b for t in [pa.concat_tables(sent)] for b in slots.regroup(t.to_batches(), "bucket", "slot")]
+        assert sum(b.num_rows for b in second) <= n
+        every = slots.unpacked(pa.Table.from_batches(second), "bucket", "slot")
+        assert sum(map(len, every.column("body").to_pylist())) == 20 * 30_000 * 4
+
+
+def test_null_and_repeated_ids_are_spread(docs):
+    table, n = slots.slotted(docs([(None, f"text {k}") for k in range(1000)] + [(7, f"other {k}") for k in range(1000)]), "doc_id", "text")
+    count = [r["count"] for r in table.groupBy("slot").count().collect()]
+    assert n == 64 and len(count) == 64 and max(count) < 80
+
+
+def test_windows_are_numbered_exactly():
+    rng = np.random.default_rng(2)
+    ids = np.concatenate([rng.integers(0, 3, 400), np.tile(rng.integers(0, 3, 50), 4)])
+    for length in (1, 2, 5, 35):
+        number = numbered_windows(ids, length)
+        kinds = {}
+        want = [kinds.setdefault(tuple(ids[p : p + length]), len(kinds)) for p in range(len(ids) - length + 1)]
+        assert len(set(number)) == len(kinds) and len({(a, b) for a, b in zip(number.tolist(), want, strict=True)}) == len(kinds)
+
+
+def test_sparse_product_is_exact():
+    rng = np.random.default_rng(3)
+    base = rng.choice(5000, 120, replace=False)
+    sets = [np.unique(np.concatenate([base[rng.random(120) < 0.95], rng.integers(5000, 9000, rng.integers(1, 30))])).astype(np.uint64) for _ in range(80)]
+    brute = np.array([[100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)) for b in sets] for a in sets])
+    for pairs in (50, 2_000_000):
+        with mock.patch.object(ngram_module, "PAIRS", pairs):
+            assert (overlaps(sets, None, 80) == brute).all()
+            assert (overlaps(sets[:30], sets[30:], 80) == brute[:30, 30:]).all()
+
+
+def test_one_template_in_all_documents(docs):
+    """A passage that all share builds no link, and the near copies beside it are found."""
+    rng = random.Random(4)
+    template = " ".join(f"t{k}" for k in range(60))
+    rows = [(k, template + " " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(30))) for k in range(150)]
+    rows += [(1000 + k, f"{rows[k][1]} end") for k in range(0, 150, 10)]
+    got = {r.doc_id: r.component_id for r in ngram_join(docs(rows), block=16).collect()}
+    assert got == {i: i % 1000 if i >= 1000 else i for i, _ in rows}
