@@ -1,6 +1,6 @@
 import numpy as np
 
-from tessera.llm.embedding_join import embedding_join
+from tessera.llm.embedding_join import embedding_join, pivot_count
 
 SCHEMA = "vec_id long, embedding array<float>, label int, rep int"
 
@@ -42,3 +42,23 @@ def test_empty_null_ids_and_repeated_rows(spark):
     t = spark.createDataFrame([(None, [1.0, 0.0], 0, 0), (4, [1.0, 0.0], 0, 0), (4, [1.0, 0.0], 0, 0), (2, [0.9, 0.01], 0, 0)], SCHEMA)
     got = sorted((r.vec_id or 0, r.n_links, r.component_id) for r in embedding_join(t).collect())
     assert got == [(0, 0, None), (2, 2, 2), (4, 2, 2), (4, 2, 2)]
+
+
+def test_extreme_lengths_and_ties(spark):
+    rows = [(1, [1e200, 1e199]), (2, [1e-200, 1e-201]), (3, [10.0, 1.0]), (4, [-1e308, 1e308]), (5, [5e-324, 0.0]), (6, [3.0, 4.0]), (7, [4.0, 3.0]), (8, [0.0, -0.0])]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join(t).collect()}
+    assert got[1] == got[2] == got[3] == (3, 1) and got[5] == (3, 1) and got[4] == (0, 4) and got[8] == (0, 8)
+    assert got[6] == (1, 6) and got[7] == (1, 6)  # 0.96
+    tie = {r.vec_id: r.n_links for r in embedding_join(t.filter("vec_id in (6, 7)"), cosine=0.96).collect()}
+    assert set(tie.values()) <= {0, 1} and len(set(tie.values())) == 1
+
+
+def test_many_invalid_vectors_and_clashing_names(spark):
+    rows = [(k, None if k % 2 else [0.0, 0.0], k) for k in range(3000)] + [(None, [1.0, 2.0], 1)]
+    got = embedding_join(spark.createDataFrame(rows, "vec_id long, embedding array<float>, cell int")).collect()
+    assert len(got) == 3001 and all(r.n_links == 0 and r.component_id == r.vec_id for r in got)
+
+
+def test_pivots_grow():
+    assert [pivot_count(n, 16384) for n in (0, 1, 16385, 10**8, 10**10)] == [1, 1, 2, 6104, 100_000]
