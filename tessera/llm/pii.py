@@ -1,16 +1,20 @@
 """PII: keyed surrogates.
 
-Detected e-mail addresses, phone numbers, card numbers, IPv4 addresses, IBANs, national
-ids, secrets and names of people are replaced by surrogates of the same type
-and form.  A surrogate is a keyed permutation of the entity's own
+Detected e-mail addresses, phone numbers, card numbers (with a valid check digit, or in the groups of
+cards), IPv4 and IPv6 addresses, IBANs, national ids, secrets, access tokens and names of people are
+replaced by surrogates of the same type and form.  A surrogate is a keyed bijection on the entity's own
 format (letters stay letters of their script and case, digits digits, check
 digits and country codes valid), so equal entities get equal surrogates everywhere and
-distinct entities distinct ones, with no table shared between tasks.
-Given names are permuted inside a list of one gender and script.  In each
+distinct entities distinct ones, with no table shared between tasks.  The bijection is a permutation
+that is followed by one step and undone, ``P^-1(P(x) + 1)``: it maps nothing to itself.
+Given names move inside a list of one gender and script.  In each
 document a collision check then compares surrogates with each other and with the document's
-real entities; a clash draws the next keyed permutation.  Forms with few members (a lone initial,
+real entities; a clash takes another step, and this one entity is then called otherwise than in other documents. Forms with few members (a lone initial,
 signs only) give way after ``DRAWS`` draws to letters or digits that grow, so a free one is always found.
 
+Names are found by titles, by known given names, and by context: two capitalised words or more after words such
+as "Dear", "Contact:" or "met", or before "said", "wrote" and the like.
+
 Each text is handled whole and alone: a map without a shuffle.
 
 Defined cases: a null text stays null and has no entities; an empty text stays
@@ -79,19 +83,44 @@ _GIVEN = rf"(?:{'|'.join(sorted({n for x in GIVEN.values() for n in x}, key=len,
 NAMES = re.compile(rf"(?<!\w)(?:{_TITLE}|{_GIVEN})(?=[  ][^\W\d_])")
 _PART = re.compile(rf"[  ]((?:[^\W\d_]\.)+(?!\w)|{_WORD}(?!\w))")
 _HINTS = re.compile("|".join(rf"{re.escape(t)}\b" for t in sorted({*MALE_TITLES, *FEMALE_TITLES, *TITLES, *(n for x in GIVEN.values() for n in x)})))
+#: Fixed: words that announce a name, before and after it.
+LABELS = ("Name", "Contact", "Author", "Attn", "Attention", "Customer", "Patient", "Employee", "Signed", "Owner", "Cc")
+BEFORE = ("Dear", "met", "with", "by", "from", "named", "called", "asked", "told", "Sincerely,", "Regards,")
+AFTER = ("met", "said", "says", "wrote", "writes", "called", "asked", "told", "replied", "lives", "works", "emailed", "was born")
+_CAPITAL = r"(?=[^\W\d_])[A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĖĘĚĞĢĪİĶĹĽŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽА-ЯЁ]"
+_NAME_WORD = rf"{_CAPITAL}(?:\.|[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w.]*@))"
+_NAMED = rf"{_CAPITAL}[^\W\d_]+(?:['’\-][^\W\d_]+)*(?:[  ]{_NAME_WORD})*[  ]{_CAPITAL}[^\W\d_]+(?:['’\-][^\W\d_]+)*"
+_CUE = re.compile(rf"(?<!\w)(?:(?:{'|'.join(LABELS)})[ ]?:[ ]?|(?:{'|'.join(BEFORE)})\s)(?={_CAPITAL})")
+_VERB = re.compile(rf"(?<=[^\W\d_])(?=[  ](?:{'|'.join(AFTER)})(?!\w))")
+_FORWARD = re.compile(rf"{_NAMED}(?![\w@])")
+_BACKWARD = re.compile(rf"(?<![\w'’\-@.]){_NAMED}$")
+#: Characters before a verb in which a name is looked for.
+_NAME_REACH = 160
 EMAIL = r"(?P<email>\w(?:[\w.%+\-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
-NUMBERS = re.compile(
+_GROUP = r"[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{1,7}}:|::(?:{_GROUP}:){{0,6}}{_GROUP}"
+SECRETS = re.compile(
     r"(?<![\w@])(?:"
-    r"(?P<secret>(?i:(?:api[_-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*[\"'][^\"'\s]{6,}[\"']))"
-    r"|(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
-    r"|(?P<hex>(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w))"
-    r"|(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9]{20,})"
+    r"(?P<secret>(?i:(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*(?:[\"'][^\"'\s]{6,}[\"']|(?=[^\s\"',;]*[^\W\d_])(?=[^\s\"',;]*\d)[^\s\"',;]{6,})))"
+    r"|(?P<jwt>eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})"
+    r"|(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{30,})"
+    r")"
+)
+#: What a text with one of these has in it; cheap to look for.
+_SECRET_WORDS, _SECRET_STARTS = ("key", "token", "secret", "passw", "pwd"), ("AKIA", "ASIA", "gh", "k_live_", "k_test_", "sk-", "xox", "AIza", "eyJ")
+HEX = re.compile(r"(?<![\w@])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")
+NUMBERS = re.compile(
+    r"(?<![\w@])(?=[\d+(]|[A-Z][A-Z]\d)(?:"
+    r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
     r"|(?P<ip>(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d))"
     r"|(?P<card>\d(?:[ \-]?\d){12,18}(?!\d))"
     r"|(?P<ssn>\d{3}-\d{2}-\d{4}(?!\d))"
-    r"|(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\d)|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d))"
+    r"|(?P<phone>\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){1,4}(?!\d)|0\d{1,4}[ \-]\d{3,4}[ \-]\d{3,4}(?![\d\-])|\(?\d{3}\)?[ .\-]\d{3}[ .\-]\d{4}(?!\d))"
     r")"
 )
+_IPV6 = re.compile(rf"(?<![\w:.])(?:{IPV6})(?![\w:]|\.\w)")
+_COLONS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]*:[0-9A-Fa-f:]*:[0-9A-Fa-f]*")
+_CARD = re.compile(r"\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5}")
 _EMAIL = re.compile(EMAIL)
 
 
@@ -119,6 +148,23 @@ class Keyed:
             if x < size:
                 return x
 
+    def unpermute(self, x: int, size: int, tweak: bytes) -> int:
+        """The inverse of ``permute``."""
+        a = math.isqrt(size - 1) + 1
+        b = -(-size // a)
+        while True:
+            left, right = divmod(x, b)
+            for n in reversed(range(4)):
+                right = (right - self._round(tweak, 2 * n + 1, left, b)) % b
+                left = (left - self._round(tweak, 2 * n, right, a)) % a
+            x = left * b + right
+            if x < size:
+                return x
+
+    def moved(self, x: int, size: int, tweak: bytes) -> int:
+        """A keyed bijection without a fixed point, but for a range of one."""
+        return x if size < 2 else self.unpermute((self.permute(x, size, tweak) + 1) % size, size, tweak)
+
     def text(self, s: str, tweak: bytes) -> str:
         """``s`` with each character moved inside its class; forms (classes and cases) never change."""
         low = "".join(map(_lower, s))
@@ -132,7 +178,7 @@ class Keyed:
         shape = "".join(chr(_CLASS[c]) if c in _CLASS else c for c in low)
         if odd := [c for c in s if len(c.lower()) != 1]:
             shape += "|" + "".join(odd)
-        x = self.permute(x, size, tweak + shape.encode())
+        x = self.moved(x, size, tweak + shape.encode())
         out = []
         for c, was in zip(reversed(low), reversed(s), strict=True):
             if c in _CLASS:
@@ -143,7 +189,7 @@ class Keyed:
         return "".join(reversed(out))
 
     def hexadecimal(self, s: str, tweak: bytes) -> str:
-        out = format(self.permute(int(s, 16), 16 ** len(s), tweak + b"%d" % len(s)), f"0{len(s)}x")
+        out = format(self.moved(int(s, 16), 16 ** len(s), tweak + b"%d" % len(s)), f"0{len(s)}x")
         return out.upper() if s != s.lower() else out
 
 
@@ -160,6 +206,12 @@ def iban_check(country: str, rest: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
 
 
+def is_card(s: str) -> bool:
+    """A valid check digit, or the groups in which cards are written."""
+    d = "".join(c for c in s if c.isdigit())
+    return luhn(d[:-1]) == int(d[-1]) or bool(_CARD.fullmatch(s))
+
+
 def _refill(shape: str, digits: str, skip: int = 0) -> str:
     """``shape`` with its digits, but the first ``skip``, taken from ``digits``."""
     rest, out = iter(digits), []
@@ -171,6 +223,10 @@ def _refill(shape: str, digits: str, skip: int = 0) -> str:
     return "".join(out)
 
 
+#: A secret: what stands before its value, the value, the quote after it.
+_VALUE = re.compile(r"(?s)([^=:]*[=:]\s*[\"']?)(.*?)([\"']?)")
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         self.keyed = Keyed(key)
@@ -195,10 +251,10 @@ class Surrogates:
 
     def _wide_ip(self, s: str, t: bytes, more: int) -> str:
         x = int.from_bytes(bytes(map(int, s.split("."))), "big")
-        return ".".join(map(str, self.keyed.permute(x, 256**4, t + b"wide").to_bytes(4, "big")))
+        return ".".join(map(str, self.keyed.moved(x, 256**4, t + b"wide").to_bytes(4, "big")))
 
     def _wide_secret(self, s: str, t: bytes, more: int) -> str:
-        m = re.fullmatch(r"(?s)(.*?[\"'])(.*)([\"'])", s)
+        m = _VALUE.fullmatch(s)
         return m[1] + self._letters(m[2], t, more) + m[3]
 
     def _wide_name(self, s: str, t: bytes, more: int) -> str:
@@ -216,7 +272,7 @@ class Surrogates:
 
     def _card(self, s: str, t: bytes) -> str:
         d = "".join(c for c in s if c.isdigit())
-        body = str(self.keyed.permute(int(d[:-1]), 10 ** (len(d) - 1), t + b"%d" % len(d))).zfill(len(d) - 1)
+        body = str(self.keyed.moved(int(d[:-1]), 10 ** (len(d) - 1), t + b"%d" % len(d))).zfill(len(d) - 1)
         # a valid number stays valid, another stays off by as much
         return _refill(s, body + str((luhn(body) + int(d[-1]) - luhn(d[:-1])) % 10))
 
@@ -225,18 +281,18 @@ class Surrogates:
         country = re.match(r"\+(\d{1,3})(?=[ .\-(])", s)
         code = len(country[1]) if country else min(3, max(0, len(d) - 10))
         body = d[code:]
-        return _refill(s, str(self.keyed.permute(int(body), 10 ** len(body), t + b"%d" % len(body))).zfill(len(body)), code)
+        return _refill(s, str(self.keyed.moved(int(body), 10 ** len(body), t + b"%d" % len(body))).zfill(len(body)), code)
 
     def _ssn(self, s: str, t: bytes) -> str:
-        return _refill(s, str(self.keyed.permute(int(s.replace("-", "")), 10**9, t)).zfill(9))
+        return _refill(s, str(self.keyed.moved(int(s.replace("-", "")), 10**9, t)).zfill(9))
 
     def _ip(self, s: str, t: bytes) -> str:
         a = [int(x) for x in s.split(".")]
         fixed = 1 if a[0] in (10, 127) else 2 if (a[0] == 192 and a[1] == 168) or (a[0] == 172 and 16 <= a[1] < 32) or (a[0] == 169 and a[1] == 254) else 0
         if fixed:
             size, x = 256 ** (4 - fixed), int.from_bytes(bytes(a[fixed:]), "big")
-            return ".".join(map(str, a[:fixed] + list(self.keyed.permute(x, size, t + bytes(a[:fixed])).to_bytes(4 - fixed, "big"))))
-        return ".".join(map(str, self.keyed.permute(int.from_bytes(bytes(a), "big"), 256**4, t).to_bytes(4, "big")))
+            return ".".join(map(str, a[:fixed] + list(self.keyed.moved(x, size, t + bytes(a[:fixed])).to_bytes(4 - fixed, "big"))))
+        return ".".join(map(str, self.keyed.moved(int.from_bytes(bytes(a), "big"), 256**4, t).to_bytes(4, "big")))
 
     def _iban(self, s: str, t: bytes) -> str:
         flat = s.replace(" ", "")
@@ -247,12 +303,20 @@ class Surrogates:
     def _hex(self, s: str, t: bytes) -> str:
         return self.keyed.hexadecimal(s, t)
 
+    def _ipv6(self, s: str, t: bytes) -> str:
+        # group by group, so that the way it is written stays; a leading 2000::/3 stays one
+        parts = re.split("(:)", s)
+        return "".join(x if k % 2 or not x else x[:1] * (k == 0) + (self.keyed.hexadecimal(x[k == 0 :], t + b"%d" % k) if x[k == 0 :] else "") for k, x in enumerate(parts))
+
+    def _jwt(self, s: str, t: bytes) -> str:
+        return "eyJ" + ".".join(self.keyed.text(x, t + b"%d" % k) for k, x in enumerate(s[3:].split(".")))
+
     def _key(self, s: str, t: bytes) -> str:
-        start = 4 if s[:2] != "sk" else 3
+        start = re.match(r"[A-Za-z]+_(?:live_|test_)?|sk-|xox[a-z]-|.{4}", s).end()
         return s[:start] + self.keyed.text(s[start:], t)
 
     def _secret(self, s: str, t: bytes) -> str:
-        m = re.fullmatch(r"(?s)(.*?[\"'])(.*)([\"'])", s)
+        m = _VALUE.fullmatch(s)
         value = m[2]
         plain = re.fullmatch(r"[0-9a-f]{8,}|[0-9A-F]{8,}", value)
         return m[1] + (self.keyed.hexadecimal(value, b"hex" + t[6:]) if plain else self.keyed.text(value, t)) + m[3]
@@ -268,7 +332,7 @@ class Surrogates:
             known = next((v for v in GIVEN.items() if w in v[1] and gender in (None, v[0][0])), None)
             if known:
                 gender = known[0][0]
-                out.append(known[1][self.keyed.permute(known[1].index(w), len(known[1]), t + "".join(known[0]).encode())])
+                out.append(known[1][self.keyed.moved(known[1].index(w), len(known[1]), t + "".join(known[0]).encode())])
             else:
                 out.append(self.keyed.text(w, b"surname" + t[4:]))
         return "".join(out)
@@ -281,8 +345,25 @@ def detect(text: str) -> list[tuple[int, int, str]]:
         # an address has no white space: look only at the words around each sign
         for m in re.finditer(r"[^\s@]*@[^\s@]*", text):
             found += [(m.start() + x.start(), m.start() + x.end(), "email") for x in _EMAIL.finditer(m[0])]
-    if _DIGIT.search(text) or _SECRET.search(text):
-        found += [(m.start(), m.end(), m.lastgroup) for m in NUMBERS.finditer(text)]
+    low = text.lower()
+    if any(x in low for x in _SECRET_WORDS) or any(x in text for x in _SECRET_STARTS):
+        found += [(m.start(), m.end(), m.lastgroup) for m in SECRETS.finditer(text)]
+    if _HEX_RUN.search(text):
+        found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
+    if _DIGIT.search(text):
+        at = 0
+        while m := NUMBERS.search(text, at):
+            at = m.end()
+            if m.lastgroup == "card" and not is_card(m[0]):
+                # the digits are no card; something shorter may begin behind the first group
+                at = m.start() + len(re.match(r"\d+", m[0])[0])
+                continue
+            found.append((m.start(), m.end(), m.lastgroup))
+    if text.count(":") > 1:
+        for part in _COLONS.finditer(text):
+            m = _IPV6.match(text, part.start())
+            if m and (m[0].count(":") > 3 or len(m[0]) > 6) and re.search(r"\d", m[0]):
+                found.append((m.start(), m.end(), "ipv6"))
     if _HINTS.search(text):
         at = 0
         while m := NAMES.search(text, at):
@@ -293,6 +374,12 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             at = end
             if end > m.end():
                 found.append((m.start(), end, "name"))
+    near: list[tuple[int, int]] = [m.span() for cue in _CUE.finditer(text) if (m := _FORWARD.match(text, cue.end()))]
+    for verb in _VERB.finditer(text):
+        lo = max(0, verb.start() - _NAME_REACH)
+        if m := _BACKWARD.search(text[lo : verb.start()]):
+            near.append((lo + m.start(), lo + m.end()))
+    found += [(a, z, "name") for a, z in near if not any(w.rstrip(".") in _TITLES for w in text[a:z].split())]
     found.sort(key=lambda x: (x[0], -x[1]))
     out, last = [], 0
     for x in found:
@@ -303,7 +390,7 @@ def detect(text: str) -> list[tuple[int, int, str]]:
 
 
 _DIGIT = re.compile(r"\d")
-_SECRET = re.compile(r"(?i:(?:key|token|secret|passw|pwd)\S*\s*[=:])|AKIA|ASIA|gh[pousr]_|sk-")
+_HEX_RUN = re.compile(r"[0-9A-Fa-f]{32}")
 
 
 def normal(kind: str, s: str) -> str:
