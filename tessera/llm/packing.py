@@ -8,7 +8,9 @@ of one length share a bucket, from which batches are drawn.  There is no shuffle
 each task tokenises, cuts and numbers its own rows.
 
 Defined cases: a null or empty text is the separator alone; repeated rows and
-null ids are documents of their own; other columns are ignored.
+null ids are documents of their own; other columns are ignored.  Sequence ids are unique and the same
+for the same partitions of the input; a piece and its id are made together, so a task that runs again
+replaces both.
 """
 
 from __future__ import annotations
@@ -27,12 +29,26 @@ SEPARATOR = 0
 #: Unbroken runs beyond this many bytes go to the library whose merges take n log n steps.
 LONG_RUN = 1000
 BATCH_IDS = 1 << 18
-#: Fixed: the splitting pattern of byte-level BPE vocabularies of this kind.
+#: Fixed: the splitting pattern that a vocabulary file means by ``ByteLevel`` with ``use_regex``.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def plain_byte_level(spec: dict) -> bool:
+    """Does a vocabulary file ask for nothing but the pattern and merges in the order of their ids."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    if spec.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex") or split.get("add_prefix_space"):
+        return False
+    if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+        return False
+    made = [model["vocab"].get("".join(m.split(" ") if isinstance(m, str) else m)) for m in model["merges"]]
+    return None not in made and all(a < b for a, b in zip(made, made[1:], strict=False)) and not any(x.get("lstrip") or x.get("rstrip") or x.get("single_word") or x.get("normalized") for x in spec["added_tokens"])
+
+
 class Encoder:
-    """Ids of a byte-level BPE vocabulary file, special tokens in a text included."""
+    """Ids of a BPE vocabulary file, special tokens in a text included.
+
+    A file that is no plain byte-level BPE is left to the library that reads it; one without ids is refused.
+    """
 
     def __init__(self, path: str):
         import tiktoken
@@ -41,6 +57,11 @@ class Encoder:
         self.exact = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        if not spec["model"].get("vocab"):
+            raise ValueError(f"{path} has no vocabulary")
+        self.fast = None
+        if not plain_byte_level(spec):
+            return
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         # byte-level alphabets write the printable bytes as themselves and the others from U+0100 on
         plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -50,7 +71,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         words = text.split()
-        if words and max(map(len, words)) > LONG_RUN or len(text) - sum(map(len, words)) - len(words) > LONG_RUN:
+        if self.fast is None or words and max(map(len, words)) > LONG_RUN or len(text) - sum(map(len, words)) - len(words) > LONG_RUN:
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4")
         return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
 

@@ -6,13 +6,14 @@ logistic loss on the differences of their statistics; then a quantile of the
 scores, the share of label 0 among the labelled documents, becomes the threshold.
 
 The classifier is fitted on a bounded sample of labelled rows (``most`` of them,
-lowest hash of the id first; ``rounds`` pairs for each document of the rarer label), on the
-driver; scoring is a map without a shuffle.
+lowest hash of the id first) and of their pairs (``pairs`` at most, ``rounds`` for each document of the
+more frequent label), on the driver; scoring is a map without a shuffle.
 
 Defined cases: null and empty texts have statistics of zero and are scored like
 any text; labels with a null id or value, or that contradict each other, are not learned
-from; without labels of both kinds every score is ``cut``; repeated rows and null ids are
-scored each by its text; other columns are ignored.
+from; of rows that repeat a labelled id the text that sorts first is learned from; without labels of both kinds
+every score is ``cut``; a score equal to ``cut`` passes, so ties at the threshold pass together; repeated rows and
+null ids are scored each by its text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from tessera.llm.slots import tidy
 from tessera.llm.stats import column_counts
 
 MOST = 20_000
+PAIRS = 200_000
 ROUNDS = 32
 CUT = 0.7
 
@@ -80,7 +82,7 @@ class Ranking:
         return np.where(z >= 0, 1 / (1 + np.exp(-np.abs(z))), np.exp(-np.abs(z)) / (1 + np.exp(-np.abs(z))))
 
 
-def bradley_terry(x: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, cut: float = CUT, ridge: float = 1.0, steps: int = 30) -> Ranking:
+def bradley_terry(x: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, cut: float = CUT, ridge: float = 1.0, steps: int = 30, pairs: int = PAIRS) -> Ranking:
     """Newton steps on the logistic loss of ``x[better] - x[worse]`` over fixed pairings."""
     good, bad = x[label == 1], x[label == 0]
     if not len(good) or not len(bad):
@@ -88,8 +90,8 @@ def bradley_terry(x: np.ndarray, label: np.ndarray, rounds: int = ROUNDS, cut: f
     middle, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1
     good, bad = (np.clip((v - middle) / scale, -8, 8) for v in (good, bad))
-    n = max(len(good), len(bad)) if min(len(good), len(bad)) * rounds > max(len(good), len(bad)) else min(len(good), len(bad))
-    k = np.arange(n * max(1, min(rounds, 200_000 // n)))
+    n = max(len(good), len(bad))
+    k = np.arange(max(n, min(n * rounds, pairs)))
     # pairings walk both lists with different strides, so rounds differ
     d = good[(k * 7919 + k // n) % len(good)] - bad[(k + k // n) % len(bad)]
     w = np.zeros(x.shape[1])
@@ -125,7 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, rounds: int = ROUN
             x = features(column_counts(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    got = rows.select("doc_id", "label", "text").mapInArrow(measure, "doc_id long, label int, x array<double>").orderBy("doc_id").limit(2 * most).collect()
+    one = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))  # a label per id
+    got = one.mapInArrow(measure, "doc_id long, label int, x array<double>").orderBy("doc_id").collect()  # ``most`` rows at most
     if not got:
         return Ranking(cut=cut)
     return bradley_terry(np.array([r["x"] for r in got]), np.array([r["label"] for r in got]), rounds, cut)

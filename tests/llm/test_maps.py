@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, merge_dropout, packing, pii, quality
+from tessera.llm import outliers as mcd
 from tessera.llm.outliers import outliers
 from tessera.llm.stats import COUNTS, column_counts
 
@@ -117,6 +118,76 @@ def test_outliers(docs, spark):
     assert outliers(docs([]).limit(0)).count() == 0
 
 
+def brute_mcd(rows, core=0.5, inner=0.975, outer=0.999):
+    """Squared distance and verdict for the texts of one group, in memory."""
+    counts = column_counts(pa.array([t or "" for _, t in rows]))
+    failed = (counts["n_words"] < 50) | (100 * counts["n_repeat_words"] > 50 * counts["n_words"])
+    every = mcd.vector(counts)
+    x = every[~failed]
+    lowest = lambda v, q: np.sort(v)[int(np.ceil(q * len(v))) - 1]
+    floor = mcd.noise(lowest(counts["n_words"][~failed], 0.5), lowest(counts["n_lines"][~failed], 0.5))
+    near = lambda v: np.round(v * 10_000) / 10_000
+    middle = np.array([lowest(near(c), 0.5) for c in x.T])
+    scale = np.array([lowest(near(np.abs(c - m)), 0.5) for c, m in zip(x.T, middle, strict=True)]) * 1.4826
+    scale = scale**2 + floor
+
+    def estimate(y, factor):
+        return y.mean(axis=0), np.cov(y.T, bias=True) * factor + np.diag(floor)
+
+    def squared(y, m, c):
+        return np.einsum("ij,jk,ik->i", y - m, np.linalg.inv(c), y - m)
+
+    radius = np.sqrt(((x - middle) ** 2 / scale).sum(axis=1))
+    drawn = middle + np.minimum(1, np.sqrt(mcd.chi_square(0.5)) / np.maximum(radius, 1e-9))[:, None] * (x - middle)
+    best = None
+    for m, c in ((middle, np.diag(scale)), estimate(x, 1), estimate(drawn, 1)):
+        last = np.inf
+        for _ in range(20):
+            d = np.floor(np.log(np.maximum(squared(x, m, c), 1e-12)) * 10_000)
+            m, c = estimate(x[d <= lowest(d, core)], mcd.consistency(core))
+            det = np.linalg.slogdet(c)[1]
+            if det > last - 1e-6:
+                break
+            last = det
+        if best is None or det < best[0] - 1e-6:
+            best = det, m, c
+    inside = x[squared(x, *best[1:]) <= mcd.chi_square(inner)]
+    d = squared(every, *estimate(inside, mcd.consistency(inner)))
+    return {i: (v, not f and v <= mcd.chi_square(outer)) for (i, _), v, f in zip(rows, d, failed, strict=True)}
+
+
+def test_outliers_as_in_memory(docs):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
+    rows = []
+    for k in range(240):
+        words = [word() for _ in range(rng.randint(60, 200))]
+        if k % 9 == 0:
+            words = [w.upper() + "!" if rng.random() < k / 240 else w for w in words]
+        elif k % 11 == 0:
+            words = ["#" + w if rng.random() < 0.5 else w for w in words]
+        rows.append((k, (" " if k % 2 else "\n").join(words)))
+    rows += [(300 + k, rows[5][1]) for k in range(90)] + [(400, None)]  # a third are copies of one text
+    want = brute_mcd(rows)
+    got = {r.doc_id: r for r in outliers(docs(rows)).collect()}
+    assert {i: r.kept for i, r in got.items()} == {i: bool(k) for i, (_, k) in want.items()}
+    assert all(abs(got[i].distance - d) < 1e-3 * max(1, d) for i, (d, _) in want.items())
+    assert 15 < sum(not k for _, k in want.values()) < 90
+    assert {r.doc_id: r.kept for r in outliers(docs(rows).repartition(7)).collect()} == {i: r.kept for i, r in got.items()}
+
+
+def test_chi_square():
+    for p, d, q in ((0.5, 7, 6.346), (0.975, 7, 16.013), (0.999, 7, 24.322), (0.95, 1, 3.841), (0.99, 10, 23.209)):
+        assert abs(mcd.chi_square(p, d) - q) < 1e-3
+
+
+def test_outliers_odd_rows(docs):
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = docs([(None, text, 1), (7, text, 2), (7, text, 3), (7, None, 4)], ", salt int")
+    got = outliers(rows).collect()
+    assert len(got) == 4 and sum(r.kept for r in got) == 3 and sum(r.doc_id is None for r in got) == 1
+
+
 def test_quality(docs, spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
@@ -130,7 +201,7 @@ def test_quality(docs, spark):
     table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     ranking = quality.fit(docs(rows), table)
     got = {r.doc_id: r.score for r in quality.score(docs(rows + [(500, None), (501, "")]), ranking).collect()}
-    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2]
+    held = [k for k in range(400) if zlib.crc32(str(k).encode()) % 4 == 2]  # the fold that is not learned from
     assert sum((got[k] >= 0.7) == (k % 5 != 0) for k in held) / len(held) > 0.97
     assert all(0 <= s <= 1 for s in got.values()) and got[500] == got[501]
     blank = quality.fit(docs(rows), table.filter("quality = 1"))
@@ -190,11 +261,84 @@ def test_whole_names_all_letters_and_no_clash():
         assert len(set(got)) == len(names) and not set(got) & set(names)
 
 
+def planted(rng):
+    """A text with one entity of each kind, in forms and words of its own, and what they are."""
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    name = lambda: f"{letters(rng.randint(3, 8)).capitalize()} {letters(rng.randint(4, 9)).capitalize()}"
+    card = digits(15)
+    card += str(pii.luhn(card))
+    key = lambda n: "".join(rng.choice("ABCDEFabcdef0123456789") for _ in range(n))
+    some = {
+        "email": rng.choice([f"{letters(5)}.{letters(6)}@{letters(7)}.com", f"{letters(4)}{digits(2)}@{letters(5)}.{letters(4)}.org"]),
+        "card": rng.choice([card, " ".join(card[k : k + 4] for k in range(0, 16, 4))]),
+        "phone": rng.choice([f"+{digits(2)} {rng.randint(100, 999)} {digits(3)} {digits(4)}", f"(2{digits(2)}) {digits(3)}-{digits(4)}", f"020 {digits(4)} {digits(4)}"]),
+        "ip": ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+        "ipv6": ":".join(f"{rng.randrange(4096, 65536):x}" for _ in range(8)),
+        "ssn": f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "jwt": f"eyJ{key(12)}.eyJ{key(20)}.{key(24)}",
+        "key": rng.choice([f"sk_live_{key(24)}", "AKIA" + "".join(rng.choice("ABCDEFGH234567") for _ in range(16)), f"ghp_{key(36)}"]),
+        "secret": rng.choice([f'password = "{letters(6)}{digits(2)}"', f"pwd: {letters(6)}{digits(2)}", f"token={key(16)}1a"]),
+        "name": name(),
+    }
+    said = rng.choice(["Dear {}, hello", "Contact: {} today", "then {} said so", "we met {} there", "Mr. {} came"]).format(some["name"])
+    if said.startswith("Mr."):
+        some["name"] = "Mr. " + some["name"]
+    parts = [said, *(f"see {v} here" for k, v in some.items() if k != "name")]
+    rng.shuffle(parts)
+    return "; ".join(parts), some
+
+
+def test_recall_and_precision_for_each_kind():
+    rng = random.Random(77)
+    hit, found, true = Counter(), Counter(), Counter()
+    for _ in range(300):
+        text, some = planted(rng)
+        got = {(text[a:z], kind) for a, z, kind in pii.detect(text)}
+        for kind, value in some.items():
+            true[kind] += 1
+            hit[kind] += (value, kind) in got
+        for value, kind in got:
+            found[kind] += 1
+    for kind in true:
+        assert hit[kind] >= 0.9 * true[kind], (kind, hit[kind])
+        assert hit[kind] >= 0.9 * found[kind], (kind, hit[kind], found[kind])
+    for clean in ("Section 1.2.3 of 12:30:45", "std::vector<int> a::b", "the number 1234567890123 counts", "isbn 978-3-16-148410-0 ok", "key: value and token: nothing", "9807915762804490 items"):
+        assert pii.detect(clean) == []
+
+
+def test_distinct_over_the_whole_corpus():
+    """Bijections without fixed points: distinct entities of all texts stay distinct, none is itself, the same everywhere."""
+    s = pii.Surrogates(b"k")
+    for size in (2, 3, 26, 257, 1000):
+        moved = [s.keyed.moved(x, size, b"t") for x in range(size)]
+        assert sorted(moved) == list(range(size)) and all(x != y for x, y in enumerate(moved))
+        assert [s.keyed.unpermute(s.keyed.permute(x, size, b"t"), size, b"t") for x in range(size)] == list(range(size))
+    rng = random.Random(3)
+    to: dict = {}
+    for _ in range(400):
+        text, _ = planted(rng)
+        new, entities = pii.replace(text, s)
+        for e in entities:
+            old = (e["kind"], pii.normal(e["kind"], text[e["start"] : e["start"] + e["length"]]))
+            got = pii.normal(e["kind"], new[e["new_start"] : e["new_start"] + e["new_length"]])
+            assert got != old[1] and to.setdefault(old, got) == got
+    by_kind = Counter((k, v) for (k, _), v in to.items())
+    assert max(by_kind.values()) == 1 and len(to) > 3500
+
+
+def test_texts_that_leaked():
+    s = pii.Surrogates(b"k")
+    for text, secret in (('token="------"', "------"), ('token = "١٢٣٤٥٦٧٨"', "١٢٣٤٥٦٧٨"), ("Dr. Łukasz Żółć", "Żółć"), ("İnan@corp.com", "İnan"), ("Zelda Smith met Bob Jones", "Smith"), ("at 2001:db8::8a2e:370:7334 now", "8a2e")):
+        new, entities = pii.replace(text, s)
+        assert entities and secret not in new
+
+
 def test_surrogate_rows(docs):
-    rows = docs([(1, "a@b.com", 3), (1, "a@b.com", 3), (2, None, 4), (None, "", 5)], ", c0 int")
-    got = pii.surrogate_pii(rows, "k", keep=["doc_id", "c0"]).collect()
-    assert sorted((r.c0, r.text, len(r.entities)) for r in got if r.text is not None) == sorted((r.c0, r.text, len(r.entities)) for r in got if r.c0 != 4)
-    assert {r.text for r in got if r.c0 == 3} == {got[0].text if got[0].c0 == 3 else next(r.text for r in got if r.c0 == 3)}
+    rows = docs([(1, "a@b.com", 3), (1, "a@b.com", 3), (2, None, 4), (None, "", 5), (3, "x" * 500_000 + " a@b.com", 6)], ", c0 int")
+    got = {(r.doc_id, r.c0): (r.text, len(r.entities)) for r in pii.surrogate_pii(rows, "k", keep=["doc_id", "c0"]).collect()}
+    assert got[2, 4] == (None, 0) and got[None, 5] == ("", 0) and got[1, 3][1] == 1 and "a@b.com" not in got[1, 3][0]
+    assert got[3, 6][1] == 1 and got[3, 6][0] == "x" * 500_000 + " " + got[1, 3][0]
     assert pii.surrogate_pii(docs([]).limit(0), "k").count() == 0
 
 
@@ -221,3 +365,81 @@ def test_long_chain_and_escapes(spark):
     assert [(t.role, t.text) for t in got[1].turns] == [(r, t) for _, _, r, t in rows[:-1]]
     assert got[1].loss_text == "".join(t for _, _, r, t in rows[:-1] if r == "assistant")
     assert [(t.role, t.text) for t in got[2].turns] == [("odd role\n<|", "x")]
+
+
+def test_buckets_of_lengths(docs, tmp_path, spark):
+    path = packing.tokenizer_path()
+    packed = packing.pack(docs(list(enumerate(texts()))), path)
+    packing.write_buckets(packed, str(tmp_path / "b"))
+    rows = spark.read.parquet(str(tmp_path / "b")).collect()
+    assert len(rows) == packed.count() and all(r.bucket == r.length for r in rows)
+    assert {r.bucket for r in rows} <= {1 << k for k in range(11)}
+
+
+def test_packing_odd_rows(docs):
+    long = "word " * 200_000
+    rows = docs([(None, "a b", 1), (5, "a b", 2), (5, "a b", 3), (6, long, 4)], ", length int")
+    got = packing.pack(rows, packing.tokenizer_path()).collect()
+    total = Counter()
+    for r in got:
+        total[r.doc_id] += r.length
+    assert total[5] == 2 * total[None] and total[6] == 200_002 and len({r.sequence_id for r in got}) == len(got)
+
+
+def test_only_plain_vocabularies_take_the_fast_way():
+    import public_tokenizers
+
+    assert packing.encoder(packing.tokenizer_path()).fast is not None
+    assert packing.Encoder(public_tokenizers.path("word_bpe_49k.json")).fast is None
+
+
+def test_quality_odd_rows(docs, spark):
+    rows = [(k, "fine words here and there" if k % 2 else "BAD!! BAD!! BAD!!") for k in range(40)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(1, 1, 0)], "doc_id long, quality int, toxic int")
+    one, many = (quality.fit(docs(rows * n), labels) for n in (1, 3))
+    assert np.allclose(one.weights, many.weights)
+    table = docs([(1, "fine words here and there", 0.5), (1, "fine words here and there", 0.5), (None, "x" * 500_000, 0.1)], ", label double")
+    got = quality.score(table, one, keep=["doc_id", "label"]).collect()
+    assert len(got) == 3 and got[0].score == got[1].score
+
+
+def reference_merge(model, text, skip):
+    """SentencePiece merging of one segment as the method is described, each candidate asked once."""
+    piece = list(text)
+    begin = list(range(len(piece)))
+    asked = {}
+    while True:
+        best = None
+        for k in range(len(piece) - 1):
+            union = piece[k] + piece[k + 1]
+            if union not in model:
+                continue
+            end = begin[k + 2] if k + 2 < len(piece) else len(text)
+            where = (begin[k], begin[k + 1], end)
+            if where not in asked:
+                asked[where] = skip(*where)
+            if not asked[where] and (best is None or model[union] > best[0]):
+                best = (model[union], k)
+        if best is None:
+            return piece
+        k = best[1]
+        piece[k : k + 2] = [piece[k] + piece[k + 1]]
+        del begin[k + 1]
+
+
+def test_dropout_as_the_method_is_described(monkeypatch):
+    import sentencepiece
+
+    path = merge_dropout.model_path()
+    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = {m.id_to_piece(i): m.get_score(i) for i in range(m.get_piece_size()) if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i))}
+    p = merge_dropout.pieces(path)
+    bar = round(0.3 * (1 << 53))
+    salts = []
+    merge = merge_dropout.merge
+    monkeypatch.setattr(merge_dropout, "merge", lambda v, ids, first, salt, d: (salts.append(salt), merge(v, ids, first, salt, d))[1])
+    for k, word in enumerate(["understanding", "internationalization", "merging", "aaaaaaaa", "thethethe"] * 8):
+        (ids,) = merge_dropout.encode(p, [word], np.zeros(1, int), 5, 0.3, 1, np.array([k]))
+        salt = salts[-1]
+        skip = lambda b, c, e: bool(merge_dropout.skipped(salt[:1], np.array([b]), np.array([c]), np.array([e]), bar)[0])  # noqa: B023, E731
+        assert [m.id_to_piece(int(i)) for i in ids] == reference_merge(model, "▁" + word, skip)
