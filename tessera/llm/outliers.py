@@ -5,8 +5,8 @@ shares and logarithms.  For each language and source a minimum-covariance-
 determinant estimate is found: from several starts (medians with absolute
 deviations; mean with covariance; covariance of vectors drawn in to the ball that
 half of them fill), concentration steps take the share ``core`` of documents with the smallest
-Mahalanobis distance and estimate mean and covariance on them, until the
-determinant settles; the start with the least determinant wins.  One reweighting step estimates once more
+Mahalanobis distance and estimate mean and covariance on them; after two steps the start with the least
+determinant goes on until that settles.  One reweighting step estimates once more
 on all documents within the ``inner`` quantile of the chi-square distribution, and a
 document is rejected when its squared distance exceeds the ``outer`` quantile.
 
@@ -46,14 +46,16 @@ from tessera.llm.stats import column_counts
 
 CORE = 0.5
 LEAST = 50
-#: Concentration steps end here at the latest; they settle after two to six.
-STEPS = 20
+#: Steps of every start; the best start of a group goes on. Steps end at ``STEPS`` at the latest.
+FIRST, STEPS = 2, 20
+#: A logarithm of the determinant that falls by less has settled.
+SETTLED = 1e-4
 INNER, OUTER = 0.975, 0.999
 DIMENSION = 7
 #: Parts of a group in joins with its estimate.
 SALTS = 32
-#: Bins for each unit of a coordinate, and of the logarithm of a distance.
-FINE = 10_000
+#: Bins for each unit of a coordinate, and of the logarithm of a squared distance.
+FINE, DISTANCE_FINE = 10_000, 1_000
 _BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _X = [f"x{k}" for k in range(DIMENSION)]
 
@@ -138,8 +140,8 @@ def reached(rows: DataFrame, by: list[str], bins: dict[str, Column], q: float) -
 
 
 def distance_bin(d: Column) -> Column:
-    """Squared distances in steps of one in ten thousand."""
-    return F.floor(F.log(F.greatest(d, F.lit(1e-12))) * FINE)
+    """Squared distances in steps of one in a thousand."""
+    return F.floor(F.log(F.greatest(d, F.lit(1e-12))) * DISTANCE_FINE)
 
 
 def _squared(mean: str = "mean", precision: str = "precision") -> Column:
@@ -203,21 +205,38 @@ def starts(shaped: DataFrame, size: DataFrame, salt: Column) -> DataFrame:
     return first.unionByName(moments(both, size).withColumn("det", F.lit(float("inf"))))
 
 
+def concentrated(shaped: DataFrame, found: DataFrame, size: DataFrame, core: float) -> DataFrame:
+    """One concentration step of each estimate in ``found``."""
+    salt = F.xxhash64(*_X)
+    near = with_group(shaped, found.select("grp", "start", "mean", "precision"), salt).select("grp", "start", "weight", distance_bin(_squared()).alias("d"), *_X)
+    edge = saved(reached(near, ["grp", "start"], {"edge": F.col("d")}, core)).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    central = near.withColumn("salt", F.pmod(salt, F.lit(SALTS))).join(edge, ["grp", "start", "salt"]).filter("d <= edge")
+    return saved(moments(central, size, consistency(core)))
+
+
 def robust(shaped: DataFrame, size: DataFrame, core: float, steps: int, inner: float) -> DataFrame:
-    """``grp, mean, precision`` by minimum covariance determinant, reweighted."""
+    """``grp, mean, precision`` by minimum covariance determinant, reweighted.
+
+    Each start takes ``FIRST`` steps; the best of a group goes on until its determinant settles, and then leaves the loop.
+    """
     salt = F.xxhash64(*_X)
     found = saved(starts(shaped, size, salt))
-    for _ in range(steps):
-        near = with_group(shaped, found.select("grp", "start", "mean", "precision"), salt).withColumn("d", distance_bin(_squared()))
-        edge = saved(reached(near, ["grp", "start"], {"edge": F.col("d")}, core))
-        core_rows = near.join(edge.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [near["grp"] == edge["grp"], near["start"] == edge["start"], F.pmod(salt, F.lit(SALTS)) == F.col("salt")]).filter("d <= edge").select(near["grp"], near["start"], "weight", *_X)
-        step = saved(moments(core_rows, size, consistency(core)))
-        moved = step.join(found.select("grp", "start", F.col("det").alias("last")), ["grp", "start"]).filter("det < last - 1e-6")
-        found, settled = step, moved.isEmpty()
-        if settled:
+    for _ in range(FIRST):
+        found = concentrated(shaped, found, size, core)
+    least = F.min_by(F.struct("start", "mean", "precision", "det"), F.struct("det", "start")).alias("e")
+    moving = saved(found.groupBy("grp").agg(least).select("grp", "e.*"))
+    settled = []
+    for _ in range(steps - FIRST):
+        step = concentrated(shaped, moving, size, core)
+        judged = saved(step.join(moving.select("grp", F.col("det").alias("last")), "grp").withColumn("moves", F.col("det") < F.col("last") - SETTLED))
+        settled.append(judged.filter("not moves").drop("moves", "last"))
+        moving = judged.filter("moves").drop("moves", "last")
+        if moving.isEmpty():
             break
-    best = found.groupBy("grp").agg(F.min_by(F.struct("mean", "precision"), F.struct("det", "start")).alias("e")).select("grp", F.lit(0).alias("start"), "e.mean", "e.precision")
-    near = with_group(shaped, saved(best), salt).filter(_squared() <= chi_square(inner))
+    for x in settled:
+        moving = moving.unionByName(x)
+    best = saved(moving.select("grp", F.lit(0).alias("start"), "mean", "precision"))
+    near = with_group(shaped, best, salt).filter(_squared() <= chi_square(inner))
     return moments(near, size, consistency(inner)).select("grp", "mean", "precision")
 
 

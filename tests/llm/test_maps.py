@@ -139,19 +139,18 @@ def brute_mcd(rows, core=0.5, inner=0.975, outer=0.999):
 
     radius = np.sqrt(((x - middle) ** 2 / scale).sum(axis=1))
     drawn = middle + np.minimum(1, np.sqrt(mcd.chi_square(0.5)) / np.maximum(radius, 1e-9))[:, None] * (x - middle)
-    best = None
-    for m, c in ((middle, np.diag(scale)), estimate(x, 1), estimate(drawn, 1)):
-        last = np.inf
-        for _ in range(20):
-            d = np.floor(np.log(np.maximum(squared(x, m, c), 1e-12)) * 10_000)
-            m, c = estimate(x[d <= lowest(d, core)], mcd.consistency(core))
-            det = np.linalg.slogdet(c)[1]
-            if det > last - 1e-6:
-                break
-            last = det
-        if best is None or det < best[0] - 1e-6:
-            best = det, m, c
-    inside = x[squared(x, *best[1:]) <= mcd.chi_square(inner)]
+    def step(m, c):
+        d = np.floor(np.log(np.maximum(squared(x, m, c), 1e-12)) * 1000)
+        m, c = estimate(x[d <= lowest(d, core)], mcd.consistency(core))
+        return round(float(np.linalg.slogdet(c)[1]), 6), m, c
+
+    det, m, c = min((step(*step(*e)[1:]) for e in ((middle, np.diag(scale)), estimate(x, 1), estimate(drawn, 1))), key=lambda e: e[0])
+    for _ in range(18):
+        last = det
+        det, m, c = step(m, c)
+        if not det < last - 1e-4:
+            break
+    inside = x[squared(x, m, c) <= mcd.chi_square(inner)]
     d = squared(every, *estimate(inside, mcd.consistency(inner)))
     return {i: (v, not f and v <= mcd.chi_square(outer)) for (i, _), v, f in zip(rows, d, failed, strict=True)}
 
