@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where it is unset (tests), one beside the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where it is unset and all executors are in this process, one beside the warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
     return path or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
