@@ -10,7 +10,7 @@ def purl_key(purl: Column) -> Column:
     """``type/namespace/name`` in lower case, without version (after the last ``@``), qualifiers or subpath; Python names normalised."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(purl), r"[?#].*$", ""), r"@[^@/]*$", "")
     body = F.lower(F.try_url_decode(F.regexp_replace(bare, r"^pkg:/*", "")))
-    return F.when(purl.startswith("pkg:") & (F.instr(body, F.lit("/")) > 1), F.when(body.startswith("pypi/"), F.concat(F.lit("pypi/"), F.regexp_replace(F.substring(body, 6, 1000), r"[-_.]+", "-"))).otherwise(body))
+    return F.when(purl.startswith("pkg:") & (F.instr(body, F.lit("/")) > 1), F.when(body.startswith("pypi/"), F.concat(F.lit("pypi/"), F.regexp_replace(F.substr(body, F.lit(6)), r"[-_.]+", "-"))).otherwise(body))
 
 
 def cpe_parts(cpe: Column) -> Column:
