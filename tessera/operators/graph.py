@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 
 def _folder(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """The folder that all executors see; the warehouse stands in for it where executors are in this process."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return f"{path or spark.conf.get('spark.sql.warehouse.dir').rstrip('/') + '/_shared'}/graph-{spark.sparkContext.applicationId}"
+
+
+def forget(spark: SparkSession) -> None:
+    """Delete what ``settled`` has written in this application, once no result that rests on it is wanted."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def settled(df: DataFrame) -> DataFrame:
     """Written to the shared folder and read again, so lineage and plan end here."""
-    path = f"{_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
+    path = f"{_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -22,8 +32,10 @@ def settled(df: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 12) -> DataFrame:
     """``seed, vertex, hops``: everything within ``depth`` edges of ``seeds(seed, vertex)``, by its shortest path.
 
-    One frontier for all seeds at once; visited vertices leave it by an anti-join.
+    One frontier for all seeds at once; visited vertices leave it by an anti-join.  Edges are written once, so
+    no hop computes them again.
     """
+    edges = settled(edges.select("src", "dst").distinct())
     seen = settled(seeds.select("seed", "vertex").distinct().withColumn("hops", F.lit(0)))
     frontier = seen
     for hop in range(1, depth + 1):
@@ -35,19 +47,22 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int = 12) -> DataFrame:
     return seen
 
 
-def groups(links: DataFrame, rounds: int = 50) -> DataFrame:
-    """``node, component``: smallest node of each connected group of ``links(a, b)``."""
+def groups(links: DataFrame) -> DataFrame:
+    """``node, component``: smallest node of each connected group of ``links(a, b)``.
+
+    Rounds go on until no label moves.  Each halves the way of a label along a chain, so they grow with the logarithm of the longest one.
+    """
     edges = settled(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
     label = settled(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
-    for _ in range(rounds):
+    moving = True
+    while moving:
         near = edges.join(label, edges["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("near"))
         step = label.join(near, label["node"] == near["a"]).select("node", F.least("component", "near").alias("component"), (F.col("near") < F.col("component")).alias("moved"))
         # jump to the label's own label, which halves long chains
         hop = step.select(F.col("node").alias("component"), F.col("component").alias("next"))
         step = settled(step.join(hop, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "moved"))
         label = step.select("node", "component")
-        if step.filter("moved").isEmpty():
-            break
+        moving = not step.filter("moved").isEmpty()
     return label
 
 

@@ -15,9 +15,16 @@ def hits(df: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFr
     return df.select(key, counts.alias("x")).select(key, "x.family", "x.n").filter("n > 0")
 
 
-def capped(found: DataFrame, by: str, order: list[Column], most: int = 20) -> DataFrame:
-    """Each family's first ``most`` occurrences with ``rank``, and its ``total`` over all."""
-    return found.withColumn("total", F.sum("n").over(Window.partitionBy(by))).withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= most)
+def capped(found: DataFrame, by: str, n: str, tie: str, most: int = 20) -> DataFrame:
+    """Each family's first ``most`` occurrences, largest ``n`` first, with ``rank``, and its ``total`` over all.
+
+    Parts of a family are ranked alone before their best meet, so a frequent family is never sorted in one task.
+    """
+    order = [F.desc(n), F.asc(tie)]
+    part = F.pmod(F.xxhash64(tie), F.lit(64))
+    best = found.withColumn("_part", part).withColumn("rank", F.row_number().over(Window.partitionBy(by, "_part").orderBy(*order))).filter(F.col("rank") <= most)
+    best = best.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("rank") <= most).drop("_part")
+    return best.join(found.groupBy(by).agg(F.sum(n).alias("total")), by)
 
 
 def policy_status(as_of: Column, deprecated_after: Column, disallowed_after: Column) -> Column:

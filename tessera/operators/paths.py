@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-DEPTH = 10
 
-
-def ancestors(path: Column, depth: int = DEPTH) -> Column:
-    """Proper ancestors of a slash-separated path, nearest the root first, at most ``depth`` levels."""
+def ancestors(path: Column) -> Column:
+    """Proper ancestors of a slash-separated path, nearest the root first, however deep it is."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    n = F.least(F.size(parts) - 1, F.lit(depth))
+    n = F.size(parts) - 1
     return F.when(n >= 1, F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).otherwise(F.array().cast("array<string>"))
 
 
@@ -19,9 +17,9 @@ def clean(path: Column) -> Column:
     return F.array_join(F.filter(F.split(path, "/"), lambda x: x != ""), "/")
 
 
-def exploded(df: DataFrame, path: str = "path", depth: int = DEPTH) -> DataFrame:
+def exploded(df: DataFrame, path: str = "path") -> DataFrame:
     """``df`` with a row for each ``ancestor``: a prefix join becomes an equi-join."""
-    return df.withColumn("ancestor", F.explode(ancestors(F.col(path), depth)))
+    return df.withColumn("ancestor", F.explode(ancestors(F.col(path))))
 
 
 def nearest_enclosing(df: DataFrame, holders: DataFrame, key: str, path: str = "path") -> DataFrame:

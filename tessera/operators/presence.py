@@ -67,13 +67,15 @@ def release_range(present: DataFrame, signature: DataFrame, margin: float = 0.95
     The range is every release that scores within ``margin`` of the best, but for those the document takes
     sides against: it holds ``least`` and ``share`` of what only the best has, and nothing that only the other has.
     """
+    signature = settled(signature)
     # only hashes that the reference has matter: filtered once, then used by every step
     present = settled(present.join(signature.select("h").distinct(), "h", "left_semi"))
     scores = release_scores(present, signature)
     w = Window.partitionBy("doc_id", "rule_id")
-    scores = scores.withColumn("top", F.max("score").over(w))
+    scores = settled(scores.select("doc_id", "rule_id", "version_ix", "score", F.max("score").over(w).alias("top")))
     first = scores.filter("score = top").groupBy("doc_id", "rule_id").agg(F.min("version_ix").alias("best_ix"), F.first("top").alias("support"))
     near = scores.filter(F.col("score") >= F.col("top") * margin).select("doc_id", "rule_id", "version_ix").join(first, ["doc_id", "rule_id"])
+    near = settled(near)
     # what the best and another release have apart
     b, o = signature.alias("b"), signature.alias("o")
     pairs = near.filter("version_ix <> best_ix").select("rule_id", "best_ix", "version_ix").distinct()
@@ -100,8 +102,8 @@ def subset_cover(present: DataFrame, signature: DataFrame, least: int = 40, shar
 
 
 def owners(table: DataFrame, owner: str) -> DataFrame:
-    """``h, owners, owner``: how many owners a hash has; the owner where it is one."""
-    return table.groupBy("h").agg(F.countDistinct(owner).alias("owners"), F.when(F.countDistinct(owner) == 1, F.first(owner)).alias("owner"))
+    """``h, owners, owner``: how many owners a hash has; the owner where it is one. Rows of ``table`` are distinct and their owners known."""
+    return table.groupBy("h").agg(F.count(owner).alias("owners"), F.when(F.count(owner) == 1, F.min(owner)).alias("owner"))
 
 
 def bundles(table: DataFrame, owner: str, least: int = 40, of_part: float = 0.80, of_host: float = 0.10, most_owners: int = 16) -> DataFrame:

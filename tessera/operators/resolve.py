@@ -21,11 +21,9 @@ def winners(claims: DataFrame, by: list[str], order: list[Column], name: str, co
     return best.join(others, by, "left").withColumn("alternatives", F.coalesce("alternatives", F.lit("")))
 
 
-def first_wins(df: DataFrame, key: list[str], order: list[Column], values: list[str]) -> DataFrame:
-    """One row per key; each value is the first that is not null in ``order``."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    filled = df.select(*key, *[F.first(v, ignorenulls=True).over(w).alias(v) for v in values], F.row_number().over(Window.partitionBy(*key).orderBy(*order)).alias("_n"))
-    return filled.filter("_n = 1").drop("_n")
+def first_wins(df: DataFrame, key: list[str], order: str, values: list[str]) -> DataFrame:
+    """One row per key; each value is the one of the lowest ``order`` among those that are not null. An aggregate: no key is sorted in one task."""
+    return df.groupBy(*key).agg(*[F.min_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in values])
 
 
 def state_rank(state: Column) -> Column:

@@ -57,7 +57,7 @@ def _pages(spark, sf_dir):
 
 _ANC = f"""p AS (SELECT page_id, {_PATH} AS path FROM pages),
 a AS (SELECT page_id, path, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM p),
-e AS (SELECT page_id, path, array_to_string(s[1:k], '/') AS ancestor FROM (SELECT page_id, path, s, unnest(range(1, least(len(s) - 1, 10) + 1)) AS k FROM a))"""
+e AS (SELECT page_id, path, array_to_string(s[1:k], '/') AS ancestor FROM (SELECT page_id, path, s, unnest(range(1, len(s))) AS k FROM a))"""
 
 
 @register("url_ancestors", f"WITH {_ANC} SELECT ancestor, count(DISTINCT path) AS paths, count(*) AS n FROM e GROUP BY 1")
@@ -85,8 +85,7 @@ SELECT page_id, path, score FROM s LEFT JOIN b ON b.ancestor = s.me WHERE below
 )
 def shadowed_anti(spark, sf_dir):
     p = _pages(spark, sf_dir).withColumn("score", (F.col("page_id") * 7919) % 101)
-    up = p.unionByName(p.select("page_id", F.col("path"), "score").limit(0))
-    return paths.without_shadowed(up, "score").select("page_id", "path", "score")
+    return paths.without_shadowed(p, "score").select("page_id", "path", "score")
 
 
 @register("nested_anti", f"WITH {_ANC} SELECT DISTINCT path FROM p WHERE path NOT IN (SELECT e.path FROM e JOIN (SELECT DISTINCT array_to_string(s, '/') AS me FROM a) t ON t.me = e.ancestor)")
@@ -104,24 +103,34 @@ def repository_purls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", identity.repository_purl(F.col("url")).alias("purl"))
 
 
-_purls, _purls_sql = values([(1, "pkg:npm/%40scope/Name@1.2.3?arch=x#sub"), (2, "pkg:pypi/My_Package.Name@2"), (3, "pkg:github/Owner/Repo"), (4, "not a purl"), (5, None), (6, "pkg:generic/a@b/c@1")], "id int, purl string")
+def cases(key: str, *values: str) -> str:
+    """SQL that both engines read: the value at ``key`` modulo their number."""
+    return f"CASE {key} % {len(values)} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
+def _parts(spark, sf_dir, **columns: str):
+    """Parts with columns made of their key, name, brand and size."""
+    return table(spark, sf_dir, "part").select("p_partkey", *[F.expr(x).alias(n) for n, x in columns.items()])
+
+
+_PURL = cases("p_partkey", "'pkg:npm/%40' || replace(p_name, ' ', '-') || '/Pkg.' || p_partkey || '@1.' || p_size || '?arch=x#sub'", "'pkg:pypi/My_' || replace(p_name, ' ', '__.') || '@' || p_size", "'pkg:github/Owner/' || replace(p_name, ' ', '')", "p_name", "NULL", "'pkg:generic/' || p_size || '@b/c@1'")
 
 
 @register(
     "purl_keys",
-    f"""SELECT r_regionkey, id, CASE WHEN purl LIKE 'pkg:%' AND strpos(body, '/') > 1 THEN CASE WHEN body LIKE 'pypi/%' THEN 'pypi/' || regexp_replace(body[6:], '[-_.]+', '-', 'g') ELSE body END END AS key FROM (
-SELECT id, purl, lower(url_decode(regexp_replace(regexp_replace(regexp_replace(trim(purl), '[?#].*$', ''), '@[^@/]*$', ''), '^pkg:/*', ''))) AS body FROM {_purls_sql}), region""",
+    f"""SELECT p_partkey, CASE WHEN purl LIKE 'pkg:%' AND strpos(body, '/') > 1 THEN CASE WHEN body LIKE 'pypi/%' THEN 'pypi/' || regexp_replace(body[6:], '[-_.]+', '-', 'g') ELSE body END END AS key FROM (
+SELECT p_partkey, purl, lower(url_decode(regexp_replace(regexp_replace(regexp_replace(trim(purl), '[?#].*$', ''), '@[^@/]*$', ''), '^pkg:/*', ''))) AS body FROM (SELECT p_partkey, {_PURL} AS purl FROM part))""",
 )
 def purl_keys(spark, sf_dir):
-    return table(spark, sf_dir, "region").select("r_regionkey").join(F.broadcast(_purls(spark))).select("r_regionkey", "id", identity.purl_key(F.col("purl")).alias("key"))
+    return _parts(spark, sf_dir, purl=_PURL).select("p_partkey", identity.purl_key(F.col("purl")).alias("key"))
 
 
-_cpes, _cpes_sql = values([(1, "cpe:2.3:a:Vendor:Product:1.0:*:*:*:*:*:*:*"), (2, r"cpe:2.3:a:ven\:dor:pro\:duct:1"), (3, "cpe:/a:old:style"), (4, None)], "id int, cpe string")
+_CPE = cases("p_partkey", "'cpe:2.3:a:' || p_brand || ':' || replace(p_name, ' ', '_') || ':' || p_size || ':*:*:*:*:*:*:*'", "'cpe:2.3:a:ven' || chr(92) || ':' || p_size || ':pro' || chr(92) || ':duct:1'", "'cpe:/a:old:' || p_name", "NULL")
 
 
-@register("cpe_keys", f"SELECT id, CASE WHEN cpe LIKE 'cpe:2.3:%' THEN lower(replace(s[4] || ':' || s[5], chr(1), '\\:')) END AS key FROM (SELECT id, cpe, string_split(replace(cpe, '\\:', chr(1)), ':') AS s FROM {_cpes_sql})")
+@register("cpe_keys", f"SELECT p_partkey, CASE WHEN cpe LIKE 'cpe:2.3:%' THEN lower(replace(s[4] || ':' || s[5], chr(1), '\\:')) END AS key FROM (SELECT p_partkey, cpe, string_split(replace(cpe, '\\:', chr(1)), ':') AS s FROM (SELECT p_partkey, {_CPE} AS cpe FROM part))")
 def cpe_keys(spark, sf_dir):
-    return _cpes(spark).select("id", identity.cpe_key(F.col("cpe")).alias("key"))
+    return _parts(spark, sf_dir, cpe=_CPE).select("p_partkey", identity.cpe_key(F.col("cpe")).alias("key"))
 
 
 # ---- versions -------------------------------------------------------------------------------
@@ -167,26 +176,68 @@ def version_in_range(spark, sf_dir):
     return pairs.select("range_id", "version", last.alias("verdict"))
 
 
-_tagged, _tagged_sql = values([(1, "1.0", False, True), (2, "1.0.5", False, None), (3, "0.9", False, False), (4, "3.0", False, False), (5, "3.0", True, True), (6, "v1.2", False, True), (7, "deadbeef1", False, None)], "id int, version string, open_ended boolean, expected boolean")
+_TAGS = ("v1.0", "release-1.1", "V1.2", "REL-2_0_0", "tools-build-20")
+_TAGGED = cases("p_partkey", "'v' || p_size % 4 || '.' || p_partkey % 7", "p_size % 4 || '.' || p_partkey % 7 || '.' || p_size % 3", "'deadbeef' || p_size % 10", "'app-' || p_size % 5 || '_' || p_partkey % 3")
 
 
-@register("tag_membership", f"SELECT id, version, expected AS verdict FROM {_tagged_sql}")
+@register(
+    "tag_membership",
+    f"""WITH t AS (SELECT p_partkey, p_size % 2 = 0 AS open, {_TAGGED} AS version FROM part),
+n AS (SELECT *, CASE WHEN version NOT LIKE 'deadbeef%' THEN regexp_extract_all(version, '[0-9]+') END AS n FROM t),
+k AS (SELECT *, array_to_string(n, '.') AS plain, list_resize(list_transform(n, lambda x: x::INT), 3, 0) AS key FROM n)
+SELECT p_partkey, CASE WHEN n IS NULL THEN NULL WHEN plain IN ('1.0', '1.1', '1.2', '2.0.0', '20') THEN true WHEN key < [1, 0, 0] THEN false WHEN key > [2, 0, 0] THEN open END AS verdict FROM k""",
+)
 def tag_membership(spark, sf_dir):
-    tags = F.array(*[F.lit(t) for t in ("v1.0", "release-1.1", "V1.2", "STABLE-2_0_0_RELEASE", "support-chrome-20")])
-    return _tagged(spark).select("id", "version", versions.in_tags(F.col("version"), tags, F.col("open_ended")).alias("verdict"))
+    tags = F.array(*[F.lit(t) for t in _TAGS])
+    return _parts(spark, sf_dir, version=_TAGGED, open="p_size % 2 = 0").select("p_partkey", versions.in_tags(F.col("version"), tags, F.col("open")).alias("verdict"))
 
 
-_vectors, _vectors_sql = values(
-    [(1, "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H", 9.8, "critical"), (2, "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:C/C:H/I:H/A:H", 10.0, "critical"), (3, "CVSS:3.0/AV:L/AC:H/PR:H/UI:R/S:U/C:L/I:N/A:N", 1.8, "low"),
-     (4, "CVSS:3.1/AV:N/AC:L/PR:L/UI:R/S:C/C:L/I:L/A:N", 5.4, "medium"), (5, "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:N/I:N/A:N", 0.0, "none"), (6, "AV:N/AC:L/Au:N/C:P/I:P/A:P", None, None), (7, None, None, None)],
-    "id int, vector string, score double, level string",
-)
+_METRICS = {"AV": ("NALP", "p_partkey"), "AC": ("LH", "p_size"), "PR": ("NLH", "p_partkey"), "UI": ("NR", "p_partkey % 11"), "S": ("UC", "p_partkey % 5"), "C": ("HLN", "p_partkey % 13"), "I": ("HLN", "p_partkey % 17"), "A": ("HLN", "p_size")}
+_LETTER = {n: f"substr('{letters}', {key} % {len(letters)} + 1, 1)" for n, (letters, key) in _METRICS.items()}
+_VECTOR = "CASE WHEN p_partkey % 23 = 0 THEN NULL WHEN p_partkey % 29 = 0 THEN 'AV:N/AC:L/Au:N/C:P/I:P/A:P' ELSE 'CVSS:3.' || p_partkey % 2 || " + " || ".join(f"'/{n}:' || {x}" for n, x in _LETTER.items()) + " END"
+_IMPACTS = "CASE {} WHEN 'H' THEN 0.56 WHEN 'L' THEN 0.22 ELSE 0 END"
 
 
-@register("cvss_base_scores", f"SELECT id, score::DOUBLE AS score, level FROM {_vectors_sql}")
+@register(
+    "cvss_base_scores",
+    f"""WITH v AS (SELECT p_partkey, {", ".join(f"{x} AS {n}" for n, x in _LETTER.items())} FROM part WHERE p_partkey % 23 <> 0 AND p_partkey % 29 <> 0),
+w AS (SELECT p_partkey, S, (1 - (1 - {_IMPACTS.format('C')}) * (1 - {_IMPACTS.format('I')}) * (1 - {_IMPACTS.format('A')}))::DOUBLE AS i,
+  8.22::DOUBLE * CASE AV WHEN 'N' THEN 0.85 WHEN 'A' THEN 0.62 WHEN 'L' THEN 0.55 ELSE 0.2 END * CASE AC WHEN 'L' THEN 0.77 ELSE 0.44 END * CASE UI WHEN 'N' THEN 0.85 ELSE 0.62 END
+  * CASE PR WHEN 'N' THEN 0.85 WHEN 'L' THEN CASE S WHEN 'U' THEN 0.62 ELSE 0.68 END ELSE CASE S WHEN 'U' THEN 0.27 ELSE 0.5 END END AS e FROM v),
+m AS (SELECT *, CASE S WHEN 'U' THEN 6.42 * i ELSE 7.52 * (i - 0.029) - 3.25 * pow(i - 0.02, 15) END AS m FROM w),
+r AS (SELECT p_partkey, CASE WHEN m <= 0 THEN 0 ELSE ceil(round(least(CASE S WHEN 'U' THEN 1 ELSE 1.08 END * (m + e), 10)::DOUBLE * 100000) / 10000) / 10 END::DOUBLE AS score FROM m)
+SELECT p_partkey, score, CASE WHEN score = 0 THEN 'none' WHEN score < 4 THEN 'low' WHEN score < 7 THEN 'medium' WHEN score < 9 THEN 'high' WHEN score IS NOT NULL THEN 'critical' END AS level FROM part LEFT JOIN r USING (p_partkey)""",
+)
 def cvss_base_scores(spark, sf_dir):
-    score = severity.base_score(F.col("vector"))
-    return _vectors(spark).select("id", score.alias("score"), severity.level(score).alias("level"))
+    scored = _parts(spark, sf_dir, vector=_VECTOR).select("p_partkey", severity.base_score(F.col("vector")).alias("score"))
+    return scored.select("p_partkey", "score", severity.level(F.col("score")).alias("level"))
+
+
+# ---- advisories ---------------------------------------------------------------------------------
+
+_BOUND = {
+    "introduced": "CASE WHEN s_suppkey % 7 = 0 THEN NULL WHEN s_suppkey % 11 = 0 THEN '0' ELSE s_suppkey % 40 || '.' || s_nationkey % 4 END",
+    "start_excluding": "CASE WHEN s_suppkey % 7 = 0 AND s_suppkey % 2 = 0 THEN s_suppkey % 30 || '.1' END",
+    "fixed": "CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 40 + 9 || '.' || s_nationkey END",
+    "last_affected": "CASE WHEN s_suppkey % 10 = 0 THEN s_suppkey % 40 + 20 || '.0' END",
+}
+_COMPONENT = "CASE WHEN p_partkey % 19 = 0 THEN 'git-' || p_size ELSE p_size || '.' || p_partkey % 10 END"
+
+
+@register(
+    "advisory_range_join",
+    f"""WITH p AS (SELECT p_partkey, p_partkey % 1000 AS key, {_COMPONENT} AS version FROM part),
+a AS (SELECT s_suppkey, s_suppkey % 1000 AS key, {", ".join(f"{x} AS {n}" for n, x in _BOUND.items())} FROM supplier),
+k AS (SELECT p_partkey, s_suppkey, version NOT LIKE 'git-%' AS ok, list_transform(string_split(version, '.'), lambda x: try_cast(x AS INT)) AS v, introduced, {", ".join(f"list_transform(string_split({n}, '.'), lambda x: try_cast(x AS INT)) AS {n}_n" for n in _BOUND)} FROM p JOIN a USING (key)),
+o AS (SELECT *, introduced IS NOT NULL AND introduced <> '0' AS has_i, start_excluding_n IS NOT NULL AS has_s, fixed_n IS NOT NULL AS has_f, last_affected_n IS NOT NULL AS has_l FROM k)
+SELECT p_partkey, s_suppkey, CASE WHEN NOT (introduced IS NOT NULL OR has_s OR has_f OR has_l) THEN NULL WHEN NOT ok THEN CASE WHEN has_i OR has_s OR has_f OR has_l THEN NULL ELSE true END
+  WHEN has_i AND v < introduced_n THEN false WHEN has_s AND v <= start_excluding_n THEN false WHEN has_f AND v >= fixed_n THEN false WHEN has_l AND v > last_affected_n THEN false ELSE true END AS verdict FROM o""",
+)
+def advisory_range_join(spark, sf_dir):
+    """Components by product key against the ranges of advisories; what cannot be ordered stays null."""
+    components = _parts(spark, sf_dir, key="p_partkey % 1000", version=_COMPONENT)
+    ranges = table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("s_suppkey % 1000").alias("key"), *[F.expr(x).alias(n) for n, x in _BOUND.items()])
+    return advisories.range_join(components, ranges).select("p_partkey", "s_suppkey", "verdict")
 
 
 # ---- ranges, channels, states ----------------------------------------------------------------
@@ -306,7 +357,7 @@ def pattern_inventory(spark, sf_dir):
 
 @register("capped_evidence", f"SELECT family, doc_id, n, (sum(n) OVER (PARTITION BY family))::BIGINT AS total, (row_number() OVER (PARTITION BY family ORDER BY n DESC, doc_id))::INT AS rank FROM ({_HITS}) WHERE n > 0 QUALIFY rank <= 20")
 def capped_evidence(spark, sf_dir):
-    return inventory.capped(_hits(spark, sf_dir), "family", [F.desc("n"), F.asc("doc_id")]).select("family", "doc_id", "n", "total", "rank")
+    return inventory.capped(_hits(spark, sf_dir), "family", "n", "doc_id").select("family", "doc_id", "n", "total", "rank")
 
 
 @register(
@@ -322,16 +373,19 @@ def policy_status(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(p, status.alias("status")).agg(F.count("*").alias("n"))
 
 
-_licences, _licences_sql = values(
-    [(1, "MIT", "permissive"), (2, "GPL-2.0-only OR MIT", "permissive"), (3, "Apache-2.0 AND GPL-2.0-only", "strong"), (4, "LGPL-2.1+ WITH Classpath-exception-2.0", "weak"), (5, "AGPL-3.0-only", "network"),
-     (6, "(MPL-2.0 OR GPL-3.0-or-later) AND MIT", "weak"), (7, "Custom", "unknown"), (8, "", "unknown"), (9, "GPL-3.0-only", "strong"), (10, "OpenSSL", "permissive"), (11, "CDDL-1.0", "weak"), (12, "EPL-1.0", "weak")],
-    "id int, expression string, class string",
-)
+_KNOWN = {"MIT": 0, "GPL-2.0-only": 2, "LGPL-2.1+": 1, "AGPL-3.0-only": 3, "MPL-2.0": 1, "Custom": 4, "Apache-2.0": 0, "GPL-3.0-or-later": 2}
+_A, _B, _C = (cases(f"({key})", *[f"'{x}'" for x in _KNOWN]) for key in ("p_partkey", "p_size", "p_partkey % 13"))
+_EXPRESSION = cases("(p_partkey % 31)", _A, f"({_A}) || ' OR ' || ({_B})", f"({_A}) || ' AND ' || ({_B}) || ' or ' || ({_C})", f"'(' || ({_A}) || ' OR ' || ({_B}) || ') WITH Classpath-exception-2.0'", "''")
+_CLASS_RANK = "CASE {} " + " ".join(f"WHEN '{x}' THEN {r}" for x, r in _KNOWN.items()) + " END"
 
 
-@register("licence_expression_class", f"SELECT id, expression, class FROM {_licences_sql}")
+@register(
+    "licence_expression_class",
+    f"""WITH r AS (SELECT p_partkey, p_partkey % 31 % 5 AS kind, {", ".join(f"{_CLASS_RANK.format(x)} AS {n}" for n, x in (("a", _A), ("b", _B), ("c", _C)))} FROM part)
+SELECT p_partkey, (['permissive', 'weak', 'strong', 'network', 'unknown'])[1 + CASE kind WHEN 0 THEN a WHEN 2 THEN least(greatest(a, b), c) WHEN 4 THEN 4 ELSE least(a, b) END] AS class FROM r""",
+)
 def licence_expression_class(spark, sf_dir):
-    return _licences(spark).select("id", "expression", licences.expression_class(F.col("expression")).alias("class"))
+    return _parts(spark, sf_dir, expression=_EXPRESSION).select("p_partkey", licences.expression_class(F.col("expression")).alias("class"))
 
 
 _ids, _ids_sql = values([(i, x) for i, x in enumerate(["Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "AGPL-3.0-only", "OpenSSL", "CDDL-1.0", "EPL-1.0", "MIT"])], "id int, spdx string")
@@ -379,7 +433,7 @@ SELECT c_nationkey, arg_min(segment, c_custkey) FILTER (WHERE segment IS NOT NUL
 )
 def first_wins_merge(spark, sf_dir):
     t = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("segment"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("balance"))
-    return resolve.first_wins(t, ["c_nationkey"], [F.asc("c_custkey")], ["segment", "balance"])
+    return resolve.first_wins(t, ["c_nationkey"], "c_custkey", ["segment", "balance"])
 
 
 @register(
@@ -450,18 +504,20 @@ def unknown_signals(spark, sf_dir):
     return inventory.signals(table(spark, sf_dir, "documents"), "doc_id", weights, 3.0)
 
 
-_packages, _packages_sql = values(
-    [(1, "dpkg", "1:1.0-1", "2.0-1", 1), (2, "dpkg", "1.0~rc1-1", "1.0-1", -1), (3, "dpkg", "1.0-1ubuntu1", "1.0-1", 1), (4, "dpkg", "1.10", "1.9", 1), (5, "dpkg", "1.0a", "1.0+", -1), (6, "dpkg", "1.0", "1.0-0", 0), (7, "dpkg", "", "1", None),
-     (8, "apk", "1.2.3-r4", "1.2.3-r10", -1), (9, "apk", "1.2_rc1", "1.2", -1), (10, "apk", "1.2_p1", "1.2", 1), (11, "apk", "1.2b", "1.2a", 1), (12, "apk", "1.2.0", "1.2", 1), (13, "apk", "main", "1", None)],
-    "id int, kind string, a string, b string, expected int",
-)
+_DPKG = ("p_size % 3 || ':' || p_partkey % 9 || '.' || p_size || CASE WHEN p_partkey % 4 = 0 THEN '~rc' || p_size % 5 ELSE '' END || '-' || p_partkey % 11", "p_partkey % 3 || ':' || p_size % 9 || '.' || p_partkey % 50 || CASE WHEN p_size % 4 = 0 THEN '~rc' || p_partkey % 5 ELSE '' END || '-' || p_size % 11")
+_APK = tuple(x.replace("|| ':'", "|| '.'").replace("~rc", "_rc").replace("'-'", "'-r'") for x in _DPKG)
+_PKG_KEYS = ("[p_size % 3, p_partkey % 9, p_size, CASE WHEN p_partkey % 4 = 0 THEN p_size % 5 ELSE 99 END, p_partkey % 11]", "[p_partkey % 3, p_size % 9, p_partkey % 50, CASE WHEN p_size % 4 = 0 THEN p_partkey % 5 ELSE 99 END, p_size % 11]")
 
 
-@register("package_order", f'SELECT id, expected AS "order" FROM {_packages_sql}')
+@register(
+    "package_order",
+    f"""WITH k AS (SELECT p_partkey, {_PKG_KEYS[0]}::BIGINT[] AS a, {_PKG_KEYS[1]}::BIGINT[] AS b FROM part)
+SELECT p_partkey, kind, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS "order" FROM k, (VALUES ('dpkg'), ('apk')) v(kind)""",
+)
 def package_order(spark, sf_dir):
-    t = _packages(spark)
-    part = lambda kind: t.filter(F.col("kind") == kind).select("id", packages.compared(F.col("a"), F.col("b"), kind).alias("order"))
-    return part("dpkg").unionByName(part("apk"))
+    t = _parts(spark, sf_dir, dpkg_a=_DPKG[0], dpkg_b=_DPKG[1], apk_a=_APK[0], apk_b=_APK[1])
+    of = lambda kind: t.select("p_partkey", F.lit(kind).alias("kind"), packages.compared(F.col(f"{kind}_a"), F.col(f"{kind}_b"), kind).alias("order"))
+    return of("dpkg").unionByName(of("apk"))
 
 
 @register(
@@ -502,27 +558,38 @@ def loose_assignment(spark, sf_dir):
     return compose.loose_groups(claims)
 
 
-_heads, _heads_sql = values(
-    [(1, "/* Copyright (c) 2010-2020 The Acme Widgets Inc. All rights reserved */", "acme widgets"), (2, "// Copyright notice\n// Copyright 2019, Jane Roe <jane@x.org>", "jane roe"), (3, "// SPDX-License-Identifier: MIT OR ISC", "license:mit"),
-     (4, "Licensed under the Apache License, Version 2.0", "license:apache-2.0"), (5, "nothing here", None), (6, None, None), (7, "Copyright 2001-2003 by the authors", None)],
-    "id int, head string, holder string",
-)
+def _any_of(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
 
-@register("copyright_holders", f"SELECT id, holder FROM {_heads_sql}")
-def copyright_holders(spark, sf_dir):
-    return _heads(spark).select("id", provenance.holder(F.col("head")).alias("holder"))
+_LICENCE_SQL = "CASE " + " ".join(f"WHEN {' AND '.join(f"contains(w, ' {p} ')" for p in phrases)} THEN '{spdx.lower()}'" for spdx, phrases in licences.TEXTS) + " END"
 
 
-@register("document_holders")
-def document_holders(spark, sf_dir):
+@register(
+    "copyright_holders",
+    rf"""WITH l AS (SELECT doc_id, text, list_filter(string_split_regex(coalesce(text, ''), '\r\n|\r|\n'), lambda x: regexp_matches(lower(x), 'copyright([^a-z0-9_]|$)')) AS l,
+  ' ' || regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g') || ' ' AS w,
+  list_filter(string_split_regex(substr(text, 1, 1024), '\r\n|\r|\n'), lambda x: contains(x, 'SPDX-License-Identifier:')) AS h FROM documents),
+t AS (SELECT doc_id, w, h, list_transform(l, lambda x: list_filter(list_transform(string_split_regex(regexp_replace(lower(x), '^.*?copyright([^a-z0-9_]|$)', '\1'), '[\s,;]+'),
+  lambda v: CASE WHEN regexp_matches(v, '@|://|^<.*>$') THEN '' ELSE regexp_replace(regexp_replace(v, '^[^a-z0-9]+', ''), '[^a-z0-9+]+$', '') END), lambda v: regexp_matches(v, '^[a-z]'))) AS c FROM l),
+f AS (SELECT doc_id, w, h, list_filter(c, lambda x: len(x) > 0 AND NOT list_contains([{_any_of(provenance.PROSE)}], x[1]))[1] AS c FROM t),
+n AS (SELECT doc_id, nullif(array_to_string(list_filter(c, lambda x: len(x) > 1 AND NOT list_contains([{_any_of(provenance.AROUND)}], x))[1:2], ' '), '') AS name, {_LICENCE_SQL} AS licence,
+  lower(regexp_extract(rtrim(trim(string_split(string_split(string_split(h[1], 'SPDX-License-Identifier:')[-1], '*')[1], '-->')[1]), '.'), '^\S+')) AS tag FROM f)
+SELECT doc_id, coalesce(name, 'license:' || coalesce(nullif(tag, ''), licence)) AS holder FROM n""",
+)
+def copyright_holders(spark, sf_dir):
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return d.select("doc_id", provenance.holder(F.col("text")).alias("holder"))
 
 
-_names, _names_sql = values([(1, "lfs_mount", "lfs"), (2, "prvTaskFoo", "prv"), (3, "__main_loop", None), (4, "x_y", None), (5, "plain", None), (6, "SEGGER_RTT_Init", "segger")], "id int, name string, prefix string")
+_NAME = cases("p_partkey", "replace(p_name, ' ', '_')", "'__get_' || p_partkey", "substr(p_name, 1, 3) || 'Task' || p_size", "replace(p_name, ' ', '')", "'X_' || p_brand", "upper(p_name) || '_Init'")
 
 
-@register("name_prefixes", f"SELECT id, prefix FROM {_names_sql}")
+@register(
+    "name_prefixes",
+    f"""WITH n AS (SELECT p_partkey, {_NAME} AS name FROM part),
+p AS (SELECT p_partkey, lower(CASE WHEN regexp_matches(name, '^_*[A-Za-z0-9]+_') THEN regexp_extract(name, '^_*([A-Za-z0-9]+)_', 1) ELSE regexp_extract(name, '^_*([a-z]+)[A-Z]', 1) END) AS p FROM n)
+SELECT p_partkey, CASE WHEN length(p) > 1 AND p NOT IN ({_any_of(provenance.COMMON)}) THEN p END AS prefix FROM p""",
+)
 def name_prefixes(spark, sf_dir):
-    return _names(spark).select("id", provenance.name_prefix(F.col("name")).alias("prefix"))
+    return _parts(spark, sf_dir, name=_NAME).select("p_partkey", provenance.name_prefix(F.col("name")).alias("prefix"))

@@ -188,13 +188,24 @@ def exact_copies(spark, sf_dir):
     return d.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies")).filter("copies > 1")
 
 
+_THOUSAND = "sha256(string_agg(d, '' ORDER BY d))"
+
+
 @register(
     "fileset_digest_by_source",
-    "SELECT source, count(*) AS files, sha256(string_agg(d, '' ORDER BY d)) AS fileset FROM (SELECT source, lpad(doc_id::VARCHAR, 20, '0') || sha256(text) AS d FROM documents WHERE text IS NOT NULL) GROUP BY 1",
+    f"""WITH f AS (SELECT source, doc_id // 1000 AS a, doc_id // 1000000 AS b, lpad(doc_id::VARCHAR, 20, '0') || sha256(text) AS d FROM documents WHERE text IS NOT NULL),
+x AS (SELECT source, b, lpad(a::VARCHAR, 20, '0') || {_THOUSAND} AS d, count(*) AS n FROM f GROUP BY source, a, b),
+y AS (SELECT source, lpad(b::VARCHAR, 20, '0') || {_THOUSAND} AS d, sum(n) AS n FROM x GROUP BY source, b)
+SELECT source, sum(n)::BIGINT AS files, {_THOUSAND} AS fileset FROM y GROUP BY 1""",
 )
 def fileset_digest_by_source(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text is not null").select("source", F.concat(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.sha2("text", 256)).alias("d"))
-    return d.groupBy("source").agg(F.count("*").alias("files"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("fileset"))
+    """A tree of digests: of each thousand ids, of each thousand of these, of the source; no list outgrows what is below it."""
+    named = lambda k, d: F.concat(F.lpad(k.cast("string"), 20, "0"), d)
+    digest = F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256)
+    files = table(spark, sf_dir, "documents").filter("text is not null").select("source", F.expr("doc_id div 1000").alias("a"), F.expr("doc_id div 1000000").alias("b"), named(F.col("doc_id"), F.sha2("text", 256)).alias("d"))
+    low = files.groupBy("source", "a", "b").agg(F.count("*").alias("n"), digest.alias("x")).select("source", "b", "n", named(F.col("a"), F.col("x")).alias("d"))
+    middle = low.groupBy("source", "b").agg(F.sum("n").alias("n"), digest.alias("x")).select("source", "n", named(F.col("b"), F.col("x")).alias("d"))
+    return middle.groupBy("source").agg(F.sum("n").alias("files"), digest.alias("fileset"))
 
 
 # ---- releases: item_id % 4 is the rule, item_id // 4 the release -------------------------

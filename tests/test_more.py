@@ -119,21 +119,28 @@ def test_calls(spark):
     assert spark.range(1).select(graph.prose_symbols(text)).first()[0] == ["parse_header", "inflate_fast", "my_func", "read_chunk"]
 
 
-def test_document_holders_by_brute_force(spark):
-    import re
-
-    from tests.conftest import SF
-    from tessera.functions.provenance import NOT_HOLDERS, NOT_NAMES
-    from tessera.plans import registry
-
-    def named(text):
-        lines = re.findall(r"(?i)copyright\b[ \t]*(?:\(c\)|©)?[ \t:]*([^\n]*)", text or "", re.ASCII)
-        lines = [x.lower() for x in lines if not re.match(rf"\W*(?:{'|'.join(NOT_HOLDERS)})\b", x.lower(), re.ASCII)]
-        bare = re.sub(r"<[^>]*>|\S+@\S+|https?://\S+", " ", lines[0]) if lines else ""
-        return " ".join([w for w in re.findall("[a-z][a-z0-9+-]+", bare) if w not in NOT_NAMES][:2]) or None
-
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    got = {r.doc_id: r.holder for r in registry.queries()["document_holders"](spark, SF).collect()}
-    want = {i: named(t) for i, t in texts.items()}
-    assert set(got) == set(texts) and any(got.values())
-    assert all(got[i] == w if w else got[i] is None or got[i].startswith("license:") for i, w in want.items())
+def test_deep_paths_and_long_chains(spark):
+    from tessera.operators import paths
+
+    deep = "/".join(f"d{k}" for k in range(15))
+    rows = spark.createDataFrame([(1, deep + "/x.c"), (2, "a/b.c")], "id int, path string")
+    holders = spark.createDataFrame([("/".join(deep.split("/")[:12]),), ("d0",)], "holder string")
+    assert {r.id: r.holder for r in paths.nearest_enclosing(rows, holders, "id").collect()} == {1: "/".join(deep.split("/")[:12]), 2: None}
+    n = 5000
+    chain = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    got = graph.groups(chain)
+    assert got.count() == n and {r.component for r in got.select("component").distinct().collect()} == {0}
+
+
+def test_holders(spark):
+    from tessera.functions import provenance
+
+    heads = {
+        "/* Copyright (c) 2011-2021 The Blue Harbour Systems Ltd. All rights reserved */": "blue harbour", "// Copyright notice\n// Copyright 2018, Ines Vega <ines@y.org>": "ines vega", "// SPDX-License-Identifier: MIT OR ISC": "license:mit",
+        "Licensed under the Apache License, Version 2.0": "license:apache-2.0", "nothing here": None, "Copyright 2001-2003 by the authors": None, "see https://x.org for copyright of others": None, "COPYRIGHT 1999 Orla": "orla",
+    }
+    t = spark.createDataFrame(list(heads), "string").toDF("head")
+    assert {r.head: r.holder for r in t.select("head", provenance.holder(F.col("head")).alias("holder")).collect()} == heads
+    names = {"ring_push": "ring", "tskDelay": "tsk", "__main_loop": None, "x_y": None, "plain": None, "ACME_RTT_Write": "acme"}
+    t = spark.createDataFrame(list(names), "string").toDF("n")
+    assert {r.n: r.p for r in t.select("n", provenance.name_prefix(F.col("n")).alias("p")).collect()} == names
