@@ -11,7 +11,7 @@ more frequent label), on the driver; scoring is a map without a shuffle.
 
 Defined cases: null and empty texts have statistics of zero and are scored like
 any text; labels with a null id or value, or that contradict each other, are not learned
-from; of rows that repeat a labelled id the text that sorts first is learned from; without labels of both kinds
+from; of rows that repeat a labelled id those statistics that sort first are learned from; without labels of both kinds
 every score is ``cut``; a score equal to ``cut`` passes, so ties at the threshold pass together; repeated rows and
 null ids are scored each by its text; other columns are ignored.
 """
@@ -127,8 +127,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, rounds: int = ROUN
             x = features(column_counts(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
 
-    one = rows.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))  # a label per id
-    got = one.mapInArrow(measure, "doc_id long, label int, x array<double>").orderBy("doc_id").collect()  # ``most`` rows at most
+    measured = rows.select("doc_id", "label", "text").mapInArrow(measure, "doc_id long, label int, x array<double>")
+    got = measured.groupBy("doc_id", "label").agg(F.min("x").alias("x")).orderBy("doc_id").collect()  # a label per id: ``most`` rows at most
     if not got:
         return Ranking(cut=cut)
     return bradley_terry(np.array([r["x"] for r in got]), np.array([r["label"] for r in got]), rounds, cut)
