@@ -56,12 +56,33 @@ def kmv_similarity(a: Column, b: Column, k: int) -> Column:
     return F.when(m > 0, F.size(F.array_intersect(F.array_intersect(union, a), b)) / m).otherwise(F.lit(0.0))
 
 
-def near_diff(before: Column, after: Column, tree: Column, added_share: float = 0.80, removed_share: float = 0.25, related: float = 0.50, signal: int = 3) -> Column:
-    """Where a tree stands between two releases of a function, by shingle sets: fixed, vulnerable, unclear or unrelated."""
+# Fixed: samples of a fix's windows and of whole bodies; a removed set under SEAM is only the edge of an insertion.
+SAMPLE, BODY, SEAM = 128, 64, 8
+
+
+def near_diff(before: Column, after: Column, tree: Column, most: float = 0.80, few: float = 0.25, related: float = 0.50, signal: int = 3) -> Column:
+    """Where an edited function stands between two bodies, by shingle sets: fixed, vulnerable, unclear or unrelated; null where a fix is too small to tell."""
     added, removed = F.array_except(after, before), F.array_except(before, after)
-    both = F.array_intersect(before, after)
-    share = lambda part: F.size(F.array_intersect(part, tree)) / F.greatest(F.size(part), F.lit(1))
-    has_fix = (F.size(added) >= signal) & (share(added) >= added_share)
-    has_hole = (F.size(removed) >= signal) & (share(removed) >= 1 - removed_share)
-    kin = F.when(F.size(both) > 0, share(both)).otherwise(F.greatest(share(added), share(removed)))
-    return F.when(kin < related, "unrelated").when(has_fix & ~has_hole, "fixed").when(has_hole & ~has_fix, "vulnerable").otherwise("unclear")
+    sets = F.struct(bottom_k(added, SAMPLE).alias("added"), bottom_k(removed, SAMPLE).alias("removed"), bottom_k(before, BODY).alias("before"), bottom_k(after, BODY).alias("after"), (F.size(added) + F.size(removed)).alias("changed"), tree.alias("tree"))
+
+    def kin(x: Column, side: str) -> Column:
+        """Similarity of the tree and a sampled body, over as many of the lowest hashes as both have."""
+        return kmv_similarity(bottom_k(x["tree"], BODY), x[side], BODY)
+
+    def share(x: Column, part: str) -> Column:
+        return F.when(F.size(x[part]) > 0, F.size(F.array_intersect(x[part], x["tree"])) / F.size(x[part]))
+
+    def verdict(x: Column) -> Column:
+        fix, hole = share(x, "added"), F.when(F.size(x["removed"]) >= SEAM, share(x, "removed"))
+        near = F.struct(fix.alias("fix"), hole.alias("hole"), kin(x, "before").alias("b"), kin(x, "after").alias("a"))
+        said = let(
+            near,
+            lambda y: F.when(F.greatest(y["a"], y["b"]) < related, "unrelated")
+            .when((y["fix"] >= most) & (y["hole"].isNull() | (y["hole"] <= few)), "fixed")
+            .when((y["hole"] >= most) & (y["fix"].isNull() | (y["fix"] <= few)), "vulnerable")
+            .when(y["hole"].isNull() & (y["fix"] <= few) & (y["b"] >= y["a"]), "vulnerable")
+            .otherwise("unclear"),
+        )
+        return F.when((x["changed"] >= signal) & (F.size(x["before"]) > 0) & (F.size(x["after"]) > 0), said)
+
+    return let(sets, verdict)

@@ -472,16 +472,6 @@ def reachable_vertices(spark, sf_dir):
     return graph.reachable(edges, seeds, 4)
 
 
-@register(
-    "connected_groups",
-    """WITH RECURSIVE l AS (SELECT DISTINCT doc_id AS a, doc_id - 100 AS b FROM documents WHERE doc_id % 7 < 2 AND doc_id >= 100), s AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-w(node, other) AS (SELECT a, a FROM s UNION SELECT w.node, s.b FROM w JOIN s ON s.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY 1""",
-)
-def connected_groups(spark, sf_dir):
-    links = table(spark, sf_dir, "documents").filter("doc_id % 7 < 2 and doc_id >= 100").select(F.col("doc_id").alias("a"), (F.col("doc_id") - 100).alias("b"))
-    return graph.groups(links)
-
-
 @register(
     "patch_presence",
     """WITH f AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'fixed' WHEN l_returnflag = 'A' AND l_tax < 0.03 THEN 'vulnerable' WHEN l_linestatus = 'F' THEN 'modified' ELSE 'absent' END AS s FROM lineitem),

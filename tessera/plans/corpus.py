@@ -87,50 +87,18 @@ def line_dup_counts(spark, sf_dir):
     return _docs(spark, sf_dir).withColumn("l", lines).filter(F.size("l") > 0).select("doc_id", F.size("l").cast("long").alias("n_lines"), F.size(F.array_distinct("l")).cast("long").alias("n_distinct_lines"))
 
 
-_ITEM_HASHES = f"""h AS (SELECT item_id, t, CASE WHEN len(t) >= {K} THEN list_transform(range(1, len(t) - {K} + 2), lambda i: {_HASH.format(f"array_to_string(t[i:i + {K} - 1], ' ')")})
-  WHEN len(t) > 0 THEN [{_HASH.format("array_to_string(t, ' ')")}] ELSE [] END AS h FROM (SELECT item_id, {_TOKENS} AS t FROM benchmark))"""
-
-
-@register(
-    "winnow_fingerprints",
-    f"""WITH {_ITEM_HASHES}
-SELECT DISTINCT item_id, unnest(CASE WHEN len(h) > 8 THEN list_transform(range(1, len(h) - 8 + 2), lambda i: list_min(h[i:i + 7])) WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END) AS h FROM h""",
-)
-def winnow_fingerprints(spark, sf_dir):
-    return _items(spark, sf_dir).select("item_id", F.explode(winnow(fingerprints(tokens(F.col("text")), K), 8)).alias("h"))
-
-
-@register("bottomk_sketch", f"WITH {_shingles_sql('d', 'documents', 'doc_id')} SELECT doc_id, h, n::INT AS n FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM d) WHERE n <= 16")
-def bottomk_sketch(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.posexplode(bottom_k(fingerprints(tokens(F.col("text")), K), 16)).alias("p", "h")).select("doc_id", "h", (F.col("p") + 1).alias("n"))
-
-
-@register(
-    "kmv_similarity",
-    f"""WITH {_shingles_sql('r', 'benchmark', 'item_id')},
-s AS (SELECT item_id, (list_sort(list(h)))[1:64] AS s FROM r GROUP BY 1),
-p AS (SELECT a.item_id AS a, b.item_id AS b, a.s AS x, b.s AS y, least(len(a.s), len(b.s), 64) AS m FROM s a JOIN s b ON a.item_id < b.item_id)
-SELECT a, b, len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(x, y))))[1:m], x), y))::DOUBLE / m AS similarity FROM p""",
-)
-def kmv_pairs(spark, sf_dir):
-    # the reference table is the small, fixed side: every item against every later one
-    s = _items(spark, sf_dir).select("item_id", bottom_k(fingerprints(tokens(F.col("text")), K), 64).alias("s")).filter(F.size("s") > 0)
-    a, b = s.select(F.col("item_id").alias("a"), F.col("s").alias("x")), s.select(F.col("item_id").alias("b"), F.col("s").alias("y"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", kmv_similarity(F.col("x"), F.col("y"), 64).alias("similarity"))
-
-
-#: What the reference uses: words of a shingle, window and sketch.
+#: Words of a shingle, window and sketch.
 _K, _WINDOW, _SKETCH = 16, 8, 256
 _DOC_HASHES = f"""h AS (SELECT doc_id, CASE WHEN len(t) >= {_K} THEN list_transform(range(1, len(t) - {_K} + 2), lambda i: {_HASH.format(f"array_to_string(t[i:i + {_K} - 1], ' ')")})
   WHEN len(t) > 0 THEN [{_HASH.format("array_to_string(t, ' ')")}] ELSE [] END AS h FROM (SELECT doc_id, {_TOKENS} AS t FROM documents))"""
 
 
 @register(
-    "document_winnow",
+    "winnow_fingerprints",
     f"""WITH {_DOC_HASHES}
 SELECT DISTINCT doc_id, unnest(CASE WHEN len(h) > {_WINDOW} THEN list_transform(range(1, len(h) - {_WINDOW} + 2), lambda i: list_min(h[i:i + {_WINDOW} - 1])) WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END) AS h FROM h""",
 )
-def document_winnow(spark, sf_dir):
+def winnow_fingerprints(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", F.explode(winnow(fingerprints(tokens(F.col("text")), _K), _WINDOW)).alias("h"))
 
 
@@ -141,18 +109,18 @@ def _sketches(spark, sf_dir):
 _SKETCHES = f"{_DOC_HASHES}, s AS (SELECT doc_id, (list_sort(list_distinct(h)))[1:{_SKETCH}] AS s FROM h WHERE len(h) > 0)"
 
 
-@register("document_sketch", f"WITH {_SKETCHES} SELECT doc_id, unnest(s) AS h, unnest(range(1, len(s) + 1))::INT AS n FROM s")
-def document_sketch(spark, sf_dir):
+@register("bottomk_sketch", f"WITH {_SKETCHES} SELECT doc_id, unnest(s) AS h, unnest(range(1, len(s) + 1))::INT AS n FROM s")
+def bottomk_sketch(spark, sf_dir):
     return _sketches(spark, sf_dir).select("doc_id", F.posexplode("s").alias("p", "h")).select("doc_id", "h", (F.col("p") + 1).alias("n"))
 
 
 @register(
-    "document_kmv",
+    "kmv_similarity",
     f"""WITH {_SKETCHES},
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.s AS x, b.s AS y, least(len(a.s), len(b.s), {_SKETCH}) AS m FROM s a JOIN s b ON a.doc_id < b.doc_id AND list_has_any(a.s, b.s))
 SELECT a, b, len(list_intersect(list_intersect((list_sort(list_distinct(list_concat(x, y))))[1:m], x), y))::DOUBLE / m AS similarity FROM p""",
 )
-def document_kmv(spark, sf_dir):
+def kmv_pairs(spark, sf_dir):
     # two sketches with no common value are 0 alike: only those that share one are compared
     s = graph.settled(_sketches(spark, sf_dir).filter(F.size("s") > 0))
     a, b = (s.select(F.col("doc_id").alias(c), F.explode("s").alias("h")) for c in "ab")
@@ -174,11 +142,11 @@ def near_duplicate_pairs(spark, sf_dir):
 
 
 @register(
-    "near_duplicate_groups",
+    "connected_groups",
     f"""{_NEAR}, e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 w(node, other) AS (SELECT a, a FROM e UNION SELECT w.node, e.b FROM w JOIN e ON e.a = w.other) SELECT node, min(other) AS component FROM w GROUP BY 1""",
 )
-def near_duplicate_groups(spark, sf_dir):
+def connected_groups(spark, sf_dir):
     return graph.groups(nearness.near_links(_docs(spark, sf_dir)))
 
 

@@ -30,9 +30,13 @@ def test_sketch_merge_is_exact_and_tracks_jaccard(spark):
 
 
 def test_near_diff(spark):
-    s = lambda *x: F.array(*[F.lit(v) for v in x])
-    before, after = s(*"abcdefgh"), s(*"abcdexyz")
-    assert one(spark, text.near_diff(before, after, s(*"abcdexyz")), text.near_diff(before, after, s(*"abcdefgh")), text.near_diff(before, after, s("q")), text.near_diff(before, after, s(*"abcdefghxyz"))) == ("fixed", "vulnerable", "unrelated", "unclear")
+    s = lambda *x: F.array(*[F.lit(v).cast("long") for v in x])
+    base, hole, fix = range(100, 130), range(200, 210), range(300, 310)
+    before, after = s(*base, *hole), s(*base, *fix)
+    trees = [s(*base, *fix, 900), s(*base, *hole, 900), s(1, 2, 3), s(*base, *hole, *fix), s(*base, *range(300, 305), *range(200, 205))]
+    assert one(spark, *[text.near_diff(before, after, t) for t in trees]) == ("fixed", "vulnerable", "unrelated", "unclear", "unclear")
+    # an insertion removes nothing but its seam: lacking it is enough
+    assert one(spark, text.near_diff(s(*base, 200), after, s(*base, 200)), text.near_diff(s(*base), s(*base, 300), s(*base))) == ("vulnerable", None)
 
 
 @pytest.mark.parametrize(

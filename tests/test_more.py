@@ -144,3 +144,18 @@ def test_holders(spark):
     names = {"ring_push": "ring", "tskDelay": "tsk", "__main_loop": None, "x_y": None, "plain": None, "ACME_RTT_Write": "acme"}
     t = spark.createDataFrame(list(names), "string").toDF("n")
     assert {r.n: r.p for r in t.select("n", provenance.name_prefix(F.col("n")).alias("p")).collect()} == names
+
+
+def test_probes_and_reports(spark):
+    from tessera.operators import discover
+
+    text = F.lit("#define MAJOR 2\n#define VERSION 0x0a\nEXTRA = rc2\n")
+    got = spark.range(1).select(
+        discover.probe(text, {"a": r"MAJOR (\d+)", "hex_b": r"VERSION (0x[0-9a-f]+)", "dash_c": r"EXTRA = (\w*)"}, "v{a}.{b}{c}"), discover.probe(text, {"a": r"MINOR (\d+)"}, "{a}"),
+        discover.patched(F.lit(False), F.lit(0), F.lit(False), F.lit("1"), F.lit("1")), discover.patched(F.lit(None).cast("boolean"), F.lit(None).cast("int"), F.lit(False), F.lit("1"), F.lit("2")),
+        discover.licences_differ(F.lit("MIT OR ISC"), F.array(F.lit("isc"))), discover.licences_differ(F.lit("MIT"), F.array(F.lit("MIT"), F.lit("Zlib"))), discover.licences_differ(F.lit(None).cast("string"), F.array(F.lit("MIT"))),
+        discover.band(F.lit(0.85))["name"], discover.derivative(F.lit(300), F.lit(1001)), discover.derivative(F.lit(300), F.lit(1000)),
+    ).first()
+    assert tuple(got) == ("v2.10-rc2", None, True, False, False, True, False, "strong", False, True)
+    rows = discover.asserted(spark.createDataFrame([(0.5,), (0.9,), (None,)], "identity double"), 0.6).collect()
+    assert [r.possible for r in rows] == [True, False, True]
