@@ -96,7 +96,8 @@ _FORWARD = re.compile(rf"{_NAMED}(?![\w@])")
 _BACKWARD = re.compile(rf"(?<![\w'’\-@.]){_NAMED}$")
 #: Characters before a verb in which a name is looked for.
 _NAME_REACH = 160
-EMAIL = r"(?P<email>\w(?:[\w.%+\-]*\w)?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,})"
+_LOCAL = re.compile(r"[\w.%+\-]")
+_DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _GROUP = r"[0-9A-Fa-f]{1,4}"
 IPV6 = rf"(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{1,7}}:|::(?:{_GROUP}:){{0,6}}{_GROUP}"
 SECRETS = re.compile(
@@ -121,7 +122,6 @@ NUMBERS = re.compile(
 _IPV6 = re.compile(rf"(?<![\w:.])(?:{IPV6})(?![\w:]|\.\w)")
 _COLONS = re.compile(r"(?<![\w:.])[0-9A-Fa-f]*:[0-9A-Fa-f:]*:[0-9A-Fa-f]*")
 _CARD = re.compile(r"\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7}|\d{4}([ \-])\d{6}\2\d{5}")
-_EMAIL = re.compile(EMAIL)
 
 
 class Keyed:
@@ -338,13 +338,30 @@ class Surrogates:
         return "".join(out)
 
 
+def addresses(text: str) -> list[tuple[int, int, str]]:
+    """E-mail addresses, from each sign to both sides: linear in the text, however long its words are."""
+    found: list[tuple[int, int, str]] = []
+    at = text.find("@")
+    last = 0
+    while at >= 0:
+        if at > last and (text[at - 1].isalnum() or text[at - 1] == "_") and (m := _DOMAIN.match(text, at + 1)):
+            lo = at
+            while lo > last and _LOCAL.match(text[lo - 1]):
+                lo -= 1
+            while not (text[lo].isalnum() or text[lo] == "_"):
+                lo += 1
+            found.append((lo, m.end(), "email"))
+            last = m.end()
+        else:
+            last = at + 1
+        at = text.find("@", last)
+    return found
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of each entity, in order, without overlap."""
     found: list[tuple[int, int, str]] = []
-    if "@" in text:
-        # an address has no white space: look only at the words around each sign
-        for m in re.finditer(r"[^\s@]*@[^\s@]*", text):
-            found += [(m.start() + x.start(), m.start() + x.end(), "email") for x in _EMAIL.finditer(m[0])]
+    found += addresses(text)
     low = text.lower()
     if any(x in low for x in _SECRET_WORDS) or any(x in text for x in _SECRET_STARTS):
         found += [(m.start(), m.end(), m.lastgroup) for m in SECRETS.finditer(text)]
