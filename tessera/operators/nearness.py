@@ -62,25 +62,33 @@ def set_pairs(sets: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, rep`` for each document with words, the smallest id with an equal set; the sets of those."""
+    """``doc_id, rep`` for each document with words, the smallest id with an equal set; the sets of those.
+
+    Both are written: what follows reads them several times, and only one set of a class is compared.
+    """
     sets = settled(shingle_sets(docs))
-    key = [F.col("n"), F.xxhash64("h").alias("k"), F.element_at("h", 1).alias("least")]
-    keyed = sets.select("doc_id", *key)
+    keyed = sets.select("doc_id", "n", F.xxhash64("h").alias("k"), F.element_at("h", 1).alias("least"))
     least = keyed.groupBy("n", "k", "least").agg(F.min("doc_id").alias("rep"))
     members = settled(keyed.join(least, ["n", "k", "least"]).select("doc_id", "rep"))
-    return members, sets.join(members.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
+    return members, settled(sets.join(members.filter("doc_id = rep").select("doc_id"), "doc_id", "left_semi"))
 
 
 def near_pairs(docs: DataFrame) -> DataFrame:
-    """``a, b, similarity`` for all pairs of documents, ``a < b``; equal sets are compared with others once."""
+    """``a, b, similarity``, ``a < b``: the pairs of classes, each by its smallest id, and each class's members.
+
+    Documents with equal sets are one class. A row of similarity 1 says that ``b`` is of the class of ``a``; other rows
+    are of two representatives. Rows grow with the copies, not with their square, and no link between
+    different texts is left out. Documents without words have no row.
+    """
     members, sets = _classes(docs)
-    pairs = set_pairs(sets).select("a", "b", (F.col("o") / F.col("n")).alias("similarity")).unionByName(sets.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"), F.lit(1.0).alias("similarity")))
-    x, y = members.select(F.col("rep").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("rep").alias("b"), F.col("doc_id").alias("y"))
-    every = pairs.join(x, "a").join(y, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
-    return every.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "similarity")
+    return set_pairs(sets).select("a", "b", (F.col("o") / F.col("n")).alias("similarity")).unionByName(_copies(members).withColumn("similarity", F.lit(1.0)))
 
 
 def near_links(docs: DataFrame) -> DataFrame:
-    """``a, b``: links that join the same documents as ``near_pairs``; equal sets by one link each."""
+    """``a, b``: links that join whatever is near; equal sets by one link each."""
     members, sets = _classes(docs)
-    return set_pairs(sets).select("a", "b").unionByName(members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
+    return set_pairs(sets).select("a", "b").unionByName(_copies(members))
+
+
+def _copies(members: DataFrame) -> DataFrame:
+    return members.filter("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))

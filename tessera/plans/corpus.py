@@ -136,7 +136,11 @@ o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.
 l AS (SELECT a, b, o::DOUBLE / (x.n + y.n - o) AS similarity FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o))"""
 
 
-@register("near_duplicate_pairs", f"{_NEAR} SELECT a, b, similarity FROM l")
+@register(
+    "near_duplicate_pairs",
+    f"""{_NEAR}, c AS (SELECT b, min(a) AS rep FROM l WHERE similarity = 1 GROUP BY 1)
+SELECT a, b, similarity FROM l WHERE a NOT IN (SELECT b FROM c) AND b NOT IN (SELECT b FROM c) UNION ALL SELECT rep, b, 1.0 FROM c""",
+)
 def near_duplicate_pairs(spark, sf_dir):
     return nearness.near_pairs(_docs(spark, sf_dir))
 
