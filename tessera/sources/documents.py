@@ -33,14 +33,14 @@ def cyclonedx_components(components: DataFrame) -> DataFrame:
     return components.select(F.to_json(fields).alias("json"))
 
 
-def _stamp(epoch: int | None) -> str:
+def stamp(epoch: int | None) -> str:
     return datetime.fromtimestamp(epoch or 0, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def cyclonedx(components: DataFrame, epoch: int | None = None) -> str:
     """A CycloneDX 1.6 document; byte-identical for equal rows and ``epoch``. A document is one value on the driver by nature."""
     rows = sorted((r["json"] for r in cyclonedx_components(components).collect()))
-    return json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "metadata": {"timestamp": _stamp(epoch)}, "components": [json.loads(r) for r in rows]}, indent=2, sort_keys=True)
+    return json.dumps({"bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "metadata": {"timestamp": stamp(epoch)}, "components": [json.loads(r) for r in rows]}, indent=2, sort_keys=True)
 
 
 def spdx(components: DataFrame, name: str, epoch: int | None = None) -> str:
@@ -51,7 +51,7 @@ def spdx(components: DataFrame, name: str, epoch: int | None = None) -> str:
         | ({"externalRefs": [{"referenceCategory": "PACKAGE-MANAGER", "referenceType": "purl", "referenceLocator": r["purl"]}]} if r["purl"] else {})
         for k, r in enumerate(rows, 1)
     ]
-    return json.dumps({"spdxVersion": "SPDX-2.3", "dataLicense": "CC0-1.0", "SPDXID": "SPDXRef-DOCUMENT", "name": name, "documentNamespace": f"urn:{name}", "creationInfo": {"created": _stamp(epoch), "creators": ["Tool: tessera"]}, "packages": packages}, indent=2, sort_keys=True)
+    return json.dumps({"spdxVersion": "SPDX-2.3", "dataLicense": "CC0-1.0", "SPDXID": "SPDXRef-DOCUMENT", "name": name, "documentNamespace": f"urn:{name}", "creationInfo": {"created": stamp(epoch), "creators": ["Tool: tessera"]}, "packages": packages}, indent=2, sort_keys=True)
 
 
 # Fixed: states of exchange formats.
@@ -69,4 +69,4 @@ def openvex(states: DataFrame, author: str, epoch: int | None = None) -> str:
     """An OpenVEX 0.2.0 document from ``vuln_key, purl, state``, one per product and vulnerability."""
     rows = sorted((r.asDict() for r in states.select("vuln_key", "purl", openvex_status(F.col("state")).alias("status")).distinct().collect()), key=lambda r: (r["vuln_key"], r["purl"]))
     said = [{"vulnerability": {"name": r["vuln_key"]}, "products": [{"@id": r["purl"]}], "status": r["status"]} | ({"justification": "vulnerable_code_not_present"} if r["status"] == "not_affected" else {}) for r in rows]
-    return json.dumps({"@context": "https://openvex.dev/ns/v0.2.0", "@id": f"urn:vex:{author}", "author": author, "timestamp": _stamp(epoch), "version": 1, "statements": said}, indent=2, sort_keys=True)
+    return json.dumps({"@context": "https://openvex.dev/ns/v0.2.0", "@id": f"urn:vex:{author}", "author": author, "timestamp": stamp(epoch), "version": 1, "statements": said}, indent=2, sort_keys=True)

@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
+import io
+import json
+import lzma
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,14 +18,100 @@ from tessera.functions.identity import cpe_key, purl_key
 
 _MATCH = "struct<vulnerable:boolean,criteria:string,versionStartIncluding:string,versionStartExcluding:string,versionEndIncluding:string,versionEndExcluding:string>"
 _CVSS = "array<struct<cvssData:struct<baseScore:double,baseSeverity:string,vectorString:string>,baseSeverity:string>>"
-NVD = f"vulnerabilities array<struct<cve:struct<id:string,descriptions:array<struct<lang:string,value:string>>,metrics:struct<cvssMetricV31:{_CVSS},cvssMetricV30:{_CVSS},cvssMetricV40:{_CVSS},cvssMetricV2:{_CVSS}>,references:array<struct<url:string>>,configurations:array<struct<nodes:array<struct<cpeMatch:array<{_MATCH}>>>>>>>>"
+CVE = f"struct<id:string,descriptions:array<struct<lang:string,value:string>>,metrics:struct<cvssMetricV31:{_CVSS},cvssMetricV30:{_CVSS},cvssMetricV40:{_CVSS},cvssMetricV2:{_CVSS}>,references:array<struct<url:string>>,configurations:array<struct<nodes:array<struct<cpeMatch:array<{_MATCH}>>>>>>"
 _EVENT = "struct<introduced:string,fixed:string,last_affected:string,limit:string>"
 OSV = f"id string, summary string, details string, aliases array<string>, upstream array<string>, severity array<struct<type:string,score:string>>, affected array<struct<package:struct<purl:string,ecosystem:string,name:string>,ranges:array<struct<type:string,repo:string,events:array<{_EVENT}>>>,versions:array<string>>>"
 
 
+# Fixed: the arrays that hold the records of 2.0 files, of 1.1 files and of mirrors of single records.
+_ARRAYS = ("vulnerabilities", "CVE_Items", "cve_items")
+_OPENERS = {".xz": lzma.open, ".gz": gzip.open, ".bz2": bz2.open}
+
+
+def _unpacked(path: str, content: bytes) -> io.TextIOBase:
+    """The text of a file as a stream, unpacked by its suffix."""
+    opener = next((f for s, f in _OPENERS.items() if path.lower().endswith(s)), None)
+    raw = opener(io.BytesIO(content)) if opener else io.BytesIO(content)
+    return io.TextIOWrapper(raw, "utf-8-sig", errors="replace")
+
+
+def records(stream: io.TextIOBase, names: tuple[str, ...] = _ARRAYS, size: int = 1 << 20) -> Iterator[tuple[str, dict]]:
+    """``array, record`` of the first array of those names, a record at a time; the file is never held as a whole. A file that breaks off raises."""
+    start = re.compile(rf'"({"|".join(names)})"\s*:\s*\[')
+    text = ""
+    while not (m := start.search(text)):
+        if not (more := stream.read(size)):
+            return
+        text += more
+    name, at, decoder = m[1], m.end(), json.JSONDecoder()
+    while True:
+        while at < len(text) and (text[at].isspace() or text[at] == ","):
+            at += 1
+        if at < len(text):
+            if text[at] == "]":
+                return
+            try:
+                record, at = decoder.raw_decode(text, at)
+                yield name, record
+                continue
+            except json.JSONDecodeError:
+                pass
+        # a record may be longer than a piece: the pieces grow, so that it is not read over and over
+        more = stream.read(max(size, len(text) - at))
+        if not more:
+            raise ValueError(f"the file breaks off inside {name}")
+        text, at = text[at:] + more, 0
+
+
+def _legacy(item: dict) -> dict:
+    """A record of a 1.1 file in the shape of 2.0; nested nodes become flat, as only their matches are read."""
+    cve, impact = item.get("cve") or {}, item.get("impact") or {}
+    nodes, waiting = [], list((item.get("configurations") or {}).get("nodes") or [])
+    while waiting:
+        node = waiting.pop(0)
+        waiting += node.get("children") or []
+        nodes.append({"cpeMatch": [{**m, "criteria": m.get("cpe23Uri") or m.get("cpe22Uri")} for m in node.get("cpe_match") or []]})
+    v3, v2 = impact.get("baseMetricV3") or {}, impact.get("baseMetricV2") or {}
+    metrics = {}
+    if v3.get("cvssV3"):
+        metrics["cvssMetricV30" if v3["cvssV3"].get("version") == "3.0" else "cvssMetricV31"] = [{"cvssData": v3["cvssV3"]}]
+    if v2.get("cvssV2"):
+        metrics["cvssMetricV2"] = [{"cvssData": v2["cvssV2"], "baseSeverity": v2.get("severity")}]
+    return {
+        "id": (cve.get("CVE_data_meta") or {}).get("ID"), "descriptions": (cve.get("description") or {}).get("description_data") or [],
+        "references": (cve.get("references") or {}).get("reference_data") or [], "metrics": metrics, "configurations": [{"nodes": nodes}],
+    }
+
+
+def _per_file(spark: SparkSession, path: str, name: str, f) -> DataFrame:
+    """A column ``name`` of the strings that ``f(path, content)`` yields; a file is a task, its text is streamed in batches."""
+
+    def run(batches):
+        for b in batches:
+            for p, content in zip(b.column("path"), b.column("content"), strict=True):
+                held: list[str] = []
+                for x in f(p.as_py(), content.as_py()):
+                    held.append(x)
+                    if len(held) == 1000:
+                        yield pa.RecordBatch.from_pydict({name: held})
+                        held = []
+                if held:
+                    yield pa.RecordBatch.from_pydict({name: held})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"{name} string")
+
+
+def _cves(path: str, content: bytes) -> Iterator[str]:
+    for name, x in records(_unpacked(path, content)):
+        yield json.dumps(_legacy(x) if name == "CVE_Items" else x.get("cve") if name == "vulnerabilities" else x)
+
+
 def read_nvd(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record of NVD 2.0 files (plain or gzip), with the best score: 3.1, 3.0, 4.0, then 2."""
-    cve = spark.read.schema(NVD).json(path, multiLine=True).select(F.explode("vulnerabilities").alias("v")).select("v.cve.*")
+    """One row per record of NVD 2.0 and 1.1 files and mirrors of them (plain, xz, gzip or bzip2), with the best score: 3.1, 3.0, 4.0, then 2.
+
+    A file without records gives none.
+    """
+    cve = _per_file(spark, path, "json", _cves).select(F.from_json("json", CVE).alias("v")).select("v.*")
     first = lambda k: F.try_element_at(F.col(f"metrics.{k}"), F.lit(1))
     order = ("cvssMetricV31", "cvssMetricV30", "cvssMetricV40", "cvssMetricV2")
     return cve.select(
@@ -66,7 +161,11 @@ def read_kev(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_epss(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("cve string, epss double, percentile double").csv(path, header=True, comment="#").select(F.col("cve").alias("id"), "epss", "percentile")
+    """``id, epss, percentile`` of scores as CSV, packed or not; lines that are no score (notes, the header) are left out."""
+    rows = _per_file(spark, path, "line", lambda p, content: (x.rstrip("\r\n") for x in _unpacked(p, content)))
+    cell = lambda k: F.trim(F.get(F.split("line", ","), F.lit(k)))
+    out = rows.filter(~F.col("line").startswith("#")).select(cell(0).alias("id"), cell(1).try_cast("double").alias("epss"), cell(2).try_cast("double").alias("percentile"))
+    return out.filter("epss is not null")
 
 
 def read_cn_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
