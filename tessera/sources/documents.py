@@ -1,4 +1,4 @@
-"""Bills of materials and exchange documents, in and out."""
+"""Bills of materials and exchange documents, in and out; documents out are small ones, as texts (``exchange`` writes those of any size)."""
 
 from __future__ import annotations
 

@@ -111,6 +111,29 @@ def _property(name: str, value: Column) -> Column:
     return F.struct(F.lit(f"tessera:{name}").alias("name"), value.cast("string").alias("value"))
 
 
+def cyclonedx(components: DataFrame, depends: DataFrame, epoch: int | None = None) -> DataFrame:
+    """A CycloneDX 1.6 bill with evidence, pedigree and the graph of dependencies.
+
+    ``components(ref, name, version, purl, cpe, licence, confidence, technique, paths, ancestor, patched)``: ``paths`` are occurrences, ``ancestor``
+    is the purl of the release that a changed copy comes from. ``depends(ref, on)`` makes an entry per edge, so that a component on which
+    half of the bill rests is no single large row; edges from or to what is no component are left out, and nulls are not written.
+    """
+    one = lambda x: F.array(F.struct(*x))
+    method = one([F.col("technique").alias("technique"), F.col("confidence").alias("confidence")])
+    identity = F.when(F.col("confidence").isNotNull(), one([F.lit("name").alias("field"), F.col("confidence").alias("confidence"), method.alias("methods")]))
+    seen = F.when(F.size("paths") > 0, F.transform(F.array_sort("paths"), lambda p: F.struct(p.alias("location"))))
+    evidence = F.when(identity.isNotNull() | seen.isNotNull(), F.struct(identity.alias("identity"), seen.alias("occurrences")))
+    upstream = one([F.lit("library").alias("type"), F.col("name").alias("name"), F.col("ancestor").alias("purl")])
+    pedigree = F.when(F.col("ancestor").isNotNull(), F.struct(upstream.alias("ancestors"), F.when(F.col("patched"), one([F.lit("unofficial").alias("type")])).alias("patches")))
+    licences = F.when(F.col("licence").isNotNull(), one([F.col("licence").alias("expression")]))
+    entry = F.struct(F.lit("library").alias("type"), F.col("ref").alias("bom-ref"), "name", "version", "purl", "cpe", licences.alias("licenses"), pedigree.alias("pedigree"), evidence.alias("evidence"))
+    known = components.select("ref").filter("ref is not null").distinct()
+    edges = depends.join(known, "ref", "left_semi").join(known.select(F.col("ref").alias("on")), "on", "left_semi")
+    edge = F.struct("ref", F.array("on").alias("dependsOn"))
+    head = _head({"bomFormat": "CycloneDX", "specVersion": "1.6", "version": 1, "metadata": {"timestamp": stamp(epoch)}}, "components")
+    return lines([head, components.select(F.to_json(entry).alias("json")), '], "dependencies": [', edges.select(F.to_json(edge).alias("json")), "]}"])
+
+
 def cbom(assets: DataFrame, epoch: int | None = None) -> DataFrame:
     """A bill of the cryptography in use, of ``family, class, files, hits, first`` as the inventory has them."""
     seen = F.array(F.struct(F.col("first").alias("location")))

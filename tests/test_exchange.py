@@ -33,6 +33,23 @@ def test_spdx3(spark):
     assert sorted(x["type"] for x in empty) == ["CreationInfo", "SoftwareAgent", "SpdxDocument"]
 
 
+def test_cyclonedx(spark):
+    schema = "ref string, name string, version string, purl string, cpe string, licence string, confidence double, technique string, paths array<string>, ancestor string, patched boolean"
+    rows = [("a", "A", "1", "pkg:x/a@1", None, "MIT OR ISC", 0.9, "source-code-analysis", ["src/b.c", "src/a.c"], "pkg:x/a@1.0", True), ("b", "B", None, None, "cpe:2.3:a:v:b:*", None, None, None, None, None, None), ("c", "C", "2", None, None, None, None, None, [], "pkg:x/c", None)]
+    components = spark.createDataFrame(rows, schema)
+    depends = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("a", "gone"), ("gone", "a"), (None, "a")], "ref string, on string")
+    text = _text(exchange.cyclonedx(components, depends, 0))
+    assert text == _text(exchange.cyclonedx(components.repartition(3), depends, 0))
+    bom = json.loads(text)
+    a, b, c = bom["components"]
+    assert a["evidence"]["occurrences"] == [{"location": "src/a.c"}, {"location": "src/b.c"}] and a["evidence"]["identity"][0]["methods"] == [{"technique": "source-code-analysis", "confidence": 0.9}]
+    assert a["pedigree"] == {"ancestors": [{"type": "library", "name": "A", "purl": "pkg:x/a@1.0"}], "patches": [{"type": "unofficial"}]} and a["licenses"] == [{"expression": "MIT OR ISC"}]
+    assert sorted(b) == ["bom-ref", "cpe", "name", "type"] and "patches" not in c["pedigree"] and "evidence" not in c
+    assert bom["dependencies"] == [{"ref": "a", "dependsOn": ["b"]}, {"ref": "a", "dependsOn": ["c"]}]
+    empty = json.loads(_text(exchange.cyclonedx(components.filter("false"), depends, 0)))
+    assert empty["components"] == [] and empty["dependencies"] == []
+
+
 def test_vex(spark):
     states = _tables(spark)[2]
     said = json.loads(_text(exchange.cyclonedx_vex(states, 0)))["vulnerabilities"]
