@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.versions import in_range
+from tessera.functions.versions import facts, in_range, limits, within
 from tessera.operators.resolve import state_of
 
 
@@ -15,19 +15,25 @@ def vulnerability_key(id_: Column, aliases: Column) -> Column:
     return F.coalesce(F.try_element_at(F.filter(every, lambda x: F.upper(x).startswith("CVE-")), F.lit(1)), id_)
 
 
-def range_join(components: DataFrame, ranges: DataFrame, key: str = "key") -> DataFrame:
+_BOUNDS = ("introduced", "start_excluding", "fixed", "last_affected")
+
+
+def range_join(components: DataFrame, ranges: DataFrame, key: str | list[str] = "key") -> DataFrame:
     """Equi-join on the product key; the range is a column, not a join condition, so "cannot tell" survives as null.
 
-    ``components(component, key, version)``, ``ranges(advisory_id, key, introduced, start_excluding, fixed, last_affected)``.
+    ``components(component, key, version)``, ``ranges(advisory_id, key, introduced, start_excluding, fixed, last_affected)``. Versions and bounds are
+    parsed before the join, so once each, however many ranges a component meets.
     """
-    joined = components.join(ranges, key)
-    return joined.withColumn("verdict", in_range(F.col("version"), F.col("introduced"), F.col("start_excluding"), F.col("fixed"), F.col("last_affected")))
+    parsed = components.withColumn("_version", facts(F.col("version")))
+    joined = parsed.join(ranges.withColumn("_limits", limits(*[F.col(b) for b in _BOUNDS])), key)
+    return joined.withColumn("verdict", within(F.col("_version"), F.col("_limits"))).drop("_version", "_limits")
 
 
-def matched(components: DataFrame, ranges: DataFrame, channel: str) -> DataFrame:
-    """``vuln_key, component, channel, state, authoritative, unplaced`` for each range that a component meets."""
-    rows = range_join(components, ranges)
-    return rows.select("vuln_key", "component", F.lit(channel).alias("channel"), state_of(F.col("verdict"), F.col("distro"), F.col("fork")).alias("state"), F.lit(False).alias("authoritative"), F.col("verdict").isNull().alias("unplaced"))
+def matched(components: DataFrame, ranges: DataFrame, channel: str | None = None) -> DataFrame:
+    """``vuln_key, component, channel, state, authoritative, unplaced`` for each range that a component meets; without ``channel`` both sides have it as a column."""
+    rows = range_join(components, ranges, "key" if channel else ["channel", "key"])
+    by = F.lit(channel).alias("channel") if channel else F.col("channel")
+    return rows.select("vuln_key", "component", by, state_of(F.col("verdict"), F.col("distro"), F.col("fork")).alias("state"), F.lit(False).alias("authoritative"), F.col("verdict").isNull().alias("unplaced"))
 
 
 def numeric_verdict(x: Column, low: Column, high: Column) -> Column:

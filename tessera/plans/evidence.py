@@ -47,8 +47,9 @@ m AS (SELECT advisory_id AS vuln_key, component, channel, verdict IS NULL AS unp
 def _matched(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select(*[F.expr(x).alias(n) for n, x in _COMPONENT.items()])
     ranges = table(spark, sf_dir, "supplier").select(*[F.expr(x).cast("string").alias(n) for n, x in _RANGE.items()])
-    by = lambda channel: advisories.matched(parts.withColumn("key", F.col(channel)), ranges.filter(F.col("channel") == channel).drop("channel").withColumnRenamed("advisory_id", "vuln_key"), channel)
-    return by("cpe").unionByName(by("purl"))
+    channels = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("key")) for c in ("cpe", "purl")]))
+    keyed = parts.select("component", "version", "distro", "fork", channels.alias("x")).select("component", "version", "distro", "fork", "x.*")
+    return advisories.matched(keyed, ranges.withColumnRenamed("advisory_id", "vuln_key"))
 
 
 @register(
