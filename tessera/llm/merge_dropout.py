@@ -11,7 +11,8 @@ itself, copies of a text differently, and another seed segments the whole corpus
 Which of a segment's possible candidates are skipped is all that tells two of its occurrences apart.  Those
 that skip the same have equal ids, so each distinct segment with its set of skips is
 merged once in a chunk, all of them side by side: a round merges one pair in every segment that still
-has one.  Long segments take a heap of their own, each occurrence alone.
+has one.  Long segments take a heap of their own, each occurrence alone.  What a segment skips is asked beforehand
+only where it occurs again in the chunk: no other merge could be shared.
 
 Characters without a piece become their bytes.  So does a literal U+2581, which would otherwise
 decode to a space: decoding gives back every text.
@@ -41,6 +42,7 @@ CHUNK = 2_000_000
 LONG = 48
 SPACE = "▁"
 _NONE = np.int32(-1)
+NEVER = np.int32(0x7FFFFFFF)
 
 
 class Pieces:
@@ -82,7 +84,7 @@ class Pieces:
         # every pair of pieces whose union is a piece
         pairs = [(index[n[:k]], index[n[k:]], i) for n, i in index.items() for k in range(1, len(n)) if n[:k] in index and n[k:] in index]
         order = np.argsort([-model.get_score(i) for i in range(size)], kind="stable")
-        self.rank = np.zeros(size, np.int32)  # equal scores have equal ranks
+        self.rank = np.full(size + 1, NEVER, np.int32)  # equal scores have equal ranks; the last is that of no piece
         score = np.array([model.get_score(i) for i in range(size)])
         self.rank[order] = np.cumsum(np.append(0, score[order][1:] != score[order][:-1]))
         # an open-addressed table from pair to piece
@@ -139,8 +141,17 @@ def secret(seed: int, variant: int) -> int:
 
 def skipped(salt: np.ndarray, begin: np.ndarray, meet: np.ndarray, end: np.ndarray, bar: int) -> np.ndarray:
     """Whether each candidate is skipped; ``salt`` is the keyed hash of its segment."""
-    where = begin.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + meet.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * U64(0x165667B19E3779F9)
-    return (mix(salt ^ mix(where)) >> U64(11)) < U64(bar)
+    return drawn(salt, places(begin, meet, end), bar)
+
+
+def places(begin: np.ndarray, meet: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The hash of where a candidate lies in its segment."""
+    return mix(begin.astype(np.uint64) * U64(0x9E3779B97F4A7C15) + meet.astype(np.uint64) * U64(0xC2B2AE3D27D4EB4F) + end.astype(np.uint64) * U64(0x165667B19E3779F9))
+
+
+def drawn(salt: np.ndarray, place: np.ndarray, bar: int) -> np.ndarray:
+    """``skipped`` for candidates whose places are hashed already."""
+    return (mix(salt ^ place) >> U64(11)) < U64(bar)
 
 
 def merge(vocabulary: Pieces, ids: np.ndarray, first: np.ndarray, salt: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
@@ -167,12 +178,12 @@ def merge(vocabulary: Pieces, ids: np.ndarray, first: np.ndarray, salt: np.ndarr
             union = np.full(len(ids), _NONE, np.int32)
             pair = np.flatnonzero((owner[:-1] == owner[1:]) & (ids[:-1] >= 0) & (ids[1:] >= 0))
             union[pair] = candidates(vocabulary, ids, owner, begin, stop, pair, salt, bar)
-        rank = np.where(union >= 0, vocabulary.rank[union], np.int32(0x7FFFFFFF))
+            rank = vocabulary.rank[union]
         # the best pair of each segment, the leftmost of equals
         edge = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         best = np.minimum.reduceat(rank, edge)
         size = np.diff(np.append(edge, len(ids)))
-        live = best < 0x7FFFFFFF
+        live = best < NEVER
         if not live.all():
             still = np.repeat(live, size)
             done_ids.append(ids[~still])
@@ -187,8 +198,7 @@ def merge(vocabulary: Pieces, ids: np.ndarray, first: np.ndarray, salt: np.ndarr
         stop[at] = stop[at + 1]
         keep = np.ones(len(ids), bool)
         keep[at + 1] = False
-        union[at] = _NONE
-        ids, owner, begin, stop, union = (x[keep] for x in (ids, owner, begin, stop, union))
+        ids, owner, begin, stop, union, rank = (x[keep] for x in (ids, owner, begin, stop, union, rank))
         at -= np.arange(len(at))
         # only the pairs that the new symbols are in have changed
         changed = np.zeros(len(ids), bool)
@@ -201,6 +211,8 @@ def merge(vocabulary: Pieces, ids: np.ndarray, first: np.ndarray, salt: np.ndarr
         ok = (ids[pair] >= 0) & (ids[pair + 1] >= 0)
         union[pair] = _NONE
         union[pair[ok]] = candidates(vocabulary, ids, owner, begin, stop, pair[ok], salt, bar)
+        rank[at] = NEVER
+        rank[pair] = vocabulary.rank[union[pair]]
     if not done_ids:
         return np.zeros(0, np.int32), np.zeros(n, np.int64)
     ids, owner = np.concatenate(done_ids), np.concatenate(done_owner)
@@ -303,6 +315,7 @@ def skip_sets(vocabulary: Pieces, code: np.ndarray, start: np.ndarray, stop: np.
     """A 64-bit hash of the possible candidates that each segment skips; ``kind`` is its number among the distinct ones, which ``one`` has a place of."""
     segment, begin, meet, end = possible(vocabulary, code, start[one], stop[one])
     first = np.append(0, np.cumsum(np.bincount(segment, minlength=len(one))))
+    place = places(begin, meet, end)
     mark = mix(begin.astype(np.uint64) * U64(0xD6E8FEB86659FD93) ^ mix(meet.astype(np.uint64) << U64(32) | end.astype(np.uint64)))
     count = np.diff(first)[kind]
     total = np.append(0, np.cumsum(count))
@@ -313,7 +326,7 @@ def skip_sets(vocabulary: Pieces, code: np.ndarray, start: np.ndarray, stop: np.
         n = count[lo:hi]
         owner = np.repeat(np.arange(lo, hi), n)
         at = np.repeat(first[kind[lo:hi]] - (total[lo:hi] - total[lo]), n) + np.arange(len(owner))
-        hit = np.flatnonzero(skipped(salt[owner], begin[at], meet[at], end[at], bar))
+        hit = np.flatnonzero(drawn(np.repeat(salt[lo:hi], n), place[at], bar))
         np.add.at(out, owner[hit], mark[at[hit]])
         lo = hi
     return out
@@ -342,13 +355,14 @@ def encode(vocabulary: Pieces, texts: list[str], variant: np.ndarray, seed: int,
         ids = np.zeros(len(texts), np.uint64) if doc_id is None else doc_id.astype(np.int64).view(np.uint64)
         where = mix(mix(ids + secrets[variant])[row] + (start - offset[row]).astype(np.uint64))
         salt = mix(word + where)
-        _, one, kind = np.unique(word, return_index=True, return_inverse=True)
-        long = stop - start > LONG
-        short = one[~long[one]]
+        _, one, kind, often = np.unique(word, return_index=True, return_inverse=True, return_counts=True)
+        # nobody shares the merge of a long segment or of one that occurs once
+        shared = (stop - start <= LONG) & (often > 1)[kind]
+        short = one[shared[one]]
         number = np.full(len(one), -1)
-        number[~long[one]] = np.arange(len(short))
+        number[shared[one]] = np.arange(len(short))
         key = salt.copy()
-        key[~long] = mix(word[~long] + skip_sets(vocabulary, code, start[~long], stop[~long], number[kind[~long]], (np.cumsum(~long) - 1)[short], salt[~long], bar))
+        key[shared] = mix(word[shared] + skip_sets(vocabulary, code, start[shared], stop[shared], number[kind[shared]], (np.cumsum(shared) - 1)[short], salt[shared], bar))
     else:
         salt = key = word
     _, at, inverse = np.unique(key, return_index=True, return_inverse=True)

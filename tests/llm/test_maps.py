@@ -90,6 +90,21 @@ def test_equal_skips_merge_as_each_alone(monkeypatch):
     assert all((a == b).all() for a, b in zip(shared, alone, strict=True))
 
 
+def test_skips_are_asked_only_where_merges_can_be_shared(monkeypatch):
+    p = merge_dropout.pieces(merge_dropout.model_path())
+    once = " ".join(f"word{k}ing" for k in range(300)) + " " + "x" * 60
+    asked = []
+    skip_sets = merge_dropout.skip_sets
+    monkeypatch.setattr(merge_dropout, "skip_sets", lambda v, c, a, z, k, o, salt, bar: (asked.append((len(a), len(o))), skip_sets(v, c, a, z, k, o, salt, bar))[1])
+    both = merge_dropout.encode(p, [once, "again and again"], np.zeros(2, int), 5, 0.3, 1, np.array([1, 2]))
+    assert asked == [(2, 1)]  # the two of "again" behind a space
+    # the same ids whatever else lies in the chunk, and when all segments occur again
+    for k, text in enumerate([once, "again and again"]):
+        assert merge_dropout.encode(p, [text], np.zeros(1, int), 5, 0.3, 1, np.array([k + 1]))[0].tolist() == both[k].tolist()
+    first = merge_dropout.encode(p, [once, once], np.zeros(2, int), 5, 0.3, 1, np.array([1, 9]))[0]
+    assert asked[-1] == (600, 300) and first.tolist() == both[0].tolist()
+
+
 def brute_counts(x):
     words, lines = re.findall(WHITE, x), [s for s in x.split("\n") if re.search(WHITE, s)]
     c = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
