@@ -10,12 +10,15 @@ that is followed by one step and undone, ``P^-1(P(x) + 1)``: it maps nothing to
 Given names move inside a list of one gender and script.  In each
 document a collision check then compares surrogates with each other and with the document's
 real entities; a clash takes another step, and this one entity is then called otherwise than in other documents. Forms with few members (a lone initial,
-signs only) give way after ``DRAWS`` draws to letters or digits that grow, so a free one is always found.
+signs only) give way after ``DRAWS`` draws to letters or digits that grow with the draws, whatever the kind, so a free one is always found.
 
 Names are found by titles, by known given names, and by context: two capitalised words or more after words such
-as "Dear", "Contact:" or "met", or before "said", "wrote" and the like.
+as "Dear", "Contact:" or "met", or before "said", "wrote" and the like, one capitalised word before verbs of speech,
+words in any case after a label such as "Name:", and Han names with a known surname beside a title or label.  A run that begins with an
+article names a thing, not a person.
 
-Each text is handled whole and alone: a map without a shuffle.
+Each text is handled whole and alone: a map without a shuffle.  Searches go over a text once, and long entities are moved a
+block at a time, each under a digest of those before it, so time is linear in the text.
 
 Defined cases: a null text stays null and has no entities; an empty text stays
 empty; overlapping matches: the first to start, then the longest; repeated rows are
@@ -53,6 +56,10 @@ _CLASS = {c: k for k, x in enumerate(CLASSES) for c in x}
 _AT = {c: n for x in CLASSES for n, c in enumerate(x)}
 #: Draws before a form gives way.
 DRAWS = 64
+#: Characters that are moved as one number; longer texts in blocks of so many.
+BLOCK = 96
+#: Short texts whose surrogates a task keeps at hand.
+KNOWN = 4096
 FEW = len(CLASSES)
 
 
@@ -63,8 +70,10 @@ def _all_scripts() -> None:
         kind = unicodedata.category(c)
         if kind not in ("Ll", "Lo", "Nd") or c in _CLASS or (kind == "Lo" and len(c.lower()) != 1):
             continue
-        upper = c.upper()
-        found.setdefault((unicodedata.name(c, "?").split()[0], kind, len(upper) == 1 and upper != c and upper.lower() == c), []).append(c)
+        upper, script = c.upper(), unicodedata.name(c, "?").split()[0]
+        # Latin has letters of names and signs of phonetics: those of one half of a block stay together
+        block = ord(c) >> 7 if script == "LATIN" else 0
+        found.setdefault((script, kind, len(upper) == 1 and upper != c and upper.lower() == c, block), []).append(c)
     for key in sorted(found):
         for n, c in enumerate(found[key]):
             _CLASS[c], _AT[c] = len(CLASSES), n
@@ -88,28 +97,44 @@ LABELS = ("Name", "Contact", "Author", "Attn", "Attention", "Customer", "Patient
 BEFORE = ("Dear", "met", "with", "by", "from", "named", "called", "asked", "told", "Sincerely,", "Regards,")
 AFTER = ("met", "said", "says", "wrote", "writes", "called", "asked", "told", "replied", "lives", "works", "emailed", "was born")
 _CAPITAL = r"(?=[^\W\d_])[A-ZÀ-ÖØ-ÞĀĂĄĆĈĊČĎĐĒĖĘĚĞĢĪİĶĹĽŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽА-ЯЁ]"
-_NAME_WORD = rf"{_CAPITAL}(?:\.|[^\W\d_]+(?:['’\-][^\W\d_]+)*(?![\w.]*@))"
-_NAMED = rf"{_CAPITAL}[^\W\d_]+(?:['’\-][^\W\d_]+)*(?:[  ]{_NAME_WORD})*[  ]{_CAPITAL}[^\W\d_]+(?:['’\-][^\W\d_]+)*"
+_TAIL = r"(?:['’\-][^\W\d_]++)*+"
+_NAME_WORD = rf"{_CAPITAL}(?:\.|[^\W\d_]++{_TAIL}(?![\w.]*@))"
+_NAMED = rf"{_CAPITAL}[^\W\d_]++{_TAIL}(?:[  ]{_NAME_WORD})*[  ]{_CAPITAL}[^\W\d_]++{_TAIL}"
 _CUE = re.compile(rf"(?<!\w)(?:(?:{'|'.join(LABELS)})[ ]?:[ ]?|(?:{'|'.join(BEFORE)})\s)(?={_CAPITAL})")
 _VERB = re.compile(rf"(?<=[^\W\d_])(?=[  ](?:{'|'.join(AFTER)})(?!\w))")
 _FORWARD = re.compile(rf"{_NAMED}(?![\w@])")
-_BACKWARD = re.compile(rf"(?<![\w'’\-@.]){_NAMED}$")
-#: Characters before a verb in which a name is looked for.
-_NAME_REACH = 160
+#: Runs of capitalised words that can stand before a verb.
+_RUN = re.compile(rf"(?<![\w'’\-@.]){_NAMED}(?![\w@])")
+#: Fixed: verbs of speech, before which one capitalised word is a name unless it is one of these words.
+SPEECH = ("said", "says", "wrote", "writes", "told", "asked", "replied", "emailed")
+_SINGLE = re.compile(rf"(?<![\w'’\-@.])({_CAPITAL}[^\W\d_]++{_TAIL})(?=[  ](?:{'|'.join(SPEECH)})(?!\w))")
+ARTICLES = ("The", "A", "An", "This", "That", "These", "Those", "Our", "Their", "His", "Her", "My", "Your", "Its", "Some", "Any", "Every", "Each", "No", "All", "Der", "Die", "Das", "Le", "La", "Les", "El", "Los", "Las")
+NO_NAMES = {*ARTICLES, "He", "She", "It", "They", "We", "You", "I", "Who", "What", "Which", "Someone", "Somebody", "Nobody", "Everyone", "Everybody", "People", "Others", "One", "Two", "Many", "Most", "Few", "Several", "And", "But", "Or", "So", "Then", "As", "When", "If", "Also", "Once", "Never", "Not", "Just", "There", "Here", "Well"}
+#: After a label, words of any case to the end of the line or the next sign.
+_LABEL_END = re.compile(rf"(?<!\w)(?i:{'|'.join(LABELS)})[ ]?$")
+_LABEL_REACH = max(map(len, LABELS)) + 2
+_ANY_CASE = re.compile(r"[^\W\d_]{2,}+(?:[  ][^\W\d_]++){1,3}+(?=[ \t]*(?:$|[\n\r,;.<|]))")
+#: Fixed: frequent Han surnames, titles after names, labels before them.
+HAN_SURNAMES = "王李张張刘劉陈陳杨楊黄黃赵趙吴吳周徐孙孫马馬朱胡郭何林高罗羅郑鄭梁谢謝宋唐许許邓鄧冯馮韩韓曹曾彭萧蕭蔡潘田董袁于余叶葉蒋蔣杜苏蘇魏程吕呂丁沈任姚卢盧傅钟鐘姜崔谭譚廖范汪陆陸金石戴贾賈韦韋夏邱方侯邹鄒熊孟秦白江阎閻薛尹段雷黎史龙龍陶贺賀顾顧毛郝龚龔邵万萬钱錢严嚴"
+HAN_TITLES = ("先生", "女士", "小姐", "太太", "教授", "医生", "醫生", "老师", "老師", "经理", "經理", "博士", "同学", "同學")
+HAN_LABELS = ("姓名", "联系人", "聯絡人", "作者", "客户", "客戶", "患者", "员工", "員工")
+_HAN = re.compile(rf"[{HAN_SURNAMES}][\u4e00-\u9fff]{{0,2}}(?={'|'.join(HAN_TITLES)})")
+_HAN_LABEL = re.compile(rf"(?:{'|'.join(HAN_LABELS)})[：:]([{HAN_SURNAMES}][\u4e00-\u9fff]{{1,3}})(?![\u4e00-\u9fff])")
 _LOCAL = re.compile(r"[\w.%+\-]")
 _DOMAIN = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}")
 _GROUP = r"[0-9A-Fa-f]{1,4}"
 IPV6 = rf"(?:{_GROUP}:){{7}}{_GROUP}|(?:{_GROUP}:){{1,6}}(?::{_GROUP}){{1,6}}|(?:{_GROUP}:){{1,7}}:|::(?:{_GROUP}:){{0,6}}{_GROUP}"
-SECRETS = re.compile(
-    r"(?<![\w@])(?:"
-    r"(?P<secret>(?i:(?:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\s*[=:]\s*(?:[\"'][^\"'\s]{6,}[\"']|(?=[^\s\"',;]*[^\W\d_])(?=[^\s\"',;]*\d)[^\s\"',;]{6,})))"
-    r"|(?P<jwt>eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,})"
-    r"|(?P<key>(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}|sk-[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9\-]{10,}|AIza[A-Za-z0-9_\-]{30,})"
-    r")"
-)
+#: What stands before the value of a secret.
+_SECRET_KEY = re.compile(r"(?<![\w@])(?i:api[_-]?key|access[_-]?key|token|secret|password|passwd|pwd)\s*+[=:]\s*+")
+_QUOTED = re.compile(r"[\"'][^\"'\s]{6,}+[\"']")
+_BARE = re.compile(r"[^\s\"',;]++")
+_KEY = re.compile(r"(?<![\w@])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}+|(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{8,}+|sk-[A-Za-z0-9]{20,}+|xox[abprs]-[A-Za-z0-9\-]{10,}+|AIza[A-Za-z0-9_\-]{30,}+)")
+#: Text in which three parts joined by dots can be a signed token, and where such a token can begin.
+_DOTTED = re.compile(r"[A-Za-z0-9_\-.]*+")
+_SIGNED = re.compile(r"(?<![\w@])eyJ(?=[A-Za-z0-9_\-]{6})")
 #: What a text with one of these has in it; cheap to look for.
 _SECRET_WORDS, _SECRET_STARTS = ("key", "token", "secret", "passw", "pwd"), ("AKIA", "ASIA", "gh", "k_live_", "k_test_", "sk-", "xox", "AIza", "eyJ")
-HEX = re.compile(r"(?<![\w@])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?!\w)")
+HEX = re.compile(r"(?<![\w@])(?:[0-9a-f]{32,}+|[0-9A-F]{32,}+)(?!\w)")
 NUMBERS = re.compile(
     r"(?<![\w@])(?=[\d+(]|[A-Z][A-Z]\d)(?:"
     r"(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w))"
@@ -129,6 +154,7 @@ class Keyed:
 
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
+        self.known: dict[tuple[str, bytes], str] = {}
 
     def _round(self, tweak: bytes, n: int, half: int, size: int) -> int:
         raw = half.to_bytes(half.bit_length() // 8 + 1, "little")
@@ -167,9 +193,30 @@ class Keyed:
 
     def text(self, s: str, tweak: bytes) -> str:
         """``s`` with each character moved inside its class; forms (classes and cases) never change."""
+        if len(s) > BLOCK:
+            return self._blocks(s, tweak, self.text)
+        key = (s, tweak)
+        if key not in self.known:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[key] = self._text(s, tweak)
+        return self.known[key]
+
+    def _blocks(self, s: str, tweak: bytes, one) -> str:
+        """Each block under a digest of what stands before it: one to one, as the blocks can be undone in turn."""
+        state, out = hashlib.blake2b(b"%d|" % len(s) + tweak, key=self.key, digest_size=16), []
+        for at in range(0, len(s), BLOCK):
+            part = s[at : at + BLOCK]
+            out.append(one(part, state.digest()))
+            state.update(part.encode("utf-8", "surrogatepass"))
+        return "".join(out)
+
+    def _text(self, s: str, tweak: bytes) -> str:
         low = "".join(map(_lower, s))
         if len(CLASSES) == FEW and any(c not in _CLASS and not c.isascii() and c.isalnum() for c in low):
             _all_scripts()
+        if len(tweak) > BLOCK:
+            tweak = hashlib.blake2b(tweak, digest_size=16).digest()
         x, size = 0, 1
         for c in low:
             if c in _CLASS:
@@ -189,7 +236,10 @@ class Keyed:
         return "".join(reversed(out))
 
     def hexadecimal(self, s: str, tweak: bytes) -> str:
-        out = format(self.moved(int(s, 16), 16 ** len(s), tweak + b"%d" % len(s)), f"0{len(s)}x")
+        if len(s) > BLOCK:
+            out = self._blocks(s.lower(), tweak, self.hexadecimal)
+        else:
+            out = format(self.moved(int(s, 16), 16 ** len(s), tweak + b"%d" % len(s)), f"0{len(s)}x")
         return out.upper() if s != s.lower() else out
 
 
@@ -223,6 +273,7 @@ def _refill(shape: str, digits: str, skip: int = 0) -> str:
     return "".join(out)
 
 
+_KEY_HEAD = re.compile(r"[A-Za-z]+_(?:live_|test_)?|sk-|xox[a-z]-|.{4}")
 #: A secret: what stands before its value, the value, the quote after it.
 _VALUE = re.compile(r"(?s)([^=:]*[=:]\s*[\"']?)(.*?)([\"']?)")
 
@@ -233,8 +284,9 @@ class Surrogates:
 
     def of(self, kind: str, s: str, attempt: int = 0) -> str:
         t = b"%b%d" % (kind.encode(), attempt)
-        wide = getattr(self, f"_wide_{kind}", None) if attempt >= DRAWS else None
-        return wide(s, t, 1 + (attempt - DRAWS) // 8) if wide else getattr(self, f"_{kind}")(s, t)
+        if attempt >= DRAWS:
+            return getattr(self, f"_wide_{kind}")(s, t, 1 + (attempt - DRAWS) // 8)
+        return getattr(self, f"_{kind}")(s, t)
 
     # Where the form has no free member: letters or digits in its place, longer with each few draws.
 
@@ -257,6 +309,32 @@ class Surrogates:
         m = _VALUE.fullmatch(s)
         return m[1] + self._letters(m[2], t, more) + m[3]
 
+    def _wide_hex(self, s: str, t: bytes, more: int) -> str:
+        out = self._letters(s, t, more, "0123456789abcdef")
+        return out.upper() if s != s.lower() else out
+
+    def _wide_ipv6(self, s: str, t: bytes, more: int) -> str:
+        x = self._letters("", t + s.encode(), 31, "0123456789abcdef")
+        return ":".join(("2" + x)[k : k + 4] for k in range(0, 32, 4))
+
+    def _wide_jwt(self, s: str, t: bytes, more: int) -> str:
+        return "eyJ" + ".".join(self._letters(x, t + b"%d" % k, more) for k, x in enumerate(s[3:].split(".")))
+
+    def _wide_key(self, s: str, t: bytes, more: int) -> str:
+        start = _KEY_HEAD.match(s).end()
+        return s[:start] + self._letters(s[start:], t, more, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+
+    def _wide_iban(self, s: str, t: bytes, more: int) -> str:
+        body = self._letters(s.replace(" ", "")[4:], t, more, "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+        return s[:2] + iban_check(s[:2], body) + body
+
+    def _wide_card(self, s: str, t: bytes, more: int) -> str:
+        body = self._letters("".join(c for c in s if c.isdigit())[1:], t, more, "0123456789")
+        return body + str(luhn(body))
+
+    def _wide_ssn(self, s: str, t: bytes, more: int) -> str:
+        return self._ssn(s, t) + self._letters("", t + s.encode(), more, "0123456789")
+
     def _wide_name(self, s: str, t: bytes, more: int) -> str:
         words = re.split(r"([  ])", s)
         return "".join(w if k % 2 or w.rstrip(".") in _TITLES else self._letters(w, t + b"%d" % k, more).capitalize() for k, w in enumerate(words))
@@ -312,7 +390,7 @@ class Surrogates:
         return "eyJ" + ".".join(self.keyed.text(x, t + b"%d" % k) for k, x in enumerate(s[3:].split(".")))
 
     def _key(self, s: str, t: bytes) -> str:
-        start = re.match(r"[A-Za-z]+_(?:live_|test_)?|sk-|xox[a-z]-|.{4}", s).end()
+        start = _KEY_HEAD.match(s).end()
         return s[:start] + self.keyed.text(s[start:], t)
 
     def _secret(self, s: str, t: bytes) -> str:
@@ -358,13 +436,91 @@ def addresses(text: str) -> list[tuple[int, int, str]]:
     return found
 
 
+def secrets(text: str) -> list[tuple[int, int, str]]:
+    """Values behind words for secrets, signed tokens, and access keys by their first letters."""
+    found = [(m.start(), m.end(), "key") for m in _KEY.finditer(text)]
+    end = letter = digit = 0  # of the unbroken text around the last value: where it ends, its last letter, its last digit
+    past = 0
+    for m in _SECRET_KEY.finditer(text):
+        at = m.end()
+        if m.start() < past:
+            continue
+        if q := _QUOTED.match(text, at):
+            past = q.end()
+            found.append((m.start(), past, "secret"))
+            continue
+        if at >= end and (bare := _BARE.match(text, at)):
+            end, run = bare.end(), bare[0]
+            letter, digit = (next((at + k for k in range(len(run) - 1, -1, -1) if test(run[k])), -1) for test in (str.isalpha, str.isdecimal))
+        if at < end and end - at >= 6 and letter >= at and digit >= at:
+            past = end
+            found.append((m.start(), end, "secret"))
+    last = 0
+    for m in _SIGNED.finditer(text):
+        if m.start() < last:
+            continue
+        run = _DOTTED.match(text, m.start())
+        last = run.end()
+        found += [(run.start() + a, run.start() + z, "jwt") for a, z in signed(run[0])]
+    return found
+
+
+def signed(run: str) -> list[tuple[int, int]]:
+    """Signed tokens in unbroken text: three parts of some length joined by dots, of which the first has a known beginning."""
+    out, parts, at, k = [], run.split("."), 0, 0
+    starts = []
+    for p in parts:
+        starts.append(at)
+        at += len(p) + 1
+    while k + 2 < len(parts):
+        m = next((m.start() for m in _SIGNED.finditer(parts[k])), None)
+        if m is not None and len(parts[k]) - m >= 9 and len(parts[k + 1]) >= 6 and len(parts[k + 2]) >= 6:
+            out.append((starts[k] + m, starts[k + 2] + len(parts[k + 2])))
+            k += 3
+        else:
+            k += 1
+    return out
+
+
+def near_names(text: str) -> list[tuple[int, int, str]]:
+    """Names by what stands beside them."""
+    near: list[tuple[int, int]] = []
+    last = 0
+    for cue in _CUE.finditer(text):
+        if cue.end() >= last and (m := _FORWARD.match(text, cue.end())):
+            near.append(m.span())
+            last = m.end()
+    verbs = {m.start() for m in _VERB.finditer(text)}
+    if verbs:
+        ends = set()
+        for m in _RUN.finditer(text):
+            if m.end() in verbs:
+                ends.add(m.end())
+                if m[0].partition(" ")[0] not in ARTICLES:
+                    near.append(m.span())
+        near += [m.span(1) for m in _SINGLE.finditer(text) if m[1] not in NO_NAMES and m.end() not in ends and not text.endswith(_TITLE_ENDS, 0, m.start())]
+    at = text.find(":")
+    while at >= 0:
+        if at and (text[at - 1].isalpha() or text[at - 1] == " ") and _LABEL_END.search(text[max(0, at - _LABEL_REACH) : at]) and (m := _ANY_CASE.match(text, at + 1 + text.startswith(" ", at + 1))):
+            near.append(m.span())
+        at = text.find(":", at + 1)
+    found = [(a, z, "name") for a, z in near if not any(w.rstrip(".") in _TITLES for w in text[a:z].split())]
+    if not text.isascii():
+        found += [(*m.span(), "name") for m in _HAN.finditer(text)] + [(*m.span(1), "name") for m in _HAN_LABEL.finditer(text)]
+    return found
+
+
+#: A capitalised word behind another is the end of a run, and no single name.
+_TITLE_ENDS = tuple(f"{t} " for t in sorted(_TITLES)) + tuple(f"{t}. " for t in sorted(_TITLES))
+
+
 def detect(text: str) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of each entity, in order, without overlap."""
     found: list[tuple[int, int, str]] = []
     found += addresses(text)
     low = text.lower()
     if any(x in low for x in _SECRET_WORDS) or any(x in text for x in _SECRET_STARTS):
-        found += [(m.start(), m.end(), m.lastgroup) for m in SECRETS.finditer(text)]
+        found += secrets(text)
     if _HEX_RUN.search(text):
         found += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     if _DIGIT.search(text):
@@ -391,23 +547,24 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             at = end
             if end > m.end():
                 found.append((m.start(), end, "name"))
-    near: list[tuple[int, int]] = [m.span() for cue in _CUE.finditer(text) if (m := _FORWARD.match(text, cue.end()))]
-    for verb in _VERB.finditer(text):
-        lo = max(0, verb.start() - _NAME_REACH)
-        if m := _BACKWARD.search(text[lo : verb.start()]):
-            near.append((lo + m.start(), lo + m.end()))
-    found += [(a, z, "name") for a, z in near if not any(w.rstrip(".") in _TITLES for w in text[a:z].split())]
+    found += near_names(text)
     found.sort(key=lambda x: (x[0], -x[1]))
     out, last = [], 0
-    for x in found:
-        if x[0] >= last:
-            out.append(x)
-            last = x[1]
+    for a, z, kind in found:
+        if a < last < z and kind == "name" and (m := _REST.match(text, last, z)):  # what another entity has left of a name
+            a = m.end()
+        if a >= last and z > a:
+            out.append((a, z, kind))
+            last = z
     return out
 
 
+_REST = re.compile(r"[  ]+(?=[^\W\d_])")
+
+
 _DIGIT = re.compile(r"\d")
 _HEX_RUN = re.compile(r"[0-9A-Fa-f]{32}")
+_FORM = re.compile(r"[^\W_]")
 
 
 def normal(kind: str, s: str) -> str:
@@ -427,16 +584,20 @@ def replace(text: str, surrogates: Surrogates) -> tuple[str, list[dict]]:
     real = {normal(k, text[a:z]) for a, z, k in spans}
     attempts: dict[tuple[str, str], int] = {}
     used: dict[str, tuple[str, str]] = {}
+    crowded: set[tuple[str, str]] = set()  # forms of which this text has (nearly) all members
     out, at, length, entities = [], 0, 0, []
     for a, z, kind in spans:
         s = text[a:z]
         entity = (kind, normal(kind, s))
         if entity not in attempts:
-            n = 0
+            form = (kind, _FORM.sub(lambda m: "0" if m[0].isdecimal() else "a", s[:BLOCK]))
+            n = DRAWS if form in crowded else 0
             new = normal(kind, surrogates.of(kind, s, n))
             while (new in real or used.get(new, entity) != entity):
                 n += 1
                 new = normal(kind, surrogates.of(kind, s, n))
+            if n >= DRAWS:
+                crowded.add(form)
             attempts[entity] = n
             used[new] = entity
         new = surrogates.of(kind, s, attempts[entity])
