@@ -12,6 +12,10 @@ it leave as runs of words, under the least hash of their word ``length - PERIOD
 windows share wherever they start.  A bucket compares windows word by word (numbers of
 words, then of pairs, of fours, ...); no hash decides.
 
+A passage that many documents hold inside different texts would bring all its surroundings under one key.  So the different runs of each key are
+counted; beyond ``HEAVY`` of them each window goes by a hash of its own, and only those that are in two places leave, each in the
+bucket of its hash.  No bucket gets more than ``HEAVY`` different runs for a key, and one for each slot of the same.
+
 Defined cases: a null or empty text has no words; rows with null or equal ids
 are documents of their own; documents with the same words as another are
 removed whole when they have ``length`` words; other columns are ignored unless
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.slots import Copies, Slot, ask, asked, back, cut, got_values, met, only, rows, send_values, shared_values, short_keys, slotted, together, within
+from tessera.llm.slots import Copies, Slot, ask, asked, back, contents, cut, got_values, met, only, rows, send_counted, send_values, shared_counted, shared_values, short_keys, slotted, together, within
 from tessera.llm.textbits import U64, chunks, mix, window_hashes, word_hashes
 
 LENGTH = 35
@@ -64,7 +68,7 @@ def sliding_least(x: np.ndarray, wide: int) -> np.ndarray:
 def slot_windows(s: Slot, stands: np.ndarray, length: int, period: int, cover: tuple[int, ...]) -> dict[str, np.ndarray]:
     """Of the slot's words, counted through the slot: first and last byte, does a window begin (``fits``) and its key; and the anchors (hash, word number)."""
     wide = length - period + 1
-    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("anchor", "at", "key", "fits", "begin", "end")}
+    columns: dict[str, list[np.ndarray]] = {c: [] for c in ("anchor", "at", "key", "whole", "fits", "begin", "end")}
     on = np.zeros(period, bool)
     on[list(cover)] = True
     base = 0
@@ -79,10 +83,12 @@ def slot_windows(s: Slot, stands: np.ndarray, length: int, period: int, cover: t
         key = np.zeros(len(h), np.uint64)
         if len(h) >= length:
             key[: len(h) - length + 1] = mix(sliding_least(grams, period))  # least hashes crowd at the low end; buckets want them spread
-        for c, x in zip(columns, (grams[a], a + base, key, nth + length <= size, begin + lo, end + lo), strict=True):
+        whole = np.zeros(len(h), np.uint64)
+        whole[: max(0, len(h) - length + 1)] = window_hashes(h, length)
+        for c, x in zip(columns, (grams[a], a + base, key, whole, nth + length <= size, begin + lo, end + lo), strict=True):
             columns[c].append(x)
         base += len(h)
-    kinds = {"anchor": np.uint64, "at": np.int64, "key": np.uint64, "fits": bool, "begin": np.int64, "end": np.int64}
+    kinds = {"anchor": np.uint64, "at": np.int64, "key": np.uint64, "whole": np.uint64, "fits": bool, "begin": np.int64, "end": np.int64}
     return {c: np.concatenate(x) if x else np.zeros(0, kinds[c]) for c, x in columns.items()}
 
 
@@ -91,13 +97,10 @@ def send_anchors(docs: pa.Table, known: pa.Table, copies: Copies, n: int, how: t
     return send_values(s.slot, np.unique(slot_windows(s, copies.known(s, known)[0], *how)["anchor"]), n)
 
 
-def send_runs(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tuple) -> pa.Table:
-    """The windows that extend a shared anchor, as runs of words; the slot itself marks (echo) those of runs that it has twice."""
-    s = Slot(docs)
+def candidates(s: Slot, answers: pa.Table, copies: Copies, n: int, how: tuple) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The slot's words, and key, first word and number of windows of each run of windows that extend a shared anchor."""
     w = slot_windows(s, copies.known(s, only(answers, 0))[0], *how)
-    length, period, _ = how
-    if not len(w["anchor"]):
-        return rows(s.slot, [])
+    period, none = how[1], np.zeros(0, np.int64)
     value, count = np.unique(w["anchor"], return_counts=True)
     take = within(short_keys(w["anchor"], n), got_values(only(answers, 1))) | within(w["anchor"], value[count > 1])
     # a window extends a shared anchor that starts in its first ``period`` words
@@ -108,7 +111,7 @@ def send_runs(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tu
     p = np.arange(len(w["key"]))
     pos = np.flatnonzero(w["fits"] & (total[np.minimum(p + period, len(p))] > total[p]))
     if not len(pos):
-        return rows(s.slot, [])
+        return w, np.zeros(0, np.uint64), none, none
     key = w["key"][pos]
     start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (pos[1:] != pos[:-1] + 1)]))
     size = np.diff(np.append(start, len(pos)))
@@ -116,7 +119,48 @@ def send_runs(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tu
     nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
     size = np.minimum(np.repeat(size, parts) - nth * RUN, RUN)
     start = np.repeat(start, parts) + nth * RUN
-    key, first = key[start], pos[start]
+    return w, key[start], pos[start], size
+
+
+def send_keys(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tuple) -> pa.Table:
+    """Keys of the runs, and how many different ones the slot has of each."""
+    s = Slot(docs)
+    w, key, first, size = candidates(s, answers, copies, n, how)
+    # a run is its first and last window and its length
+    content = mix(w["whole"][first] + U64(3) * w["whole"][first + size - 1] + size.astype(np.uint64))
+    return send_counted(s.slot, *contents(key, content), n)
+
+
+def send_heavy(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tuple) -> pa.Table:
+    """Hashes of the windows under heavy keys."""
+    heavy = got_values(only(answers, 2), "echo")
+    if not len(heavy):
+        return rows(0, [])
+    s = Slot(docs)
+    w, key, first, size = candidates(s, answers, copies, n, how)
+    take = within(short_keys(key, n), heavy)
+    return send_values(s.slot, np.unique(w["whole"][_each(first[take], size[take])]), n)
+
+
+def _each(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """First words of all windows of runs."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def send_runs(docs: pa.Table, answers: pa.Table, copies: Copies, n: int, how: tuple) -> pa.Table:
+    """The windows that extend a shared anchor, as runs of words; the slot itself marks (echo) those of runs that it has twice."""
+    s = Slot(docs)
+    length = how[0]
+    w, key, first, size = candidates(s, answers, copies, n, how)
+    heavy = within(short_keys(key, n), got_values(only(answers, 2), "echo"))
+    if heavy.any():
+        at = _each(first[heavy], size[heavy])
+        own = w["whole"][at]
+        value, count = np.unique(own, return_counts=True)
+        take = within(short_keys(own, n), got_values(only(answers, 3))) | within(own, value[count > 1])
+        key, first, size = (np.concatenate([x[~heavy], y]) for x, y in ((key, own[take]), (first, at[take]), (size, np.ones(int(take.sum()), np.int64))))
+    if not len(key):
+        return rows(s.slot, [])
     order = np.lexsort((first, key))
     key, first, size = key[order], first[order], size[order]
     text = s.buf.tobytes()
@@ -254,7 +298,9 @@ def cover_dedup(docs: DataFrame, length: int = LENGTH, period: int = PERIOD, cov
     copies = Copies(words_of, n)
     known = copies.flags(table)
     anchors = met(table, known, partial(send_anchors, copies=copies, n=n, how=how), n, shared_values)
-    windows = met(table, together(known, anchors), partial(send_runs, copies=copies, n=n, how=how), n, partial(decide_windows, length=length))
+    keys = met(table, together(known, anchors), partial(send_keys, copies=copies, n=n, how=how), n, shared_counted)
+    heavy = met(table, together(known, anchors, keys), partial(send_heavy, copies=copies, n=n, how=how), n, shared_values)
+    windows = met(table, together(known, anchors, keys, heavy), partial(send_runs, copies=copies, n=n, how=how), n, partial(decide_windows, length=length))
     schema = "doc_id long, n_words long, spans array<struct<start:long,length:long>>, kept string"
     if "carry" in table.columns:
         schema += f", carry {table.schema['carry'].dataType.simpleString()}"

@@ -246,9 +246,56 @@ def shared_values(table: pa.Table) -> pa.Table:
     return back(bucket, out)
 
 
-def got_values(table: pa.Table) -> np.ndarray:
+_COUNT = np.dtype([("low", "<u4"), ("n", "<u4")])
+#: Different contents under one key, beyond which it is heavy.
+HEAVY = 64
+
+
+def send_counted(slot: int, values: np.ndarray, counts: np.ndarray, n: int) -> pa.Table:
+    """As ``send_values``, with how many different contents the slot has under each value, where that is over one."""
+    low = values.astype(np.uint32)
+    out = []
+    for b, i, j in cut(values, n):
+        more = np.flatnonzero(counts[i:j] > 1) + i
+        own = np.zeros(len(more), _COUNT)
+        own["low"], own["n"] = low[more], counts[more]
+        out.append((b, low[i:j].tobytes(), own.tobytes()))
+    return rows(slot, out)
+
+
+def shared_counted(table: pa.Table, heavy: int = HEAVY) -> pa.Table:
+    """Answer each slot with those of its values that another slot sent, too, and (``echo``) those with over ``heavy`` contents in all."""
+    bucket, slots, bodies, echoes = asked(table)
+    arrays = [np.frombuffer(x, np.uint32) for x in bodies]
+    value, which = np.unique(np.concatenate(arrays), return_inverse=True)
+    senders = np.bincount(which, minlength=len(value))
+    contents = senders.copy()
+    for x in echoes:
+        own = np.frombuffer(x, _COUNT)
+        np.add.at(contents, np.searchsorted(value, own["low"]), own["n"].astype(np.int64) - 1)
+    shared, many = senders > 1, contents > heavy
+    out, k = [], 0
+    for slot, a in zip(slots, arrays, strict=True):
+        own = which[k : k + len(a)]
+        k += len(a)
+        if shared[own].any() or many[own].any():
+            out.append((slot, a[shared[own]].tobytes(), a[many[own]].tobytes()))
+    return back(bucket, out)
+
+
+def contents(key: np.ndarray, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and how many different contents each has."""
+    if not len(key):
+        return key, np.zeros(0, np.int64)
+    order = np.lexsort((content, key))
+    k, c = key[order], content[order]
+    new = np.append(True, (k[1:] != k[:-1]) | (c[1:] != c[:-1]))
+    return np.unique(k[new], return_counts=True)
+
+
+def got_values(table: pa.Table, column: str = "body") -> np.ndarray:
     """Sorted (bucket, low half) keys of the answer, comparable with ``short_keys``."""
-    parts = [np.frombuffer(body, np.uint32).astype(np.uint64) | U64(b << 32) for b, body in zip(table.column("bucket").to_pylist(), table.column("body").to_pylist(), strict=True)]
+    parts = [np.frombuffer(body, np.uint32).astype(np.uint64) | U64(b << 32) for b, body in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist(), strict=True)]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 

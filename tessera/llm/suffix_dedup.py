@@ -14,6 +14,11 @@ bytes each; only windows under such keys enter the sort, as short runs of bytes,
 one copy per slot.  The key decides nothing else: runs with the same bytes are one entry of
 the sort, which orders the windows of all different runs by their bytes.
 
+A sentence that many documents share inside different texts would bring all its surroundings under one key.  So the first exchange
+also counts the different runs of each key.  Beyond ``HEAVY`` of them each window goes by a hash of its own: a further exchange finds those that
+two documents hold, and only these enter the sort, each in the bucket of its hash.  No bucket then gets more than ``HEAVY`` different runs for a key,
+and one for each slot of the same.
+
 Defined cases: a null or empty text has no window; a null id counts as larger
 than any id; rows with the same id never remove each other's bytes (only a
 smaller id does); copies of a whole text are removed whole when they have
@@ -30,8 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.slots import Copies, Slot, ask, asked, back, cut, got_values, met, only, rows, send_values, shared_values, short_keys, slotted, together, within
-from tessera.llm.textbits import U64, byte_prefix, chunks, mix, powers
+from tessera.llm.slots import Copies, Slot, ask, asked, back, contents, cut, got_values, met, only, rows, send_counted, send_values, shared_counted, shared_values, short_keys, slotted, together, within
+from tessera.llm.textbits import U64, byte_prefix, chunks, mix, powers, span_hash
 from tessera.llm.textbits import _P as BASE
 
 LENGTH = 50
@@ -41,14 +46,13 @@ _ENTRY = np.dtype([("low", "<u4"), ("n", "<u2"), ("doc", "<i8"), ("pos", "<u4")]
 _MARK = np.dtype([("pos", "<u4"), ("mask", "<u8")])
 
 
-def window_keys(buf: np.ndarray, length: int) -> np.ndarray:
+def window_keys(buf: np.ndarray, length: int, prefix: np.ndarray) -> np.ndarray:
     """Least hash of the ``length // 2``-grams of each window of ``buf``."""
     k = max(1, length // 2)
     n = len(buf) - k + 1
     wide = length - k + 1
     if len(buf) < length:
         return np.zeros(0, np.uint64)
-    prefix = byte_prefix(buf)
     least = mix((prefix[k:] - prefix[:-k]) * powers(BASE, len(prefix))[1][:n])
     step = 1
     while step * 2 <= wide:
@@ -59,13 +63,14 @@ def window_keys(buf: np.ndarray, length: int) -> np.ndarray:
     return least
 
 
-def slot_runs(s: Slot, stands: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Key, first byte, number of windows and row of each run of windows with one key."""
-    keys, starts, sizes, owners = [], [], [], []
+def slot_runs(s: Slot, stands: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first byte, number of windows, row and content (a hash) of each run of windows with one key."""
+    keys, starts, sizes, owners, contents_ = [], [], [], [], []
     for i, j in chunks(s.offsets):
         lo = s.offsets[i]
         buf, offsets = s.buf[lo : s.offsets[j]], s.offsets[i : j + 1] - lo
-        least = window_keys(buf, length)
+        prefix = byte_prefix(buf)
+        least = window_keys(buf, length, prefix)
         if not len(least):
             continue
         per = np.maximum(np.diff(offsets) - length + 1, 0) * stands[i:j]
@@ -89,28 +94,63 @@ def slot_runs(s: Slot, stands: np.ndarray, length: int) -> tuple[np.ndarray, np.
         starts.append(at[begin] + lo)
         sizes.append(size)
         owners.append(row[begin] + i)
+        contents_.append(span_hash(prefix, at[begin], at[begin] + size + length - 1))
     if not keys:
-        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
-    return tuple(map(np.concatenate, (keys, starts, sizes, owners)))
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, np.uint64)
+    return tuple(map(np.concatenate, (keys, starts, sizes, owners, contents_)))
+
+
+def windows_of(s: Slot, start: np.ndarray, size: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first byte and row of each window of runs, which come in the order of the slot."""
+    at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out = []
+    for i, j in chunks(s.offsets):
+        lo, hi = np.searchsorted(at, (s.offsets[i], s.offsets[j]))
+        if hi > lo:
+            own = at[lo:hi] - s.offsets[i]
+            out.append(span_hash(byte_prefix(s.buf[s.offsets[i] : s.offsets[j]]), own, own + length))
+    return (np.concatenate(out) if out else np.zeros(0, np.uint64)), at, np.repeat(row, size)
 
 
 def send_keys(docs: pa.Table, copies_back: pa.Table, copies: Copies, length: int, n: int) -> pa.Table:
     s = Slot(docs)
-    return send_values(s.slot, np.unique(slot_runs(s, copies.known(s, copies_back)[0], length)[0]), n)
+    key, *_, content = slot_runs(s, copies.known(s, copies_back)[0], length)
+    return send_counted(s.slot, *contents(key, content), n)
+
+
+def send_heavy(docs: pa.Table, answers: pa.Table, copies: Copies, length: int, n: int) -> pa.Table:
+    """Hashes of the windows under heavy keys."""
+    heavy = got_values(only(answers, 1), "echo")
+    if not len(heavy):
+        return rows(0, [])
+    s = Slot(docs)
+    key, start, size, row, _ = slot_runs(s, copies.known(s, only(answers, 0))[0], length)
+    take = within(short_keys(key, n), heavy)
+    return send_values(s.slot, np.unique(windows_of(s, start[take], size[take], row[take], length)[0]), n)
+
+
+def held_twice(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Sorted keys that two ids of one slot have."""
+    order = np.lexsort((doc, key))
+    k, d = key[order], doc[order]
+    return np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
 
 
 def send_runs(docs: pa.Table, answers: pa.Table, copies: Copies, length: int, n: int) -> pa.Table:
     s = Slot(docs)
     stands = copies.known(s, only(answers, 0))[0]
-    key, start, size, row = slot_runs(s, stands, length)
+    key, start, size, row, _ = slot_runs(s, stands, length)
     if not len(key):
         return rows(s.slot, [])
     # shared with another slot, or by two ids of this one
-    order = np.lexsort((s.ids[row], key))
-    k, d = key[order], s.ids[row][order]
-    inside = np.unique(k[1:][(k[1:] == k[:-1]) & (d[1:] != d[:-1])])
-    take = within(short_keys(key, n), got_values(only(answers, 1))) | within(key, inside)
-    key, start, size, row = (x[take] for x in (key, start, size, row))
+    heavy = within(short_keys(key, n), got_values(only(answers, 1), "echo"))
+    take = ~heavy & (within(short_keys(key, n), got_values(only(answers, 1))) | within(key, held_twice(key, s.ids[row])))
+    parts = [(key[take], start[take], size[take], row[take])]
+    if heavy.any():
+        own, at, of = windows_of(s, start[heavy], size[heavy], row[heavy], length)
+        take = within(short_keys(own, n), got_values(only(answers, 2))) | within(own, held_twice(own, s.ids[of]))
+        parts.append((own[take], at[take], np.ones(int(take.sum()), np.int64), of[take]))
+    key, start, size, row = map(np.concatenate, zip(*parts, strict=True))
     order = np.lexsort((start, s.ids[row], key))
     key, start, size, row = (x[order] for x in (key, start, size, row))
     low, doc = key.astype(np.uint32), s.ids[row]
@@ -284,8 +324,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id",
     table, n = slotted(docs, id_col, text_col, carry)
     copies = Copies(bytes, n)
     known = copies.flags(table)
-    keys = met(table, known, partial(send_keys, copies=copies, length=length, n=n), n, shared_values)
-    marks = met(table, together(known, keys), partial(send_runs, copies=copies, length=length, n=n), n, partial(decide_runs, length=length))
+    keys = met(table, known, partial(send_keys, copies=copies, length=length, n=n), n, shared_counted)
+    heavy = met(table, together(known, keys), partial(send_heavy, copies=copies, length=length, n=n), n, shared_values)
+    marks = met(table, together(known, keys, heavy), partial(send_runs, copies=copies, length=length, n=n), n, partial(decide_runs, length=length))
     schema = "doc_id long, n_bytes long, spans array<struct<start:long,length:long>>, kept " + ("string" if as_text else "binary")
     if "carry" in table.columns:
         schema += f", carry {table.schema['carry'].dataType.simpleString()}"
