@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fingerprints, tokens
+from tessera.functions.hashing import shingle_hashes
 from tessera.operators.graph import settled
 
 # Fixed: containment bands and the confidence of each.
@@ -14,7 +14,7 @@ STRONG, PARTIAL, FLOOR = 0.80, 0.50, 0.20
 
 def hash_table(df: DataFrame, keys: list[str], text: str, k: int) -> DataFrame:
     """``keys, h``: the distinct ``k``-word shingle hashes of each row; a key is a row each time it occurs."""
-    return df.select(*keys, F.explode(F.array_distinct(fingerprints(tokens(F.col(text)), k))).alias("h"))
+    return df.select(*keys, F.explode(shingle_hashes(F.col(text), k)).alias("h"))
 
 
 def overlaps(present: DataFrame, reference: DataFrame, doc: str, owner: str) -> DataFrame:
@@ -43,20 +43,47 @@ def containment_best(docs: DataFrame, items: DataFrame, k: int = 4, floor: float
     return best(pairs.filter(F.col("containment") >= floor), "doc_id", [F.desc("containment"), F.desc("held"), F.asc("item_id")]).withColumn("band", band(F.col("containment")))
 
 
+#: Releases in one bitmap.
+BITS = 64
+
+
+def release_bitmaps(signature: DataFrame) -> DataFrame:
+    """``rule_id, h, word, bits``: in which releases of a rule a hash is, bit ``version_ix % 64`` of bitmap ``version_ix // 64``."""
+    marks = signature.select("rule_id", "h", F.expr(f"cast(version_ix div {BITS} as int)").alias("word"), F.expr(f"cast(version_ix % {BITS} as int)").alias("at"))
+    return marks.groupBy("rule_id", "h", "word").agg(F.expr("bit_or(shiftleft(1L, at))").alias("bits"))
+
+
+def newest(signature: DataFrame, releases: int = BITS) -> DataFrame:
+    """The rows of the newest ``releases`` of each rule, which one bitmap can tell apart: older ones rarely ship."""
+    known = signature.select("rule_id", "version_ix").distinct()
+    kept = known.withColumn("n", F.row_number().over(Window.partitionBy("rule_id").orderBy(F.desc("version_ix")))).filter(F.col("n") <= releases).drop("n")
+    return signature.join(kept, ["rule_id", "version_ix"], "left_semi")
+
+
+def _by_release(counts: DataFrame, name: str) -> DataFrame:
+    """Counts of distinct bitmaps as counts of releases."""
+    keys = [c for c in counts.columns if c not in ("word", "bits", name)]
+    at = F.explode(F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.getbit("bits", i) == 1))
+    return counts.select(*keys, "word", name, at.alias("at")).groupBy(*keys, (F.col("word") * BITS + F.col("at")).alias("version_ix")).agg(F.sum(name).alias(name))
+
+
 def release_scores(present: DataFrame, signature: DataFrame) -> DataFrame:
     """``doc_id, rule_id, version_ix, overlap, size, voters, score``.
 
     ``present(doc_id, h)``, ``signature(rule_id, version_ix, h)``.  Only hashes that not all
     releases of a rule share vote (all, where a rule has one release); the score is
-    the Jaccard similarity over voters.
+    the Jaccard similarity over voters.  Releases share most of their bitmaps, so hashes are counted by distinct
+    bitmap, before and after the exchange, and spread over releases last.
     """
     releases = signature.groupBy("rule_id").agg(F.countDistinct("version_ix").alias("releases"))
-    spread = signature.groupBy("rule_id", "h").agg(F.countDistinct("version_ix").alias("in_releases")).join(releases, "rule_id")
+    maps = release_bitmaps(signature)
+    spread = maps.groupBy("rule_id", "h").agg(F.sum(F.bit_count("bits")).alias("in_releases")).join(releases, "rule_id")
     voting = spread.filter((F.col("in_releases") < F.col("releases")) | (F.col("releases") == 1)).select("rule_id", "h")
-    marked = signature.join(voting, ["rule_id", "h"])
-    size = marked.groupBy("rule_id", "version_ix").agg(F.count("*").alias("size"))
+    marked = maps.join(voting, ["rule_id", "h"], "left_semi")
+    size = _by_release(marked.groupBy("rule_id", "word", "bits").agg(F.count("*").alias("size")), "size")
+    held = present.join(marked, "h").groupBy("doc_id", "rule_id", "word", "bits").agg(F.count("*").alias("overlap"))
+    overlap = _by_release(held, "overlap")
     voters = present.join(voting, "h").groupBy("doc_id", "rule_id").agg(F.count("*").alias("voters"))
-    overlap = present.join(marked, "h").groupBy("doc_id", "rule_id", "version_ix").agg(F.count("*").alias("overlap"))
     every = voters.join(size, "rule_id").join(overlap, ["doc_id", "rule_id", "version_ix"], "left").withColumn("overlap", F.coalesce("overlap", F.lit(0)))
     return every.withColumn("score", F.col("overlap") / (F.col("voters") + F.col("size") - F.col("overlap")))
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import bottom_k, fingerprints, kmv_similarity, tokens, winnow
+from tessera.functions import hashing
+from tessera.functions.hashing import shingle_hashes, sketch, winnowed
+from tessera.functions.text import kmv_similarity, tokens
 from tessera.operators import graph, nearness, presence
 from tessera.plans.registry import register
 from tessera.session import spread, table
@@ -58,7 +60,7 @@ def containment_all_pairs(spark, sf_dir):
 def jaccard_pairs(spark, sf_dir):
     present = presence.hash_table(_docs(spark, sf_dir), ["doc_id"], "text", K)
     pairs = presence.overlaps(present, presence.hash_table(_items(spark, sf_dir), ["item_id"], "text", K), "doc_id", "item_id")
-    n = _docs(spark, sf_dir).select("doc_id", F.size(F.array_distinct(fingerprints(tokens(F.col("text")), K))).alias("n"))
+    n = _docs(spark, sf_dir).select("doc_id", F.size(shingle_hashes(F.col("text"), K)).alias("n"))
     return pairs.join(n, "doc_id").select("doc_id", "item_id", (F.col("held") / (F.col("n") + F.col("own") - F.col("held"))).alias("jaccard"))
 
 
@@ -73,8 +75,8 @@ def token_counts(spark, sf_dir):
 
 @register("shingle_counts", f"WITH {_shingles_sql('d', 'documents', 'doc_id')} SELECT doc_id, count(*) AS n_shingles, min(h) AS first_hash FROM d GROUP BY 1")
 def shingle_counts(spark, sf_dir):
-    h = F.array_distinct(fingerprints(tokens(F.col("text")), K))
-    return _docs(spark, sf_dir).withColumn("h", h).filter(F.size("h") > 0).select("doc_id", F.size("h").cast("long").alias("n_shingles"), F.array_min("h").alias("first_hash"))
+    found = _docs(spark, sf_dir).select("doc_id", shingle_hashes(F.col("text"), K).alias("h")).select("doc_id", F.size("h").cast("long").alias("n_shingles"), F.array_min("h").alias("first_hash"))
+    return found.filter("n_shingles > 0")
 
 
 @register(
@@ -99,11 +101,11 @@ _DOC_HASHES = f"""h AS (SELECT doc_id, CASE WHEN len(t) >= {_K} THEN list_transf
 SELECT DISTINCT doc_id, unnest(CASE WHEN len(h) > {_WINDOW} THEN list_transform(range(1, len(h) - {_WINDOW} + 2), lambda i: list_min(h[i:i + {_WINDOW} - 1])) WHEN len(h) > 0 THEN [list_min(h)] ELSE [] END) AS h FROM h""",
 )
 def winnow_fingerprints(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.explode(winnow(fingerprints(tokens(F.col("text")), _K), _WINDOW)).alias("h"))
+    return _docs(spark, sf_dir).select("doc_id", F.explode(winnowed(F.col("text"), _K, _WINDOW)).alias("h"))
 
 
 def _sketches(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", bottom_k(fingerprints(tokens(F.col("text")), _K), _SKETCH).alias("s"))
+    return _docs(spark, sf_dir).select("doc_id", sketch(F.col("text"), _K, _SKETCH).alias("s"))
 
 
 _SKETCHES = f"{_DOC_HASHES}, s AS (SELECT doc_id, (list_sort(list_distinct(h)))[1:{_SKETCH}] AS s FROM h WHERE len(h) > 0)"
@@ -111,7 +113,44 @@ _SKETCHES = f"{_DOC_HASHES}, s AS (SELECT doc_id, (list_sort(list_distinct(h)))[
 
 @register("bottomk_sketch", f"WITH {_SKETCHES} SELECT doc_id, unnest(s) AS h, unnest(range(1, len(s) + 1))::INT AS n FROM s")
 def bottomk_sketch(spark, sf_dir):
-    return _sketches(spark, sf_dir).select("doc_id", F.posexplode("s").alias("p", "h")).select("doc_id", "h", (F.col("p") + 1).alias("n"))
+    s = sketch(F.col("text"), _K, _SKETCH)
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(s).alias("p", "h")).select("doc_id", "h", (F.col("p") + 1).alias("n"))
+
+
+def _rolling_sql() -> str:
+    """CTE ``s(doc_id, n, h)``: rolling hashes of all shingles, as ``hashing.rolling`` makes them."""
+    fold = lambda values, base: f"list_reduce(list_prepend(0::UHUGEINT, {values}), lambda a, b: (a * {base} + b) % 18446744073709551616::UHUGEINT)"
+
+    def finished(name: str, keys: str) -> str:
+        out = ""
+        for n, (shift, factor) in enumerate(hashing.FINAL):
+            x = f"xor(x, x >> {shift})"
+            out += f"{name}{n + 1} AS (SELECT {keys}, {f'({x}::UHUGEINT * {factor} % 18446744073709551616::UHUGEINT)::UBIGINT' if factor else x} AS x FROM {name}{n}),\n"
+        return out
+
+    codes = "list_transform(string_split(w, ''), lambda c: ascii(c)::UHUGEINT)"
+    return f"""t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+w0 AS (SELECT w, {fold(codes, hashing.BYTE_BASE)}::UBIGINT AS x FROM (SELECT DISTINCT unnest(t) AS w FROM t)),
+{finished("w", "w")}
+p AS (SELECT doc_id, list(x::UHUGEINT ORDER BY n) AS h FROM (SELECT doc_id, unnest(t) AS w, generate_subscripts(t, 1) AS n FROM t) JOIN w3 USING (w) GROUP BY 1),
+f0 AS (SELECT doc_id, unnest(range(1, greatest(len(h) - {_K} + 2, 2))) AS n, unnest(list_transform(range(1, greatest(len(h) - {_K} + 2, 2)), lambda i: {fold(f"h[i:i + {_K} - 1]", hashing.WORD_BASE)}))::UBIGINT AS x FROM p),
+{finished("f", "doc_id, n")}
+s AS (SELECT doc_id, n, (x >> 1)::BIGINT AS h FROM f3)"""
+
+
+@register("rolling_sketch", f"WITH {_rolling_sql()} SELECT doc_id, h, n::INT AS n FROM (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY h) AS n FROM (SELECT DISTINCT doc_id, h FROM s)) WHERE n <= {_SKETCH}")
+def rolling_sketch(spark, sf_dir):
+    s = sketch(F.col("text"), _K, _SKETCH, "rolling")
+    return _docs(spark, sf_dir).select("doc_id", F.posexplode(s).alias("p", "h")).select("doc_id", "h", (F.col("p") + 1).alias("n"))
+
+
+@register(
+    "rolling_winnow",
+    f"""WITH {_rolling_sql()}, m AS (SELECT doc_id, n, min(h) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN CURRENT ROW AND {_WINDOW - 1} FOLLOWING) AS h, max(n) OVER (PARTITION BY doc_id) AS top FROM s)
+SELECT DISTINCT doc_id, h FROM m WHERE n <= greatest(top - {_WINDOW - 1}, 1)""",
+)
+def rolling_winnow(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(winnowed(F.col("text"), _K, _WINDOW, "rolling")).alias("h"))
 
 
 @register(

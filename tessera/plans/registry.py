@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.plans import components, corpus, evidence, platform, reporting, scanning, sourcing  # noqa: F401  they register themselves
+    from tessera.plans import components, corpus, evidence, owning, platform, reporting, scanning, sourcing  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable]:
