@@ -21,19 +21,29 @@ TRAITS = {
     "copyleft": r"A?GPL-\d\.0(?:-only|-or-later|\+)",
 }
 CONFLICTS = (("patent peace", "second only"), ("second only", "third only"), ("network copyleft", "second only"), ("advertising", "copyleft"), ("own copyleft", "copyleft"))
-# Fixed: words that only one licence's text has, without punctuation; the first that fits is taken.
-TEXTS = (
-    ("Apache-2.0", ("apache license", "version 2 0")),
-    ("MPL-2.0", ("mozilla public license", "2 0")),
-    ("BSL-1.0", ("boost software license",)),
-    ("MIT", ("permission is hereby granted free of charge to any person obtaining a copy",)),
-    ("ISC", ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",)),
-    ("Zlib", ("this software is provided as is", "altered source versions")),
-    ("BSD-4-Clause", ("redistribution and use in source and binary forms", "all advertising materials")),
-    ("BSD-3-Clause", ("redistribution and use in source and binary forms", "neither the name")),
-    ("BSD-3-Clause", ("redistribution and use in source and binary forms", "may be used to endorse or promote")),
-    ("BSD-2-Clause", ("redistribution and use in source and binary forms",)),
-)
+# Fixed: clauses from the licences' texts, in lower case without punctuation, by SPDX id; a text with all clauses of several
+# licences is of the one whose clauses are longest together.
+_BSD = "redistribution and use in source and binary forms"
+CLAUSES = {
+    "0BSD": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "the software is provided as is and the author disclaims all warranties"),
+    "AGPL-3.0-only": ("gnu affero general public license", "remote network interaction"),
+    "Apache-2.0": ("apache license", "version 2 0"),
+    "BSD-2-Clause": (_BSD,),
+    "BSD-3-Clause": (_BSD, "neither the name"),
+    "BSD-4-Clause": (_BSD, "all advertising materials mentioning features or use of this software must display"),
+    "BSL-1.0": ("boost software license version 1 0",),
+    "CC0-1.0": ("cc0 1 0 universal", "affirmer"),
+    "EPL-2.0": ("eclipse public license v 2 0",),
+    "GPL-2.0-only": ("gnu general public license", "version 2 june 1991"),
+    "GPL-3.0-only": ("gnu general public license", "version 3 29 june 2007"),
+    "ISC": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "provided that the above copyright notice and this permission notice appear in all copies"),
+    "LGPL-2.1-only": ("gnu lesser general public license", "version 2 1 february 1999"),
+    "LGPL-3.0-only": ("gnu lesser general public license", "version 3 29 june 2007"),
+    "MIT": ("permission is hereby granted free of charge to any person obtaining a copy",),
+    "MPL-2.0": ("mozilla public license", "2 0"),
+    "Unlicense": ("this is free and unencumbered software released into the public domain",),
+    "Zlib": ("the origin of this software must not be misrepresented", "altered source versions must be plainly marked as such"),
+}
 
 
 def id_class(spdx: Column) -> Column:
@@ -74,18 +84,18 @@ def incompatible(a: Column, b: Column) -> Column:
 
 
 def text_licence(text: Column) -> Column:
-    """SPDX id of a licence text, for those that are recognised exactly."""
+    """SPDX id of a licence text: of the licences with all their clauses in it the most specific one, null if there is none."""
 
-    def first(words: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for spdx, phrases in reversed(TEXTS):
+    def named(words: Column) -> Column:
+        found = []
+        for spdx, clauses in CLAUSES.items():
             fits = F.lit(True)
-            for p in phrases:
-                fits = fits & F.contains(words, F.lit(f" {p} "))
-            out = F.when(fits, spdx).otherwise(out)
-        return out
+            for c in clauses:
+                fits = fits & F.contains(words, F.lit(f" {c} "))
+            found.append(F.when(fits, F.struct(F.lit(sum(map(len, clauses))).alias("size"), F.lit(spdx).alias("spdx"))))
+        return F.array_max(F.array_compact(F.array(*found)))["spdx"]
 
-    return let(F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" ")), first)
+    return let(F.concat(F.lit(" "), F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), F.lit(" ")), named)
 
 
 TAG = "SPDX-License-Identifier:"

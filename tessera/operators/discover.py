@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bind import let
+from tessera.operators.graph import settled
 
 # Fixed: files that declare a component, names of licence files, endings of sources.
 MANIFESTS = ("package.json", "Cargo.toml", "pyproject.toml", "setup.py", "go.mod", "conanfile.py", "conanfile.txt", "vcpkg.json", "idf_component.yml", "library.json", "library.properties", "module.yml", "pom.xml", "meson.build")
-LICENCE_FILE = r"(?i)^(?:licen[cs]e|copying|copyright|notice)(?:[._-].*)?$"
+LICENCE_STEMS = ("license", "licence", "licenses", "licences", "unlicense", "copying", "copyright", "notice", "notices", "eula")
+CODE_ENDINGS = ("c", "cc", "cpp", "cxx", "h", "hh", "hpp", "inc", "s", "py", "js", "ts", "java", "go", "rs", "sh", "cmake", "json", "png", "svg")
 SOURCE_FILE = r"(?i)\.(?:c|cc|cpp|cxx|h|hh|hpp|s)$"
 # Fixed: why a directory is a candidate, the strongest sign first.
 REASONS = ("markers", "rule-path", "rule-name", "manifest", "license-file", "submodule", "deep")
@@ -20,6 +22,12 @@ RENAMED_MARGIN = 0.05
 DERIVED_LEAST, DERIVED_SHARE, DERIVED = 300, 0.30, 0.50
 
 
+def licence_file(name: Column) -> Column:
+    """Does a file name say that the file is a licence: its first word does, and its ending is not that of code."""
+    parts = F.split(F.lower(name), "[^a-z0-9]")
+    return F.element_at(parts, 1).isin(*LICENCE_STEMS) & ((F.size(parts) == 1) | ~F.element_at(parts, -1).isin(*CODE_ENDINGS))
+
+
 # ---- candidates ---------------------------------------------------------------------------------
 
 
@@ -41,8 +49,9 @@ def candidate_directories(files: DataFrame, rule_paths: DataFrame, rule_names: D
     parts = _parts(F.col("path"))
     file = files.select(F.array_join(parts, "/").alias("path"), F.array_join(F.slice(parts, 1, F.size(parts) - 1), "/").alias("directory"), F.element_at(parts, -1).alias("name")).filter("name is not null")
     depth = F.when(F.col("directory") == "", 0).otherwise(F.size(F.split("directory", "/")))
-    there = file.filter(depth < max_depth)
-    seen = there.groupBy("directory").agg(F.bool_or(F.col("name").isin(*MANIFESTS)).alias("manifest"), F.bool_or(F.col("name").rlike(LICENCE_FILE)).alias("licence"), F.count_if(F.col("name").rlike(SOURCE_FILE)).alias("sources"))
+    there = settled(file.filter(depth < max_depth))
+    seen = there.groupBy("directory").agg(F.bool_or(F.col("name").isin(*MANIFESTS)).alias("manifest"), F.bool_or(licence_file(F.col("name"))).alias("licence"), F.count_if(F.col("name").rlike(SOURCE_FILE)).alias("sources"))
+    seen = settled(seen)
     signs = seen.select("directory", F.explode(F.array_compact(F.array(F.when(F.col("manifest"), "manifest"), F.when(F.col("licence"), "license-file"), F.when(F.lit(deep) & (F.col("sources") >= least_sources), "deep")))).alias("reason"))
     below = seen.filter("directory <> ''").select("directory")
     by_path = below.withColumn("suffix", F.explode(suffixes(F.col("directory")))).join(rule_paths.select("suffix").distinct(), "suffix").select("directory", F.lit("rule-path").alias("reason"))

@@ -552,7 +552,7 @@ def _any_of(words) -> str:
     return ", ".join(f"'{w}'" for w in words)
 
 
-_LICENCE_SQL = "CASE " + " ".join(f"WHEN {' AND '.join(f"contains(w, ' {p} ')" for p in phrases)} THEN '{spdx.lower()}'" for spdx, phrases in licences.TEXTS) + " END"
+_LICENCE_SQL = "(list_sort([x FOR x IN [" + ", ".join(f"CASE WHEN {' AND '.join(f"contains(w, ' {c} ')" for c in clauses)} THEN {{'size': {sum(map(len, clauses))}, 'spdx': '{spdx.lower()}'}} END" for spdx, clauses in licences.CLAUSES.items()) + "] IF x IS NOT NULL], 'DESC'))[1].spdx"
 
 
 @register(
