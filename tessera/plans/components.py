@@ -136,7 +136,14 @@ def cpe_keys(spark, sf_dir):
 # ---- versions -------------------------------------------------------------------------------
 
 _plain = ["1.0", "1.0.0", "1.0.1", "v1.10", "1.9", "1.0-rc1", "1.0-rc2", "1.0-beta", "1.0-dev", "2.0-snapshot", "1.1.1a", "1.1.1w", "1.1.1", "deadbeef1", "git-123", "main", "20250612"]
-_versions, _versions_sql = values([(i, v) for i, v in enumerate(_plain)], "id int, version string")
+_, _versions_sql = values([(i, v) for i, v in enumerate(_plain)], "id int, version string")
+
+
+def _one_of(words: list[str], key: str) -> str:
+    """SQL of Spark: the word at ``key`` modulo their number."""
+    return f"element_at(array({', '.join(f"'{w}'" for w in words)}), cast({key} % {len(words)} + 1 as int))"
+
+
 _KEY_SQL = f"""k AS (SELECT id, version, (version NOT LIKE 'git-%' AND regexp_matches(version, '[0-9]') AND NOT (regexp_matches(version, '^[0-9a-f]{{7,40}}$') AND regexp_matches(version, '[a-f]'))) AS ok,
   regexp_replace(version, '^v', '') AS v FROM {_versions_sql}),
 n AS (SELECT id, version, ok, regexp_extract(v, '-(dev|beta|rc|snapshot)([0-9]*)$', 1) AS word, coalesce(TRY_CAST(regexp_extract(v, '-(dev|beta|rc|snapshot)([0-9]*)$', 2) AS BIGINT), 0) AS phase,
@@ -148,32 +155,35 @@ key AS (SELECT id, version, ok, rank, phase, nums || list_transform(range(len(nu
 
 @register(
     "version_compare_matrix",
-    f"""WITH {_KEY_SQL} SELECT a.version AS a, b.version AS b, CASE WHEN a.ok AND b.ok THEN
-CASE WHEN (a.nums, a.rank, a.phase) < (b.nums, b.rank, b.phase) THEN -1 WHEN (a.nums, a.rank, a.phase) > (b.nums, b.rank, b.phase) THEN 1 ELSE 0 END END AS "order" FROM key a, key b""",
+    f"""WITH {_KEY_SQL} SELECT p_partkey, a.version AS a, b.version AS b, CASE WHEN a.ok AND b.ok THEN
+CASE WHEN (a.nums, a.rank, a.phase) < (b.nums, b.rank, b.phase) THEN -1 WHEN (a.nums, a.rank, a.phase) > (b.nums, b.rank, b.phase) THEN 1 ELSE 0 END END AS "order" FROM part JOIN key a ON a.id = p_partkey % {len(_plain)} JOIN key b ON b.id = p_size * 5 % {len(_plain)}""",
 )
 def version_compare_matrix(spark, sf_dir):
-    v = _versions(spark)
-    pairs = v.select(F.col("version").alias("a")).join(v.select(F.col("version").alias("b")))  # a fixed table of seventeen rows
-    return pairs.select("a", "b", versions.compare(F.col("a"), F.col("b")).alias("order"))
+    """Two releases of each part, chosen by its key and its size."""
+    chosen = _parts(spark, sf_dir, a=_one_of(_plain, "p_partkey"), b=_one_of(_plain, "p_size * 5"))
+    return chosen.select("p_partkey", "a", "b", versions.compare(F.col("a"), F.col("b")).alias("order"))
 
 
-_ranges, _ranges_sql = values([(1, "1.0", None, "1.0.1", None), (2, None, "1.0", None, "v1.10"), (3, "0", None, None, None), (4, None, None, None, None), (5, "1.0-rc1", None, "1.0", None), (6, "main", None, "2.0", None), (7, "1.1.1", None, "1.1.1w", None)], "range_id int, introduced string, start_excl string, fixed string, last_affected string")
+_RANGES = [(1, "1.0", None, "1.0.1", None), (2, None, "1.0", None, "v1.10"), (3, "0", None, None, None), (4, None, None, None, None), (5, "1.0-rc1", None, "1.0", None), (6, "main", None, "2.0", None), (7, "1.1.1", None, "1.1.1w", None)]
+_ranges, _ranges_sql = values(_RANGES, "range_id int, introduced string, start_excl string, fixed string, last_affected string")
 
 
 @register(
     "version_in_range",
     f"""WITH {_KEY_SQL}, c AS (SELECT a.version AS a, b.version AS b, CASE WHEN a.ok AND b.ok THEN CASE WHEN (a.nums, a.rank, a.phase) < (b.nums, b.rank, b.phase) THEN -1 WHEN (a.nums, a.rank, a.phase) > (b.nums, b.rank, b.phase) THEN 1 ELSE 0 END END AS o FROM key a, key b),
 r AS (SELECT * FROM {_ranges_sql}),
-j AS (SELECT r.range_id, k.version, r.*, i.o AS oi, s.o AS os, f.o AS oof, l.o AS ol FROM r CROSS JOIN key k LEFT JOIN c i ON i.a = k.version AND i.b = r.introduced LEFT JOIN c s ON s.a = k.version AND s.b = r.start_excl
+j AS (SELECT p_partkey, k.version, r.*, i.o AS oi, s.o AS os, f.o AS oof, l.o AS ol FROM part JOIN r ON r.range_id = p_size % {len(_RANGES)} + 1 JOIN key k ON k.id = p_partkey % {len(_plain)} LEFT JOIN c i ON i.a = k.version AND i.b = r.introduced LEFT JOIN c s ON s.a = k.version AND s.b = r.start_excl
   LEFT JOIN c f ON f.a = k.version AND f.b = r.fixed LEFT JOIN c l ON l.a = k.version AND l.b = r.last_affected)
-SELECT range_id, version, CASE WHEN introduced IS NOT NULL AND introduced <> '0' AND oi IS NULL THEN NULL WHEN introduced <> '0' AND oi < 0 THEN false
+SELECT p_partkey, range_id, version, CASE WHEN introduced IS NOT NULL AND introduced <> '0' AND oi IS NULL THEN NULL WHEN introduced <> '0' AND oi < 0 THEN false
   WHEN start_excl IS NOT NULL AND os IS NULL THEN NULL WHEN os <= 0 THEN false WHEN fixed IS NOT NULL AND oof IS NULL THEN NULL WHEN oof >= 0 THEN false
   WHEN last_affected IS NOT NULL AND ol IS NULL THEN NULL WHEN ol > 0 THEN false WHEN coalesce(introduced, start_excl, fixed, last_affected) IS NOT NULL THEN true END AS verdict FROM j""",
 )
 def version_in_range(spark, sf_dir):
-    pairs = _versions(spark).join(F.broadcast(_ranges(spark)))  # fixed tables
+    """One release of each part against one range, chosen by its key and its size."""
+    chosen = _parts(spark, sf_dir, version=_one_of(_plain, "p_partkey"), range_id=f"cast(p_size % {len(_RANGES)} + 1 as int)")
+    pairs = chosen.join(F.broadcast(_ranges(spark)), "range_id")  # seven ranges
     last = versions.in_range(F.col("version"), F.col("introduced"), F.col("start_excl"), F.col("fixed"), F.col("last_affected"))
-    return pairs.select("range_id", "version", last.alias("verdict"))
+    return pairs.select("p_partkey", "range_id", "version", last.alias("verdict"))
 
 
 _TAGS = ("v1.0", "release-1.1", "V1.2", "REL-2_0_0", "tools-build-20")
@@ -388,16 +398,17 @@ def licence_expression_class(spark, sf_dir):
     return _parts(spark, sf_dir, expression=_EXPRESSION).select("p_partkey", licences.expression_class(F.col("expression")).alias("class"))
 
 
-_ids, _ids_sql = values([(i, x) for i, x in enumerate(["Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "AGPL-3.0-only", "OpenSSL", "CDDL-1.0", "EPL-1.0", "MIT"])], "id int, spdx string")
+_IDS = ["Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "AGPL-3.0-only", "OpenSSL", "CDDL-1.0", "EPL-1.0", "MIT"]
+_ID_SQL = f"(['{"', '".join(_IDS)}'])[{{}} % {len(_IDS)} + 1]"
 _GPL = "regexp_matches({}, '^A?GPL-[0-9]\\.0-(only|or-later)$')"
 _WAY = "(({x} = 'Apache-2.0' AND {y} IN ('GPL-2.0-only', 'AGPL-2.0-only')) OR ({x} IN ('GPL-2.0-only', 'AGPL-2.0-only') AND {y} = 'GPL-3.0-only') OR ({x} LIKE 'AGPL%' AND {y} IN ('GPL-2.0-only', 'AGPL-2.0-only')) OR (({x} IN ('OpenSSL', 'EPL-1.0') OR {x} LIKE 'CDDL%') AND " + _GPL.format("{y}") + "))"
 
 
-@register("licence_conflicts", f"SELECT a.spdx AS a, b.spdx AS b FROM (SELECT * FROM {_ids_sql}) a JOIN (SELECT * FROM {_ids_sql}) b ON a.id < b.id WHERE {_WAY.format(x='a.spdx', y='b.spdx')} OR {_WAY.format(x='b.spdx', y='a.spdx')}")
+@register("licence_conflicts", f"SELECT p_partkey, a, b FROM (SELECT p_partkey, {_ID_SQL.format('p_partkey')} AS a, {_ID_SQL.format('(p_size * 4 + p_partkey // 9)')} AS b FROM part) WHERE {_WAY.format(x='a', y='b')} OR {_WAY.format(x='b', y='a')}")
 def licence_conflicts(spark, sf_dir):
-    t = _ids(spark)
-    a, b = t.select(F.col("id").alias("i"), F.col("spdx").alias("a")), t.select(F.col("id").alias("j"), F.col("spdx").alias("b"))
-    return a.join(b, F.col("i") < F.col("j")).filter(licences.incompatible(F.col("a"), F.col("b"))).select("a", "b")  # a fixed table of nine rows
+    """Parts whose two licences, chosen by key and size, cannot be met at once."""
+    chosen = _parts(spark, sf_dir, a=_one_of(_IDS, "p_partkey"), b=_one_of(_IDS, "(p_size * 4 + p_partkey div 9)"))
+    return chosen.filter(licences.incompatible(F.col("a"), F.col("b"))).select("p_partkey", "a", "b")
 
 
 @register(

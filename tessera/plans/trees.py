@@ -108,15 +108,18 @@ def rule_verification(spark, sf_dir):
 
 RATES = ((0, 0), (10, 0), (25, 0), (50, 0), (0, 20), (15, 25))
 _DRAW = "(('0x' || substr(md5('tessera|{}|' || {}), 1, 8))::BIGINT % 100)"
-_SHINGLES = "list_distinct(CASE WHEN len({0}) >= 4 THEN list_transform(range(1, len({0}) - 2), lambda i: array_to_string({0}[i:i + 3], ' ')) WHEN len({0}) > 0 THEN [array_to_string({0}, ' ')] ELSE [] END)"
+_SHINGLES = "(CASE WHEN len({0}) >= 4 THEN list_transform(range(1, len({0}) - 2), lambda i: array_to_string({0}[i:i + 3], ' ')) WHEN len({0}) > 0 THEN [array_to_string({0}, ' ')] ELSE [] END)"
 
 
 @register(
     "mutation_recall",
-    f"""WITH d AS (SELECT doc_id, {_TOKENS} AS t FROM documents), r AS (SELECT * FROM (VALUES {', '.join(map(str, RATES))}) v(rename, del)),
-m AS (SELECT doc_id, rename, del, t, [CASE WHEN {_DRAW.format('rename', 'w')} < rename THEN 'zz' || w ELSE w END FOR w, i IN t IF {_DRAW.format('delete', '(i - 1)')} >= del] AS u FROM d, r WHERE len(t) > 0),
-s AS (SELECT doc_id, rename, del, {_SHINGLES.format('t')} AS a, {_SHINGLES.format('u')} AS b FROM m),
-c AS (SELECT rename, del, len(list_intersect(a, b)) * 100 // len(a) AS pct FROM s)
+    f"""WITH d AS MATERIALIZED (SELECT doc_id, t, list_transform(t, lambda w: {_DRAW.format('rename', 'w')}) AS x, list_transform(range(len(t)), lambda i: {_DRAW.format('delete', 'i')}) AS y FROM (SELECT doc_id, {_TOKENS} AS t FROM documents) WHERE len(t) > 0),
+r AS (SELECT * FROM (VALUES {', '.join(map(str, RATES))}) v(rename, del)),
+m AS (SELECT doc_id, rename, del, t, [CASE WHEN x[i] < rename THEN 'zz' || t[i] ELSE t[i] END FOR i IN range(1, len(t) + 1) IF y[i] >= del] AS u FROM d, r),
+a AS MATERIALIZED (SELECT DISTINCT doc_id, unnest({_SHINGLES.format('t')}) AS s FROM d),
+b AS (SELECT DISTINCT doc_id, rename, del, unnest({_SHINGLES.format('u')}) AS s FROM m),
+n AS (SELECT doc_id, count(*) AS n FROM a GROUP BY 1), h AS (SELECT doc_id, rename, del, count(*) AS h FROM a JOIN b USING (doc_id, s) GROUP BY 1, 2, 3),
+c AS (SELECT rename, del, coalesce(h, 0) * 100 // n AS pct FROM n CROSS JOIN r LEFT JOIN h USING (doc_id, rename, del))
 SELECT rename, del AS "delete", count(*) AS docs, count_if(pct >= 80) AS strong, count_if(pct >= 50) AS partial, count_if(pct >= 20) AS weak, sum(pct)::BIGINT AS total_pct FROM c GROUP BY 1, 2""",
 )
 def mutation_recall(spark, sf_dir):
