@@ -32,6 +32,37 @@ def minimum_elements(components: DataFrame) -> DataFrame:
     return wide.select("total", rows.alias("x")).select("x.standard", "x.element", "x.passed", "total", F.when(F.col("total") > 0, F.col("x.passed") / F.col("total")).otherwise(0.0).alias("share"))
 
 
+# Fixed: the elements of both standards by what they are asked of; the second renames those of the first and adds to them.
+ELEMENTS = {
+    "ntia-2021": {"component": ("supplier", "name", "version", "identifier"), "document": ("dependency", "author", "timestamp")},
+    "cisa-2026": {"component": ("supplier", "name", "version", "identifier", "hash", "license"), "document": ("dependency", "author", "timestamp", "tool", "context", "format")},
+}
+
+
+def bill_elements(components: DataFrame, bills: DataFrame) -> DataFrame:
+    """``bill, standard, element, level, passed, total``: all nineteen checks of each of ``bills``.
+
+    ``components(bill, name, version, supplier, purl, cpe, hashes, licenses)``; ``bills(bill, dependencies, authors, tools array<struct<name,version>>,
+    timestamp, context, format, spec_version)``.  Elements of a document pass once or not at all; a bill without components has none that pass.
+    """
+    some = lambda c: F.coalesce(F.size(c) > 0, F.lit(False))
+    of_component = {"supplier": present(F.col("supplier")), "name": present(F.col("name")), "version": present(F.col("version")), "identifier": present(F.col("purl")) | present(F.col("cpe")), "hash": some("hashes"), "license": some("licenses")}
+    counts = components.groupBy("bill").agg(F.count("*").alias("total"), *[F.count_if(c).alias(n) for n, c in of_component.items()])
+    full_tool = F.exists("tools", lambda t: present(t["name"]) & present(t["version"]))
+    of_document = {
+        "dependency": F.col("dependencies") > 0,
+        "author": some("authors") | some("tools"),
+        "timestamp": present(F.col("timestamp")),
+        "tool": full_tool,
+        "context": present(F.col("context")),
+        "format": present(F.col("format")) & present(F.col("spec_version")),
+    }
+    said = bills.select("bill", *[F.coalesce(c, F.lit(False)).cast("long").alias(n) for n, c in of_document.items()])
+    both = said.join(counts, "bill", "left").fillna(0, ["total", *of_component])
+    rows = [F.struct(F.lit(s).alias("standard"), F.lit(e).alias("element"), F.lit(level).alias("level"), F.col(e).alias("passed"), (F.col("total") if level == "component" else F.lit(1).cast("long")).alias("total")) for s, levels in ELEMENTS.items() for level, names in levels.items() for e in names]
+    return both.select("bill", F.explode(F.array(*rows)).alias("x")).select("bill", "x.*")
+
+
 def standard_score(elements: DataFrame) -> DataFrame:
     """Mean share of a standard's elements, out of ten, to one decimal (half to even)."""
     return elements.groupBy("standard").agg(F.bround(F.avg("share") * 10, 1).alias("out_of_ten"))

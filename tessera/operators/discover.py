@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.bind import let
+from tessera.operators.findings import asserted as firm
+from tessera.operators.findings import licence_differs
 from tessera.operators.graph import settled
 
 # Fixed: files that declare a component, names of licence files, endings of sources.
@@ -164,15 +166,12 @@ def patched(declared: Column, changed: Column, exact_copy: Column, version: Colu
 
 
 def asserted(findings: DataFrame, possible_below: float) -> DataFrame:
-    """``findings`` with ``possible``: those too weak to assert; nothing is dropped."""
-    return findings.withColumn("possible", F.coalesce(F.col("identity") < possible_below, F.lit(True)))
+    """``findings`` with ``possible``: those too weak to assert, or of unknown identity; nothing is dropped."""
+    return findings.withColumn("possible", F.coalesce(~firm(F.col("identity"), possible_below), F.lit(True)))
 
 
-def licences_differ(declared: Column, observed: Column) -> Column:
-    """Does the tree show a licence that the declared expression does not mention; false where one side says nothing."""
-    known = F.transform(F.regexp_extract_all(F.lower(declared), F.lit(r"[a-z0-9.+\-]+"), F.lit(0)), lambda x: x)
-    unknown = F.array_except(F.transform(observed, F.lower), known)
-    return F.coalesce((F.length(declared) > 0) & (F.size(observed) > 0) & (F.size(unknown) > 0), F.lit(False))
+#: One rule for licences seen and declared, wherever it is asked for.
+licences_differ = licence_differs
 
 
 def header_counts(headers: DataFrame, by: str, most: int = 8) -> DataFrame:

@@ -23,12 +23,14 @@ def stamped(findings: DataFrame, overrides: DataFrame, rules: DataFrame) -> Data
     own of ``rules(rule, status, ends)``, else nothing is known. A null field of an override fits anything, names fit
     in any case, directories by glob; a finding without a version has an empty one.
     """
-    # null stands for "anything" on the overrides' side, so each finding looks under its eight keys: an equi-join
+    # null stands for "anything" on the overrides' side, so each finding looks under its sixteen keys: an equi-join.
+    # The first folder of a glob, where it is plain, is a key, too, so overrides by directory alone do not meet all findings
     either = lambda c: (c, F.lit(None).cast("string"))
-    keys = [F.struct(r.alias("r"), n.alias("n"), v.alias("v")) for r in either(F.col("rule")) for n in either(F.lower("name")) for v in either(F.coalesce("version", F.lit("")))]
+    top = F.substring_index("directory", "/", 1)
+    keys = [F.struct(r.alias("r"), n.alias("n"), v.alias("v"), h.alias("h")) for r in either(F.col("rule")) for n in either(F.lower("name")) for v in either(F.coalesce("version", F.lit(""))) for h in either(top)]
     asked = findings.select("id", "directory", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    given = overrides.select("position", F.col("rule").alias("r"), F.lower("name").alias("n"), F.col("version").alias("v"), whole_glob(F.col("directory")).alias("glob"), F.struct("status", "ends").alias("said"))
-    fits = asked["key.r"].eqNullSafe(given["r"]) & asked["key.n"].eqNullSafe(given["n"]) & asked["key.v"].eqNullSafe(given["v"])
+    given = overrides.select("position", F.col("rule").alias("r"), F.lower("name").alias("n"), F.col("version").alias("v"), F.when(~top.rlike(r"[*?\[]"), top).alias("h"), whole_glob(F.col("directory")).alias("glob"), F.struct("status", "ends").alias("said"))
+    fits = asked["key.r"].eqNullSafe(given["r"]) & asked["key.n"].eqNullSafe(given["n"]) & asked["key.v"].eqNullSafe(given["v"]) & asked["key.h"].eqNullSafe(given["h"])
     first = asked.join(given, fits).filter(F.col("glob").isNull() | F.rlike("directory", F.col("glob"))).groupBy("id").agg(F.min_by("said", "position").alias("said"))
     own = rules.filter("status is not null").select("rule", F.struct("status", "ends").alias("own"))
     both = findings.select("id", "rule").join(own, "rule", "left").join(first, "id", "left")

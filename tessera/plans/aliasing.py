@@ -1,10 +1,10 @@
-"""Queries of advisories under aliases: four parts are packages of one upstream, suppliers of a part file advisories."""
+"""Queries of advisories under aliases (four parts are packages of one upstream, suppliers of a part file advisories) and of bills (orders and their lines)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import aliases
+from tessera.operators import aliases, compose
 from tessera.plans.registry import register
 from tessera.session import table
 
@@ -44,3 +44,33 @@ SELECT component, channel, count(*) AS met, count(*) FILTER (WHERE alias) AS by_
 def aliased_advisories(spark, sf_dir):
     found = aliases.aliased_matches(*_tables(spark, sf_dir))
     return found.groupBy("component", "channel").agg(F.count("*").alias("met"), F.count_if("alias").alias("by_alias"), F.count_if("verdict").alias("affected"))
+
+
+@register(
+    "bill_elements",
+    """WITH c AS (SELECT l_orderkey AS bill, count(*) AS total, count_if(l_suppkey % 4 <> 0) AS supplier, count(*) AS name, count_if(l_linenumber <> 2) AS version, count_if(l_partkey % 3 = 0 OR l_partkey % 5 = 0) AS identifier, count_if(l_partkey % 2 = 0) AS hash, count_if(l_quantity > 25) AS license FROM lineitem GROUP BY 1),
+b AS (SELECT o_orderkey AS bill, (o_orderkey % 3 > 0)::BIGINT AS dependency, (o_custkey % 4 <> 1)::BIGINT AS author, 1::BIGINT AS "timestamp", (o_custkey % 4 IN (0, 3))::BIGINT AS tool, (o_orderpriority LIKE '1%')::BIGINT AS context, (o_orderstatus <> 'P')::BIGINT AS format FROM orders),
+j AS (SELECT b.*, coalesce(total, 0) AS total, coalesce(supplier, 0) AS supplier, coalesce(name, 0) AS name, coalesce(version, 0) AS version, coalesce(identifier, 0) AS identifier, coalesce(hash, 0) AS hash, coalesce(license, 0) AS license FROM b LEFT JOIN c USING (bill)),
+r AS (SELECT bill, unnest(['supplier', 'name', 'version', 'identifier', 'hash', 'license', 'dependency', 'author', 'timestamp', 'tool', 'context', 'format']) AS element,
+  unnest([supplier, name, version, identifier, hash, license, dependency, author, "timestamp", tool, context, format]) AS passed, unnest([total, total, total, total, total, total, 1, 1, 1, 1, 1, 1]) AS total FROM j)
+SELECT standard, element, level, count(*) AS bills, count(*) FILTER (WHERE total > 0 AND passed = total) AS whole, sum(passed)::BIGINT AS passed, sum(total)::BIGINT AS total FROM r JOIN (VALUES ('ntia-2021', 'component', 'supplier'), ('ntia-2021', 'component', 'name'), ('ntia-2021', 'component', 'version'), ('ntia-2021', 'component', 'identifier'), ('ntia-2021', 'document', 'dependency'), ('ntia-2021', 'document', 'author'), ('ntia-2021', 'document', 'timestamp'),
+  ('cisa-2026', 'component', 'supplier'), ('cisa-2026', 'component', 'name'), ('cisa-2026', 'component', 'version'), ('cisa-2026', 'component', 'identifier'), ('cisa-2026', 'component', 'hash'), ('cisa-2026', 'component', 'license'), ('cisa-2026', 'document', 'dependency'), ('cisa-2026', 'document', 'author'), ('cisa-2026', 'document', 'timestamp'), ('cisa-2026', 'document', 'tool'), ('cisa-2026', 'document', 'context'), ('cisa-2026', 'document', 'format')) v(standard, level, element) USING (element) GROUP BY 1, 2, 3""",
+)
+def bill_elements(spark, sf_dir):
+    """Each order is a bill of its lines; how many bills have each element wholly, and how many components pass."""
+    line, order = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    part, none = F.col("l_partkey"), F.lit(None).cast("array<string>")
+    components = line.select(
+        F.col("l_orderkey").alias("bill"), F.concat(F.lit("part "), part).alias("name"), F.when(F.col("l_linenumber") != 2, F.concat(F.lit("1."), "l_linenumber")).otherwise("NOASSERTION").alias("version"),
+        F.when(F.col("l_suppkey") % 4 != 0, F.concat(F.lit("supplier "), "l_suppkey")).otherwise(" unknown ").alias("supplier"), F.when(part % 3 == 0, F.concat(F.lit("pkg:part/"), part)).alias("purl"), F.when(part % 5 == 0, F.lit("cpe:2.3:a:b:c")).otherwise("n/a").alias("cpe"),
+        F.when(part % 2 == 0, F.array(F.lit("h"))).otherwise(none).alias("hashes"), F.when(F.col("l_quantity") > 25, F.array(F.lit("MIT"))).otherwise(F.array().cast("array<string>")).alias("licenses"),
+    )
+    tool = lambda name, version: F.array(F.struct(F.lit(name).cast("string").alias("name"), F.lit(version).cast("string").alias("version")))
+    client = F.col("o_custkey") % 4
+    bills = order.select(
+        F.col("o_orderkey").alias("bill"), (F.col("o_orderkey") % 3).alias("dependencies"), F.when(client == 2, F.array(F.lit("clerk"))).alias("authors"),
+        F.when(client == 0, tool("maker", "1.0")).when(client == 3, F.concat(tool("maker", None), tool("other", "2"))).when(client == 2, tool("maker", "none")).alias("tools"),
+        F.col("o_orderdate").cast("string").alias("timestamp"), F.when(F.col("o_orderpriority").startswith("1"), "build").alias("context"), F.lit("CycloneDX").alias("format"), F.when(F.col("o_orderstatus") != "P", "1.6").alias("spec_version"),
+    )
+    found = compose.bill_elements(components, bills)
+    return found.groupBy("standard", "element", "level").agg(F.count("*").alias("bills"), F.count_if((F.col("total") > 0) & (F.col("passed") == F.col("total"))).alias("whole"), F.sum("passed").alias("passed"), F.sum("total").alias("total"))
