@@ -38,12 +38,22 @@ def draw(key: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(key), *parts)), 1, 8), 16, 10).cast("long") % 100
 
 
-def mutated(words: Column, rename: Column, delete: Column, key: str) -> Column:
-    """Words as a vendor's copy would have them: of the distinct words ``rename`` per cent are called otherwise, each wherever it stands, and of the
-    places ``delete`` per cent are gone."""
+def drawn(words: Column, key: str) -> Column:
+    """Each word with its two numbers: for being called otherwise (the same wherever it stands) and for being gone from its place."""
+    return F.transform(words, lambda w, i: F.struct(w.alias("word"), draw(key, F.lit("rename"), w).alias("rename"), draw(key, F.lit("delete"), i.cast("string")).alias("delete")))
+
+
+def applied(draws: Column, rename: Column, delete: Column) -> Column:
+    """The words of ``drawn`` that are left at these rates, under the names that they then have."""
 
     def changed(x: Column) -> Column:
-        kept = F.filter(x["words"], lambda w, i: draw(key, F.lit("delete"), i.cast("string")) >= x["delete"])
-        return F.transform(kept, lambda w: F.when(draw(key, F.lit("rename"), w) < x["rename"], F.concat(F.lit("zz"), w)).otherwise(w))
+        kept = F.filter(x["draws"], lambda d: d["delete"] >= x["delete"])
+        return F.transform(kept, lambda d: F.when(d["rename"] < x["rename"], F.concat(F.lit("zz"), d["word"])).otherwise(d["word"]))
 
-    return let(F.struct(words.alias("words"), rename.alias("rename"), delete.alias("delete")), changed)
+    return let(F.struct(draws.alias("draws"), rename.alias("rename"), delete.alias("delete")), changed)
+
+
+def mutated(words: Column, rename: Column, delete: Column, key: str) -> Column:
+    """Words as a vendor's copy would have them: of the distinct words ``rename`` per cent are called otherwise, each wherever it stands, and of the
+    places ``delete`` per cent are gone."""
+    return applied(drawn(words, key), rename, delete)
