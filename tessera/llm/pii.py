@@ -110,7 +110,7 @@ SPEECH = ("said", "says", "wrote", "writes", "told", "asked", "replied", "emaile
 _SINGLE = re.compile(rf"(?<![\w'’\-@.])({_CAPITAL}[^\W\d_]++{_TAIL})(?=[  ](?:{'|'.join(SPEECH)})(?!\w))")
 ARTICLES = ("The", "A", "An", "This", "That", "These", "Those", "Our", "Their", "His", "Her", "My", "Your", "Its", "Some", "Any", "Every", "Each", "No", "All", "Der", "Die", "Das", "Le", "La", "Les", "El", "Los", "Las")
 NO_NAMES = {*ARTICLES, "He", "She", "It", "They", "We", "You", "I", "Who", "What", "Which", "Someone", "Somebody", "Nobody", "Everyone", "Everybody", "People", "Others", "One", "Two", "Many", "Most", "Few", "Several", "And", "But", "Or", "So", "Then", "As", "When", "If", "Also", "Once", "Never", "Not", "Just", "There", "Here", "Well"}
-#: After a label, words of any case to the end of the line or the next sign.
+#: After a label, words that begin in lower case, to the end of the line or the next sign; capitalised ones are found without it.
 _LABEL_END = re.compile(rf"(?<!\w)(?i:{'|'.join(LABELS)})[ ]?$")
 _LABEL_REACH = max(map(len, LABELS)) + 2
 _ANY_CASE = re.compile(r"[^\W\d_]{2,}+(?:[  ][^\W\d_]++){1,3}+(?=[ \t]*(?:$|[\n\r,;.<|]))")
@@ -501,7 +501,7 @@ def near_names(text: str) -> list[tuple[int, int, str]]:
         near += [m.span(1) for m in _SINGLE.finditer(text) if m[1] not in NO_NAMES and m.end() not in ends and not text.endswith(_TITLE_ENDS, 0, m.start())]
     at = text.find(":")
     while at >= 0:
-        if at and (text[at - 1].isalpha() or text[at - 1] == " ") and _LABEL_END.search(text[max(0, at - _LABEL_REACH) : at]) and (m := _ANY_CASE.match(text, at + 1 + text.startswith(" ", at + 1))):
+        if at and (text[at - 1].isalpha() or text[at - 1] == " ") and _LABEL_END.search(text[max(0, at - _LABEL_REACH) : at]) and (m := _ANY_CASE.match(text, at + 1 + text.startswith(" ", at + 1))) and not m[0][0].isupper():
             near.append(m.span())
         at = text.find(":", at + 1)
     found = [(a, z, "name") for a, z in near if not any(w.rstrip(".") in _TITLES for w in text[a:z].split())]

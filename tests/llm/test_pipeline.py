@@ -27,6 +27,6 @@ def test_run_and_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.queries()["pipeline"] is corpus_pipeline.run
-    assert sum(k.startswith("op") for k in entry.queries()) == 10
+    assert sum(k.startswith("op") for k in entry.queries()) == 13
     assert corpus_pipeline.run(spark, SF).count() > 0
     assert zlib.crc32(b"2") % 4 in range(4)
