@@ -23,7 +23,7 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 
 def _load() -> None:
-    from tessera.plans import aliasing, components, corpus, evidence, owning, platform, printing, reporting, scanning, sourcing, trees  # noqa: F401  they register themselves
+    from tessera.plans import aliasing, components, corpus, evidence, owning, platform, printing, reporting, scanning, sourcing, trees, treescan  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable]:
