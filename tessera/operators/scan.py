@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import shingle_hashes, sketch
+from tessera.functions.hashing import shingle_hashes
 from tessera.functions.text import kmv_similarity
 from tessera.operators import discover, globs, presence
 from tessera.operators.graph import settled
@@ -54,15 +54,21 @@ def anchor_hits(files: DataFrame, anchors: DataFrame, deepest: int = DEEPEST) ->
     return met.groupBy(*PAIR).agg(F.min_by("ix", "at").alias("anchors"))
 
 
-def function_hits(files: DataFrame, signature: DataFrame, k: int) -> DataFrame:
+def marked(files: DataFrame, signature: DataFrame, k: int, size: int) -> DataFrame:
+    """``path, h, known, small``: of each file's hashes those that some rule has, and its ``size`` smallest. Texts are hashed once for both."""
+    hashes = files.select("path", F.posexplode(shingle_hashes(F.col("text"), k)).alias("p", "h"))
+    rules = signature.select("h").distinct().withColumn("known", F.lit(True))
+    out = hashes.join(rules, "h", "left").select("path", "h", F.coalesce("known", F.lit(False)).alias("known"), (F.col("p") < size).alias("small"))
+    return settled(out.filter("known or small"))
+
+
+def function_hits(marks: DataFrame, signature: DataFrame) -> DataFrame:
     """``directory, rule_id, low_ix, high_ix, exact``: the releases that a directory's bodies point to, and how much of the best it holds.
 
-    ``files(path, text)``, ``signature(rule_id, version_ix, h)``. Only hashes that some rule has go up to the directories above, each
-    once for a directory. Where no hash tells releases apart, the releases are null and all of the rule's hashes count together.
+    ``marks`` as ``marked`` gives them, ``signature(rule_id, version_ix, h)`` distinct. Only hashes that some rule has go up to the directories
+    above, each once for a directory. Where no hash tells releases apart, the releases are null and all of the rule's hashes count together.
     """
-    signature = settled(signature.select("rule_id", "version_ix", "h").distinct())
-    known = files.select("path", F.explode(shingle_hashes(F.col("text"), k)).alias("h")).join(signature.select("h").distinct(), "h", "left_semi")
-    present = settled(below(known).select(F.col("directory").alias("doc_id"), "h").distinct())
+    present = settled(below(marks.filter("known").select("path", "h")).select(F.col("directory").alias("doc_id"), "h").distinct())
     found = settled(presence.release_range(present, signature))
     size = signature.groupBy("rule_id", F.col("version_ix").alias("best_ix")).agg(F.count("*").alias("size"))
     best = found.join(signature.withColumnRenamed("version_ix", "best_ix"), ["rule_id", "best_ix"]).join(present, ["doc_id", "h"]).groupBy("doc_id", "rule_id").agg(F.count("*").alias("held"))
@@ -71,13 +77,12 @@ def function_hits(files: DataFrame, signature: DataFrame, k: int) -> DataFrame:
     return every.select(F.col("doc_id").alias("directory"), "rule_id", "low_ix", "high_ix", F.coalesce("of_best", F.col("held") / F.col("own")).alias("exact"))
 
 
-def tree_sketches(files: DataFrame, k: int, size: int) -> DataFrame:
+def tree_sketches(marks: DataFrame, size: int) -> DataFrame:
     """``directory, s``: the ``size`` smallest distinct hashes below each directory, ascending.
 
-    Sketches of files are merged: each file sends at most ``size`` values up, and a directory keeps as many of each task's before they
-    are exchanged.
+    Sketches of files, in ``marks`` of at least that size, are merged: a directory keeps as many values of each task's before they are exchanged.
     """
-    values = below(files.select("path", F.explode(sketch(F.col("text"), k, size)).alias("h"))).select("directory", "h").distinct()
+    values = below(marks.filter("small").select("path", "h")).select("directory", "h").distinct()
     least = values.withColumn("n", F.row_number().over(Window.partitionBy("directory").orderBy("h"))).filter(F.col("n") <= size)
     return least.groupBy("directory").agg(F.array_sort(F.collect_list("h")).alias("s"))
 
@@ -211,14 +216,18 @@ def scan(files: DataFrame, rules: DataFrame, releases: DataFrame, anchors: DataF
     """
     inside = (lambda hits: hits.join(candidates.select("directory").distinct(), "directory", "left_semi")) if candidates is not None else (lambda hits: hits)
     anchored = settled(inside(anchor_hits(files, anchors)))
-    bodies = settled(inside(function_hits(files, signature, k)))
+    signature = settled(signature.select("rule_id", "version_ix", "h").distinct())
+    marks = marked(files, signature, k, size)
+    bodies = settled(inside(function_hits(marks, signature)))
     pairs = anchored.select(*PAIR).unionByName(bodies.select(*PAIR)).distinct()
-    sketched = settled(inside(sketch_hits(tree_sketches(files, k, size), sketches, pairs, size)))
+    sketched = settled(inside(sketch_hits(tree_sketches(marks, size), sketches, pairs, size)))
     every = settled(pairs.unionByName(sketched.filter(F.col("sketch") >= discover.BANDS[3][0]).select(*PAIR)).distinct())
-    places = place_hits(every.select("directory").distinct(), rules)
+    probed = settled(inside(probe_hits(files, probes)))
+    places = settled(place_hits(every.select("directory").distinct(), rules))
     listed = releases.groupBy("rule_id").agg(F.array_sort(F.collect_set(F.struct(F.col("version_ix").alias("ix"), "version"))).alias("releases"))
     rows = every.join(listed, "rule_id", "left").join(rules.select("rule_id", "name", "specificity", "ceiling"), "rule_id")
-    for hits, on in ((anchored, PAIR), (bodies, PAIR), (sketched, PAIR), (probe_hits(files, probes), PAIR), (places, PAIR), (declared.select("directory", "manifest"), ["directory"])):
+    for hits, on in ((anchored, PAIR), (bodies, PAIR), (sketched, PAIR), (probed, PAIR), (places, PAIR), (declared.select("directory", "manifest"), ["directory"])):
         rows = rows.join(hits, on, "left")
-    claims = judged(rows.withColumn("exact_copy", F.lit(None).cast("boolean")))
+    # written once, so that the weighing is planned apart from the joins
+    claims = judged(settled(rows.withColumn("exact_copy", F.lit(None).cast("boolean"))))
     return resolved(claims.select(*PAIR, "name", "specificity", "place", "identity", "version", "source", "version_confidence", "witnesses")).drop("specificity")

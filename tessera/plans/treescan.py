@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import sketch
 from tessera.operators import scan
 from tessera.plans.corpus import K, _SIG, _shingles_sql, _signature
 from tessera.plans.registry import register, _SQL
@@ -79,7 +80,7 @@ def scanned_components(spark, sf_dir):
     files = docs.select(F.concat(leaf, F.lit("/"), name).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
     labels = table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null").select("doc_id", F.expr("cast(quality + 2 * toxic as int)").alias("version_ix"))
     anchors = docs.join(labels, "doc_id").select(F.expr("cast(doc_id % 7 as int)").alias("rule_id"), F.expr("cast(doc_id % 8 as int)").alias("at"), name.alias("path"), "version_ix", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-    items = table(spark, sf_dir, "benchmark").select(F.expr("cast(4 + item_id % 3 as int)").alias("rule_id"), F.lit(3).alias("reference_ix"), F.explode(scan.sketch(F.col("text"), K, SIZE)).alias("h")).distinct()
+    items = table(spark, sf_dir, "benchmark").select(F.expr("cast(4 + item_id % 3 as int)").alias("rule_id"), F.lit(3).alias("reference_ix"), F.explode(sketch(F.col("text"), K, SIZE)).alias("h")).distinct()
     sketches = items.groupBy("rule_id", "reference_ix").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SIZE).alias("s"))
     known = table(spark, sf_dir, "benchmark").select(F.expr("cast(item_id % 4 as int)").alias("rule_id"), F.expr("cast(item_id div 4 as int)").alias("version_ix"))
     sketched = spark.range(4, 7).select(F.col("id").cast("int").alias("rule_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("version_ix"))
