@@ -10,15 +10,20 @@ STATES = ("exploitable", "in_triage", "not_affected", "resolved", "false_positiv
 
 
 def winners(claims: DataFrame, by: list[str], order: list[Column], name: str, confidence: str, share: float = 0.6, most: int = 3) -> DataFrame:
-    """Each group's first claim with ``alternatives``: up to ``most`` names of other claims of ``share`` of its confidence."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    """Each group's first claim with ``alternatives``: up to ``most`` names of other claims of ``share`` of its confidence.
+
+    Claims that ``order`` leaves equal go by name, then by their other columns, so neither the winner nor its alternatives depend on
+    how rows are dealt; both are read off one pass.
+    """
+    rest = [F.asc(c) for c in claims.columns if c not in (*by, name)]
+    w = Window.partitionBy(*by).orderBy(*order, F.asc(name), *rest)
     ranked = claims.withColumn("_n", F.row_number().over(w)).withColumn("_top", F.first(confidence).over(w)).withColumn("_name", F.first(name).over(w))
     rival = (F.col("_n") > 1) & (F.col(confidence) >= share * F.col("_top")) & (F.col(name) != F.col("_name"))
     ranked = ranked.withColumn("_k", F.sum(rival.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = ranked.filter((F.col("_n") == 1) | (rival & (F.col("_k") <= most)))
-    best = kept.filter("_n = 1").drop("_n", "_top", "_name", "_k")
-    others = kept.filter("_n > 1").groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", name))), lambda x: x[name].cast("string")), ",").alias("alternatives"))
-    return best.join(others, by, "left").withColumn("alternatives", F.coalesce("alternatives", F.lit("")))
+    others = F.collect_list(F.when(rival & (F.col("_k") <= most), F.struct("_k", name))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    best = ranked.withColumn("_others", others).filter("_n = 1")
+    names = F.transform(F.array_sort("_others"), lambda x: x[name].cast("string"))
+    return best.select(*claims.columns, F.array_join(names, ",").alias("alternatives"))
 
 
 def first_wins(df: DataFrame, key: list[str], order: str, values: list[str]) -> DataFrame:
