@@ -27,13 +27,19 @@ def stamped(findings: DataFrame, overrides: DataFrame, rules: DataFrame) -> Data
     # The first folder of a glob, where it is plain, is a key, too, so overrides by directory alone do not meet all findings
     either = lambda c: (c, F.lit(None).cast("string"))
     top = F.substring_index("directory", "/", 1)
-    keys = [F.struct(r.alias("r"), n.alias("n"), v.alias("v"), h.alias("h")) for r in either(F.col("rule")) for n in either(F.lower("name")) for v in either(F.coalesce("version", F.lit(""))) for h in either(top)]
-    asked = findings.select("id", "directory", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
-    given = overrides.select("position", F.col("rule").alias("r"), F.lower("name").alias("n"), F.col("version").alias("v"), F.when(~top.rlike(r"[*?\[]"), top).alias("h"), whole_glob(F.col("directory")).alias("glob"), F.struct("status", "ends").alias("said"))
+    keys = [F.struct(r.alias("r"), n.alias("n"), v.alias("v"), h.alias("h")) for r in either(F.col("rule")) for n in either(F.col("_name")) for v in either(F.col("_version")) for h in either(top)]
+    same = ["rule", "_name", "_version", "directory"]
+    named = findings.select("id", "rule", F.lower("name").alias("_name"), F.coalesce("version", F.lit("")).alias("_version"), "directory")
+    kinds = named.select(*same).distinct().withColumn("kind", F.struct(*same))
+    asked = kinds.select("kind", "directory", F.explode(F.array_distinct(F.array(*keys))).alias("key"))
+    # of overrides that ask the same only the first can decide: what is met grows with the different ones
+    said = overrides.groupBy(F.col("rule").alias("r"), F.lower("name").alias("n"), F.col("version").alias("v"), "directory").agg(F.min_by(F.struct("position", "status", "ends"), "position").alias("said"))
+    given = said.select("r", "n", "v", F.when(~top.rlike(r"[*?\[]"), top).alias("h"), whole_glob(F.col("directory")).alias("glob"), "said.position", F.struct("said.status", "said.ends").alias("said"))
     fits = asked["key.r"].eqNullSafe(given["r"]) & asked["key.n"].eqNullSafe(given["n"]) & asked["key.v"].eqNullSafe(given["v"]) & asked["key.h"].eqNullSafe(given["h"])
-    first = asked.join(given, fits).filter(F.col("glob").isNull() | F.rlike("directory", F.col("glob"))).groupBy("id").agg(F.min_by("said", "position").alias("said"))
+    first = asked.join(given, fits).filter(F.col("glob").isNull() | F.rlike("directory", F.col("glob"))).groupBy("kind").agg(F.min_by("said", "position").alias("said"))
     own = rules.filter("status is not null").select("rule", F.struct("status", "ends").alias("own"))
-    both = findings.select("id", "rule").join(own, "rule", "left").join(first, "id", "left")
+    asks = named.select("id", "rule", F.struct(*same).alias("kind"))
+    both = asks.join(own, "rule", "left").join(first, asks["kind"].eqNullSafe(first["kind"]), "left")
     found = F.coalesce("said", "own")
     origin = F.when(F.col("said").isNotNull(), "file").when(F.col("own").isNotNull(), "rule").otherwise("none")
     return both.select("id", F.coalesce(found["status"], F.lit(UNKNOWN)).alias("status"), found["ends"].alias("ends"), origin.alias("origin"))
