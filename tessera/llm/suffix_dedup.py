@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.slots import Copies, Slot, ask, asked, back, contents, cut, got_values, met, only, rows, send_counted, send_values, shared_counted, shared_values, short_keys, slotted, together, within
+from tessera.llm.slots import Copies, Slot, ask, asked, back, contents, cut, got_values, met, only, packed, plain, rows, send_counted, send_values, shared_counted, shared_values, short_keys, slotted, together, within
 from tessera.llm.textbits import U64, byte_prefix, chunks, mix, powers, span_hash
 from tessera.llm.textbits import _P as BASE
 
@@ -172,10 +172,10 @@ def send_runs(docs: pa.Table, answers: pa.Table, copies: Copies, length: int, n:
         at = entry[i:j]
         head = np.zeros(len(at), _ENTRY)
         head["low"], head["n"], head["doc"], head["pos"] = low[at], size[at], doc[at], start[at]
-        out.append([b, len(at).to_bytes(4, "little") + head.tobytes() + b"".join(text[x : x + m + length - 1] for x, m in zip(start[at].tolist(), size[at].tolist(), strict=True)), b""])
+        out.append([b, packed(len(at).to_bytes(4, "little") + head.tobytes() + b"".join(text[x : x + m + length - 1] for x, m in zip(start[at].tolist(), size[at].tolist(), strict=True))), b""])
     if len(local):
         if not out:
-            out = [[s.slot % n, (0).to_bytes(4, "little"), b""]]
+            out = [[s.slot % n, packed((0).to_bytes(4, "little")), b""]]
         out[s.slot % len(out)][2] = marks.tobytes()
     return rows(s.slot, out)
 
@@ -225,7 +225,7 @@ def decide_runs(table: pa.Table, length: int) -> pa.Table:
     """For each run that slots sent: which of its windows start in a smaller id, too."""
     bucket, slots, bodies, echoes = asked(table)
     heads, parts = [], []
-    for body in bodies:
+    for body in map(plain, bodies):
         m = int.from_bytes(body[:4], "little")
         head = np.frombuffer(body, _ENTRY, m, 4)
         heads.append(head)
