@@ -157,14 +157,14 @@ def column_ranks(table: pa.Table) -> pa.Table:
     return back(bucket, out)
 
 
-def prefix_rows(table: pa.Table, ranks: pa.Table, n: int, percent: int) -> pa.Table:
-    """``item, doc_id`` for the shared columns of each shortest prefix, rare columns first."""
+def prefix_rows(table: pa.Table, ranks: pa.Table, n: int, percent: int, places: bool = False) -> pa.Table:
+    """``item, doc_id`` for the shared columns of each shortest prefix, rare columns first; with ``places`` also the set's ``size`` and the column's ``at``."""
     known = [np.frombuffer(x, _RANK) for x in ranks.column("body").to_pylist()]
     key = [x["low"].astype(np.uint64) | np.uint64(b << 32) for b, x in zip(ranks.column("bucket").to_pylist(), known, strict=True)]
     key, rank = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((key, np.uint64), ([x["rank"] for x in known], np.uint8)))
     order = np.argsort(key)
     key, rank = key[order], rank[order]
-    items, docs = [], []
+    items, docs, sizes, at = [], [], [], []
     for doc, raw in zip(table.column("doc_id").to_pylist(), table.column("items").to_pylist(), strict=True):
         x = np.frombuffer(raw, np.uint64)
         short = short_keys(x, n)
@@ -172,10 +172,14 @@ def prefix_rows(table: pa.Table, ranks: pa.Table, n: int, percent: int) -> pa.Ta
         level = np.zeros(len(x), np.uint8)
         level[shared] = rank[np.searchsorted(key, short[shared])]
         first = np.lexsort((x, level))[: int(may_miss(np.int64(len(x)), percent)) + 1]
-        first = first[level[first] > 0]
+        place = np.flatnonzero(level[first] > 0)
+        first = first[place]
         items.append(x[first].view(np.int64))
         docs.append(np.full(len(first), doc, np.int64))
-    return pa.table({"item": np.concatenate(items) if items else pa.array([], pa.int64()), "doc_id": np.concatenate(docs) if docs else pa.array([], pa.int64())})
+        sizes.append(np.full(len(first), len(x), np.int64))
+        at.append(place)
+    columns = {"item": items, "doc_id": docs} | ({"size": sizes, "at": at} if places else {})
+    return pa.table({c: np.concatenate(v) if v else pa.array([], pa.int64()) for c, v in columns.items()})
 
 
 def _entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -286,8 +290,8 @@ def cross(table: pa.Table, percent: int) -> pa.Table:
     return _stars(list(pair.values()))
 
 
-def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block: int, carry: Iterable[str] | None) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``candidates`` and ``stands_in, component`` of those that are linked."""
+def with_sets(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, carry: Iterable[str] | None) -> tuple[DataFrame, int]:
+    """Rows of ``candidates``, written, and the number of slots."""
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     table, slots = slotted(docs, id_col, text_col, carry or ())
@@ -298,7 +302,12 @@ def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: st
     schema = "slot int, doc_id long, n_shingles long, stands_in long, items binary"
     if carry is not None:
         schema += ", text string" + (f", carry {table.schema['carry'].dataType.simpleString()}" if "carry" in table.columns else "")
-    every = saved(ask(table, together(known, columns), partial(candidates, **how, whole=carry is not None), schema))
+    return saved(ask(table, together(known, columns), partial(candidates, **how, whole=carry is not None), schema)), slots
+
+
+def _components(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str, block: int, carry: Iterable[str] | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``candidates`` and ``stands_in, component`` of those that are linked."""
+    every, slots = with_sets(docs, n, percent, id_col, text_col, carry)
     links = cluster_links(every.filter("items is not null").select("slot", "doc_id", "items"), slots, percent, block)
     return every, components(links).select(F.col("node").alias("stands_in"), F.col("component"))
 
@@ -321,14 +330,24 @@ def ngram_dedup(docs: DataFrame, n: int = N, percent: int = PERCENT, id_col: str
     return every.filter("items is null").select(columns).unionByName(rest.select(columns))
 
 
+def prefixes(sets: DataFrame, slots: int, percent: int, places: bool = False) -> DataFrame:
+    """``prefix_rows`` of all sets, written."""
+    ranks = met(sets, None, partial(send_column_counts, n=slots), slots, column_ranks)
+    schema = "item long, doc_id long" + (", size long, at long" if places else "")
+    return saved(ask(sets, ranks, partial(prefix_rows, n=slots, percent=percent, places=places), schema))
+
+
+def clustered(heads: DataFrame) -> DataFrame:
+    """``node, component``: documents that share a column of their prefixes, directly or by way of others."""
+    least = heads.groupBy("item").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("item", "b")
+    return components(heads.join(least, "item").select(F.col("doc_id").alias("a"), "b").distinct())
+
+
 def cluster_links(sets: DataFrame, slots: int, percent: int, block: int) -> DataFrame:
     """``(a, b)``: links that join the same documents as all links do."""
     spark = sets.sparkSession
-    ranks = met(sets, None, partial(send_column_counts, n=slots), slots, column_ranks)
-    heads = saved(ask(sets, ranks, partial(prefix_rows, n=slots, percent=percent), "item long, doc_id long"))
+    clusters = clustered(prefixes(sets, slots, percent))
     sets = sets.drop("slot")
-    least = heads.groupBy("item").agg(F.min("doc_id").alias("b"), F.max("doc_id").alias("top")).filter("b < top").select("item", "b")
-    clusters = components(heads.join(least, "item").select(F.col("doc_id").alias("a"), "b").distinct())
     members = saved(sets.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id"))
     schema = "cluster long, a long, b long"
     found: list[DataFrame] = []

@@ -12,6 +12,7 @@ from tessera.llm.filter_audit import op12_filter_audit
 from tessera.llm.manifest import ORACLE_SQL as MANIFEST
 from tessera.llm.manifest import op11_manifest
 from tessera.llm.merge_dropout import op10_merge_dropout
+from tessera.llm.near_pairs import connected_groups, near_duplicate_pairs
 from tessera.llm.ngram_join import op5_ngram_join
 from tessera.llm.oracles import ORACLE_SQL as PLAIN
 from tessera.llm.outliers import op7_outliers
@@ -21,6 +22,9 @@ from tessera.llm.quality import op1_quality
 from tessera.llm.suffix_dedup import op2_suffix_dedup
 
 QUERIES = {
+    # in place of the plain joins of tessera.plans.corpus, whose SQL they have
+    "near_duplicate_pairs": near_duplicate_pairs,
+    "connected_groups": connected_groups,
     "op1_quality": op1_quality,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_packing": op3_packing,
