@@ -21,12 +21,27 @@ _BOUNDS = ("introduced", "start_excluding", "fixed", "last_affected")
 def range_join(components: DataFrame, ranges: DataFrame, key: str | list[str] = "key") -> DataFrame:
     """Equi-join on the product key; the range is a column, not a join condition, so "cannot tell" survives as null.
 
-    ``components(component, key, version)``, ``ranges(advisory_id, key, introduced, start_excluding, fixed, last_affected)``. Versions and bounds are
-    parsed before the join, so once each, however many ranges a component meets.
+    ``components(component, key, version)``, ``ranges(advisory_id, key, introduced, start_excluding, fixed, last_affected)``. Under a key many
+    components have one version and many ranges the same bounds: each version meets each bounds once, and verdicts go back to ranges, then to
+    components. The last join makes all rows from little input, so its parts are dealt by number: joined by size they would be a few tasks.
     """
-    parsed = components.withColumn("_version", facts(F.col("version")))
-    joined = parsed.join(ranges.withColumn("_limits", limits(*[F.col(b) for b in _BOUNDS])), key)
-    return joined.withColumn("verdict", within(F.col("_version"), F.col("_limits"))).drop("_version", "_limits")
+    by = [key] if isinstance(key, str) else list(key)
+    parsed = components.select(*by, "version").distinct().withColumn("_facts", facts(F.col("version")))
+    bounds = ranges.select(*by, *_BOUNDS).distinct().withColumn("_limits", limits(*[F.col(b) for b in _BOUNDS]))
+    said = parsed.join(bounds, by).withColumn("verdict", within(F.col("_facts"), F.col("_limits"))).drop("_facts", "_limits")
+    met = _alike(ranges, said, [*by, *_BOUNDS], ["version", "verdict"])
+    parts = int(components.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = _alike(components.repartition(parts, *by, "version"), met, [*by, "version"], [c for c in met.columns if c not in (*by, "version")])
+    return out.select(*by, *[c for c in components.columns if c not in by], *[c for c in ranges.columns if c not in by], "verdict")
+
+
+def _alike(left: DataFrame, right: DataFrame, on: list[str], more: list[str]) -> DataFrame:
+    """``left`` with the columns ``more`` of the rows of ``right`` that are the same in ``on``, nulls included."""
+    right = right.select(*[F.col(c).alias(f"_on{k}") for k, c in enumerate(on)], *more)
+    same = F.lit(True)
+    for k, c in enumerate(on):
+        same = same & left[c].eqNullSafe(right[f"_on{k}"])
+    return left.join(right, same).drop(*[f"_on{k}" for k in range(len(on))])
 
 
 def matched(components: DataFrame, ranges: DataFrame, channel: str | None = None) -> DataFrame:
