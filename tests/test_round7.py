@@ -5,9 +5,8 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import functions as F
 
-from tessera.operators import sketches
+from tessera.operators import expansion, sketches
 
 
 def plain_similarities(rows, size):
@@ -42,3 +41,17 @@ def test_joined_sketches_are_held_a_few_at_a_time(monkeypatch):
     batches = list(sketches._met(block, block, size))
     assert sum(b.num_rows for b in batches) == n * (n - 1) // 2 and max(b.num_rows for b in batches) <= 1000 + n
     assert all(np.all(b.column(2).to_numpy() == 1) for b in batches)
+
+
+def test_a_chain_of_macros_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = expansion.settled
+    monkeypatch.setattr(expansion, "settled", lambda df: rounds.append(df.columns) or kept(df))
+    monkeypatch.setattr(expansion, "USED", 2)
+    n = 40
+    bodies = [(f"m{k}", f"m{k + 1}") for k in range(n)] + [(f"m{k}", f"s{k}") for k in range(n)] + [("m30", "m20")]
+    uses = [("f", "m0"), ("f", "m7"), ("f", "s3"), ("f", "m25"), ("g", "m39"), ("h", None), (None, "m39")]
+    got = {(r.fn, r.symbol): r.through for r in expansion.expanded_calls(spark.createDataFrame(uses, "fn string, token string"), spark.createDataFrame(bodies, "macro string, token string")).collect()}
+    want = {("f", f"s{k}"): "m0" for k in range(n)} | {("g", "s39"): "m39", ("g", "m40"): "m39", (None, "s39"): "m39", (None, "m40"): "m39", ("f", "m40"): "m0", ("f", "s3"): None, ("h", None): None}
+    assert got == want
+    assert len(rounds) < 20
