@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import hashing
 from tessera.functions.bind import let
 
 
@@ -57,3 +63,48 @@ def mutated(words: Column, rename: Column, delete: Column, key: str) -> Column:
     """Words as a vendor's copy would have them: of the distinct words ``rename`` per cent are called otherwise, each wherever it stands, and of the
     places ``delete`` per cent are gone."""
     return applied(drawn(words, key), rename, delete)
+
+
+#: Least percentages of the recall bands.
+BANDS = {"strong": 80, "partial": 50, "weak": 20}
+
+
+def _draw(key: bytes, what: bytes, part: bytes) -> int:
+    return int(hashlib.md5(b"|".join((key, what, part))).hexdigest()[:8], 16) % 100
+
+
+def _tried(batches: Iterable[pa.RecordBatch], rates: list[tuple[int, int]], k: int, key: bytes) -> Iterator[pa.RecordBatch]:
+    gone = np.zeros(0, np.int8)
+    for batch in batches:
+        sums = np.zeros((len(rates), 2 + len(BANDS)), np.int64)
+        for text in batch.column(0):
+            raw = text.as_py().encode()
+            start, end = hashing.words(raw)
+            if not len(start):
+                continue
+            if len(gone) < len(start):
+                gone = np.append(gone, np.array([_draw(key, b"delete", b"%d" % i) for i in range(len(gone), 2 * len(start))], np.int8))
+            plain = hashing.spans(np.frombuffer(raw, np.uint8).astype(np.uint64), start, end, hashing.BYTE_BASE)
+            # the same polynomial with two letters before the word
+            powers = hashing._power(hashing.BYTE_BASE, int((end - start).max()) + 2)
+            other = hashing.final(plain + (powers[end - start] + powers[end - start + 1]) * hashing.U64(ord("z")))
+            word = hashing.final(plain)
+            _, at, back = np.unique(word, return_index=True, return_inverse=True)
+            draws = np.array([_draw(key, b"rename", raw[start[i] : end[i]]) for i in at.tolist()], np.int8)[back]
+            known = np.unique(hashing.runs(word, k))
+            for n, (rename, delete) in enumerate(rates):
+                copy = np.where(draws < rename, other, word)[gone[: len(word)] >= delete]
+                held = len(np.intersect1d(known, np.unique(hashing.runs(copy, k)), assume_unique=True))
+                pct = held * 100 // len(known)
+                sums[n] += [1, *(pct >= least for least in BANDS.values()), pct]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (*np.array(rates).T, *sums.T)], ["rename", "delete", "docs", *BANDS, "total_pct"])
+
+
+def recall(texts: DataFrame, rates: list[tuple[int, int]], k: int, key: str) -> DataFrame:
+    """``rename, delete, docs, strong, partial, weak, total_pct``: how much of each ``text``'s shingles its copy, as ``mutated`` makes it at each of ``rates``, still has.
+
+    Words are hashed and drawn once for a text, whatever the rates; a batch leaves as one row of sums for each rate.
+    """
+    schema = ", ".join(f"{c} long" for c in ("rename", "delete", "docs", *BANDS, "total_pct"))
+    sums = texts.select(F.lower(F.coalesce("text", F.lit(""))).alias("text")).mapInArrow(lambda batches: _tried(batches, rates, k, key.encode()), schema)
+    return sums.groupBy("rename", "delete").agg(*[F.sum(c).alias(c) for c in ("docs", *BANDS, "total_pct")]).filter("docs > 0")

@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from tessera.operators import expansion, sketches
+from tessera.functions.text import tokens
+from tessera.operators import expansion, sketches, trials
 
 
 def plain_similarities(rows, size):
@@ -55,3 +57,20 @@ def test_a_chain_of_macros_takes_few_rounds(spark, monkeypatch):
     want = {("f", f"s{k}"): "m0" for k in range(n)} | {("g", "s39"): "m39", ("g", "m40"): "m39", (None, "s39"): "m39", (None, "m40"): "m39", ("f", "m40"): "m0", ("f", "s3"): None, ("h", None): None}
     assert got == want
     assert len(rounds) < 20
+
+
+def test_recall_is_that_of_mutated_copies(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(("a", "zz", "zza", "Lib", "x9", "b-c", "İd")) + str(rng.randrange(40)) for _ in range(n)) for n in (1, 3, 4, 5, 60, 700)] + ["", " . ", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    rates = [(0, 0), (25, 0), (0, 20), (15, 25), (100, 0), (0, 100)]
+    words = tokens(F.col("text"))
+    want = {}
+    cut = lambda w: {tuple(w[i : i + 4]) for i in range(max(len(w) - 3, 1))} if w else set()
+    for rename, delete in rates:
+        made = df.select(words.alias("w"), trials.mutated(words, F.lit(rename), F.lit(delete), "k").alias("u")).filter(F.size("w") > 0).collect()
+        pct = [100 * len(cut(r.w) & cut(r.u)) // len(cut(r.w)) for r in made]
+        want[rename, delete] = (len(pct), *(sum(p >= least for p in pct) for least in (80, 50, 20)), sum(pct))
+    out = trials.recall(df, rates, 4, "k")
+    assert {(r.rename, r["delete"]): (r.docs, r.strong, r.partial, r.weak, r.total_pct) for r in out.collect()} == want
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()  # no arrays of words or hashes go to and fro
