@@ -7,8 +7,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tessera.functions import hashing
 from tessera.functions.text import tokens
-from tessera.operators import expansion, sketches, trials
+from tessera.operators import expansion, presence, sketches, trials
 
 
 def plain_similarities(rows, size):
@@ -74,3 +75,16 @@ def test_recall_is_that_of_mutated_copies(spark):
     out = trials.recall(df, rates, 4, "k")
     assert {(r.rename, r["delete"]): (r.docs, r.strong, r.partial, r.weak, r.total_pct) for r in out.collect()} == want
     assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()  # no arrays of words or hashes go to and fro
+
+
+def test_hash_tables_are_made_a_few_megabytes_at_a_time(spark):
+    texts = ["one two three four five " * 10, "x" * 300 + " y", "", "a b c d e f"] * 50
+    batch = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array(["k"] * 200), pa.array(texts)], ["id", "kind", "text"])
+    parts = list(hashing.set_batches([batch], 4, 64, 1000))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(200))
+    assert all(p.num_rows <= 64 and (p.num_rows == 1 or sum(len(texts[i]) for i in p.column(0).to_pylist()) <= 1000) for p in parts)
+    df = spark.createDataFrame([(k, "s", t) for k, t in enumerate([*texts[:4], None])], "id int, kind string, text string")
+    out = presence.hash_table(df, ["id", "kind"], "text", 4)
+    want = Counter((r.id, "s", r.h) for r in df.select("id", F.explode(hashing.shingle_hashes(F.col("text"), 4)).alias("h")).collect())
+    assert Counter((r.id, r.kind, r.h) for r in out.collect()) == want
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
