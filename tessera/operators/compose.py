@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import heapq
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +100,59 @@ def merged_boms(components: DataFrame) -> DataFrame:
     return filled.groupBy("key").agg(*[F.first(c).alias(c) for c in ("name", "version", "purl", "supplier", "kept_ref")], entries.alias("properties"), F.array_sort(F.collect_set("document")).alias("documents"), F.array_sort(F.collect_set("ref")).alias("refs"))
 
 
+def _codes(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Numbers of a column's values (-1: null), and the values."""
+    whole = column.combine_chunks().dictionary_encode()
+    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), whole.dictionary
+
+
+def _by(key: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of ``key``, and where each of its ``n`` values begins."""
+    return np.argsort(key, kind="stable"), np.append(0, np.cumsum(np.bincount(key, minlength=n)))
+
+
+def _assigned(table: pa.Table, named: int, unnamed: int) -> pa.Table:
+    """The groups of one directory from ``owner, path, held, files, named``; a null path is all that nobody else asks for."""
+    (who, names), (path, paths) = _codes(table.column("owner")), _codes(table.column("path"))
+    held, files = table.column("held").to_numpy(), table.column("files").to_numpy()
+    by_name = table.column("named").to_numpy().astype(np.int64)
+    n = len(names)
+    rows, first = _by(who, n)
+    asked, begin = _by(path + 1, len(paths) + 1)
+    total, count, called = (np.zeros(n, np.int64) for _ in range(3))
+    for sums, x in ((total, held), (count, files), (called, by_name)):
+        np.add.at(sums, who, x)
+    name = names.to_pylist()
+    taken = np.zeros(table.num_rows, bool)
+    rank = lambda k: (0 if called[k] else 1, -int(total[k]), name[k], k)
+    heap = [rank(k) for k in range(n)]
+    heapq.heapify(heap)
+    out = []
+    while heap:
+        key = heapq.heappop(heap)
+        k = key[3]
+        now = rank(k)
+        if now != key:  # files went to others since: back to its place
+            if count[k]:
+                heapq.heappush(heap, now)
+            continue
+        if -key[1] >= (unnamed if key[0] else named):
+            out.append((name[k], int(count[k]), -key[1]))
+            mine = rows[first[k] : first[k + 1]]
+            for p in path[mine[~taken[mine]]].tolist():
+                if p >= 0:
+                    rivals = asked[begin[p + 1] : begin[p + 2]]
+                    rivals = rivals[~taken[rivals]]
+                    taken[rivals] = True
+                    for sums, x in ((total, held), (count, files), (called, by_name)):
+                        np.subtract.at(sums, who[rivals], x[rivals])
+    directory = table.column("directory").slice(0, 1).to_pylist() * len(out)
+    columns = [directory, *(list(c) for c in zip(*out, strict=True))] if out else [[]] * 4
+    kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["directory", "owner", "files", "functions"])
+
+
 def loose_groups(claims: DataFrame, share: float = 0.80, least: int = 3, named: int = 8, unnamed: int = 40) -> DataFrame:
     """``directory, owner, files, functions``: loose files to one owner each, greedily and per directory.
 
@@ -108,33 +162,18 @@ def loose_groups(claims: DataFrame, share: float = 0.80, least: int = 3, named:
     """
     fit = claims.filter((F.col("held") >= share * F.col("own")) & ((F.col("held") >= least) | F.col("named")))
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, dict[str, tuple[int, bool]]] = {}
-        for owner, path, n, by_name in zip(pdf.owner, pdf.path, pdf.held, pdf.named, strict=True):
-            held.setdefault(owner, {})[path] = (int(n), bool(by_name))
-
-        def rank(owner: str) -> tuple:
-            files = held[owner].values()
-            return -max((int(x) for _, x in files), default=0), -sum(n for n, _ in files), owner
-
-        heap = [rank(owner) for owner in held]
-        heapq.heapify(heap)
-        taken: set[str] = set()
-        out = []
-        while heap:
-            key = heapq.heappop(heap)
-            owner = key[2]
-            for path in [p for p in held[owner] if p in taken]:
-                del held[owner][path]
-            now = rank(owner)
-            if now != key:  # files went to others since: back to its place
-                if held[owner]:
-                    heapq.heappush(heap, now)
-                continue
-            if -key[1] >= (named if key[0] else unnamed):
-                out.append((pdf.directory.iloc[0], owner, len(held[owner]), -key[1]))
-                taken.update(held[owner])
-        return pd.DataFrame(out, columns=["directory", "owner", "files", "functions"])
-
-    # one directory's loose files: bounded by what a directory holds
-    return fit.groupBy("directory").applyInPandas(assign, "directory string, owner string, files long, functions long")
+    # a path that one owner alone asks for is settled beforehand: its owner has one row for all of those
+    asked = F.count("*").over(Window.partitionBy("directory", "path"))
+    fit = fit.select("directory", "path", "owner", F.col("held").cast("long"), F.coalesce("named", F.lit(False)).alias("named"), (asked == 1).alias("alone"))
+    alone = fit.filter("alone").groupBy("directory", "owner").agg(F.lit(None).cast("string").alias("path"), F.sum("held").alias("held"), F.count("*").alias("files"), F.max("named").alias("named"))
+    claimed = fit.filter("not alone").select("directory", "owner", "path", "held", F.lit(1).cast("long").alias("files"), "named").unionByName(alone)
+    # what an owner has only shrinks, so one that has too little from the start gets no group
+    of = Window.partitionBy("directory", "owner")
+    enough = F.sum("held").over(of) >= F.when(F.max("named").over(of), named).otherwise(unnamed)
+    claimed = claimed.withColumn("_enough", enough).filter("_enough").drop("_enough")
+
+    def assign(table: pa.Table) -> pa.Table:
+        return _assigned(table, named, unnamed)
+
+    # one directory's contested files: bounded by what a directory holds, as numbers with each name once
+    return claimed.groupBy("directory").applyInArrow(assign, "directory string, owner string, files long, functions long")

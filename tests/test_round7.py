@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import hashing
 from tessera.functions.text import tokens
-from tessera.operators import expansion, presence, sketches, trials
+from tessera.operators import compose, expansion, presence, sketches, trials
 
 
 def plain_similarities(rows, size):
@@ -88,3 +88,33 @@ def test_hash_tables_are_made_a_few_megabytes_at_a_time(spark):
     want = Counter((r.id, "s", r.h) for r in df.select("id", F.explode(hashing.shingle_hashes(F.col("text"), 4)).alias("h")).collect())
     assert Counter((r.id, r.kind, r.h) for r in out.collect()) == want
     assert "ArrowEvalPython" not in out._jdf.queryExecution().toString()
+
+
+def plain_groups(claims, named=8, unnamed=40):
+    left, out = {}, []
+    for d, path, owner, held, own, by_name in claims:
+        if held >= 0.8 * own and (held >= 3 or by_name):
+            left.setdefault((d, owner), {})[path] = (held, by_name)
+    rank = lambda d, o: (-any(x for _, x in left[d, o].values()), -sum(h for h, _ in left[d, o].values()), o)
+    while left:
+        d, o = min(left, key=lambda k: (k[0], rank(*k)))
+        by_name, n, _ = rank(d, o)
+        got = left.pop((d, o))
+        if got and -n >= (named if by_name else unnamed):
+            out.append((d, o, len(got), -n))
+            for k in left:
+                if k[0] == d:
+                    left[k] = {p: x for p, x in left[k].items() if p not in got}
+    return sorted(out)
+
+
+def test_loose_files_go_as_plainly_in_numbers(spark):
+    rng = random.Random(8)
+    claims = sorted({(d, str(p), f"o{rng.randrange(25)}"): None for d in "xy" for p in range(80) for _ in range(rng.randint(1, 3))})
+    claims = [(*c, (n := rng.randint(1, 9)), n + rng.choice((0, 0, 1, 5)), rng.random() < 0.03) for c in claims]
+    claims += [("z", f"p{k}", "lone", 5, 5, False) for k in range(500)] + [("z", f"q{k}", f"small{k}", 4, 4, False) for k in range(500)] + [("z", "n", "null", 50, 50, None)]
+    df = spark.createDataFrame(claims, "directory string, path string, owner string, held long, own long, named boolean")
+    want = plain_groups([(*c[:5], bool(c[5])) for c in claims])
+    out = compose.loose_groups(df)
+    assert sorted((r.directory, r.owner, r.files, r.functions) for r in out.collect()) == want and ("z", "lone", 500, 2500) in want
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().toString()
