@@ -6,10 +6,12 @@ directory and a rule; one expression weighs it, and the claims on a directory ar
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.hashing import shingle_hashes
+from tessera.functions.hashing import hash_map, least_batches, marked_batches, shingle_hashes  # noqa: F401 (the last for its users)
 from tessera.functions.text import kmv_similarity
 from tessera.operators import discover, globs, presence
 from tessera.operators.graph import settled
@@ -43,7 +45,7 @@ def anchor_hits(files: DataFrame, anchors: DataFrame, deepest: int = DEEPEST) ->
     name that every directory has costs a row for each directory, not for each rule.
     """
     last = lambda c: F.element_at(F.split(c, "/"), -1)
-    wanted = anchors.distinct()
+    wanted = settled(anchors.distinct())
     names = wanted.select(last(F.col("path")).alias("name")).distinct()
     near = settled(below(files.select("path", "sha", last(F.col("path")).alias("name")).join(names, "name", "left_semi")).select("directory", "rel", "name", "depth", "sha"))
     exact = near.join(wanted.withColumnRenamed("path", "rel"), ["rel", "sha"]).select(*PAIR, "at", "version_ix")
@@ -55,11 +57,12 @@ def anchor_hits(files: DataFrame, anchors: DataFrame, deepest: int = DEEPEST) ->
 
 
 def marked(files: DataFrame, signature: DataFrame, k: int, size: int) -> DataFrame:
-    """``path, h, known, small``: of each file's hashes those that some rule has, and its ``size`` smallest. Texts are hashed once for both."""
-    hashes = files.select("path", F.posexplode(shingle_hashes(F.col("text"), k)).alias("p", "h"))
-    rules = signature.select("h").distinct().withColumn("known", F.lit(True))
-    out = hashes.join(rules, "h", "left").select("path", "h", F.coalesce("known", F.lit(False)).alias("known"), (F.col("p") < size).alias("small"))
-    return settled(out.filter("known or small"))
+    """``path, met, small``: of each file's hashes those that a rule may have (all that one has), and its ``size`` smallest. Texts are hashed once for both.
+
+    A map of the rules' hashes of fixed size goes to the tasks, so that other hashes of a text do not leave the batch that makes them.
+    """
+    texts = files.select("path", F.lower(F.coalesce("text", F.lit(""))).alias("text"))
+    return settled(texts.mapInArrow(partial(marked_batches, k=k, size=size, bits=hash_map(signature)), "path string, met array<long>, small array<long>"))
 
 
 def function_hits(marks: DataFrame, signature: DataFrame) -> DataFrame:
@@ -68,7 +71,8 @@ def function_hits(marks: DataFrame, signature: DataFrame) -> DataFrame:
     ``marks`` as ``marked`` gives them, ``signature(rule_id, version_ix, h)`` distinct. Only hashes that some rule has go up to the directories
     above, each once for a directory. Where no hash tells releases apart, the releases are null and all of the rule's hashes count together.
     """
-    present = settled(below(marks.filter("known").select("path", "h")).select(F.col("directory").alias("doc_id"), "h").distinct())
+    known = marks.select("path", F.explode("met").alias("h")).join(signature.select("h").distinct(), "h", "left_semi")
+    present = settled(below(known).select(F.col("directory").alias("doc_id"), "h").distinct())
     found = settled(presence.release_range(present, signature))
     size = signature.groupBy("rule_id", F.col("version_ix").alias("best_ix")).agg(F.count("*").alias("size"))
     best = found.join(signature.withColumnRenamed("version_ix", "best_ix"), ["rule_id", "best_ix"]).join(present, ["doc_id", "h"]).groupBy("doc_id", "rule_id").agg(F.count("*").alias("held"))
@@ -82,9 +86,9 @@ def tree_sketches(marks: DataFrame, size: int) -> DataFrame:
 
     Sketches of files, in ``marks`` of at least that size, are merged: a directory keeps as many values of each task's before they are exchanged.
     """
-    values = below(marks.filter("small").select("path", "h")).select("directory", "h").distinct()
-    least = values.withColumn("n", F.row_number().over(Window.partitionBy("directory").orderBy("h"))).filter(F.col("n") <= size)
-    return least.groupBy("directory").agg(F.array_sort(F.collect_list("h")).alias("s"))
+    each = below(marks.filter(F.size("small") > 0).select("path", "small")).select("directory", "small")
+    least = lambda df, ordered: df.mapInArrow(partial(least_batches, size=size, ordered=ordered), "directory string, s array<long>")
+    return least(least(each, False).repartition("directory").sortWithinPartitions("directory"), True)
 
 
 def sketch_hits(trees: DataFrame, sketches: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -104,12 +108,14 @@ def probe_hits(files: DataFrame, probes: DataFrame) -> DataFrame:
     ``files(path, text)``, ``probes(rule_id, file, part, lead, pattern)``: ``file`` is a path from the directory, the first group of each
     ``pattern`` follows its ``lead``, in the order of ``part``; all parts must be found. Of several files of a rule the first by name that defines a version counts.
     """
-    parts = probes.distinct()
-    # texts are read in the files that a probe names, under the directory that makes their path
-    at = below(files.select("path")).join(parts.select(F.col("file").alias("rel")).distinct(), "rel", "left_semi").select("path", "directory", "rel")
-    read = at.join(files.select("path", "text"), "path").join(parts.withColumnRenamed("file", "rel"), "rel")
+    parts = settled(probes.distinct()).withColumn("name", F.element_at(F.split("file", "/"), -1))
+    # a text meets the probes of its name, few as they are, and does not travel; what they read does
+    names = F.filter(F.split("path", "/"), lambda x: x != "")
+    named = files.select(F.array_join(names, "/").alias("path"), F.element_at(names, -1).alias("name"), "text")
+    at = (F.length("path") > F.length("file") + 1) & F.col("path").endswith(F.concat(F.lit("/"), F.col("file")))
     value = F.when(F.regexp_like("text", F.col("pattern")), F.call_function("regexp_extract", F.col("text"), F.col("pattern"), F.lit(1)))
-    said = read.select(*PAIR, "rel", F.struct("part", F.concat("lead", value).alias("v")).alias("x"))
+    directory = F.left("path", F.length("path") - F.length("file") - 1).alias("directory")
+    said = named.join(parts, "name").filter(at).select(directory, "rule_id", F.col("file").alias("rel"), F.struct("part", F.concat("lead", value).alias("v")).alias("x"))
     whole = said.groupBy(*PAIR, "rel").agg(F.count_if(F.col("x.v").isNull()).alias("missing"), F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["v"]), "").alias("v")).filter("missing = 0")
     return whole.groupBy(*PAIR).agg(F.min_by("v", "rel").alias("probed"))
 
@@ -220,7 +226,7 @@ def scan(files: DataFrame, rules: DataFrame, releases: DataFrame, anchors: DataF
     marks = marked(files, signature, k, size)
     bodies = settled(inside(function_hits(marks, signature)))
     pairs = anchored.select(*PAIR).unionByName(bodies.select(*PAIR)).distinct()
-    sketched = settled(inside(sketch_hits(tree_sketches(marks, size), sketches, pairs, size)))
+    sketched = settled(inside(sketch_hits(settled(tree_sketches(marks, size)), sketches, pairs, size)))
     every = settled(pairs.unionByName(sketched.filter(F.col("sketch") >= discover.BANDS[3][0]).select(*PAIR)).distinct())
     probed = settled(inside(probe_hits(files, probes)))
     places = settled(place_hits(every.select("directory").distinct(), rules))

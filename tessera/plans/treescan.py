@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.hashing import sketch
 from tessera.operators import scan
+from tessera.operators.graph import settled
 from tessera.plans.corpus import K, _SIG, _shingles_sql, _signature
 from tessera.plans.registry import register, _SQL
 from tessera.session import spread, table
@@ -79,7 +80,9 @@ def scanned_components(spark, sf_dir):
     leaf, name = F.expr(_LEAF.format(div="div")), F.expr(_NAME)
     files = docs.select(F.concat(leaf, F.lit("/"), name).alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "text")
     labels = table(spark, sf_dir, "labels").filter("quality is not null and toxic is not null").select("doc_id", F.expr("cast(quality + 2 * toxic as int)").alias("version_ix"))
-    anchors = docs.join(labels, "doc_id").select(F.expr("cast(doc_id % 7 as int)").alias("rule_id"), F.expr("cast(doc_id % 8 as int)").alias("at"), name.alias("path"), "version_ix", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
+    # what else is asked of a text is read once; joins would carry the texts
+    facts = settled(docs.select("doc_id", leaf.alias("directory"), name.alias("path"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.length("text").alias("n")))
+    anchors = facts.join(labels, "doc_id").select(F.expr("cast(doc_id % 7 as int)").alias("rule_id"), F.expr("cast(doc_id % 8 as int)").alias("at"), "path", "version_ix", "sha")
     items = table(spark, sf_dir, "benchmark").select(F.expr("cast(4 + item_id % 3 as int)").alias("rule_id"), F.lit(3).alias("reference_ix"), F.explode(sketch(F.col("text"), K, SIZE)).alias("h")).distinct()
     sketches = items.groupBy("rule_id", "reference_ix").agg(F.slice(F.array_sort(F.collect_list("h")), 1, SIZE).alias("s"))
     known = table(spark, sf_dir, "benchmark").select(F.expr("cast(item_id % 4 as int)").alias("rule_id"), F.expr("cast(item_id div 4 as int)").alias("version_ix"))
@@ -87,6 +90,6 @@ def scanned_components(spark, sf_dir):
     releases = known.unionByName(sketched).withColumn("version", F.concat(F.lit("1."), F.col("version_ix")))
     rules = spark.createDataFrame(_RULES, "rule_id int, name string, globs array<string>, ships_as string, specificity int, ceiling double")
     probes = spark.createDataFrame(_PROBES, "rule_id int, file string, part int, lead string, pattern string")
-    declared = files.filter(F.substring_index("path", "/", -1) == "2.txt").select(F.regexp_replace("path", "/[^/]*$", "").alias("directory"), F.concat(F.lit("7."), F.length("text") % 10).alias("manifest"))
+    declared = facts.filter("path = '2.txt'").select("directory", F.concat(F.lit("7."), F.col("n") % 10).alias("manifest"))
     out = scan.scan(files, rules, releases, anchors, _signature(spark, sf_dir), sketches, probes, declared, K, SIZE)
     return out.select("directory", "rule_id", "name", "identity", "version", "source", "version_confidence", "witnesses", "place", "alternatives")
