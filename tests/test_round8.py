@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.functions import hashing
-from tessera.operators import scan
+from tessera.operators import prints, scan
 
 
 def test_many_texts_are_hashed_as_one_by_one(monkeypatch):
@@ -56,3 +56,19 @@ def test_texts_do_not_travel_to_their_probes(spark):
     assert {tuple(r) for r in hits.collect()} == {("a/b", 1, "1.2"), ("a", 2, "1"), ("d", 1, "7.8")}
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "text" not in "".join(x for x in plan.splitlines() if "Exchange hash" in x)
+
+
+def test_copies_of_a_function_look_for_prints_once(spark):
+    rng = random.Random(6)
+    base = [rng.sample(range(300), rng.randint(2, 12)) for _ in range(12)]
+    functions = spark.createDataFrame([("x", "1", n, f) for n, f in enumerate(base)] + [("y", "1", 50 + n, f[:-1] + [400 + n]) for n, f in enumerate(base)], "rule string, release string, fn long, features array<long>")
+    reference, _ = prints.reference_prints(functions)
+    rows = [("i", k, base[0]) for k in range(30)] + [("i", 90, base[1] + [777]), ("j", 91, base[1] + [778]), ("j", 92, base[2] + list(range(1000, 1300)))]
+    lists = prints.feature_lists(reference)
+    flat = spark.createDataFrame([(i, k, x) for i, k, f in rows for x in f], "image string, fn int, f long")
+    got = sorted((r.image, r.fn_size, r.rule, r.print, r.size, r.shared) for r in prints.found(flat, lists).collect())
+    sets = {(r.rule, r.print): set(r.features) for r in lists.collect()}
+    want = {(i, len(f), rule, p, len(s), len(s & set(f))) for i, _, f in rows for (rule, p), s in sets.items() if len(s & set(f)) >= max(min(2, len(s)), 0.7 * len(s)) and len(f) <= 16 * len(s)}
+    assert got == sorted(want) and want
+    lined = spark.createDataFrame(rows, "image string, fn int, features array<long>")
+    assert sorted((r.image, r.fn_size, r.rule, r.print, r.size, r.shared) for r in prints.found(lined, lists).collect()) == got
