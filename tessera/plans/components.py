@@ -42,7 +42,7 @@ SELECT l_orderkey, max(l_partkey) FILTER (WHERE n = 1) AS l_partkey, coalesce(st
 )
 def alternatives_top3(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return resolve.winners(t, ["l_orderkey"], [F.desc("l_extendedprice"), F.asc("l_linenumber")], "l_partkey", "l_extendedprice").select("l_orderkey", "l_partkey", "alternatives")
+    return resolve.winners(t, ["l_orderkey"], [F.desc("l_extendedprice"), F.asc_nulls_last("l_linenumber")], "l_partkey", "l_extendedprice").select("l_orderkey", "l_partkey", "alternatives")
 
 
 # ---- paths ----------------------------------------------------------------------------------
