@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.versions import facts, in_range, limits, within
+from tessera.operators.graph import settled
 from tessera.operators.resolve import state_of
 
 
@@ -35,6 +36,21 @@ def range_join(components: DataFrame, ranges: DataFrame, key: str | list[str] =
     return out.select(*by, *[c for c in components.columns if c not in by], *[c for c in ranges.columns if c not in by], "verdict")
 
 
+def verdicts(pairs: DataFrame) -> DataFrame:
+    """``pairs(version, introduced, start_excluding, fixed, last_affected, ...)`` with ``verdict``.
+
+    For pairs under many small keys, where a key has little twice but all keys have the same versions and bounds: each version and each bounds are parsed
+    once and compared once, whatever keys they meet under. ``pairs`` is computed twice, once for that.
+    """
+    on = ["version", *_BOUNDS]
+    met = settled(pairs.select(*on).distinct())
+    parsed = settled(met.select("version").distinct()).withColumn("_facts", facts(F.col("version")))
+    bounds = settled(met.select(*_BOUNDS).distinct()).withColumn("_limits", limits(*[F.col(b) for b in _BOUNDS]))
+    said = _alike(_alike(met, parsed, ["version"], ["_facts"]), bounds, list(_BOUNDS), ["_limits"])
+    said = settled(said.select(*on, within(F.col("_facts"), F.col("_limits")).alias("verdict")))
+    return _alike(pairs, said, on, ["verdict"])
+
+
 def _alike(left: DataFrame, right: DataFrame, on: list[str], more: list[str]) -> DataFrame:
     """``left`` with the columns ``more`` of the rows of ``right`` that are the same in ``on``, nulls included."""
     right = right.select(*[F.col(c).alias(f"_on{k}") for k, c in enumerate(on)], *more)
